@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from docspark.llm.common import table
 from docspark.llm.licenses import scan_licenses
+from docspark.llm.lm import score_texts
+from docspark.llm.packing import pack_documents
 from docspark.llm.quality import fit_quality, score_quality
+from docspark.llm.simhash import near_duplicates
 from docspark.llm.token_counts import count_tokens
 
 
@@ -35,9 +38,26 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(documents, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fingerprint: 16 lowercase hex digits."""
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_classifier, op4_token_counts)}
+def op8_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_license_scan, op2_quality_classifier, op3_simhash_dedup, op4_token_counts, op8_lexical_packing, op10_lm_scores)
+}
 ORACLE: dict[str, str] = {}
