@@ -33,15 +33,18 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the cluster's shared checkpoint folder (spark.checkpoint.dir) and cut from its lineage.
-
-    Only a session without that setting, such as a test's, gets a folder of its own.
-    """
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir; a session without it, such as a test's, gets one of its own."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="docspark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written to the shared checkpoint folder and cut from its lineage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -156,3 +156,24 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     taken = F.filter(taken, lambda d: d["words"] > 0)
     empty = F.array().cast("array<struct<pass:int,shard:bigint,order:int,words:bigint>>")
     return sized.join(plan, ["key", "block"]).select("doc_id", "size", "source_size", "target", F.coalesce(taken, empty).alias("draws"))
+
+
+def taken_text(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """`df` with a row for each draw of `mixed`, its text cut after the words drawn; chars_col, if there, is counted again.
+
+    A null id is matched with null ids. Where ids repeat, each row is drawn as its own copy of `mixed`'s rows for the id, once.
+    """
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit(" null"))
+    drawn = mixed.select(F.coalesce(F.col("doc_id").cast("string"), F.lit(" null")).alias("draw key"), "size", "draws").dropDuplicates(["draw key", "size"])
+    sized = df.withColumn("draw key", key).withColumn("draw size", size_of(F.col(text_col).cast("string")))
+    own = drawn.withColumnRenamed("size", "draw size")
+    rows = sized.join(own, ["draw key", "draw size"]).withColumn("draw", F.explode("draws"))
+    cut = F.when(F.col("draw.words") >= F.col("draw size"), F.col(text_col)).otherwise(first_words(F.col(text_col), F.col("draw.words")))
+    out = rows.withColumn(text_col, cut).select(*df.columns)
+    return out.withColumn(chars_col, F.length(text_col).cast(df.schema[chars_col].dataType)) if chars_col in df.columns else out
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word, as it is written."""
+    parts = F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), n.cast("int"))
+    return F.array_join(parts, "")

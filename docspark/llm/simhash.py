@@ -11,16 +11,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.llm.common import as_bytes, checkpointed, map_batches
 
+#: For near duplicates in place of equal fingerprints: two SimHashes of pairs of words, taken as lanes of 32 bits. Texts whose five-word shingles are
+#: 0.8 alike differ by about 2 / 45 of their pairs, a tenth of the bits: 12 of 128, 3 of a lane. A lane within 2 bits makes a candidate, WIDE_BITS
+#: at most in all a link.
+WIDE_WORDS, WIDE_SEEDS, WIDE_BITS = 2, (42, 43), 16
+
 #: A round of contraction follows this many pointers at most; what is left comes in the next round.
 JUMPS = 3
 
 
-def simhash(text: bytes, words: int = 3) -> int:
+def simhash(text: bytes, words: int = 3, seed: int = 42) -> int:
     """64-bit SimHash of the text's shingles, repeats included, as an unsigned number."""
     import xxhash
 
@@ -29,12 +34,12 @@ def simhash(text: bytes, words: int = 3) -> int:
     if not parts:
         return 0
     if n <= 1:
-        return xxhash.xxh64_intdigest(b" ".join(parts), 42)  # one shingle: each of its bits is in over half
+        return xxhash.xxh64_intdigest(b" ".join(parts), seed)  # one shingle: each of its bits is in over half
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     begins = np.concatenate([[0], ends[:-1] + 1])
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(begins[:n].tolist(), ends[words - 1 :].tolist())], ">u8")
+    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(begins[:n].tolist(), ends[words - 1 :].tolist())], ">u8")
     ones = np.zeros(64, np.int64)
     for k in range(0, n, 1 << 16):  # bounded scratch space for long texts
         bits = np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8)).reshape(-1, 64)
@@ -107,3 +112,54 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     linked = whole.groupBy("root").agg(F.min("first").alias("component_id"))
     named = whole.select("fp", "root").join(linked, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def wide_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, a, b: two SimHashes of the text's pairs of words, by two hashes of them."""
+    ids = df.schema[id_col].dataType.simpleString()
+
+    def compute(batches):
+        for batch in batches:
+            texts = as_bytes(batch.column(1))
+            got = [pa.array(np.array([simhash(t, WIDE_WORDS, seed) for t in texts], np.uint64).view(np.int64)) for seed in WIDE_SEEDS]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *got], ["doc_id", "a", "b"])
+
+    return map_batches(df.select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text")), compute, f"doc_id {ids}, a bigint, b bigint")
+
+
+def wide_links(distinct: DataFrame, most: int = WIDE_BITS) -> DataFrame:
+    """Distinct links (a, b) between ids of `distinct` (id, a, b) at most `most` bits apart.
+
+    Each of the four 32-bit lanes emits its ball of half the radius, 33 values; who meets at a lane's value is compared with the smallest there,
+    and with the one before in order, so that a group costs as many comparisons as it has members, not their square.
+    """
+    low = F.lit(0xFFFFFFFF).cast("long")
+    lanes = F.array(*[F.struct(F.lit(k).alias("lane"), lane.alias("value")) for k, lane in enumerate([F.col("a").bitwiseAND(low), F.shiftrightunsigned("a", 32), F.col("b").bitwiseAND(low), F.shiftrightunsigned("b", 32)])])
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k).cast("long") for k in range(32)])
+    ball = distinct.select("id", "a", "b", F.explode(lanes).alias("l")).select("id", "a", "b", F.col("l.lane").alias("lane"), F.col("l.value").alias("value"), F.explode(flips).alias("flip"))
+    ball = ball.select("id", "a", "b", (F.col("value").bitwiseXOR(F.col("flip")) * 4 + F.col("lane")).alias("variant"))
+    by = Window.partitionBy("variant").orderBy("a", "b", "id")
+    own = F.struct("id", "a", "b")
+    met = ball.select("id", "a", "b", F.first(own).over(by).alias("least"), F.lag(own).over(by).alias("before")).where("before is not null")
+    pairs = met.select("id", "a", "b", F.explode(F.array("least", "before")).alias("o"))
+    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("o.a"))) + F.bit_count(F.col("b").bitwiseXOR(F.col("o.b")))
+    return pairs.where(apart <= most).select(F.greatest("id", "o.id").alias("a"), F.least("id", "o.id").alias("b")).where("a != b").distinct()
+
+
+def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `df`, whole, without near duplicates: of each group the row with the smallest id stays, once.
+
+    Texts that are 0.8 alike or more in five-word shingles are what the links are made for; see WIDE_BITS. A null id counts as the smallest. Texts
+    without words are copies of one another. Copies meet by an aggregate before anything is linked.
+    """
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    marked = checkpointed(wide_fingerprints(df.select(key.alias(id_col), text_col), id_col, text_col))
+    smallest = checkpointed(marked.groupBy("a", "b").agg(F.min("doc_id").alias("id")))
+    # nodes are compared by a hash of the id, a random order, in which few rounds are needed
+    links = wide_links(smallest.select("id", "a", "b"))
+    hashed = links.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
+    roots = components(hashed).withColumnRenamed("node", "hash")
+    groups = smallest.select("id", F.xxhash64("id").alias("hash")).join(roots, "hash", "left").select("id", F.coalesce("root", "hash").alias("root"))
+    kept = groups.groupBy("root").agg(F.min("id").alias("kept id")).select("kept id")
+    rows = df.withColumn("kept id", key).join(kept, "kept id", "left_semi")
+    return rows.dropDuplicates(["kept id"]).select(*df.columns)
