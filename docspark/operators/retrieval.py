@@ -55,7 +55,7 @@ def pseudo_tfidf_cosine(items: DataFrame, queries: DataFrame, tokens=X.simple_to
 def top(scored: DataFrame, k: int, by: str = "score", *ties: str) -> DataFrame:
     """The k best of each query with their rank, ties by `ties` or item_id."""
     w = Window.partitionBy("query_id").orderBy(F.col(by).desc(), *[F.col(t) for t in ties or ("item_id",)])
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def min_max(score: Column, *keys: str) -> Column:

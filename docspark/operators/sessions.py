@@ -37,7 +37,7 @@ def route(kind: Column) -> Column:
 
 def recent(turns: DataFrame, n: int = 4) -> DataFrame:
     """The last n turns of each conversation."""
-    return turns.withColumn("back", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").desc()))).where(F.col("back") <= n)
+    return turns.withColumn("back", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").desc())).cast("long")).where(F.col("back") <= n)
 
 
 def titles(turns: DataFrame, most: int = 28) -> DataFrame:

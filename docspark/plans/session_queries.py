@@ -122,14 +122,14 @@ def task_status_counts(spark, sf_dir):
     return tasks(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {TASKS} SELECT task_id FROM t WHERE status = 'processing' AND lock_expires_at < TIMESTAMP '1995-06-17'")
+@query(f"WITH {TASKS} SELECT task_id FROM t WHERE status = 'processing' AND lock_expires_at < TIMESTAMP '1996-06-17'")
 def task_expired(spark, sf_dir):
-    return T.expired(tasks(spark, sf_dir), F.lit("1995-06-17").cast("timestamp")).select("task_id")
+    return T.expired(tasks(spark, sf_dir), F.lit("1996-06-17").cast("timestamp")).select("task_id")
 
 
-@query(f"WITH {TASKS} SELECT task_id, status FROM t WHERE NOT (status = 'done' AND created_at < TIMESTAMP '1995-01-01')")
+@query(f"WITH {TASKS} SELECT task_id, status FROM t WHERE NOT (status = 'done' AND created_at < TIMESTAMP '1997-01-01')")
 def task_cleanup(spark, sf_dir):
-    return T.without_old(tasks(spark, sf_dir), F.lit("1995-01-01").cast("timestamp"), ["done"]).select("task_id", "status")
+    return T.without_old(tasks(spark, sf_dir), F.lit("1997-01-01").cast("timestamp"), ["done"]).select("task_id", "status")
 
 
 @query("SELECT doc_id, quality, toxic FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'de')")

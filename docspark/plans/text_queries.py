@@ -84,7 +84,7 @@ def region_format(spark, sf_dir):
     return blocks(spark, sf_dir).select("doc_id", "pos", X.region_text(label, F.col("content")).alias("markdown"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'a1') OR contains(lower(p_name), '7')")
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'widget') OR contains(lower(p_name), 'blue')")
 def name_search(spark, sf_dir):
     name = F.lower("p_name")
-    return table(spark, sf_dir, "part").where(name.contains("a1") | name.contains("7")).select("p_partkey", "p_name")
+    return table(spark, sf_dir, "part").where(name.contains("widget") | name.contains("blue")).select("p_partkey", "p_name")
