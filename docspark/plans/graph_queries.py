@@ -12,9 +12,11 @@ from docspark.plans.base import BLOCKS, blocks, query, table
 from docspark.plans.block_queries import boxes
 
 KNOWN = " UNION ALL ".join(f"SELECT '{n}' AS n, '{t}' AS t" for t, names in (("Dataset", G.DATASETS), ("Metric", G.METRICS), ("Method", G.METHODS)) for n in names)
-every = lambda pattern, group, conf, source, least: f"SELECT doc_id, pos, unnest(list_distinct(list_filter(regexp_extract_all(content, '{pattern}', {group}), lambda x: length(x) >= {least}))) AS name, 'Concept' AS type, {conf} AS confidence, '{source}' AS source FROM blocks"
+#: RE2's word boundaries know ASCII only: other characters, which are letters here, stand as underscores.
+ASCII = r"regexp_replace(content, '[^\x00-\x7F]', '_', 'g')"
+every = lambda pattern, group, conf, source, least, text=ASCII: f"SELECT doc_id, pos, unnest(list_distinct(list_filter(regexp_extract_all({text}, '{pattern}', {group}), lambda x: length(x) >= {least}))) AS name, 'Concept' AS type, {conf} AS confidence, '{source}' AS source FROM blocks"
 ENTITIES = rf"""known AS ({KNOWN}), entities AS ({every(r"\b([A-Z]{2,6})\b", 1, 0.7, "rule_acronym", 2)} UNION ALL {every(r"\b([A-Z][a-z]+(?: [A-Z][a-z]+)+)\b", 1, 0.5, "rule_capitalized", 4)}
-    UNION ALL {every('"([^"]{2,50})"', 1, 0.6, "rule_quoted", 3)} UNION ALL SELECT doc_id, pos, n, t, 0.8, 'rule_known' FROM blocks JOIN known ON contains(lower(content), n))"""
+    UNION ALL {every('"([^"]{2,50})"', 1, 0.6, "rule_quoted", 3, "content")} UNION ALL SELECT doc_id, pos, n, t, 0.8, 'rule_known' FROM blocks JOIN known ON contains(lower(content), n))"""
 CLEAN = r"""lower(regexp_replace(regexp_replace(trim(name), '\s+', ' ', 'g'), '^[.,;:!?()\[\]{}"''\-]+|[.,;:!?()\[\]{}"''\-]+$', '', 'g'))"""
 
 
