@@ -16,14 +16,15 @@ def query_terms(queries: DataFrame, tokens=X.simple_tokens) -> DataFrame:
 
 
 def matches(items: DataFrame, queries: DataFrame, tokens=X.simple_tokens) -> DataFrame:
-    """query_id, term, qtf, item_id, tf, dl, nu: where a query's term stands in an item. Only items' tokens that some query asks for are kept.
+    """query_id, term, qtf, item_id, tf, dl: where a query's term stands in an item. Only items' tokens that some query asks for are kept.
 
     The terms of the batch of queries are looked up while items are read: `asked` is broadcast only if Spark finds it small enough.
     """
     asked = query_terms(queries, tokens)
-    own = items.select("item_id", tokens(F.col("text")).alias("t")).select("item_id", F.size("t").cast("long").alias("dl"), F.size(F.array_distinct("t")).cast("long").alias("nu"), F.explode("t").alias("term"))
-    wanted = own.join(asked.select("term").distinct(), "term", "left_semi")
-    counted = wanted.groupBy("item_id", "term", "dl", "nu").agg(F.count(F.lit(1)).alias("tf"))
+    # a text's length is taken before its tokens become rows, not for each of them
+    measured = items.select("item_id", tokens(F.col("text")).alias("t")).select("item_id", F.size("t").cast("long").alias("dl"), "t")
+    wanted = measured.select("item_id", "dl", F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    counted = wanted.groupBy("item_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
     return counted.join(asked, "term")
 
 
