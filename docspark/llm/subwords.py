@@ -7,13 +7,16 @@ hold none. `WordMemo` keeps the ids of words it has met and asks the tokenizer f
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from array import array
 from functools import lru_cache
 
-import numpy as np
+if array("I").itemsize != 4 or sys.byteorder != "little":
+    raise ImportError("ids are packed as little-endian 32-bit numbers")
 
 #: Words a worker remembers; beyond them it starts anew. About 130 bytes each.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 700_000
 
 TAIL = b".,!?;:"
 
@@ -46,48 +49,61 @@ def byte_letters() -> dict[int, str]:
 
 
 class WordMemo(dict):
-    """Word as bytes -> its ids as little-endian unsigned 32-bit numbers. `learn` words before looking them up."""
+    """Word as bytes -> its ids as little-endian unsigned 32-bit numbers. `learn` words before looking them up.
+
+    Runs of letters, without the punctuation that ends a word, are kept apart: the pattern keeps them whole, so the model encodes them alone.
+    """
 
     def __init__(self, path: str, most: int = MEMO_WORDS):
         super().__init__()
         self.whole = tokenizer(path)
         self.model = self.whole.model
         self.letters = byte_letters()
-        self.most, self.cores = most, {}
-
-    def core(self, text: str) -> bytes | None:
-        """Ids of a run of letters, which the pattern keeps whole; None if the tokenizer itself has to look."""
-        if not text.isalpha() or max(text) >= "ɐ" or "İ" in text or not unicodedata.is_normalized("NFC", text):
-            return None
-        low = text.lower()
-        got = self.cores.get(low)
-        if got is None:
-            mapped = low if low.isascii() else "".join(map(self.letters.__getitem__, low.encode()))
-            got = self.cores[low] = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        self.most, self.units = most, {}
+
+    def unit(self, letters: bytes) -> bytes:
+        """Ids of lower-cased letters."""
+        text = letters.decode() if letters.isascii() else "".join(map(self.letters.__getitem__, letters))
+        got = self.units[letters] = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
         return got
 
     def tail(self, mark: bytes) -> bytes:
-        got = self.cores.get(mark)
-        if got is None:
-            got = self.cores[mark] = np.array(self.whole.encode(mark.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        got = self.units[mark] = array("I", self.whole.encode(mark.decode(), add_special_tokens=False).ids).tobytes()
         return got
 
     def learn(self, words: set[bytes]) -> None:
         """`words`: all that will be looked up next, split at ASCII white space, valid UTF-8."""
-        if len(self) + len(self.cores) > self.most:
+        units = self.units
+        if len(self) + len(units) > self.most:
             self.clear()
-            self.cores.clear()
+            units.clear()
         rest = []
-        for word in words.difference(self):
+        for word in words:
+            if word in self:
+                continue
             core = word.rstrip(TAIL)
-            ids = self.core(core.decode()) if core else b""
-            if ids is None:
-                rest.append(word)
+            if core.isalpha():
+                letters = core.lower()
+            elif core:
+                text = core.decode()
+                if not (text.isalpha() and max(text) < "ɐ" and "İ" not in text and unicodedata.is_normalized("NFC", text)):
+                    rest.append(word)  # the tokenizer itself has to look
+                    continue
+                letters = text.lower().encode()
             else:
-                self[word] = ids if len(core) == len(word) else ids + self.tail(word[len(core) :])
+                letters = b""
+            ids = b""
+            if letters:
+                ids = units.get(letters)
+                if ids is None:
+                    ids = self.unit(letters)
+            if len(core) < len(word):
+                mark = word[len(core) :]
+                ids += units.get(mark) or self.tail(mark)
+            self[word] = ids
         if rest:
             for word, e in zip(rest, self.whole.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
-                self[word] = np.array(e.ids, "<u4").tobytes()
+                self[word] = array("I", e.ids).tobytes()
 
 
 @lru_cache(maxsize=1)
