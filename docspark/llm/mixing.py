@@ -24,31 +24,40 @@ def uniform(*parts) -> Column:
     return (F.pmod(F.xxhash64(*parts), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
 
 
+def let(x: Column, body) -> Column:
+    """body of x, computed once and not written out again wherever body uses it."""
+    return F.transform(F.array(x), body)[0]
+
+
 def ln_factorial(n: Column) -> Column:
     """Stirling's series, shifted by 8 so that it is good to 1e-12 from 0 on."""
-    x = n + 9.0
-    series = (x - 0.5) * F.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
-    return series - F.log((n + 1) * (n + 2) * (n + 3) * (n + 4)) - F.log((n + 5) * (n + 6) * (n + 7) * (n + 8))
+    return let(
+        n + 9.0,
+        lambda x: (x - 0.5) * F.log(x) - x + 0.9189385332046727 + (1 / 12 - (1 / 360 - 1 / (1260 * x * x)) / (x * x)) / x
+        - F.log((x - 1) * (x - 2) * (x - 3) * (x - 4)) - F.log((x - 5) * (x - 6) * (x - 7) * (x - 8)),
+    )
 
 
 def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> Column:
     """How many of `drawn` out of `total` are among the `marked`: the inverse of the distribution at u, within 9 deviations of the mean."""
-    n, k, d = total.cast("double"), marked.cast("double"), drawn.cast("double")
     ways = lambda a, b: ln_factorial(a) - ln_factorial(b) - ln_factorial(a - b)
-    mean = d * k / F.greatest(n, F.lit(1.0))
-    deviation = F.sqrt(F.greatest(mean * (n - k) * (n - d) / F.greatest(n * (n - 1), F.lit(1.0)), F.lit(0.0)))
-    least = F.greatest(F.lit(0.0), d - (n - k), F.floor(mean - 9 * deviation) - 2).cast("long")
-    most = F.least(d, k, F.ceil(mean + 9 * deviation) + 2).cast("long")
-    every = ways(n, d)
-    found = F.aggregate(
-        F.sequence(least, F.greatest(least, most)),
-        F.struct(F.lit(0.0).alias("below"), least.alias("value")),
-        lambda s, i: F.struct(
-            (s["below"] + F.exp(ways(k, i.cast("double")) + ways(n - k, d - i.cast("double")) - every)).alias("below"),
-            F.when(s["below"] < u, i).otherwise(s["value"]).alias("value"),
-        ),
-    )
-    return F.when(drawn <= 0, F.lit(0).cast("long")).when(marked >= total, drawn.cast("long")).otherwise(found["value"])
+
+    def of(p):
+        n, k, d = p["n"], p["k"], p["d"]
+        mean = d * k / F.greatest(n, F.lit(1.0))
+        deviation = F.sqrt(F.greatest(mean * (n - k) * (n - d) / F.greatest(n * (n - 1), F.lit(1.0)), F.lit(0.0)))
+        least = F.greatest(F.lit(0.0), d - (n - k), F.floor(mean - 9 * deviation) - 2).cast("long")
+        most = F.least(d, k, F.ceil(mean + 9 * deviation) + 2).cast("long")
+        start = F.struct(F.lit(0.0).alias("below"), F.lit(0).cast("long").alias("value"), ways(n, d).alias("every"))
+
+        def add(s, i):
+            share = F.exp(ways(k, i.cast("double")) + ways(n - k, d - i.cast("double")) - s["every"])
+            return F.struct((s["below"] + share).alias("below"), F.when(s["below"] < p["u"], i).otherwise(s["value"]).alias("value"), s["every"].alias("every"))
+
+        found = let(F.struct(least.alias("least"), most.alias("most")), lambda r: F.aggregate(F.sequence(r["least"], F.greatest(r["least"], r["most"])), start, add))
+        return F.when(d <= 0, F.lit(0).cast("long")).when(k >= n, d.cast("long")).otherwise(found["value"])
+
+    return let(F.struct(total.cast("double").alias("n"), marked.cast("double").alias("k"), drawn.cast("double").alias("d"), u.alias("u")), of)
 
 
 def went_left(node: Column, total: Column, left: Column, x: Column) -> Column:
@@ -57,19 +66,18 @@ def went_left(node: Column, total: Column, left: Column, x: Column) -> Column:
 
     def halve(s, _):
         half = F.floor(s["size"] / 2).cast("long")
-        got = hypergeometric(s["size"], half, s["left"], uniform(node, s["begin"], s["size"], F.lit("bridge")))
-        first = x < s["begin"] + half
-        down = F.struct(
-            F.when(first, s["begin"]).otherwise(s["begin"] + half).alias("begin"),
-            F.when(first, half).otherwise(s["size"] - half).alias("size"),
-            F.when(first, got).otherwise(s["left"] - got).alias("left"),
-            F.when(first, s["sum"]).otherwise(s["sum"] + got).alias("sum"),
-        )
-        return F.when(s["size"] <= 1, s).otherwise(down)
+        drawn = F.struct(half.alias("half"), hypergeometric(s["size"], half, s["left"], uniform(node, s["begin"], s["size"], F.lit("bridge"))).alias("got"))
+
+        def down(g):
+            return F.when(
+                x < s["begin"] + g["half"], F.struct(s["begin"].alias("begin"), g["half"].alias("size"), g["got"].alias("left"), s["sum"].alias("sum"))
+            ).otherwise(F.struct((s["begin"] + g["half"]).alias("begin"), (s["size"] - g["half"]).alias("size"), (s["left"] - g["got"]).alias("left"), (s["sum"] + g["got"]).alias("sum")))
+
+        return F.when(s["size"] <= 1, s).otherwise(let(drawn, down))
 
     start = F.struct(F.lit(0).cast("long").alias("begin"), total.cast("long").alias("size"), left.cast("long").alias("left"), F.lit(0).cast("long").alias("sum"))
-    end = F.aggregate(steps, start, halve)
-    return F.when(x <= 0, F.lit(0).cast("long")).when(x >= total, left.cast("long")).otherwise(end["sum"] + F.when(x > end["begin"], end["left"]).otherwise(F.lit(0)))
+    end = let(F.aggregate(steps, start, halve), lambda e: e["sum"] + F.when(x > e["begin"], e["left"]).otherwise(F.lit(0)))
+    return F.when(x <= 0, F.lit(0).cast("long")).when(x >= total, left.cast("long")).otherwise(end)
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = PASSES) -> DataFrame:
