@@ -22,7 +22,7 @@ from docspark.llm.common import as_bytes, checkpointed, map_batches
 WIDE_WORDS, WIDE_SEEDS, WIDE_BITS = 2, (42, 43), 16
 
 #: A round of contraction follows this many pointers at most; what is left comes in the next round.
-JUMPS = 3
+JUMPS = 2
 
 
 def simhash(text: bytes, words: int = 3, seed: int = 42) -> int:
