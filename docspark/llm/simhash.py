@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm.common import as_bytes, checkpointed, map_batches
@@ -68,7 +68,7 @@ def ball_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
         raise ValueError("half the radius has to be one bit at most: a wider ball has thousands of values")
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(64)])
     variants = distinct.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
-    met = variants.groupBy("variant").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = checkpointed(variants.groupBy("variant").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     # two fingerprints at a value are the smallest and the largest; the few values with more are joined to their members again
     two = met.select(F.col("high").alias("a"), F.col("low").alias("b"))
     more = met.where("n > 2").select("low", F.explode(F.transform(flips, lambda f: f.bitwiseXOR(F.col("variant")))).alias("fp"))
@@ -130,20 +130,21 @@ def wide_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def wide_links(distinct: DataFrame, most: int = WIDE_BITS) -> DataFrame:
     """Distinct links (a, b) between ids of `distinct` (id, a, b) at most `most` bits apart.
 
-    Each of the four 32-bit lanes emits its ball of half the radius, 33 values; who meets at a lane's value is compared with the smallest there,
-    and with the one before in order, so that a group costs as many comparisons as it has members, not their square.
+    Each of the four 32-bit lanes emits its ball of half the radius, 33 values, of which only the smallest id and the count are gathered. Values
+    that several meet at find their members again by the lanes in their own ball; each is compared with the smallest there, so that a group
+    costs as many comparisons as it has members, not their square.
     """
     low = F.lit(0xFFFFFFFF).cast("long")
-    lanes = F.array(*[F.struct(F.lit(k).alias("lane"), lane.alias("value")) for k, lane in enumerate([F.col("a").bitwiseAND(low), F.shiftrightunsigned("a", 32), F.col("b").bitwiseAND(low), F.shiftrightunsigned("b", 32)])])
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k).cast("long") for k in range(32)])
-    ball = distinct.select("id", "a", "b", F.explode(lanes).alias("l")).select("id", "a", "b", F.col("l.lane").alias("lane"), F.col("l.value").alias("value"), F.explode(flips).alias("flip"))
-    ball = ball.select("id", "a", "b", (F.col("value").bitwiseXOR(F.col("flip")) * 4 + F.col("lane")).alias("variant"))
-    by = Window.partitionBy("variant").orderBy("a", "b", "id")
-    own = F.struct("id", "a", "b")
-    met = ball.select("id", "a", "b", F.first(own).over(by).alias("least"), F.lag(own).over(by).alias("before")).where("before is not null")
-    pairs = met.select("id", "a", "b", F.explode(F.array("least", "before")).alias("o"))
-    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("o.a"))) + F.bit_count(F.col("b").bitwiseXOR(F.col("o.b")))
-    return pairs.where(apart <= most).select(F.greatest("id", "o.id").alias("a"), F.least("id", "o.id").alias("b")).where("a != b").distinct()
+    values = F.array(F.col("a").bitwiseAND(low), F.shiftrightunsigned("a", 32), F.col("b").bitwiseAND(low), F.shiftrightunsigned("b", 32))
+    lanes = distinct.select("id", F.posexplode(values).alias("lane", "value")).select("id", (F.col("value") * 4 + F.col("lane")).alias("key"))
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(4 << k).cast("long") for k in range(32)])
+    ball = lanes.select("id", F.explode(F.transform(flips, lambda f: f.bitwiseXOR(F.col("key")))).alias("variant"))
+    met = checkpointed(ball.groupBy("variant").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("variant", "low"))
+    own = met.select("low", F.explode(F.transform(flips, lambda f: f.bitwiseXOR(F.col("variant")))).alias("key"))
+    pairs = own.join(lanes, "key").where("id != low").select("id", "low").distinct()
+    first = distinct.select(F.col("id").alias("low"), F.col("a").alias("a0"), F.col("b").alias("b0"))
+    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("a0"))) + F.bit_count(F.col("b").bitwiseXOR(F.col("b0")))
+    return pairs.join(distinct, "id").join(first, "low").where(apart <= most).select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
 
 
 def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
