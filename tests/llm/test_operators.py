@@ -182,6 +182,39 @@ def shingles(t):
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
 
 
+def altered(r, words, kind, share):
+    """The words with about `share` of their length cut, appended, replaced as a block, or replaced here and there."""
+    fresh, n = lambda k: [f"new{r.randint(0, 10**9)}" for _ in range(k)], len(words)
+    k = max(1, round(n * share))
+    if kind == "cut":
+        return words[: n - k]
+    if kind == "append":
+        return words + fresh(k)
+    if kind == "block":
+        at = r.randint(0, n - k)
+        return words[:at] + fresh(k) + words[at + k :]
+    out = words[:]
+    for at in r.sample(range(n), max(1, k // 5)):
+        out[at] = fresh(1)[0]
+    return out
+
+
+def test_near_duplicates_of_all_kinds_of_edits_are_found_and_no_others(spark):
+    r, rows, pairs = random.Random(7), [], {}
+    jaccard = lambda a, b: len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+    for k in range(240):
+        kind, words = ("cut", "append", "block", "scattered")[k % 4], text_of(1000 + k, r.randint(80, 500)).split()
+        one, two = " ".join(words), " ".join(altered(r, words, kind, r.uniform(0.02, 0.22)))
+        rows += [(2 * k, one), (2 * k + 1, two)]
+        pairs[k] = kind, jaccard(one, two)
+    kept = {x.doc_id for x in simhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(2 * k in kept for k in pairs)
+    for kind in ("cut", "append", "block", "scattered"):
+        alike = [k for k, (x, j) in pairs.items() if x == kind and 0.8 <= j <= 0.9]
+        assert len(alike) >= 10 and sum(2 * k + 1 not in kept for k in alike) >= 0.98 * len(alike), kind
+    assert all(2 * k + 1 in kept for k, (_, j) in pairs.items() if j < 0.8)
+
+
 def test_fingerprints(odd, none):
     got = minhash.fingerprint_documents(odd).collect()
     rows = sorted(((i, t or "") for i, t, _ in ODD), key=lambda r: (r[0], r[1].encode()))
