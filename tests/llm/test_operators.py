@@ -215,6 +215,22 @@ def test_near_duplicates_of_all_kinds_of_edits_are_found_and_no_others(spark):
     assert all(2 * k + 1 in kept for k, (_, j) in pairs.items() if j < 0.8)
 
 
+@pytest.mark.parametrize("small", [2, 8, 100])
+def test_near_copies_far_from_the_smallest_id_are_linked(spark, monkeypatch, small):
+    """One value holds 40 texts that have nothing else in common, among them pairs of near copies, none of which has the smallest id."""
+    monkeypatch.setattr(simhash, "SMALL", small)
+    texts = [text_of(2000 + k, 120) for k in range(40)]
+    for a, b in ((5, 30), (6, 31), (6, 32), (39, 1)):
+        texts[b] = texts[a] + " and more"
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    marked = simhash.shingle_signatures(rows, "id").withColumn("bands", F.transform("bands", lambda x, k: F.when(k == 0, F.lit(7).cast("long")).otherwise(x)))
+    links = simhash.similar_links(marked.select(F.col("doc_id").alias("id"), "size", "bands"), rows).collect()
+    expected = roots(range(40), [(30, 5), (31, 6), (32, 6), (39, 1)])
+    found = roots(range(40), [(x.a, x.b) for x in links])
+    same = lambda of: {(a, b) for a in range(40) for b in range(a) if of[a] == of[b]}
+    assert same(found) == same(expected)
+
+
 def test_fingerprints(odd, none):
     got = minhash.fingerprint_documents(odd).collect()
     rows = sorted(((i, t or "") for i, t, _ in ODD), key=lambda r: (r[0], r[1].encode()))
