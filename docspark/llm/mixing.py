@@ -1,10 +1,10 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Every source gets a target in words. Its documents are dealt by hash into blocks, at most BLOCKS a source; a mix takes whole blocks, in a hashed
-order anew for each pass over the source, and a share of the last one. Which shard gets which blocks comes from a multivariate-hypergeometric
+order anew for each pass over the source, and of the last one whole documents in hashed order, the last of them cut. Which shard gets which blocks comes from a multivariate-hypergeometric
 splitting tree: all taken blocks are partitioned exactly in two, as if each half's blocks were drawn without replacement, and so on down to the
-shards. No step needs the sources together: each asks one hashed bridge, for the whole line of blocks, how many before its own went left. Within a
-shard, rows are put in hashed order.
+shards. No step needs the sources together: each asks one hashed bridge, for the whole line of blocks, how many before its own went left. The drawn
+texts are laid out by shard and, within a shard, in hashed order.
 """
 
 from __future__ import annotations
@@ -150,8 +150,8 @@ def plan_mix(sized: DataFrame, seed: int = 0, levels: int = LEVELS, blocks: int
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, levels: int = LEVELS, blocks: int = BLOCKS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """doc_id, size, source_size, target, draws: one row for each input row, without its text.
 
-    draws: (pass, shard, order, words) of each time the mix takes it, words being less than size where only a share of its block is
-    wanted. Null texts have size 0 and are never drawn; null sources are one source, the last. Repeated rows are dealt as others, together.
+    draws: (pass, shard, order, words) of each time the mix takes it. Where only a share of a block is wanted, whole documents are taken in a hashed
+    order; words is less than size for the one at which the share ends, one a source (and its repetitions, all cut alike). Null texts have size 0 and are never drawn; null sources are one source, the last. Repeated rows are dealt as others, together.
     Reruns agree, whatever the partitioning: all choices are hashes of ids, sources and the seed. Other columns are ignored; an empty
     table gives no rows. A source's documents are never gathered; its blocks are.
     """
@@ -159,16 +159,23 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     sized = df.select(df[id_col].alias("doc_id"), key.alias("key"), size_of(df[text_col].cast("string")).alias("size"))
     sized = checkpointed(sized.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed), F.lit("block")), F.lit(blocks))))
     plan = plan_mix(sized, seed, levels, blocks, weights)
-    words = lambda d: F.floor(F.col("size") * d["share"] + F.when(d["share"] < 1, uniform("doc_id", d["pass"], F.lit(seed))).otherwise(F.lit(0.5))).cast("long")
-    taken = F.transform("draws", lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), d["order"].alias("order"), F.least(F.col("size"), words(d)).alias("words")))
+    block = Window.partitionBy("key", "block")
+    # repeated rows are peers: they have the same words before them and share what is left
+    upto = F.sum("size").over(block.orderBy(F.xxhash64("doc_id", F.lit(seed), F.lit("part")), "doc_id", "size").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    copies = F.count(F.lit(1)).over(Window.partitionBy("key", "block", "doc_id", "size"))
+    placed = sized.join(plan, ["key", "block"]).withColumns({"upto": upto, "copies": copies, "whole": F.sum("size").over(block)})
+    wanted = lambda d: F.floor(F.col("whole") * d["share"] + 0.5) - (F.col("upto") - F.col("copies") * F.col("size"))
+    words = lambda d: F.when(d["share"] < 1, F.least(F.col("size"), F.floor(wanted(d) / F.col("copies")))).otherwise(F.col("size")).cast("long")
+    taken = F.transform("draws", lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), d["order"].alias("order"), words(d).alias("words")))
     taken = F.filter(taken, lambda d: d["words"] > 0)
     empty = F.array().cast("array<struct<pass:int,shard:bigint,order:int,words:bigint>>")
-    return sized.join(plan, ["key", "block"]).select("doc_id", "size", "source_size", "target", F.coalesce(taken, empty).alias("draws"))
+    return placed.select("doc_id", "size", "source_size", "target", F.coalesce(taken, empty).alias("draws"))
 
 
 def taken_text(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """`df` with a row for each draw of `mixed`, its text cut after the words drawn; chars_col, if there, is counted again.
 
+    Rows are in the order of their shards and, within a shard, of a hash, so that what is written is laid out like that.
     A null id is matched with null ids. Where ids repeat, each row is drawn as its own copy of `mixed`'s rows for the id, once.
     """
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(" null"))
@@ -177,7 +184,9 @@ def taken_text(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col
     own = drawn.withColumnRenamed("size", "draw size")
     rows = sized.join(own, ["draw key", "draw size"]).withColumn("draw", F.explode("draws"))
     cut = F.when(F.col("draw.words") >= F.col("draw size"), F.col(text_col)).otherwise(first_words(F.col(text_col), F.col("draw.words")))
-    out = rows.withColumn(text_col, cut).select(*df.columns)
+    order = [F.col("draw.shard").alias("draw shard"), F.xxhash64("draw key", "draw.pass", "draw.order").alias("draw place")]
+    laid = rows.withColumn(text_col, cut).select(*df.columns, *order).repartitionByRange("draw shard", "draw place").sortWithinPartitions("draw shard", "draw place")
+    out = laid.select(*df.columns)
     return out.withColumn(chars_col, F.length(text_col).cast(df.schema[chars_col].dataType)) if chars_col in df.columns else out
 
 

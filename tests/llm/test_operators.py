@@ -301,6 +301,21 @@ def test_mix_meets_its_targets_and_shards_partition_the_blocks(spark):
     assert set(per_shard) == {0, 1, 2, 3} and max(per_shard.values()) - min(per_shard.values()) <= 3
 
 
+def test_a_source_has_one_cut_document_at_most_and_shards_decide_the_layout(spark):
+    r = random.Random(8)
+    rows = spark.createDataFrame([(k, " ".join(["w"] * r.randint(5, 60)), f"s{k % 4}") for k in range(1200)], "doc_id long, text string, source string")
+    mixed = mixing.mix_sources(rows, blocks=8)
+    got = mixed.join(rows.select("doc_id", "source"), "doc_id").collect()
+    cut = Counter(x.source for x in got for d in x.draws if d.words < x["size"])
+    assert max(cut.values(), default=0) <= 1
+    for s in ("s0", "s1", "s2", "s3"):
+        assert abs(sum(d.words for x in got if x.source == s for d in x.draws) - next(x.target for x in got if x.source == s)) <= 1
+    out = mixing.taken_text(rows, mixed)
+    place = F.xxhash64(F.col("doc_id").cast("string"), "d.pass", "d.order")
+    draws = mixed.select("doc_id", F.explode("draws").alias("d")).select("doc_id", "d.shard", place.alias("place")).collect()
+    assert [x.doc_id for x in out.collect()] == [x.doc_id for x in sorted(draws, key=lambda x: (x.shard, x.place))]
+
+
 def test_hypergeometric_draws(spark):
     u = spark.range(4000).select(((F.col("id") + 0.5) / 4000).alias("u"))
     drawn = [r.x for r in u.select(mixing.hypergeometric(F.lit(60), F.lit(25), F.lit(20), F.col("u")).alias("x")).collect()]
