@@ -14,14 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import as_bytes, checkpointed, in_slices, map_batches
-
-#: For near duplicates in place of equal fingerprints: texts whose sets of five-word shingles have a Jaccard similarity of ALIKE or more, as a fraction.
-SHINGLE_WORDS, ALIKE = 5, (4, 5)
-#: Candidates share one of BANDS values, each of BAND_ROWS MinHash values: two texts 0.8 alike share none with probability (1 - 0.8^6)^24 = 7e-4.
-BANDS, BAND_ROWS = 24, 6
-#: Texts that share a value are compared pair by pair up to SMALL of them; larger groups are split by further bands, SPLITS times.
-SMALL, SPLITS = 32, 2
+from docspark.llm.common import as_bytes, checkpointed, map_batches
 
 #: A round of contraction follows this many pointers at most; what is left comes in the next round.
 JUMPS = 2
@@ -68,6 +61,8 @@ def ball_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     """
     if radius not in (1, 2):
         raise ValueError("half the radius has to be one bit at most: a wider ball has thousands of values")
+    # dealt out anew: the few partitions that hold the fingerprints are too few for 65 times as many rows
+    distinct = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(64)])
     variants = distinct.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
     met = checkpointed(variants.groupBy("variant").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count(F.lit(1)).alias("n")).where("n > 1"))
@@ -114,130 +109,3 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     linked = whole.groupBy("root").agg(F.min("first").alias("component_id"))
     named = whole.select("fp", "root").join(linked, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def shingle_hashes(text: bytes) -> np.ndarray:
-    """Hashes of the text's distinct five-word shingles, sorted; a shorter text is one shingle."""
-    import xxhash
-
-    parts = text.lower().split()
-    joined, digest = b" ".join(parts), xxhash.xxh64_intdigest
-    if len(parts) <= SHINGLE_WORDS:
-        return np.array([digest(joined)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    begins = [0, *(ends[: -SHINGLE_WORDS] + 1).tolist()]
-    return np.unique(np.array([digest(joined[a:b]) for a, b in zip(begins, ends[SHINGLE_WORDS - 1 :].tolist())], np.uint64))
-
-
-def band_values(sets: list[np.ndarray]) -> np.ndarray:
-    """(texts, BANDS): a value for each band of MinHash values, none of the sets being empty."""
-    rng = np.random.default_rng(42)
-    salts, odd = rng.integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64)
-    every, begins = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
-    out = np.empty((len(sets), BANDS), np.uint64)
-    for band in range(BANDS):
-        value = np.full(len(sets), band + 1, np.uint64)
-        for k in range(band * BAND_ROWS, (band + 1) * BAND_ROWS):
-            value = (value ^ np.minimum.reduceat((every ^ salts[k]) * (odd[k] | np.uint64(1)), begins)) * np.uint64(0x9E3779B97F4A7C15)
-            value ^= value >> np.uint64(29)
-        out[:, band] = value
-    return out
-
-
-def shingle_signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, high, low (a digest of the set of shingles), size (its number of shingles), bands: one row for each input row."""
-    import xxhash
-
-    ids = df.schema[id_col].dataType.simpleString()
-
-    def compute(batches):
-        for batch in in_slices(batches, 200):
-            sets = [shingle_hashes(t) for t in as_bytes(batch.column(1))]
-            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
-            bands = pa.FixedSizeListArray.from_arrays(pa.array(band_values(sets).view(np.int64).reshape(-1)), BANDS).cast(pa.list_(pa.int64()))
-            columns = [batch.column(0), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(s) for s in sets], pa.int64()), bands]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "high", "low", "size", "bands"])
-
-    rows = df.select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text"))
-    return map_batches(rows, compute, f"doc_id {ids}, high bigint, low bigint, size bigint, bands array<bigint>")
-
-
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of `pairs` (a, b) whose texts in `texts` (id, text) are ALIKE or more, by all their shingles."""
-
-    def compute(batches):
-        for batch in in_slices(batches, 200):
-            sets = [shingle_hashes(t).view(np.int64) for t in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
-
-    pairs = checkpointed(pairs.distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    # texts pass by a table of the wanted ids without being sorted, and Python has a stage of its own: together they need too much memory
-    passed = checkpointed(texts.join(wanted.hint("shuffle_hash"), "id", "left_semi").select("id", "text"))
-    sets = checkpointed(map_batches(passed, compute, "id bigint, shingles array<bigint>"))
-    one, two = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"of {c}")) for c in "ab")
-    common = F.size(F.array_intersect("of a", "of b"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", common.alias("common"), (F.size("of a") + F.size("of b") - common).alias("all"))
-    return checkpointed(both.where(F.col("common") * ALIKE[1] >= F.col("all") * ALIKE[0]).select("a", "b").distinct())
-
-
-def similar_links(distinct: DataFrame, texts: DataFrame) -> DataFrame:
-    """Distinct links (a, b) that connect the ids of `distinct` (id, size, bands) whose texts are ALIKE or more; every link is verified.
-
-    Of a band value that at most SMALL share, all pairs are candidates. In a larger group all are compared with the smallest id first. What that
-    and the other bands leave in one component needs no more comparisons; all that is outside the largest component is compared with
-    every member of another component, where at most SMALL are outside. Groups with more outside, which share little more than this value, are split by the
-    bands that follow, and the same is done in each part; after SPLITS of that all pairs between components are compared.
-    """
-    hashed = lambda links: links.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
-    fits = lambda x, y: (x * ALIKE[1] >= y * ALIKE[0]) & (y * ALIKE[1] >= x * ALIKE[0])  # noqa: E731  else the sizes alone rule it out
-    bands = distinct.select("id", "size", F.posexplode("bands").alias("band", "value"))
-    members, links = bands.select("id", "size", "band", F.col("value").alias("key")), None
-    for level in range(SPLITS + 1):
-        shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "size")).alias("first")).where("n > 1")
-        members = checkpointed(members.join(shared, "key"))
-        few, large = members.where(F.col("n") <= SMALL), members.where(F.col("n") > SMALL)
-        other = few.select("key", F.col("id").alias("b"), F.col("size").alias("its"))
-        near = few.join(other, "key").where((F.col("id") > F.col("b")) & fits(F.col("size"), F.col("its"))).select(F.col("id").alias("a"), "b")
-        star = large.where((F.col("id") != F.col("first.id")) & fits(F.col("size"), F.col("first.size"))).select(F.col("id").alias("a"), F.col("first.id").alias("b"))
-        found = verified(near.unionByName(star), texts)
-        links = found if links is None else links.unionByName(found)
-        if large.isEmpty():
-            break
-        if level == 0:  # found once: what later links connect is compared again at most
-            known = components(hashed(links))
-        placed = large.withColumn("node", F.xxhash64("id")).join(known, "node", "left").select("id", "size", "band", "key", F.coalesce("root", "node").alias("root"))
-        parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-        most = parts.groupBy("key").agg(F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("n")).select("key", F.col("most.root").alias("main"), (F.col("n") - F.col("most.c")).alias("outside"))
-        left = checkpointed(placed.join(most.where("outside > 0"), "key"))
-        compared = left if level == SPLITS else left.where(F.col("outside") <= SMALL)
-        other = compared.select("key", "main", F.col("id").alias("b"), F.col("size").alias("its"), F.col("root").alias("other"))
-        across = compared.where("root != main").drop("main").join(other, "key").where("root != other").where((F.col("other") == F.col("main")) | (F.col("id") > F.col("b"))).where(fits(F.col("size"), F.col("its")))
-        links = links.unionByName(verified(across.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")), texts))
-        many = left.where(F.col("outside") > SMALL)
-        if level == SPLITS or many.isEmpty():
-            break
-        following = bands.select("id", F.col("band").alias("next"), "value")
-        members = many.join(following, "id").where("next > band").select("id", "size", F.col("next").alias("band"), F.xxhash64("key", "next", "value").alias("key"))
-    return links.distinct()
-
-
-def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `df`, whole, without near duplicates: of each group the row with the smallest id stays, once.
-
-    Texts are linked if 0.8 or more alike in five-word shingles; see similar_links. A null id counts as the smallest. Texts without words are copies of
-    one another. Texts with the same shingles meet by an aggregate before anything is linked.
-    """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    texts = df.select(key.alias("id"), F.col(text_col).cast("string").alias("text"))
-    marked = checkpointed(shingle_signatures(texts, "id"))
-    smallest = marked.groupBy("high", "low").agg(F.min(F.struct("doc_id", "size", "bands")).alias("first"))
-    smallest = checkpointed(smallest.select(F.col("first.doc_id").alias("id"), "first.size", "first.bands"))
-    # nodes are compared by a hash of the id, a random order, in which few rounds are needed
-    links = similar_links(smallest, texts)
-    hashed = links.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
-    roots = components(hashed).withColumnRenamed("node", "hash")
-    groups = smallest.select("id", F.xxhash64("id").alias("hash")).join(roots, "hash", "left").select("id", F.coalesce("root", "hash").alias("root"))
-    kept = groups.groupBy("root").agg(F.min("id").alias("kept id")).select("kept id")
-    rows = df.withColumn("kept id", key).join(kept, "kept id", "left_semi")
-    return rows.dropDuplicates(["kept id"]).select(*df.columns)

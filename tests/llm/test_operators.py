@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from docspark.llm import attention, chat, licenses, lm, media, minhash, mixing, packing, quality, simhash, token_counts
+from docspark.llm import attention, chat, licenses, lm, media, minhash, mixing, near_copies, packing, quality, simhash, token_counts
 from docspark.llm.subwords import encode_words, memo, tokenizer, word_vocabulary
 
 WORDS = "the of and sea ship wind harbour stone river night lamp road garden winter song letter".split()
@@ -172,9 +172,10 @@ def test_one_of_each_group_stays(spark, odd):
     near = words[:]
     near[100] = "changed"
     rows = spark.createDataFrame([(5, " ".join(words), "a"), (3, " ".join(near), "b"), (4, text_of(51, 300), "c"), (4, text_of(51, 300), "d"), (9, None, "e"), (None, "", "f")], "doc_id long, text string, tag string")
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in simhash.without_near_duplicates(rows).collect()) == [(False, 3), (False, 4), (True, 0)]
-    kept = simhash.without_near_duplicates(odd)
-    assert kept.columns == odd.columns and kept.count() == len({t or "" for _, t, _ in ODD if (t or "").strip()} - {BASE[1] + " extra", BASE[2]}) + 1
+    got = near_copies.without_near_duplicates(rows).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == [(False, 3), (False, 4), (True, 0)]
+    kept = near_copies.without_near_duplicates(odd)
+    assert kept.columns == odd.columns and kept.count() == len({t or "" for _, t, _ in ODD if (t or "").strip()} - {BASE[1] + " extra"}) + 1
 
 
 def shingles(t):
@@ -207,7 +208,7 @@ def test_near_duplicates_of_all_kinds_of_edits_are_found_and_no_others(spark):
         one, two = " ".join(words), " ".join(altered(r, words, kind, r.uniform(0.02, 0.22)))
         rows += [(2 * k, one), (2 * k + 1, two)]
         pairs[k] = kind, jaccard(one, two)
-    kept = {x.doc_id for x in simhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = {x.doc_id for x in near_copies.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(2 * k in kept for k in pairs)
     for kind in ("cut", "append", "block", "scattered"):
         alike = [k for k, (x, j) in pairs.items() if x == kind and 0.8 <= j <= 0.9]
@@ -215,22 +216,47 @@ def test_near_duplicates_of_all_kinds_of_edits_are_found_and_no_others(spark):
     assert all(2 * k + 1 in kept for k, (_, j) in pairs.items() if j < 0.8)
 
 
-@pytest.mark.parametrize("small", [2, 8, 100])
-def test_near_copies_far_from_the_smallest_id_are_linked(spark, monkeypatch, small):
-    """One value holds 40 texts that have nothing else in common, among them pairs of near copies, none of which has the smallest id."""
-    monkeypatch.setattr(simhash, "SMALL", small)
+def test_rows_are_told_apart_by_more_than_their_id(spark):
+    texts = [text_of(3000 + k, 80) for k in range(4)]
+    rows = [(None, texts[0], "x"), (None, texts[1], "x"), (7, texts[2], "x"), (7, texts[3], "x"), (8, texts[3], "y"), (9, texts[0], "z"), (7, texts[3], "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(3)
+    got = [tuple(r) for r in near_copies.without_near_duplicates(df).collect()]
+    assert sorted(got, key=str) == sorted(rows[:4], key=str)
+    assert near_copies.without_near_duplicates(df.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("pairs", [0, 50, 10**9])
+def test_near_copies_that_no_centre_joins_are_linked(spark, monkeypatch, pairs):
+    """One value holds 40 texts that have nothing else in common, among them pairs of near copies, none of which is the group's centre."""
+    monkeypatch.setattr(near_copies, "GROUP_PAIRS", pairs)
     texts = [text_of(2000 + k, 120) for k in range(40)]
     for a, b in ((5, 30), (6, 31), (6, 32), (39, 1)):
-        texts[b] = texts[a] + " and more"
-    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    marked = simhash.shingle_signatures(rows, "id").withColumn("bands", F.transform("bands", lambda x, k: F.when(k == 0, F.lit(7).cast("long")).otherwise(x)))
-    links = simhash.similar_links(marked.select(F.col("doc_id").alias("id"), "size", "bands"), rows).collect()
+        texts[b] = texts[a] + f" and more {b}"
+    rows = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "id long, row long, text string")
+    marked = near_copies.signatures(rows).withColumn("bands", F.transform("bands", lambda x, k: F.when(k == 0, F.lit(7).cast("long")).otherwise(x)))
+    number = {r.node: r.id for r in marked.collect()}
+    links = near_copies.similar_links(marked.select("node", "row", "size", "bands"), rows).collect()
+    found = roots(range(40), [(number[x.a], number[x.b]) for x in links])
     expected = roots(range(40), [(30, 5), (31, 6), (32, 6), (39, 1)])
-    found = roots(range(40), [(x.a, x.b) for x in links])
     same = lambda of: {(a, b) for a in range(40) for b in range(a) if of[a] == of[b]}
     assert same(found) == same(expected)
 
 
+def test_near_copies_against_all_pairs(spark):
+    """Groups of copies of copies, so that links chain: components are those of all pairs 0.8 alike."""
+    r, texts = random.Random(11), []
+    for k in range(12):
+        own = [text_of(4000 + k, r.randint(60, 200)).split()]
+        for _ in range(12):
+            own.append(altered(r, r.choice(own), r.choice(("cut", "append", "block", "scattered")), r.uniform(0.02, 0.2)))
+        texts += [" ".join(w) for w in own]
+    sets = [shingles(t) for t in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    expected = set(roots(range(len(texts)), links).values())
+    got = {x.doc_id for x in near_copies.without_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert expected <= got and len(got - expected) <= 1
+
+
 def test_fingerprints(odd, none):
     got = minhash.fingerprint_documents(odd).collect()
     rows = sorted(((i, t or "") for i, t, _ in ODD), key=lambda r: (r[0], r[1].encode()))
