@@ -1,22 +1,28 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Every source gets a target in words. Its documents are dealt by hash into blocks, at most BLOCKS a source; a mix takes whole blocks, in a hashed
-order anew for each pass over the source, and of the last one whole documents in hashed order, the last of them cut. Which shard gets which blocks comes from a multivariate-hypergeometric
-splitting tree: all taken blocks are partitioned exactly in two, as if each half's blocks were drawn without replacement, and so on down to the
-shards. No step needs the sources together: each asks one hashed bridge, for the whole line of blocks, how many before its own went left. The drawn
-texts are laid out by shard and, within a shard, in hashed order.
+Every source gets a target in words. Its documents are dealt by hash into blocks, about BLOCK_WORDS each. Which output shard draws from which blocks comes
+from a multivariate-hypergeometric splitting tree: all blocks are partitioned exactly in two, as if each half's were drawn without replacement from
+all, and so on down to the shards, so each shard has an exact quota of blocks of each source. A shard draws its quota from the source's permuted
+blocks, disjoint from those of other shards, and takes as many words of them as the source's target asks for: whole passes over its blocks, then whole blocks
+in hashed order, and of the last one whole documents in hashed order, the last of them cut. Rows are laid out by shard and shuffled within it by hash.
+No step holds a source's documents or all sources together: the tree asks one hashed bridge, for the whole line of blocks, how many before a source's
+own went left; sums over sources run over ranges.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.llm.common import checkpointed
 
-#: Blocks of a source, at most; levels of the tree, that is log2 of the shards; passes over a source, at most.
-BLOCKS, LEVELS, PASSES = 256, 3, 3
+#: Words of a block; blocks of a source, at least; words of a shard; passes over a source, at most.
+BLOCK_WORDS, LEAST_BLOCKS, SHARD_WORDS, PASSES = 1 << 20, 32, 1 << 24, 3
 WEIGHTS = (1, 2, 3)
+#: Tables of so many rows at most are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def uniform(*parts) -> Column:
@@ -80,26 +86,39 @@ def went_left(node: Column, total: Column, left: Column, x: Column) -> Column:
     return F.when(x <= 0, F.lit(0).cast("long")).when(x >= total, left.cast("long")).otherwise(end)
 
 
+def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """`df` with the sums of each of `sums` over all rows before its own, by `order`: rows are dealt into ranges, of which only the sums reach the driver."""
+    spark = df.sparkSession
+    parts = checkpointed(df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("range", F.spark_partition_id()))
+    totals = sorted(tuple(r) for r in parts.groupBy("range").agg(*[F.sum(c).cast("double").alias(n) for n, c in sums.items()]).collect())
+    upto, rows = [0.0] * len(sums), []
+    for k, *own in totals:
+        rows.append((k, *upto))
+        upto = [a + b for a, b in zip(upto, own)]
+    offsets = spark.createDataFrame(rows, ", ".join(["range int", *[f"`{n} before` double" for n in sums]]))
+    by = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = parts.join(F.broadcast(offsets), "range")  # a row for each range
+    return out.select(*df.columns, *[(F.coalesce(F.sum(c).over(by).cast("double"), F.lit(0.0)) + F.col(f"{n} before")).alias(n) for n, c in sums.items()])
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = PASSES) -> DataFrame:
     """(source, source_size, target) of `sizes` (source, source_size): one row a source.
 
     Sources by code point, null last, weigh weights[0], weights[1], ..., repeating, and share the total; a target stops at `most` times its
     source's size and the excess is shared again. The level at which this ends is found from running sums over sources, sorted by the
-    level at which each one is full. Works on a row a source, not on documents.
+    level at which each one is full.
     """
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(place - 1, F.lit(len(weights))) + 1).cast("int"))
-    full = sizes.withColumn("weight", weight).withColumn("most", F.col("source_size") * float(most))
-    by = Window.orderBy((F.col("most") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    onwards = by.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    total = F.sum("source_size").over(Window.partitionBy())
-    level = (total - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(onwards)
-    found = full.withColumn("level", level).withColumn("level", F.when(F.col("level") * F.col("weight") <= F.col("most"), F.col("level")))
-    level = F.coalesce(F.min("level").over(Window.partitionBy()), F.lit(0.0))
-    # the first source that isn't full has the level of all that aren't
-    first = F.first("level", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return found.select("source", "source_size", F.least("most", F.coalesce(first, level) * F.col("weight")).alias("target"))
+    name = F.col("source").asc_nulls_last()
+    placed = prefix_sums(sizes.select("source", "source_size"), [name], {"place": F.lit(1)})
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("place").cast("long"), F.lit(len(weights))) + 1).cast("int"))
+    full = placed.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * float(most)).alias("most")).withColumn("full", F.col("most") / F.col("weight"))
+    both = checkpointed(prefix_sums(full, [F.col("full").asc(), name], {"held": F.col("most"), "weights": F.col("weight")}))
+    whole = both.agg(F.sum("source_size").alias("all"), F.sum("weight").alias("every"))
+    # the level of all that aren't full is that of the first of them
+    level = (F.col("all") - F.col("held")) / (F.col("every") - F.col("weights"))
+    found = both.crossJoin(F.broadcast(whole)).withColumn("level", level).where(F.col("level") <= F.col("full")).agg(F.min(F.struct("full", "level"))["level"].alias("level"))
+    out = both.crossJoin(F.broadcast(found))  # one row
+    return out.select("source", "source_size", F.least("most", F.coalesce(F.col("level") * F.col("weight"), F.col("most"))).alias("target"))
 
 
 def size_of(text: Column) -> Column:
@@ -107,86 +126,127 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def plan_mix(sized: DataFrame, seed: int = 0, levels: int = LEVELS, blocks: int = BLOCKS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """(key, block, source_size, target, draws) of `sized` (key, block, size): draws are (pass, shard, order, share), share 1 or, once, less.
+def source_key(source: Column) -> Column:
+    """Never null, so that joins keep null sources."""
+    return F.when(source.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), source.cast("string")))
 
-    A row for each block of each source: at most `blocks` a source, whatever the corpus. Targets are met to the word but for rounding.
-    """
-    per_block = checkpointed(sized.groupBy("key", "block").agg(F.sum("size").alias("words")))
-    sizes = per_block.groupBy("key").agg(F.sum("words").alias("source_size"))
-    source = F.when(F.col("key").startswith("1"), F.expr("substring(key, 2)"))
-    targets = source_targets(sizes.select(source.alias("source"), "source_size", "key"), weights).select(
-        F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), "source")).alias("key"), "source_size", "target"
-    )
-    passes = per_block.where("words > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(PASSES - 1)))).join(targets, "key")
-    by = Window.partitionBy("key").orderBy("pass", F.xxhash64("key", "block", "pass", F.lit(seed)), "block")
-    drawn = passes.withColumn("before", F.coalesce(F.sum("words").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    drawn = drawn.withColumn("share", F.least(F.lit(1.0), (F.col("target") - F.col("before")) / F.col("words"))).where("share > 1e-12")
-    drawn = checkpointed(drawn.withColumn("slot", F.row_number().over(by) - 1))  # blocks in the order in which they are drawn
-    # the tree: for each source and node, the source's part [low, high) of the node's line of `total` blocks
-    quota = drawn.groupBy("key").agg(F.count(F.lit(1)).alias("quota"))
-    line = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    node = quota.select("key", F.coalesce(F.sum("quota").over(line), F.lit(0)).alias("low"), "quota", F.sum("quota").over(Window.partitionBy()).alias("total"), F.lit(1).cast("long").alias("node"))
-    node = node.select("key", "low", (F.col("low") + F.col("quota")).alias("high"), "total", "node")
+
+def split_blocks(quota: DataFrame, levels: int, seed: int = 0) -> DataFrame:
+    """(key, shard, before, n): how many of the blocks of each source `quota` (key, quota) each of 2**levels shards draws, and how many the shards before it draw."""
+    line = prefix_sums(quota, [F.col("key")], {"low": F.col("quota")})
+    total = line.agg(F.sum("quota").alias("total"))
+    node = line.crossJoin(F.broadcast(total)).select("key", F.col("low").cast("long").alias("low"), (F.col("low") + F.col("quota")).cast("long").alias("high"), "total", F.lit(1).cast("long").alias("node"))
     for _ in range(levels):
         left = F.floor((F.col("total") + F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(2))) / 2).cast("long")
-        halves = node.select("key", "low", "high", "total", "node", left.alias("left")).select(
-            "*", went_left(F.col("node") + F.lit(seed), F.col("total"), F.col("left"), F.col("low")).alias("a"), went_left(F.col("node") + F.lit(seed), F.col("total"), F.col("left"), F.col("high")).alias("b")
-        )
+        went = lambda x: went_left(F.col("node") + F.lit(seed), F.col("total"), F.col("left"), F.col(x))
+        halves = node.withColumn("left", left).select("*", went("low").alias("a"), went("high").alias("b"))
         one = F.struct(F.col("a").alias("low"), F.col("b").alias("high"), F.col("left").alias("total"), (F.col("node") * 2).alias("node"))
         two = F.struct((F.col("low") - F.col("a")).alias("low"), (F.col("high") - F.col("b")).alias("high"), (F.col("total") - F.col("left")).alias("total"), (F.col("node") * 2 + 1).alias("node"))
         node = checkpointed(halves.select("key", F.explode(F.array(one, two)).alias("n")).select("key", "n.low", "n.high", "n.total", "n.node"))
-    shards = node.select("key", (F.col("node") - (1 << levels)).alias("shard"), (F.col("high") - F.col("low")).alias("n"))
-    running = Window.partitionBy("key").orderBy("shard")
-    shards = shards.withColumn("upto", F.sum("n").over(running)).where("n > 0").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("upto", "shard"))).alias("shards"))
-    # blocks are permuted once more before they are dealt out, so that a shard doesn't get one pass only
-    mixed = Window.partitionBy("key").orderBy(F.xxhash64("key", "slot", F.lit(seed), F.lit("deal")), "slot")
-    dealt = drawn.withColumn("turn", F.row_number().over(mixed)).join(shards, "key")
-    shard = F.filter("shards", lambda s: s["upto"] >= F.col("turn"))[0]["shard"]
-    draws = dealt.groupBy("key", "block").agg(F.array_sort(F.collect_list(F.struct("pass", shard.alias("shard"), F.col("turn").alias("order"), "share"))).alias("draws"))
-    return per_block.select("key", "block").join(targets, "key").join(draws, ["key", "block"], "left")
-
-
-def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, levels: int = LEVELS, blocks: int = BLOCKS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    shards = node.select("key", (F.col("node") - (1 << levels)).alias("shard"), (F.col("high") - F.col("low")).alias("n")).where("n > 0")
+    running = Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return shards.select("key", "shard", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("before"), "n")
+
+
+@dataclass
+class Mix:
+    """sources: (key, blocks, source_size, target); draws: (key, block, draws of (pass, shard, share)); parts: (key, block, doc, size, part) the words taken of each
+    document of a block that is drawn in part. Each with its number of rows. Tables without texts."""
+
+    sources: DataFrame
+    draws: DataFrame
+    parts: DataFrame
+    rows: tuple[int, int, int]
+    seed: int
+
+
+def plan_mix(rows: DataFrame, seed: int = 0, levels: int | None = None, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS) -> Mix:
+    """The mix of `rows` (id, key, size). levels: log2 of the shards, by default as many as make a shard SHARD_WORDS, two shards at least."""
+    rows = checkpointed(rows.select(F.xxhash64("id", F.lit(seed)).alias("doc"), "key", "size"))
+    sizes = checkpointed(rows.groupBy("key").agg(F.sum("size").alias("source_size")))
+    total = sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    if levels is None:
+        levels = max(1, (-(-total // SHARD_WORDS) - 1).bit_length())
+    source = F.when(F.col("key").startswith("1"), F.expr("substring(key, 2)"))
+    targets = source_targets(sizes.select(source.alias("source"), "source_size"), weights).select(source_key(F.col("source")).alias("key"), "source_size", "target")
+    count = F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("source_size") / block_words)).cast("long")
+    sources = checkpointed(targets.select("key", count.alias("blocks"), "source_size", "target"))
+    n_sources = sources.count()
+    blocked = with_block(rows, sources, n_sources, seed).select("key", "block", "doc", "size")
+    per_block = checkpointed(blocked.groupBy("key", "block").agg(F.sum("size").alias("words")).where("words > 0"))
+    shards = split_blocks(per_block.groupBy("key").agg(F.count(F.lit(1)).alias("quota")), levels, seed)
+    # the source's permuted blocks, dealt out to the shards by their quotas
+    permuted = Window.partitionBy("key").orderBy(F.xxhash64("key", "block", F.lit(seed), F.lit("deal")), "block")
+    turns = shards.select("key", "shard", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("n"))).alias("turn"))
+    dealt = per_block.withColumn("turn", F.row_number().over(permuted).cast("long")).join(turns, ["key", "turn"])
+    own = Window.partitionBy("key", "shard")
+    drawn = own.orderBy(F.xxhash64("key", "block", F.lit(seed), F.lit("draw")), "block").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = dealt.withColumns({"own": F.sum("words").over(own), "before": F.coalesce(F.sum("words").over(drawn), F.lit(0))}).join(sources.select("key", "source_size", "target"), "key")
+    wanted = F.col("own") * F.col("target") / F.col("source_size") - F.col("before")
+    share = lambda p: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (wanted - p * F.col("own")) / F.col("words")))
+    draws = F.filter(F.array(*[F.struct(F.lit(p).alias("pass"), "shard", share(p).alias("share")) for p in range(PASSES)]), lambda d: d["share"] > 1e-12)
+    plan = checkpointed(dealt.select("key", "block", "words", draws.alias("draws")))
+    # of a block that is drawn in part, whole documents in hashed order; repeated rows are peers, which have the same words before them and share what is left
+    part = plan.withColumn("share", F.array_max(F.transform(F.filter("draws", lambda d: d["share"] < 1), lambda d: d["share"]))).where("share is not null")
+    inside = blocked.join(part.select("key", "block", "words", "share"), ["key", "block"]).groupBy("key", "block", "doc", "size", "words", "share").agg(F.count(F.lit(1)).alias("copies"))
+    upto = F.coalesce(F.sum(F.col("size") * F.col("copies")).over(Window.partitionBy("key", "block").orderBy(F.xxhash64("doc", F.lit("part")), "doc", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.floor((F.floor(F.col("words") * F.col("share") + 0.5) - upto) / F.col("copies"))
+    parts = checkpointed(inside.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), left)).cast("long")).select("key", "block", "doc", "size", "part").where("part > 0"))
+    draws = plan.select("key", "block", "draws")
+    return Mix(sources, draws, parts, (n_sources, plan.count(), parts.count()), seed)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def with_block(rows: DataFrame, sources: DataFrame, n_sources: int, seed: int) -> DataFrame:
+    """`rows` (doc, key, ...) with their source's columns and their block."""
+    return rows.join(small(sources, n_sources), "key").withColumn("block", F.pmod(F.xxhash64("doc", F.lit(seed), F.lit("block")), F.col("blocks")))
+
+
+def drawn(rows: DataFrame, mix: Mix) -> DataFrame:
+    """`rows` (id, key, size, ...) with source_size, target and draws of (pass, shard, place, words); place: the order within a shard."""
+    rows = with_block(rows.withColumn("doc", F.xxhash64("id", F.lit(mix.seed))), mix.sources, mix.rows[0], mix.seed)
+    rows = rows.join(small(mix.draws, mix.rows[1]), ["key", "block"], "left").join(small(mix.parts, mix.rows[2]), ["key", "block", "doc", "size"], "left")
+    words = lambda d: F.when(d["share"] < 1, F.coalesce("part", F.lit(0))).otherwise(F.col("size")).cast("long")
+    place = lambda d: F.xxhash64("doc", d["pass"], d["shard"], F.lit(mix.seed), F.lit("place"))
+    draws = F.transform("draws", lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), place(d).alias("place"), words(d).alias("words")))
+    empty = F.array().cast("array<struct<pass:int,shard:bigint,place:bigint,words:bigint>>")
+    return rows.withColumn("draws", F.coalesce(F.filter(draws, lambda d: d["words"] > 0), empty))
+
+
+def mix_sources(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, levels: int | None = None, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS
+) -> DataFrame:
     """doc_id, size, source_size, target, draws: one row for each input row, without its text.
 
-    draws: (pass, shard, order, words) of each time the mix takes it. Where only a share of a block is wanted, whole documents are taken in a hashed
-    order; words is less than size for the one at which the share ends, one a source (and its repetitions, all cut alike). Null texts have size 0 and are never drawn; null sources are one source, the last. Repeated rows are dealt as others, together.
-    Reruns agree, whatever the partitioning: all choices are hashes of ids, sources and the seed. Other columns are ignored; an empty
-    table gives no rows. A source's documents are never gathered; its blocks are.
+    draws: (pass, shard, place, words) of each time a shard draws it; words is less than size for the documents at which a shard's share of a source ends,
+    one for each source and shard (and its repetitions, all cut alike). Null texts have size 0 and are never drawn; null sources are one source, the
+    last. Repeated rows are dealt as others, together. Reruns agree, whatever the partitioning: all choices are hashes of ids, sources and the seed.
+    Other columns are ignored; an empty table gives no rows. A source's documents are never gathered; its blocks are.
     """
-    key = F.when(df[source_col].isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), df[source_col].cast("string")))
-    sized = df.select(df[id_col].alias("doc_id"), key.alias("key"), size_of(df[text_col].cast("string")).alias("size"))
-    sized = checkpointed(sized.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed), F.lit("block")), F.lit(blocks))))
-    plan = plan_mix(sized, seed, levels, blocks, weights)
-    block = Window.partitionBy("key", "block")
-    # repeated rows are peers: they have the same words before them and share what is left
-    upto = F.sum("size").over(block.orderBy(F.xxhash64("doc_id", F.lit(seed), F.lit("part")), "doc_id", "size").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    copies = F.count(F.lit(1)).over(Window.partitionBy("key", "block", "doc_id", "size"))
-    placed = sized.join(plan, ["key", "block"]).withColumns({"upto": upto, "copies": copies, "whole": F.sum("size").over(block)})
-    wanted = lambda d: F.floor(F.col("whole") * d["share"] + 0.5) - (F.col("upto") - F.col("copies") * F.col("size"))
-    words = lambda d: F.when(d["share"] < 1, F.least(F.col("size"), F.floor(wanted(d) / F.col("copies")))).otherwise(F.col("size")).cast("long")
-    taken = F.transform("draws", lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), d["order"].alias("order"), words(d).alias("words")))
-    taken = F.filter(taken, lambda d: d["words"] > 0)
-    empty = F.array().cast("array<struct<pass:int,shard:bigint,order:int,words:bigint>>")
-    return placed.select("doc_id", "size", "source_size", "target", F.coalesce(taken, empty).alias("draws"))
-
-
-def taken_text(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """`df` with a row for each draw of `mixed`, its text cut after the words drawn; chars_col, if there, is counted again.
-
-    Rows are in the order of their shards and, within a shard, of a hash, so that what is written is laid out like that.
-    A null id is matched with null ids. Where ids repeat, each row is drawn as its own copy of `mixed`'s rows for the id, once.
+    rows = df.select(df[id_col].alias("id"), source_key(df[source_col]).alias("key"), size_of(df[text_col].cast("string")).alias("size"))
+    return drawn(rows, plan_mix(rows, seed, levels, block_words, weights)).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "draws")
+
+
+def mixed_texts(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars", seed: int = 0, levels: int | None = None, block_words: int = BLOCK_WORDS
+) -> DataFrame:
+    """`df` with a row for each draw of the mix, its text cut after the words drawn; chars_col, if there, is counted again.
+
+    Rows are in the order of their shards and, within a shard, of a hash, so that what is written is laid out like that; texts move once, for that.
+    Each row is drawn as itself: rows that share an id, a source and a size are drawn alike. Rows without words are in no draw. Other columns, whatever
+    their names, stay as they are; an empty table gives no rows.
     """
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(" null"))
-    drawn = mixed.select(F.coalesce(F.col("doc_id").cast("string"), F.lit(" null")).alias("draw key"), "size", "draws").dropDuplicates(["draw key", "size"])
-    sized = df.withColumn("draw key", key).withColumn("draw size", size_of(F.col(text_col).cast("string")))
-    own = drawn.withColumnRenamed("size", "draw size")
-    rows = sized.join(own, ["draw key", "draw size"]).withColumn("draw", F.explode("draws"))
-    cut = F.when(F.col("draw.words") >= F.col("draw size"), F.col(text_col)).otherwise(first_words(F.col(text_col), F.col("draw.words")))
-    order = [F.col("draw.shard").alias("draw shard"), F.xxhash64("draw key", "draw.pass", "draw.order").alias("draw place")]
-    laid = rows.withColumn(text_col, cut).select(*df.columns, *order).repartitionByRange("draw shard", "draw place").sortWithinPartitions("draw shard", "draw place")
-    out = laid.select(*df.columns)
+    own = F.struct(*[df[c] for c in df.columns])
+    rows = df.select(df[id_col].alias("id"), source_key(df[source_col]).alias("key"), size_of(df[text_col].cast("string")).alias("size"), own.alias("own"))
+    mix = plan_mix(rows.select("id", "key", "size"), seed, levels, block_words)
+    each = drawn(rows, mix).select("own", "size", F.explode("draws").alias("draw"))
+    laid = each.repartitionByRange("draw.shard", "draw.place").sortWithinPartitions("draw.shard", "draw.place")
+    text = F.col("own")[text_col]
+    cut = F.when(F.col("draw.words") >= F.col("size"), text).otherwise(first_words(text.cast("string"), F.col("draw.words"))).alias(text_col)
+    out = laid.select(*[cut if c == text_col else F.col("own")[c].alias(c) for c in df.columns])
     return out.withColumn(chars_col, F.length(text_col).cast(df.schema[chars_col].dataType)) if chars_col in df.columns else out
 
 

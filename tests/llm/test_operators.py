@@ -315,31 +315,67 @@ def test_mixing(spark, odd, none):
     assert key(got) == key(again) and mixing.mix_sources(none).count() == 0
 
 
-def test_mix_meets_its_targets_and_shards_partition_the_blocks(spark):
-    r = random.Random(4)
-    rows = spark.createDataFrame([(k, " ".join(["w"] * r.randint(0, 60)), f"s{min(k % 9, 4)}") for k in range(3000)], "doc_id long, text string, source string")
-    mixed = mixing.mix_sources(rows, levels=2, blocks=64)
-    got = mixed.join(rows.select("doc_id", "source"), "doc_id").select("source", "target", F.aggregate("draws", F.lit(0).cast("long"), lambda s, d: s + d["words"]).alias("n")).groupBy("source").agg(F.first("target").alias("t"), F.sum("n").alias("n")).collect()
-    assert all(abs(g.n - g.t) < 60 for g in got)
-    sized = rows.select(F.lit("1").alias("z"), F.concat(F.lit("1"), "source").alias("key"), mixing.size_of(F.col("text")).alias("size"), (F.col("doc_id") % 64).alias("block"))
-    draws = mixing.plan_mix(sized.select("key", "block", "size"), levels=2, blocks=64).select(F.explode("draws").alias("d")).select("d.*").collect()
-    per_shard = Counter(d["shard"] for d in draws)
-    assert set(per_shard) == {0, 1, 2, 3} and max(per_shard.values()) - min(per_shard.values()) <= 3
-
-
-def test_a_source_has_one_cut_document_at_most_and_shards_decide_the_layout(spark):
-    r = random.Random(8)
-    rows = spark.createDataFrame([(k, " ".join(["w"] * r.randint(5, 60)), f"s{k % 4}") for k in range(1200)], "doc_id long, text string, source string")
-    mixed = mixing.mix_sources(rows, blocks=8)
-    got = mixed.join(rows.select("doc_id", "source"), "doc_id").collect()
-    cut = Counter(x.source for x in got for d in x.draws if d.words < x["size"])
-    assert max(cut.values(), default=0) <= 1
-    for s in ("s0", "s1", "s2", "s3"):
-        assert abs(sum(d.words for x in got if x.source == s for d in x.draws) - next(x.target for x in got if x.source == s)) <= 1
-    out = mixing.taken_text(rows, mixed)
-    place = F.xxhash64(F.col("doc_id").cast("string"), "d.pass", "d.order")
-    draws = mixed.select("doc_id", F.explode("draws").alias("d")).select("doc_id", "d.shard", place.alias("place")).collect()
-    assert [x.doc_id for x in out.collect()] == [x.doc_id for x in sorted(draws, key=lambda x: (x.shard, x.place))]
+def mixed_rows(spark, seed, n=3000):
+    r = random.Random(seed)
+    return spark.createDataFrame([(k, " ".join(["w"] * r.randint(0, 60)), f"s{min(k % 9, 4)}") for k in range(n)], "doc_id long, text string, source string")
+
+
+def test_a_mix_is_what_its_shards_draw(spark):
+    rows = mixed_rows(spark, 4)
+    got = mixing.mix_sources(rows, levels=2, block_words=300).join(rows.select("doc_id", "source"), "doc_id").collect()
+    shards, cut = Counter(), Counter()
+    for x in got:
+        for d in x.draws:
+            shards[x.source, d.shard] += d.words
+            cut[x.source, d.shard] += d.words < x["size"]
+        assert len({d["pass"] for d in x.draws}) == len(x.draws) and len({d.shard for d in x.draws}) <= 1  # shards are disjoint
+    assert {s for _, s in shards} == {0, 1, 2, 3} and max(cut.values()) <= 1
+    for source in {x.source for x in got}:
+        target = next(x.target for x in got if x.source == source)
+        assert abs(sum(n for (s, _), n in shards.items() if s == source) - target) <= 4
+    # without the tree other documents are taken
+    taken = lambda rows: {x.doc_id: sum(d.words for d in x.draws) for x in rows}
+    assert taken(got) != taken(mixing.mix_sources(rows, levels=0, block_words=300).collect())
+
+
+def test_splitting_tree_is_exact_and_fair(spark):
+    quota = {f"1s{k}": n for k, n in enumerate((1, 7, 40, 200, 333))}
+    table = spark.createDataFrame(list(quota.items()), "key string, quota long")
+    got = mixing.split_blocks(table, 3).collect()
+    assert all(sum(r.n for r in got if r.key == k) == n for k, n in quota.items())
+    per_shard = Counter()
+    for r in got:
+        per_shard[r.shard] += r.n
+        assert r.before == sum(x.n for x in got if x.key == r.key and x.shard < r.shard)
+    assert set(per_shard) == set(range(8)) and max(per_shard.values()) - min(per_shard.values()) <= 3
+    # over many nodes the left half's share of a source that lies in the line from 290 to 490 is hypergeometric: its mean and its variance
+    at = lambda x: mixing.went_left(F.col("id"), F.lit(781), F.lit(390), F.lit(x))
+    n = [r.n for r in spark.range(400).select((at(490) - at(290)).alias("n")).collect()]
+    variance = 390 * (200 / 781) * (581 / 781) * (391 / 780)
+    assert abs(np.mean(n) - 200 * 390 / 781) < 4 * (variance / 400) ** 0.5 and 0.75 < np.var(n) / variance < 1.3
+
+
+def test_prefix_sums(spark):
+    values = random.Random(3).sample(range(10**6), 300)
+    rows = spark.createDataFrame([(v,) for v in values], "v long").repartition(3)
+    got = {r.v: r.s for r in mixing.prefix_sums(rows, [F.col("v")], {"s": F.col("v")}).collect()}
+    assert got == {v: sum(w for w in values if w < v) for v in values}
+
+
+def test_shards_decide_the_layout(spark, odd, none):
+    rows = mixed_rows(spark, 8, 900)
+    draws = mixing.mix_sources(rows, block_words=300).select("doc_id", F.explode("draws").alias("d")).select("doc_id", "d.*").collect()
+    out = mixing.mixed_texts(rows, block_words=300).collect()
+    ordered = sorted(draws, key=lambda x: (x.shard, x.place))
+    assert [(x.doc_id, len(x.text.split())) for x in out] == [(x.doc_id, x.words) for x in ordered]
+    whole = mixing.mixed_texts(odd)
+    assert whole.columns == odd.columns and whole.where("fp = 'row' and score = 1.5").count() == whole.count() > 0
+    assert mixing.mixed_texts(none).count() == 0
+
+
+def test_first_words(spark):
+    df = spark.createDataFrame([(" a  b\tc ", 2), ("a b", 0), ("é 日本\n x", 2), ("a", 5)], "t string, n int")
+    assert [r[0] for r in df.select(mixing.first_words(F.col("t"), F.col("n"))).collect()] == [" a  b", "", "é 日本", "a"]
 
 
 def test_hypergeometric_draws(spark):
