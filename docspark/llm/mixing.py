@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from docspark.llm.common import checkpointed
 
 #: Words of a block; blocks of a source, at least; words of a shard; passes over a source, at most.
-BLOCK_WORDS, LEAST_BLOCKS, SHARD_WORDS, PASSES = 1 << 20, 32, 1 << 24, 3
+BLOCK_WORDS, LEAST_BLOCKS, SHARD_WORDS, PASSES = 1 << 18, 32, 1 << 24, 3
 WEIGHTS = (1, 2, 3)
 #: Tables of so many rows at most are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 50_000
 
 
 def uniform(*parts) -> Column:

@@ -483,57 +483,104 @@ def test_windows_hold_each_target_once():
         assert (both[1][both[1] >= 0].tolist() == [*ids, lm.END_ID] * 2) and both[0].shape[0] == 2 * len(inputs)
 
 
+def small_model(seed, n_ids, length):
+    rng = np.random.default_rng(seed)
+    counts = rng.integers(1, 50, n_ids).astype(float)
+    inputs, targets = attention.windows_of(rng.integers(0, n_ids, length).astype(np.int32), 0, 1)
+    pairs = attention.Pairs(np.empty(0, np.int64), np.empty(0), counts, np.zeros(n_ids, bool))
+    return attention.Attention(counts, pairs, inputs, targets), inputs, targets
+
+
 def test_attention_looks_back_only_and_sums_to_one():
-    rng = np.random.default_rng(2)
-    counts = rng.integers(1, 50, 300).astype(float)
-    ids = rng.integers(0, 300, 400).astype(np.int32)
-    inputs, targets = attention.windows_of(ids, 0, 1)
-    pairs = attention.Pairs(np.empty(0, np.int64), np.empty(0), counts, np.zeros(300, bool))
-    model = attention.Attention(counts, pairs, inputs, targets)
-    own, other, _ = model.parts(inputs, targets)
+    model, inputs, targets = small_model(2, 300, 400)
+    own = model.attend(inputs, targets)
     changed = inputs.copy()
     changed[:, -1] = 7
-    again = model.parts(changed, targets)[0].reshape(-1)
+    again = model.attend(changed, targets)
     keep = np.ones(targets.shape, bool)
     keep[:, -1] = False
-    assert np.allclose(own[keep.reshape(-1)[: len(own)]], again[keep.reshape(-1)[: len(own)]], rtol=1e-4)
+    keep = keep.reshape(-1)[targets.reshape(-1) >= 0]
+    assert np.allclose(own[keep], again[keep], rtol=1e-4) and not np.allclose(own, again, rtol=1e-4)
     one = np.repeat(inputs[3:4], 300, 0)
     every = np.full((300, attention.SCORED), -1)
     every[:, 10] = np.arange(300)
     own, other, _ = model.parts(one, every)
     assert own.sum() == pytest.approx(1, abs=1e-3) and other.sum() == pytest.approx(1, abs=1e-3)
-    assert model.score(inputs, targets).max() < 0
 
 
 def test_gradients_against_differences():
-    rng = np.random.default_rng(3)
-    inputs, targets = attention.windows_of(rng.integers(0, 40, 60).astype(np.int32), 0, 1)
-    counts = np.ones(40)
-    model = attention.Attention(counts, attention.Pairs(np.empty(0, np.int64), np.empty(0), counts, np.zeros(40, bool)), inputs, targets)
+    model, inputs, targets = small_model(3, 40, 60)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
 
     def loss():
-        p = model.p
-        row = np.concatenate([p["e"], p["e"] @ p["k"], p["e"] @ p["v"]], 1)
-        model.rows = np.concatenate([row, np.zeros((1, row.shape[1]))]).astype(np.float32)
-        model.queries = np.concatenate([p["e"] @ p["q"] / 4, np.zeros((1, 16))]).astype(np.float32)
-        model.follow = (p["pair"] + p["prior"]).astype(np.float32)
-        keep, model.p = model.p, {k: v.astype(np.float32) for k, v in p.items()}
-        model.large = True
-        own = model.parts(inputs, targets)[0]
+        keep, model.p = model.p, {k: v.astype(np.float32) for k, v in model.p.items()}
+        model.prepare()
+        own = model.attend(inputs, targets)
         model.p = keep
         return -np.mean(np.log(own) - model.inside[targets[targets >= 0]])
 
     found = model.gradients(inputs, targets)
-    for name in model.p:
-        at = tuple(int(k) for k in np.unravel_index(np.abs(found[name]).argmax(), found[name].shape))
-        value, step = model.p[name][at], 0.05
-        model.p[name][at] = value + step
+    for name, (rows, g) in found.items():
+        at = tuple(int(k) for k in np.unravel_index(np.abs(g).argmax(), g.shape))
+        place = at if isinstance(rows, slice) else (int(rows[at[0]]), *at[1:])
+        value, step = model.p[name][place], 0.05
+        model.p[name][place] = value + step
         up = loss()
-        model.p[name][at] = value - step
+        model.p[name][place] = value - step
         down = loss()
-        model.p[name][at] = value
-        assert (up - down) / (2 * step) == pytest.approx(found[name][at], rel=0.15, abs=2e-3), name
+        model.p[name][place] = value
+        assert (up - down) / (2 * step) == pytest.approx(g[at], rel=0.15, abs=2e-3), name
+
+
+def test_training_in_tasks_lowers_the_loss(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TASK_TEXTS", 20)
+    monkeypatch.setattr(attention, "BATCH", 8)
+    monkeypatch.setattr(lm, "TRAIN_RATE", 8e-3)
+    texts = [text_of(k, 80) for k in range(60)]
+    known = memo(word_vocabulary())
+    ids = [np.frombuffer(i, "<u4").astype(np.int32) for i in encode_words(known, [t.encode() for t in texts])]
+    both = [attention.windows_of(i, lm.BEGIN_ID, lm.END_ID) for i in ids]
+    inputs, targets = (np.concatenate([b[k] for b in both]) for k in (0, 1))
+    counts = np.bincount(np.concatenate(ids), minlength=lm.END_ID + 1).astype(float)
+    model = attention.Attention(counts, attention.Pairs(np.empty(0, np.int64), np.empty(0), counts, np.zeros(len(counts), bool)), inputs[:20], targets[:20])
+    before = np.log(model.attend(inputs, targets)).mean()
+    lm.trained(model, spark.createDataFrame([(t,) for t in texts], "text string"), word_vocabulary())
+    assert np.log(model.attend(inputs, targets)).mean() > before + 0.02
+
+
+def brute_scores(model, counts, total, texts, words_of_text):
+    """Sum over words, and the end, of the logarithm of the mean of the attention model's product and the add-one share."""
+    floor = total + len(counts) + 1 + 1
+    ids, sizes = [], []
+    for w in words_of_text:
+        own = tokenizer(word_vocabulary()).encode(w.decode(), add_special_tokens=False).ids
+        ids += own
+        sizes.append(len(own))
+    own, other, inner = model.parts(*attention.windows_of(np.array(ids, np.int32), lm.BEGIN_ID, lm.END_ID))
+    p = model.mix[inner] * own + (1 - model.mix[inner]) * other
+    out, at = 0.0, 0
+    for w, n in zip([*words_of_text, None], [*sizes, 1]):
+        share = (counts.get(w, 0) + 1 if w is not None else texts + 1) / floor
+        out += math.log10((math.prod(p[at : at + n].tolist()) + share) / 2)
+        at += n
+    return out
+
+
+@pytest.mark.parametrize("hot", [2e-6, 0.01, 2.0])
+def test_scores_against_brute_force_whatever_is_broadcast(odd, monkeypatch, hot):
+    """All words by their exact counts, whether they are broadcast or joined."""
+    made = []
+    real = attention.Attention.fit_mix
+    monkeypatch.setattr(lm, "HOT_SHARE", hot)
+    monkeypatch.setattr(attention.Attention, "fit_mix", lambda self, *w: made.append(self) or real(self, *w))
+    texts = [(i, t) for i, t, _ in ODD if len(t or "") < 5000]
+    df = odd.where("text is null or length(text) < 5000")
+    got = Counter((r.doc_id, round(r.score, 2)) for r in lm.score_texts(df).collect())
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    counts = Counter(w for i, t in texts if not held(i) for w in (t or "").encode().lower().split())
+    n = sum(not held(i) for i, _ in texts)
+    expected = Counter((i, round(brute_scores(made[0], counts, counts.total() + n, n, (t or "").encode().lower().split()), 2)) for i, t in texts)
+    assert sum((got & expected).values()) >= len(texts) - 2  # but for a last digit
 
 
 def test_scores(odd, none):
