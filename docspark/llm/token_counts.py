@@ -1,78 +1,90 @@
-"""Token counts: exact counts of whole texts, huge documents spliced from overlapping chunks.
+"""Token counts: exact counts of whole texts, spliced from overlapping chunks.
 
-A document of more than `chunk_chars` characters is cut into chunks that overlap. Each chunk is encoded with offsets. Two neighbours
-are spliced at a boundary in their overlap that both have and that is proven stable: it lies right after ASCII white space, which no
-token of the vocabularies handled here spans, and from it to the end of the overlap's last whole word both give the same ids at the
-same offsets. Where no such boundary exists (a long run without white space), the overlap is widened, up to the whole rest.
+A text is cut into chunks of CHUNK_BYTES that overlap. Each chunk is encoded unit by unit, with the units' offsets. A unit ends at ASCII white space and at
+either side of an ASCII digit, which no token of the vocabularies handled here spans: their patterns take digits one by one, and nothing is composed
+across them. Two neighbours are spliced at the first boundary in their overlap that both have and that is proven stable: all whole units from it to
+the overlap's end have the same ids in both. Where the overlap holds no such boundary (a long run without either), it is widened, in the end to the
+whole chunk, and then the chunk itself, each time by a factor, so that the work stays in proportion to the text.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from docspark.llm.common import as_bytes, map_batches
-from docspark.llm.subwords import memo, tokenizer, word_vocabulary
+from docspark.llm.subwords import WordMemo, memo, tokenizer, word_vocabulary
 
-#: Characters of a chunk and of the overlap that is tried first.
-CHUNK_CHARS, OVERLAP_CHARS = 40_000, 256
+#: Bytes of a chunk and of the overlap that is tried first.
+CHUNK_BYTES, OVERLAP_BYTES = 4096, 128
+#: Longer units aren't remembered.
+MEMO_BYTES = 64
 
-SPACE = re.compile(r"[ \t-\r]")
+UNIT = re.compile(rb"[0-9]|[^0-9 \t-\r]+")
 
 
-def encoded(path: str, text: str, shift: int) -> tuple[list[int], list[int]]:
-    """Ids and the offset in the document at which each token begins."""
-    e = tokenizer(path).encode(text, add_special_tokens=False)
-    return e.ids, [shift + a for a, _ in e.offsets]
+def encoded(words: WordMemo, path: str, chunk: bytes) -> list[bytes]:
+    """The ids of each of the chunk's units, packed."""
+    units = UNIT.findall(chunk)
+    distinct = set(units)
+    long = {u for u in distinct if len(u) > MEMO_BYTES}
+    words.learn(distinct - long if long else distinct)
+    if not long:
+        return list(map(words.__getitem__, units))
+    import numpy as np
 
+    known = {u: np.array(tokenizer(path).encode(u.decode(), add_special_tokens=False).ids, "<u4").tobytes() for u in long}
+    return [known[u] if u in known else words[u] for u in units]
 
-def junction(text: str, left: tuple[list[int], list[int]], right: tuple[list[int], list[int]], begin: int, end: int) -> tuple[int, int] | None:
-    """Token numbers in `left` and `right` of the first proven boundary within text[begin:end], their overlap; None without one.
 
-    Tokens of the overlap's last word don't count as evidence: the left chunk may end within it.
-    """
-    from bisect import bisect_left
+def whole_character(text: bytes, at: int) -> int:
+    """The place at or before `at` where a character begins."""
+    while 0 < at < len(text) and text[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
+
 
-    last = end
-    while last > begin and not SPACE.match(text[last - 1]):
-        last -= 1
-    if last <= begin:
+def junction(text: bytes, left: list[bytes], right: list[bytes], begin: int, end: int) -> tuple[int, int, int] | None:
+    """How many units of `left`, a chunk that ends at `end`, come before the first proven boundary in text[begin:end], how many of `right`, a chunk that begins at
+    `begin`, are dropped, and where it is; None without one. A unit that the overlap's edge may cut is no evidence."""
+    units = [m.span() for m in UNIT.finditer(text, begin, end)]
+    if not units:
+        return None
+    edge = lambda at: 0 < at < len(text) and UNIT.fullmatch(text[at - 1 : at + 1]) is not None  # noqa: E731  both sides in one unit
+    cut_first, cut_last = units[0][0] == begin and edge(begin), units[-1][1] == end and edge(end)
+    first, n = int(cut_first), len(units) - int(cut_last)
+    if first >= n:
+        return None
+    skipped = len(left) - len(units)
+    if left[skipped + first : skipped + n] != right[first:n]:
         return None
-    i_end, k_end = bisect_left(left[1], last), bisect_left(right[1], last)
-    for m in SPACE.finditer(text, begin, last - 1):
-        at = m.end()
-        i, k = bisect_left(left[1], at), bisect_left(right[1], at)
-        if i >= i_end or k >= k_end or left[1][i] != right[1][k]:
-            continue
-        if left[0][i:i_end] == right[0][k:k_end] and left[1][i:i_end] == right[1][k:k_end]:
-            return i, k
-    return None
-
-
-def spliced(path: str, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[int]:
-    """The ids of the whole text, from chunks of at most `chunk` characters unless an overlap has to be wider."""
-    ids, at, size = [], 0, min(chunk, len(text))
-    now = encoded(path, text[:size], 0)
-    end = size
+    return skipped + first, first, units[first][0]
+
+
+def spliced(words: WordMemo, path: str, text: bytes, chunk: int = CHUNK_BYTES, overlap: int = OVERLAP_BYTES) -> Iterator[list[bytes]]:
+    """The packed ids of the whole text's units, from overlapping chunks."""
+    at, end = 0, whole_character(text, min(chunk, len(text)))
+    now = encoded(words, path, text[:end])
     while end < len(text):
-        wide = min(overlap, chunk // 2)
+        wide = overlap
         while True:
-            begin = max(at, end - wide)
-            upto = min(len(text), begin + max(chunk, 2 * wide))
-            following = encoded(path, text[begin:upto], begin)
+            begin = whole_character(text, max(at, end - wide))
+            upto = whole_character(text, min(len(text), end + max(chunk - overlap, wide)))
+            following = encoded(words, path, text[begin:upto])
             cut = junction(text, now, following, begin, end)
-            if cut:
-                ids += now[0][: cut[0]]
-                now, at, end = (following[0][cut[1] :], following[1][cut[1] :]), following[1][cut[1]], upto
-                break
-            if begin == at:  # nothing proven in all that is left of this chunk: encode it together with what follows
-                end = min(len(text), end + chunk)
-                now = encoded(path, text[at:end], at)
+            if cut or begin == at:
                 break
-            wide *= 2
-    return ids + now[0]
+            wide *= 4
+        if cut:
+            yield now[: cut[0]]
+            now, at, end = following[cut[1] :], cut[2], upto
+        else:
+            end = whole_character(text, min(len(text), end + 2 * (end - at)))
+            now = encoded(words, path, text[at:end])
+    yield now
 
 
 def count_tokens(
@@ -81,34 +93,25 @@ def count_tokens(
     id_col: str = "doc_id",
     text_col: str = "text",
     limit: int = 2048,
-    chunk: int = CHUNK_CHARS,
-    overlap: int = OVERLAP_CHARS,
+    chunk: int = CHUNK_BYTES,
+    overlap: int = OVERLAP_BYTES,
 ) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit: one row for each input row, in one pass without a shuffle.
 
-    `path`: a vocabulary file for the `tokenizers` library whose texts can be split at ASCII white space (see subwords.py). A null text
-    counts as empty: 0 bytes, 0 tokens. Repeated rows are counted again; other columns are ignored; an empty table gives no rows.
+    `path`: a vocabulary file for the `tokenizers` library whose texts can be split at ASCII white space and digits (see subwords.py). A null text
+    counts as empty: 0 bytes, 0 tokens. Repeated rows are counted again; other columns are ignored; an empty table gives no rows. A chunk of under 16
+    bytes, and an overlap that isn't smaller than half of it, at least 1, are refused.
     """
+    if chunk < 16 or not 0 < overlap <= chunk // 2:
+        raise ValueError("a chunk has 16 bytes or more and overlaps by at least one and at most half of them")
     path = path or word_vocabulary()
     ids = df.schema[id_col].dataType.simpleString()
 
     def count(batches):
         words = memo(path)
-        sizes: dict[bytes, int] = {}
         for batch in batches:
             texts = as_bytes(batch.column(1))
-            split = [t.split() if len(t) <= chunk else [] for t in texts]
-            fresh = set().union(*split).difference(sizes)
-            if fresh:
-                if len(sizes) > words.most:
-                    sizes.clear()
-                    fresh = set().union(*split)
-                words.learn(fresh)
-                sizes.update((w, len(words[w]) // 4) for w in fresh)
-            tokens = [sum(map(sizes.__getitem__, s)) for s in split]
-            for k, t in enumerate(texts):
-                if len(t) > chunk:
-                    tokens[k] = len(spliced(path, t.decode(), chunk, overlap))
+            tokens = [sum(sum(map(len, part)) for part in spliced(words, path, t, chunk, overlap)) // 4 for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],

@@ -49,14 +49,39 @@ def test_tokens_of_words_are_those_of_texts():
         assert np.frombuffer(g, "<u4").tolist() == tokenizer(word_vocabulary()).encode(t, add_special_tokens=False).ids, t
 
 
-@pytest.mark.parametrize("chunk, overlap", [(400, 8), (1000, 64)])
+def spliced(text, chunk, overlap):
+    parts = list(token_counts.spliced(memo(word_vocabulary()), word_vocabulary(), text.encode(), chunk, overlap))
+    return np.frombuffer(b"".join(b"".join(p) for p in parts), "<u4").tolist(), len(parts)
+
+
+@pytest.mark.parametrize("chunk, overlap", [(16, 1), (40, 8), (400, 8), (1000, 64)])
 def test_spliced_chunks_are_the_whole(chunk, overlap):
-    for t in (text_of(5, 900), "y" * 3000 + " a " + "z" * 5000, "ab " * 3000, "no-space," * 500, "x"):
-        assert token_counts.spliced(word_vocabulary(), t, chunk, overlap) == tokenizer(word_vocabulary()).encode(t, add_special_tokens=False).ids
+    r, letters = random.Random(chunk), "aAbé ̈'sS \n\t.,!1٣日ßİΣ ​|<>한0987"
+    texts = [text_of(5, 900), "y" * 3000 + " a " + "z" * 5000, "ab " * 3000, "no-space," * 500, "x", "", "日本語" * 900, "a1" * 2000, "<|endoftext|>" * 200, "'s't" * 300, "\u0301" * 50 + "1\u0301" * 99]
+    texts += ["".join(r.choice(letters) for _ in range(r.randint(0, 300))) for _ in range(300)]
+    for t in texts:
+        assert spliced(t, chunk, overlap)[0] == tokenizer(word_vocabulary()).encode(t, add_special_tokens=False).ids, t
+    assert spliced(text_of(5, 900), chunk, overlap)[1] > len(text_of(5, 900)) / chunk - 1
+
+
+def test_work_on_text_without_boundaries_is_in_proportion(monkeypatch):
+    done = []
+    real = token_counts.encoded
+    monkeypatch.setattr(token_counts, "encoded", lambda words, path, chunk: done.append(len(chunk)) or real(words, path, chunk))
+    for t in ("qz" * 30_000, "qz" * 20_000 + " and " + "zq" * 20_000, "Ab3+/x9" * 30_000):
+        done.clear()
+        assert spliced(t, 4096, 128)[0] == tokenizer(word_vocabulary()).encode(t, add_special_tokens=False).ids
+        assert sum(done) < 8 * len(t)
+
+
+@pytest.mark.parametrize("chunk, overlap", [(1, 1), (100, 0), (100, 51), (100, -1)])
+def test_chunks_that_cannot_be_spliced_are_refused(odd, chunk, overlap):
+    with pytest.raises(ValueError):
+        token_counts.count_tokens(odd, chunk=chunk, overlap=overlap)
 
 
 def test_token_counts(odd, none):
-    got = Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_tokens(odd, chunk=2000).collect())
+    got = Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_tokens(odd).collect())
     expected = Counter()
     for i, t, _ in ODD:
         n = len(tokenizer(word_vocabulary()).encode(t or "", add_special_tokens=False).ids)
