@@ -1,9 +1,10 @@
 """Media columns stored as content-defined chunks.
 
 A payload is stored as the 8-bit samples of a WAV file. A file is cut where a rolling gear hash over its last 32 bytes has LOG2_MEAN leading zero
-bits, but for cuts nearer than LEAST and farther than MOST bytes. The chunk store holds each distinct chunk once, by its SHA-256, compressed; a
-file is the ordered list of its chunks' digests. Files are put together again by joining lists with the store and are verified against their
-own digest before anything is read from them.
+bits, but for cuts nearer than LEAST and farther than MOST bytes. Each distinct chunk is held once, by its digest, compressed; a file is the ordered
+list of its chunks. A join of lists finds the digests that stand in several places: those chunks are in a store, deduplicated by digest, while
+a chunk that no other place shares lies in its file's list, so its bytes move once. Files are put together by joining lists with the store and are verified
+against their own digest before anything is read from them.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,9 @@ from pyspark.sql import functions as F
 from docspark.llm.common import as_bytes, in_slices, map_batches
 
 #: Bytes of the shortest and longest chunk; log2 of the mean beyond the shortest.
-LEAST, MOST, LOG2_MEAN = 8 << 10, 64 << 10, 13
+LEAST, MOST, LOG2_MEAN = 128, 8 << 10, 9
+#: Bytes of the digests that chunks and files go by; log2 of the bits that tell which chunks may be shared: 2 MB, whatever the corpus.
+DIGEST, TABLE_BITS = 16, 24
 RATE, UNIT = 8000, 64
 
 HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
@@ -82,50 +86,97 @@ def sample_features(payload: bytes) -> str:
     return f"mean={x.mean():.4f};rms={np.sqrt((x * x).mean()):.4f};cross={crossings:.6f};peak={int(np.abs(x).max())};entropy={entropy + 0.0:.4f}"
 
 
+def digest_of(data: bytes) -> bytes:
+    return hashlib.sha256(data).digest()[:DIGEST]
+
+
 def manifests(source: DataFrame, kind: str) -> DataFrame:
-    """doc_id, n_bytes, media_id (SHA-256 of the stored file) of `source` (doc_id, text)."""
+    """doc_id, n_bytes, media_id (digest of the stored file) of `source` (doc_id, text)."""
 
     def mark(batches):
         for batch in batches:
             texts = as_bytes(batch.column(1))
-            ids = [hashlib.sha256(to_wav(payload_of(t))).digest() for t in texts]
+            ids = [digest_of(to_wav(payload_of(t))) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_bytes", "media_id"])
 
     return map_batches(source.select("doc_id", "text"), mark, f"doc_id {kind}, n_bytes bigint, media_id binary")
 
 
-def chunk_rows(texts: DataFrame, with_data: bool) -> DataFrame:
-    """Rows of chunk lists (media_id, n_chunks, place, digest), or of the store (digest, data).
+def each_file(batches) -> Iterator[list[tuple[bytes, list[bytes]]]]:
+    """(media_id, chunks) of the files of each batch of texts, copies within a batch once."""
+    for batch in in_slices(batches, 100):
+        files = {}
+        for t in set(as_bytes(batch.column(0))):
+            media = to_wav(payload_of(t))
+            files[digest_of(media)] = cut(media)
+        yield sorted(files.items())
 
-    A task lists a file and passes on a chunk's bytes once, however many copies it meets, so that copies don't gather where their digest does.
-    """
+
+def chunk_lists(texts: DataFrame) -> DataFrame:
+    """media_id, place, digest: where chunks stand, each file once."""
+
+    def rows(batches):
+        for files in each_file(batches):
+            found = [(m, k, digest_of(c)) for m, chunks in files for k, c in enumerate(chunks)]
+            kinds = (pa.binary(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds)], ["media_id", "place", "digest"])
+
+    return map_batches(texts.select("text"), rows, "media_id binary, place int, digest binary").distinct()
+
+
+def shared_table(lists: DataFrame) -> np.ndarray:
+    """Bits by which digests that stand in more than one place of `lists` are told from most others: 2**TABLE_BITS of them."""
+    many = lists.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    place = F.conv(F.hex(F.substring("digest", 1, 8)), 16, 10).cast("decimal(20,0)") % (1 << TABLE_BITS)
+    words = many.select(place.cast("long").alias("h")).groupBy(F.shiftright("h", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()
+    table = np.zeros(1 << (TABLE_BITS - 6), np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return table
+
+
+def is_shared(table: np.ndarray, digest: bytes) -> bool:
+    """May be true of a digest that isn't: its chunk then is in the store all the same."""
+    h = int.from_bytes(digest[:8], "big") % (1 << TABLE_BITS)
+    return bool(int(table[h >> 6]) >> (h & 63) & 1)
+
+
+def stored(texts: DataFrame, table, of_store: bool) -> DataFrame:
+    """The store (digest, data) of chunks that may be shared, or the files (media_id, parts of (digest, data)), whose parts have no data where the store has them."""
 
     def rows(batches):
         import zstandard
 
-        press, files, chunks = zstandard.ZstdCompressor(level=3), set(), set()
-        for batch in in_slices(batches, 100):
-            lists, store = [], []
-            for t in as_bytes(batch.column(0)):
-                media = to_wav(payload_of(t))
-                media_id = hashlib.sha256(media).digest()
-                if media_id in files:
-                    continue
-                files.add(media_id)
-                parts = cut(media)
-                for place, part in enumerate(parts):
-                    digest = hashlib.sha256(part).digest()
-                    lists.append((media_id, len(parts), place, digest))
-                    if with_data and digest not in chunks:
-                        chunks.add(digest)
-                        store.append((digest, press.compress(part)))
-            if with_data:
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in store], pa.binary()) for k in (0, 1)], ["digest", "data"])
+        press, shared = zstandard.ZstdCompressor(level=3), table.value
+        for files in each_file(batches):
+            store, lists = {}, []
+            for media_id, chunks in files:
+                parts = []
+                for c in chunks:
+                    digest = digest_of(c)
+                    inside = not is_shared(shared, digest)
+                    if of_store and not inside and digest not in store:
+                        store[digest] = press.compress(c)
+                    elif not of_store:
+                        parts.append({"digest": digest, "data": press.compress(c) if inside else None})
+                lists.append((media_id, parts))
+            if of_store:
+                yield pa.RecordBatch.from_arrays([pa.array(store.keys(), pa.binary()), pa.array(store.values(), pa.binary())], ["digest", "data"])
             else:
-                kinds = (pa.binary(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in lists], kind) for k, kind in enumerate(kinds)], ["media_id", "n_chunks", "place", "digest"])
+                part = pa.list_(pa.struct([("digest", pa.binary()), ("data", pa.binary())]))
+                yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in lists], pa.binary()), pa.array([p for _, p in lists], part)], ["media_id", "parts"])
+
+    schema = "digest binary, data binary" if of_store else "media_id binary, parts array<struct<digest:binary,data:binary>>"
+    return map_batches(texts.select("text"), rows, schema).dropDuplicates(["digest" if of_store else "media_id"])
+
 
-    return map_batches(texts.select("text"), rows, "digest binary, data binary" if with_data else "media_id binary, n_chunks int, place int, digest binary")
+def whole_files(texts: DataFrame) -> DataFrame:
+    """(media_id, parts: the compressed chunks in order) of each distinct file, put together from lists and store."""
+    table = texts.sparkSession.sparkContext.broadcast(shared_table(chunk_lists(texts)))
+    files = stored(texts, table, False)
+    asked = files.select("media_id", F.posexplode("parts").alias("place", "part")).where("part.data is null").select("media_id", "place", "part.digest")
+    fetched = asked.join(stored(texts, table, True), "digest").groupBy("media_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "data"))).alias("fetched"))
+    both = files.join(fetched, "media_id", "left")
+    return both.select("media_id", F.transform("parts", lambda p, k: F.coalesce(p["data"], F.try_element_at("fetched", k))).alias("parts"))
 
 
 def read_media(files: DataFrame) -> DataFrame:
@@ -141,7 +192,7 @@ def read_media(files: DataFrame) -> DataFrame:
             for media_id, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 media = b"".join(unpress.decompress(p) for p in parts)
                 digest = hashlib.sha256(media)
-                if digest.digest() != media_id:
+                if digest.digest()[:DIGEST] != media_id:
                     raise ValueError(f"a stored file differs from its digest {media_id.hex()}")
                 payload = from_wav(media)
                 out.append((media_id, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), digest.hexdigest(), sample_features(payload)))
@@ -156,19 +207,9 @@ def read_media(files: DataFrame) -> DataFrame:
 def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes and what was read back from the stored file: one row for each input row.
 
-    A null text counts as empty; its payload is UNIT bytes of 0. Equal texts share one file, repeated rows too. Files of one chunk are
-    deduplicated by their digest alone; lists of longer ones are joined with the store and gathered by file, so a task holds a file at a time,
-    never a group of copies. Other columns are ignored; an empty table gives no rows.
+    A null text counts as empty; its payload is UNIT bytes of 0. Equal texts share one file, repeated rows too, and like texts share chunks. A task holds a
+    file at a time, never a group of copies. Other columns are ignored; an empty table gives no rows.
     """
     kind = df.schema[id_col].dataType.simpleString()
     source = df.select(df[id_col].alias("doc_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
-    small = F.octet_length("text") <= LEAST - HEADER.size - UNIT
-    single = chunk_rows(source.where(small), with_data=True).dropDuplicates(["digest"])
-    long = source.where(~small)
-    store = chunk_rows(long, with_data=True).dropDuplicates(["digest"])
-    lists = chunk_rows(long, with_data=False).distinct()
-    # join types that Spark can split where one chunk is in many lists
-    joined = lists.join(store, "digest")
-    whole = joined.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("place", "data"))).alias("parts"))
-    files = single.select(F.col("digest").alias("media_id"), F.array("data").alias("parts")).unionByName(whole.select("media_id", F.transform("parts", lambda p: p["data"]).alias("parts")))
-    return manifests(source, kind).join(read_media(files), "media_id").drop("media_id")
+    return manifests(source, kind).join(read_media(whole_files(source)), "media_id").drop("media_id")

@@ -471,22 +471,48 @@ def test_bm25_index_against_brute_force():
         assert np.allclose(index.scores(seed), expected)
 
 
+def brute_cut(data, least, most, bits):
+    """Byte by byte."""
+    out, begin, value = [], 0, 0
+    for k, b in enumerate(data):
+        value = (value << 1) + int(media.GEAR[b]) & 0xFFFFFFFF
+        if (k + 1 - begin >= least and value >> (32 - bits) == 0) or k + 1 - begin == most or k + 1 == len(data):
+            out.append(data[begin : k + 1])
+            begin = k + 1
+    return out
+
+
 def test_chunks():
     rng = random.Random(6)
-    data = bytes(rng.randrange(97, 123) for _ in range(300_000))
+    data = bytes(rng.randrange(97, 123) for _ in range(60_000))
     parts = media.cut(data)
-    assert b"".join(parts) == data and len(parts) > 5 and all(media.LEAST <= len(p) <= media.MOST for p in parts[:-1])
+    assert parts == brute_cut(data, media.LEAST, media.MOST, media.LOG2_MEAN) and len(parts) > 50
+    for size, least, most, bits in ((5000, 10, 60, 5), (3000, 64, 100, 3), (700, 1, 2000, 4)):
+        assert media.cut(data[:size], least, most, bits) == brute_cut(data[:size], least, most, bits)
     moved = media.cut(b"inserted" + data)
     assert len({*parts} & {*moved}) >= len(parts) - 3
     assert media.cut(bytes(200_000))[0] == bytes(media.MOST) and media.cut(b"") == [b""]
-    value = 0
-    for b in data[-32:]:
-        value = (value << 1) + int(media.GEAR[b]) & 0xFFFFFFFF
-    assert int(media.gear_hashes(data)[-1]) == value
     with pytest.raises(ValueError):
         media.from_wav(media.to_wav(b"abc")[:-1])
 
 
+def test_like_files_share_chunks(spark):
+    """Near copies: what they have in common is in the store once, and is not in their own lists; unlike files share nothing."""
+    base = text_of(70, 3000)
+    texts = [base, base.replace(text_of(70, 3000).split()[1500], "changed", 1), base + " and a tail", text_of(71, 3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    chunks = [media.cut(media.to_wav(media.payload_of(t.encode()))) for t in texts]
+    places = Counter(c for parts in chunks for c in parts)
+    table = spark.sparkContext.broadcast(media.shared_table(media.chunk_lists(df)))
+    store = {bytes(r.digest) for r in media.stored(df, table, True).collect()}
+    assert store == {media.digest_of(c) for c, n in places.items() if n > 1} and len(store) > 20
+    lists = {bytes(r.media_id): [p.data for p in r.parts] for r in media.stored(df, table, False).collect()}
+    held = sum(d is not None for parts in lists.values() for d in parts) + len(store)
+    assert held == len(places) < 0.6 * sum(places.values())
+    whole = {bytes(r.media_id): len(r.parts) for r in media.whole_files(df).collect()}
+    assert whole == {m: len(p) for m, p in lists.items()}
+
+
 def test_media(odd, none):
     got = media.media_columns(odd).collect()
     expected = Counter()
