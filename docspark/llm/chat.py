@@ -52,7 +52,7 @@ def fold_events(events: DataFrame) -> DataFrame:
     )
     last = F.filter("events", lambda e: (e["at"] >= F.coalesce(F.col("edited"), F.lit(0))) & (e["kind"] != REGENERATE))
     text = F.array_join(F.transform(last, lambda e: e["text"]), "")
-    kept = folded.where(~((F.col("again") == 1) & (F.lower("role") == "assistant")))
+    kept = folded.where(~((F.col("again") == 1) & (F.col("role") == "assistant")))
     return kept.select("conv_id", F.col("number").alias("place"), "role", text.alias("text"))
 
 
@@ -63,32 +63,23 @@ def message_events(conversations: DataFrame, conv_col: str = "conv_id", seq_col:
 
 
 def render(messages: DataFrame) -> DataFrame:
-    """(conv_id, formatted, mask): one row for each conversation. mask: the start, from 0, and length in code points of each assistant text.
+    """(conv_id, formatted, mask): one row for each conversation. mask: the start, from 0, and length of each assistant text, in code points and in bytes.
 
-    A conversation without messages gives no row. One conversation's text is one value, so a task holds the largest whole.
+    A conversation without messages gives no row. One conversation's text is one value, so a task holds the largest whole; work on it is in proportion
+    to its length.
     """
     turn = F.concat(F.lit(OPEN), F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("\\\n")), F.lit("\n"))
-    parts = messages.select(
-        "conv_id",
-        "place",
-        turn.alias("head"),
-        escaped(F.col("text")).alias("body"),
-        (F.col("role") == "assistant").alias("mine"),
-    )
-    own = parts.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("place", "head", "body", "mine"))).alias("turns"))
     tail = CLOSE + "\n"
-    walk = F.aggregate(
-        "turns",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("mask")),
-        lambda s, t: F.struct(
-            (s["at"] + F.length(t["head"]) + F.length(t["body"]) + len(tail)).cast("long").alias("at"),
-            F.when(t["mine"], F.concat(s["mask"], F.array(F.struct((s["at"] + F.length(t["head"])).cast("long").alias("start"), F.length(t["body"]).cast("long").alias("length")))))
-            .otherwise(s["mask"])
-            .alias("mask"),
-        ),
+    parts = messages.select("conv_id", "place", turn.alias("head"), escaped(F.col("text")).alias("body"), (F.col("role") == "assistant").alias("mine"))
+    before = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    size = lambda f: F.coalesce(F.sum(f("head") + f("body") + len(tail)).over(before), F.lit(0)) + f("head")
+    placed = parts.select("*", size(F.length).alias("start"), size(F.octet_length).alias("byte_start"))
+    own = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("place", "head", "body", "mine", "start", "byte_start"))).alias("turns"))
+    span = lambda t: F.struct(
+        t["start"].alias("start"), F.length(t["body"]).cast("long").alias("length"), t["byte_start"].alias("byte_start"), F.octet_length(t["body"]).cast("long").alias("byte_length")
     )
     formatted = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(tail))), "")
-    return own.select("conv_id", formatted.alias("formatted"), walk["mask"].alias("mask"))
+    return own.select("conv_id", formatted.alias("formatted"), F.transform(F.filter("turns", lambda t: t["mine"]), span).alias("mask"))
 
 
 def parsed(formatted: Column) -> Column:
@@ -103,7 +94,9 @@ def read_back(rendered: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read from the rendered text and its mask."""
     turns = parsed(F.col("formatted"))
     whole = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform("mask", lambda m: unescaped(F.substring(F.col("formatted"), m["start"].cast("int") + 1, m["length"].cast("int")))), "")
+    # by bytes, of which a part is found without counting from the start
+    part = lambda raw, m: unescaped(F.substring(raw, m["byte_start"].cast("int") + 1, m["byte_length"].cast("int")).cast("string"))
+    loss = F.array_join(F.transform(F.array(F.col("formatted").cast("binary")), lambda raw: F.array_join(F.transform("mask", lambda m: part(raw, m)), "")), "")
     return rendered.select("conv_id", F.size(turns).cast("long").alias("n_turns"), whole.alias("whole"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars")).select(
         "conv_id",
         "n_turns",

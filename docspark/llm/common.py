@@ -34,10 +34,12 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a session without it, such as a test's, gets one of its own."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Only a session of one machine may go without; it gets a folder of its own."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="docspark-checkpoint-"))
     return context.getCheckpointDir()
 

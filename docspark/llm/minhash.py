@@ -1,15 +1,18 @@
 """Document fingerprints by one-permutation MinHash, with DataFrame functions only.
 
 A shingle is hashed once; the hash's high bits name its bin, and each bin keeps its smallest hash. An empty bin takes the value of the first full
-bin in a random order of its own (optimal densification): bin i looks at (a_i t + b_i) mod BINS for t = 0 to PROBES - 1, with a_i odd, then takes the full
-bin j whose hash with i is smallest. The low BITS bits of each value are stored, packed in hexadecimal; likeness is the share of equal values, corrected for values that are equal
+bin in a random order of its own (optimal densification): bin i looks at (a_i t + b_i) mod BINS for t = 0, 1, 2, ..., with a_i odd, so that the order holds
+every bin. The first PROBES places are looked up; after that the first full bin is found from the full ones, whose places (j - b_i) / a_i mod BINS are known. The low BITS bits of each value are stored, packed in hexadecimal; likeness is the share of equal values, corrected for values that are equal
 by chance.
 """
 
 from __future__ import annotations
 
+from os.path import commonprefix
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Bins (a power of two), stored bits of each (8: two hexadecimal digits), words of a shingle.
 BINS, BITS, WORDS = 256, 8, 5
@@ -48,8 +51,14 @@ def fingerprint(text: Column, bins: int = BINS, words: int = WORDS) -> Column:
             def value(x, i):
                 step = F.pmod(F.xxhash64(i, F.lit("step")), F.lit(bins // 2)).cast("int") * 2 + 1
                 begin = F.pmod(F.xxhash64(i, F.lit("begin")), F.lit(bins)).cast("int")
-                probe = lambda t: F.element_at(v, ((step * t + begin).bitwiseAND(F.lit(bins - 1)) + 1))
-                nearest = F.array_min(F.transform(a, lambda h: F.struct(F.xxhash64(i, bin_of(h, bins)).alias("place"), h.bitwiseAND(F.lit(255)).cast("int").alias("low"))))
+                held = lambda x: x.bitwiseAND(F.lit(bins - 1))
+                probe = lambda t: F.element_at(v, held(step * t + begin) + 1)
+                # 1 / step: right in 5 bits, then in 10, 20 by Newton's iteration
+                start = held((step * 3).bitwiseXOR(F.lit(2)))
+                inverse = held(start * (2 - held(step * start)))
+                inverse = held(inverse * (2 - held(step * inverse)))
+                place = lambda h: held((bin_of(h, bins) - begin) * inverse)
+                nearest = F.array_min(F.transform(a, lambda h: F.struct(place(h).alias("place"), h.bitwiseAND(F.lit(255)).cast("int").alias("low"))))
                 # coalesce stops at the first full bin; few get to the last
                 return F.coalesce(x, *[probe(t) for t in range(PROBES)], nearest["low"])
 
@@ -73,12 +82,19 @@ def with_next(df: DataFrame, columns: list[str], range_docs: int = RANGE_DOCS, m
     """`df` (doc_id and `columns`) with next_<column> of the next row, ascending (doc_id, columns); the first row's after the last.
 
     Rows are dealt into ranges of doc_id of about equal size and sorted there; each range is also given the first rows of the one after. Only range
-    bounds, at most `most`, reach the driver. A null id comes before all others.
+    bounds, at most `most`, reach the driver. A null id comes before all others. Ids that aren't whole numbers are ordered as text, and dealt into ranges by the
+    seven bytes after those that all of them begin with.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     n = df.count()
     if not n:
         return df.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
+    if isinstance(df.schema["doc_id"].dataType, IntegralType):
+        own = F.col("doc_id").cast("long")
+    else:
+        ends = df.select(F.col("doc_id").cast("string").cast("binary").alias("b")).agg(F.min("b").alias("low"), F.max("b").alias("high")).first()
+        same = len(commonprefix([bytes(ends.low or b""), bytes(ends.high or b"")]))
+        own = F.conv(F.rpad(F.hex(F.substring(F.col("doc_id").cast("string").cast("binary"), same + 1, 7)), 14, "0"), 16, 10).cast("long")
+    key = F.coalesce(own, F.lit(-(1 << 63)))
     parts = max(1, min(most, -(-n // range_docs)))
     cuts = df.select(F.percentile_approx(key, [k / parts for k in range(1, parts)] or [0.5], max(10_000, 10 * parts))).first()[0] or []
     bounds = sorted(set(cuts))
@@ -98,7 +114,7 @@ def with_next(df: DataFrame, columns: list[str], range_docs: int = RANGE_DOCS, m
     own = F.struct(F.col("range").alias("range"), F.lit(0).alias("lent"))
     lent = F.struct(F.col("into").alias("range"), F.lit(1).alias("lent"))
     dealt = marked.withColumn("to", F.explode(F.when(F.col("into").isNull(), F.array(own)).otherwise(F.array(own, lent)))).select("doc_id", *columns, "key", "to.range", "to.lent")
-    by = Window.partitionBy("range").orderBy("lent", "key", *columns)
+    by = Window.partitionBy("range").orderBy("lent", "key", "doc_id", *columns)
     out = dealt.select("doc_id", *columns, "lent", *[F.lead(c).over(by).alias(f"next_{c}") for c in columns])
     return out.where("lent = 0").drop("lent")
 

@@ -303,11 +303,47 @@ def test_fingerprints(odd, none):
     assert alone.near_next == 1.0
 
 
-def test_next_document_over_many_ranges(spark):
-    ids = random.Random(2).sample(range(10**6), 500)
-    rows = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").repartition(4)
+def spark_hash(*values):
+    """What xxhash64 gives, as an unsigned number."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else v.encode() if isinstance(v, str) else v.to_bytes(4, "little", signed=True), h)
+    return h
+
+
+def brute_fingerprint(text, bins=256):
+    """One permutation, smallest hash of each bin; an empty bin looks along its order until it meets a full one."""
+    words = (text or "").lower().encode().split()
+    hashes = {spark_hash(*words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+    full = {}
+    for h in sorted(hashes, reverse=True):
+        full[h // (2**64 // bins)] = h & 255
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    out = []
+    for i in range(bins):
+        step, j = signed(spark_hash(i, "step")) % (bins // 2) * 2 + 1, signed(spark_hash(i, "begin")) % bins
+        own = i
+        while own not in full:
+            own, j = j, (j + step) % bins
+        out.append(full[own])
+    return bytes(out).hex()
+
+
+def test_fingerprints_against_brute_force(spark):
+    texts = [None, "", "one", "a b c d e f", *[text_of(k, n) for k, n in enumerate((7, 12, 20, 40, 90, 300, 2000))]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.f for r in rows.select("doc_id", minhash.fingerprint(F.coalesce("text", F.lit(""))).alias("f")).collect()}
+    assert got == {k: brute_fingerprint(t) for k, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("name", ["{}", "doc-{:07d}", "é{:x}"])
+def test_next_document_over_many_ranges(spark, name):
+    ids = [name.format(i) for i in random.Random(2).sample(range(10**6), 500)]
+    if name == "{}":
+        ids = list(map(int, ids))
+    rows = spark.createDataFrame([(i, f"t{i}") for i in ids], f"doc_id {'long' if name == '{}' else 'string'}, text string").repartition(4)
     got = {r.doc_id: r.next_text for r in minhash.with_next(rows, ["text"], range_docs=40).collect()}
-    ordered = sorted(ids)
+    ordered = sorted(ids, key=lambda i: i if isinstance(i, int) else i.encode())
     assert got == {a: f"t{b}" for a, b in zip(ordered, ordered[1:] + ordered[:1])}
 
 
@@ -426,6 +462,38 @@ def test_chat(spark):
     assert chat.render(chat.fold_events(events.where("false"))).count() == 0
 
 
+def test_folding_against_brute_force(spark):
+    r, rows, expected = random.Random(9), [], {}
+    for conv in range(60):
+        final = []  # role, text, dropped
+        for seq in range(r.randint(1, 25)):
+            kind, role, text = r.choice(("message", "message", "delta", "delta", "edit", "regenerate")), r.choice(("user", "assistant", "Assistant")), f"t{seq}é<|"
+            rows.append((conv, seq, kind, role, text))
+            if kind == "message":
+                final.append([role, text, False])
+            elif final and kind == "delta":
+                final[-1][1] += text
+            elif final and kind == "edit":
+                final[-1][1] = text
+            elif final and final[-1][0] == "assistant":
+                final[-1][2] = True
+        expected[conv] = [(role, text) for role, text, dropped in final if not dropped]
+    events = spark.createDataFrame(rows, "conv_id long, seq long, kind string, role string, text string").repartition(3)
+    got = {k: [] for k in expected}
+    for x in sorted(chat.fold_events(events).collect(), key=lambda x: x.place):
+        got[x.conv_id].append((x.role, x.text))
+    assert got == expected
+
+
+def test_a_long_conversation(spark):
+    turns = [(5, k, "user" if k % 2 else "assistant", f"é{k} <|im_end|> \\ " + "x" * 200) for k in range(6000)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({"seq": F.lit("clash"), "kind": F.lit("clash"), "place": F.lit(0)})
+    got = chat.read_back(chat.render(chat.fold_events(chat.message_events(df)))).first()
+    loss = "".join(t for _, _, role, t in turns if role == "assistant")
+    whole = "".join(f"{role}\n{t}\n" for _, _, role, t in turns)
+    assert (got.n_turns, got.loss_chars, got.loss_sha256, got.turns_sha256) == (6000, len(loss), hashlib.sha256(loss.encode()).hexdigest(), hashlib.sha256(whole.encode()).hexdigest())
+
+
 def test_packing(odd, none):
     got = packing.pack_documents(odd, shard_docs=10, with_ids=True).collect()
     tokens = {}
