@@ -112,12 +112,14 @@ def each_file(batches) -> Iterator[list[tuple[bytes, list[bytes]]]]:
         yield sorted(files.items())
 
 
-def chunk_lists(texts: DataFrame) -> DataFrame:
-    """media_id, place, digest: where chunks stand, each file once."""
+def chunk_lists(texts: DataFrame, table=None) -> DataFrame:
+    """media_id, place, digest: where chunks stand, each file once; with `table`, only those that may be shared."""
 
     def rows(batches):
         for files in each_file(batches):
             found = [(m, k, digest_of(c)) for m, chunks in files for k, c in enumerate(chunks)]
+            if table is not None:
+                found = [r for r in found if is_shared(table.value, r[2])]
             kinds = (pa.binary(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds)], ["media_id", "place", "digest"])
 
@@ -141,7 +143,7 @@ def is_shared(table: np.ndarray, digest: bytes) -> bool:
 
 
 def stored(texts: DataFrame, table, of_store: bool) -> DataFrame:
-    """The store (digest, data) of chunks that may be shared, or the files (media_id, parts of (digest, data)), whose parts have no data where the store has them."""
+    """The store (digest, data) of chunks that may be shared, or the files (media_id, parts), whose parts are null where the store has them."""
 
     def rows(batches):
         import zstandard
@@ -157,15 +159,14 @@ def stored(texts: DataFrame, table, of_store: bool) -> DataFrame:
                     if of_store and not inside and digest not in store:
                         store[digest] = press.compress(c)
                     elif not of_store:
-                        parts.append({"digest": digest, "data": press.compress(c) if inside else None})
+                        parts.append(press.compress(c) if inside else None)
                 lists.append((media_id, parts))
             if of_store:
                 yield pa.RecordBatch.from_arrays([pa.array(store.keys(), pa.binary()), pa.array(store.values(), pa.binary())], ["digest", "data"])
             else:
-                part = pa.list_(pa.struct([("digest", pa.binary()), ("data", pa.binary())]))
-                yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in lists], pa.binary()), pa.array([p for _, p in lists], part)], ["media_id", "parts"])
+                yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in lists], pa.binary()), pa.array([p for _, p in lists], pa.list_(pa.binary()))], ["media_id", "parts"])
 
-    schema = "digest binary, data binary" if of_store else "media_id binary, parts array<struct<digest:binary,data:binary>>"
+    schema = "digest binary, data binary" if of_store else "media_id binary, parts array<binary>"
     return map_batches(texts.select("text"), rows, schema).dropDuplicates(["digest" if of_store else "media_id"])
 
 
@@ -173,10 +174,10 @@ def whole_files(texts: DataFrame) -> DataFrame:
     """(media_id, parts: the compressed chunks in order) of each distinct file, put together from lists and store."""
     table = texts.sparkSession.sparkContext.broadcast(shared_table(chunk_lists(texts)))
     files = stored(texts, table, False)
-    asked = files.select("media_id", F.posexplode("parts").alias("place", "part")).where("part.data is null").select("media_id", "place", "part.digest")
+    asked = chunk_lists(texts, table)
     fetched = asked.join(stored(texts, table, True), "digest").groupBy("media_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "data"))).alias("fetched"))
     both = files.join(fetched, "media_id", "left")
-    return both.select("media_id", F.transform("parts", lambda p, k: F.coalesce(p["data"], F.try_element_at("fetched", k))).alias("parts"))
+    return both.select("media_id", F.transform("parts", lambda p, k: F.coalesce(p, F.try_element_at("fetched", k))).alias("parts"))
 
 
 def read_media(files: DataFrame) -> DataFrame:
