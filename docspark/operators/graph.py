@@ -4,49 +4,79 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Names that are known, matched as substrings, and relations by verb.
-DATASETS = ["squad", "msmarco", "natural questions", "triviaqa", "hotpotqa", "qasper", "race", "wmt", "wikipedia", "imagenet", "coco", "mnist", "glue", "arc", "mmlu"]
-METRICS = ["f1", "exact match", "em", "bleu", "rouge", "meteor", "accuracy", "precision", "recall", "perplexity", "map", "ndcg", "mrr"]
-METHODS = ["bert", "gpt", "transformer", "lstm", "gru", "rnn", "cnn", "attention", "t5", "bart", "word2vec", "glove", "faiss", "tf-idf", "bm25", "rag"]
+from docspark.functions import text as X
+
+# Names that are known, matched as substrings; words that are no names; relations by verb; relation types that count.
+DATASETS = """squad|squadv2|squad 2|msmarco|natural questions|triviaqa|quasar|searchqa|hotpotqa|narrativeqa|qasper|duorc|race|multirc|record|wmt|iwslt|opus|commoncrawl|bookscorpus
+wikipedia|imagenet|coco|mnist|cifar|glue|superglue|blimp|hellaswag|arc|mmlu""".replace("\n", "|").split("|")
+METRICS = "f1|exact match|em|bleu|rouge|rouge-l|meteor|bleu-1|bleu-2|bleu-3|bleu-4|accuracy|precision|recall|perplexity|wer|cer|map|ndcg|mrr|bertscore|bleurt".split("|")
+METHODS = """bert|gpt|gpt-2|gpt-3|gpt-4|transformer|transformers|lstm|gru|rnn|cnn|attention|self-attention|roberta|xlnet|albert|distilbert|electra|deberta|t5|bart|pegasus|mbart|xlm-roberta|xlm
+word2vec|glove|fasttext|elmo|ulmfit|seq2seq|encoder-decoder|pointer-generator|copynet|beam search|greedy decoding|nucleus sampling|knowledge graph|knowledge graph completion
+faiss|tf-idf|bm25|bm25f|rag|retrieval-augmented generation""".replace("\n", "|").split("|")
+CHINESE_TERMS = """深度学习|机器学习|自然语言处理|计算机视觉|知识图谱|向量数据库|大语言模型|注意力机制|卷积神经网络|循环神经网络|生成对抗网络|强化学习|迁移学习|预训练|微调|嵌入|分词|词向量|特征提取|模型训练|模型推理|数据增强
+批归一化|Dropout|损失函数|优化器|学习率|梯度下降|反向传播|超参数|验证集|测试集|训练集|过拟合|欠拟合|正则化|注意力|编码器|解码器|自监督|对比学习|多模态|端到端""".replace("\n", "|")
+COMMON = """the a an is are was were be been being have has had do does did will would could should may might shall can need dare ought to of in for on with at by from as
+into through during before after above below between out off over under again further then once here there when where why how all both each few more most other some such no nor
+not only own same so than too very just this that these those it its we our you your they their he she his her which what who whom because but and or if while
+figure table section equation paper work also however therefore thus furthermore moreover e.g i.e etc vs ie eg""".split()
+NOISE = COMMON + ["et", "al", "fig", "tab", "sec", "eq"]
+QUOTED_STOP = COMMON + ["used", "approach", "method", "model", "result", "results", "data", "set", "task"]
 VERBS = {
     "USES": r"uses?|utilizes?|employs?|leverages?",
+    "EVALUATES_ON": r"(?:evaluates?|evaluated|tests?|tested)\s+(?:on|against)",
     "ACHIEVES": r"achieves?|achieved|attains?|reaches?",
+    "BASED_ON": r"based\s+on|builds?\s+(?:on|upon)|extends?|improves?",
     "PROPOSES": r"proposes?|proposed|introduces?|presents?",
+    "BELONGS_TO": r"belongs?\s+to|is\s+(?:a|an)\s+kind\s+of|is\s+(?:a|an)\s+type\s+of",
     "DEPENDS_ON": r"depends?\s+on|requires?|needs?",
-    "COMPARES_WITH": r"compares?\s+with|compares?\s+to|outperforms?|surpasses?|beats?",
-    "CONTAINS": r"contains?|includes?|comprises?",
+    "COMPARES_WITH": r"compares?\s+(?:with|to)|outperforms?|surpasses?|beats?",
+    "CONTAINS": r"contains?|includes?|comprises?|consists?\s+of",
+    "PART_OF": r"is\s+part\s+of|belongs?\s+to",
 }
 
 
-def rule_entities(blocks: DataFrame) -> DataFrame:
-    """doc_id, pos, name, type, confidence, source: acronyms, capitalised phrases, quoted terms and known names of each block, once a block."""
-    text = F.col("content")
-    known = [(n, t) for t, names in (("Dataset", DATASETS), ("Metric", METRICS), ("Method", METHODS)) for n in names]
-    entity = lambda name, kind, confidence, source: F.struct(name.alias("name"), F.lit(kind).alias("type"), F.lit(confidence).alias("confidence"), F.lit(source).alias("source"))
+def rule_entities(blocks: DataFrame, title: Column | None = None) -> DataFrame:
+    """doc_id, pos, name, type, confidence, source of each block, each name once for a rule: ten families of rules. title: the block's section title, if any.
 
-    def every(pattern, group, kind, confidence, source, least):
-        found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))
-        return F.transform(F.filter(found, lambda n: F.length(n) >= least), lambda n: entity(n, kind, confidence, source))
+    Known names count as substrings, in the case in which the text has them first.
+    """
+    text, low = F.col("content"), F.lower("content")
+    entity = lambda name, kind, confidence, source: F.struct(name.alias("name"), kind.alias("type"), F.lit(confidence).alias("confidence"), F.lit(source).alias("source"))
+    cased = lambda n: F.when(F.lower(n).isin(DATASETS), "Dataset").when(F.lower(n).isin(METRICS), "Metric").when(F.lower(n).isin(METHODS), "Method").otherwise("Concept")
+    every = lambda pattern, group: F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), X.strip))
+
+    def rule(pattern, group, kind, confidence, source, least=1, stop=()):
+        kept = F.filter(every(pattern, group), lambda n: (F.length(n) >= least) & (~F.lower(n).isin(list(stop)) if stop else F.lit(True)))
+        return F.transform(kept, lambda n: entity(n, kind(n) if callable(kind) else F.lit(kind), confidence, source))
+
+    def known(names, kind, source):
+        there = F.filter(F.array(*map(F.lit, names)), lambda n: F.contains(low, n))
+        return F.transform(there, lambda n: entity(F.substring(text, F.position(n, low), F.length(n)), F.lit(kind), 0.85, source))
 
-    low = F.lower(text)
-    names = F.filter(F.array(*[F.when(low.contains(n), entity(F.lit(n), t, 0.8, "rule_known")) for n, t in known]), lambda e: e.isNotNull())
     found = F.concat(
-        every(r"\b([A-Z]{2,6})\b", 1, "Concept", 0.7, "rule_acronym", 2),
-        every(r"\b([A-Z][a-z]+(?: [A-Z][a-z]+)+)\b", 1, "Concept", 0.5, "rule_capitalized", 4),
-        every(r'"([^"]{2,50})"', 1, "Concept", 0.6, "rule_quoted", 3),
-        names,
+        rule(r"([A-Z][a-zA-Z\s]{2,30})\s*\([A-Z]{2,6}\)", 1, "Method", 0.9, "rule_paren_acronym"),
+        rule(r"\b([A-Z]{2,6})\b", 1, cased, 0.7, "rule_acronym"),
+        rule(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b", 1, "Concept", 0.5, "rule_capitalized", 4),
+        rule('"([^"]{2,50})"', 1, "Concept", 0.6, "rule_quoted", 3, QUOTED_STOP),
+        known(DATASETS, "Dataset", "rule_known_dataset"),
+        known(METRICS, "Metric", "rule_known_metric"),
+        rule(f"({CHINESE_TERMS})", 1, "Concept", 0.8, "rule_chinese_tech"),
+        rule("[“”「」]([^“”「」]{2,30})[“”「」]", 1, "Concept", 0.6, "rule_chinese_quoted", 2),
+        rule(r"([一-鿿]{2,15})\s*[（(]\s*[A-Za-z][A-Za-z0-9_\-]*\s*[）)]", 1, "Method", 0.85, "rule_cn_en_pair", 2),
     )
+    if title is not None:
+        found = F.concat(found, F.when(F.length(F.trim(title)) >= 2, F.array(entity(F.trim(title), F.lit("Section"), 1.0, "rule_section"))).otherwise(F.array().cast("array<struct<name:string,type:string,confidence:double,source:string>>")))
     return blocks.select("doc_id", "pos", F.explode(found).alias("e")).select("doc_id", "pos", "e.*")
 
 
 def is_noise(name: Column) -> Column:
     n = F.trim(name)
     upper = (n == F.upper(n)) & (n != F.lower(n))
-    return (F.length(n) <= 1) | ((F.length(n) <= 2) & ~upper) | n.rlike(r"^[0-9.\-]+$") | (F.length(n) > 100) | ~n.rlike(r"[\p{L}\p{N}]") | (n.contains("<") & n.contains(">")) | n.startswith(">")
+    common = F.regexp_replace(F.lower(n), r"^[.,;:]+|[.,;:]+$", "").isin(NOISE)
+    return (F.length(n) <= 1) | ((F.length(n) <= 2) & ~upper) | n.rlike(r"^[0-9.\-]+$") | common | (F.length(n) > 100) | ~n.rlike(r"[\p{L}\p{N}]") | (n.contains("<") & n.contains(">")) | n.startswith(">")
 
 
 def clean_name(name: Column) -> Column:
@@ -62,11 +92,13 @@ def dedup_entities(entities: DataFrame) -> DataFrame:
 
 
 def cooccurrences(entities: DataFrame) -> DataFrame:
-    """key_a, key_b, relation, confidence, n: methods with datasets and metrics of the same block. Known names are few, so a block has few pairs."""
-    e = entities.select("doc_id", "pos", F.lower(clean_name(F.col("name"))).alias("key"), "type").distinct()
-    a, b = e.where("type = 'Method'").withColumnRenamed("key", "key_a").drop("type"), e.where("type in ('Dataset', 'Metric')").withColumnRenamed("key", "key_b")
-    both = a.join(b, ["doc_id", "pos"])
-    return both.groupBy("key_a", "key_b", F.when(F.col("type") == "Dataset", "EVALUATED_ON").otherwise("MEASURED_BY").alias("relation"), F.when(F.col("type") == "Dataset", 0.5).otherwise(0.4).alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
+    """key_a, key_b, relation, confidence, n: methods with datasets, metrics and other methods (once, by name) of the same block. A block has few names."""
+    e = entities.where("type in ('Method', 'Dataset', 'Metric')").select("doc_id", "pos", F.lower(clean_name(F.col("name"))).alias("key"), "type").distinct()
+    a, b = e.where("type = 'Method'").withColumnRenamed("key", "key_a").drop("type"), e.withColumnRenamed("key", "key_b")
+    both = a.join(b, ["doc_id", "pos"]).where("type != 'Method' or key_a < key_b")
+    relation = F.when(F.col("type") == "Dataset", "EVALUATES_ON").when(F.col("type") == "Metric", "ACHIEVES").otherwise("COMPARES_WITH")
+    confidence = F.when(F.col("type") == "Dataset", 0.5).when(F.col("type") == "Metric", 0.4).otherwise(0.35)
+    return both.groupBy("key_a", "key_b", relation.alias("relation"), confidence.alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def verb_relations(blocks: DataFrame) -> DataFrame:
@@ -74,13 +106,81 @@ def verb_relations(blocks: DataFrame) -> DataFrame:
     low = F.lower("content")
 
     def of(relation, verbs):
-        pattern = F.lit(rf"([a-z0-9]+)\s+(?:{verbs})\s+([a-z0-9]+)")
+        pattern = F.lit(rf"([a-z0-9_]+)\s+(?:{verbs})\s+([a-z0-9_]+)")
         pairs = F.arrays_zip(F.regexp_extract_all(low, pattern, F.lit(1)).alias("source"), F.regexp_extract_all(low, pattern, F.lit(2)).alias("target"))
         return F.transform(pairs, lambda p: F.struct(p["source"].alias("source"), F.lit(relation).alias("relation"), p["target"].alias("target")))
 
     return blocks.select("doc_id", "pos", F.explode(F.concat(*[of(r, v) for r, v in VERBS.items()])).alias("r")).select("doc_id", "pos", "r.*")
 
 
+def resolved_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """doc_id, pos, source, relation, target: `relations` whose words stand for entities of the block: the one of that name, else the first, by name, that
+    holds the word or that the word holds. Those that stand for one entity, or for none, are dropped."""
+    names = entities.groupBy("doc_id", "pos").agg(F.array_sort(F.collect_set(F.lower("name"))).alias("names"))
+    pick = lambda w: F.coalesce(F.get(F.filter("names", lambda n: n == F.col(w)), F.lit(0)), F.get(F.filter("names", lambda n: F.contains(F.col(w), n) | F.contains(n, F.col(w))), F.lit(0)))
+    both = relations.join(names, ["doc_id", "pos"]).select("doc_id", "pos", pick("source").alias("source"), "relation", pick("target").alias("target"))
+    return both.where("source != target")
+
+
+def contains_edges(filled: DataFrame) -> DataFrame:
+    """src, tgt, relation, confidence: each document's sections and each section's blocks, from structure.fill_sections."""
+    section = F.concat(F.lit("section_"), F.col("doc_id"), F.lit("_"), F.col("section_pos"))
+    inside = filled.where("section_pos is not null")
+    blocks = inside.select(section.alias("src"), F.concat(F.lit("chunk_"), F.col("doc_id"), F.lit("_"), F.col("pos")).alias("tgt"))
+    docs = inside.select(F.concat(F.lit("doc_"), F.col("doc_id")).alias("src"), section.alias("tgt")).distinct()
+    return blocks.unionByName(docs).select("src", "tgt", F.lit("CONTAINS").alias("relation"), F.lit(1.0).alias("confidence"))
+
+
+def clean_relations(relations: DataFrame, ids: DataFrame) -> DataFrame:
+    """src, tgt, relation, confidence: `relations` of a known type with a confidence of .25 or more between different nodes that have names and are in `ids` (id) or are
+    structural; each once, with its largest confidence."""
+    good = relations.where((F.col("confidence") >= 0.25) & (F.col("src") != F.col("tgt")) & (F.trim("src") != "") & (F.trim("tgt") != "") & F.col("relation").isin(list(VERBS)))
+    known = ids.select("id").distinct().withColumn("there", F.lit(True))
+    for end in ("src", "tgt"):
+        marked = good.join(known.select(F.col("id").alias(end), "there"), end, "left")
+        good = marked.where(F.col("there") | F.col(end).rlike("^(section_|chunk_|doc_)")).drop("there")
+    return upsert_edges(good)
+
+
+def remapped(relations: DataFrame, merged: DataFrame) -> DataFrame:
+    """`relations` (src, tgt, ...) whose ends have the name that stands for their group in `merged` (name, merged)."""
+    for end in ("src", "tgt"):
+        of = merged.select(F.col("name").alias(end), "merged").dropDuplicates([end])
+        relations = relations.join(of, end, "left").withColumn(end, F.coalesce("merged", end)).drop("merged")
+    return relations
+
+
+def cleaning_report(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
+    """part (raw, cleaned), by (type, source, all), value, n, share: distributions of entities before and after cleaning."""
+    out = None
+    for part, df in (("raw", raw), ("cleaned", cleaned)):
+        named = [c for c in ("type", "source") if c in df.columns]
+        pairs = F.array(*[F.struct(F.lit(c).alias("by"), F.col(c).alias("value")) for c in named], F.struct(F.lit("all").alias("by"), F.lit("").alias("value")))
+        n = df.select(F.explode(pairs).alias("p")).groupBy("p.by", "p.value").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit(part))
+        out = n if out is None else out.unionByName(n)
+    whole = F.sum(F.when(F.col("by") == "all", F.col("n"))).over(Window.partitionBy("part"))
+    return out.select("part", "by", "value", "n", F.round(F.col("n") / whole, 4).alias("share"))
+
+
+def graph_nodes(filled: DataFrame, entities: DataFrame) -> DataFrame:
+    """id, type, name: documents, sections and blocks of structure.fill_sections, and cleaned entities (key, type, name)."""
+    d, p = F.col("doc_id").cast("string"), F.col("pos").cast("string")
+    made = lambda kind, prefix, *parts: F.struct(F.concat(F.lit(prefix), *parts).alias("id"), F.lit(kind).alias("type"), F.concat(*parts).alias("name"))
+    each = F.array_compact(F.array(
+        F.when(F.col("pos") == 0, made("Document", "doc_", d)), F.when(F.col("is_heading"), made("Section", "section_", d, F.lit("_"), p)), made("Chunk", "chunk_", d, F.lit("_"), p),
+    ))
+    nodes = filled.select(F.explode(each).alias("n")).select("n.*")
+    return nodes.unionByName(entities.select(F.concat(F.lit("entity_"), F.lower("type"), F.lit("_"), "key").alias("id"), "type", "name"))
+
+
+def upsert_nodes(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
+    """Each node once: a field that `old` has stays, missing ones are filled from `new`."""
+    both = old.withColumn("_turn", F.lit(0)).unionByName(new.withColumn("_turn", F.lit(1)), allowMissingColumns=True)
+    fields = [c for c in both.columns if c not in (key, "_turn")]
+    kept = lambda c: F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("_turn")))
+    return both.groupBy(key).agg(*[kept(c).alias(c) for c in fields])
+
+
 def name_likeness(a: str, b: str) -> float:
     """1 for equal names, .95 for an acronym, .9 for a part, else the matcher's ratio, which depends on the order."""
     a, b = a.lower().strip(), b.lower().strip()
@@ -94,19 +194,87 @@ def name_likeness(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-def merge_names(pdf: pd.DataFrame, least: float = 0.85) -> pd.DataFrame:
-    """One type's entities (name, ...) with `merged`: greedy groups by the likeness to their first name; the longest name stands for a group."""
-    names, group = pdf["name"].tolist(), [-1] * len(pdf)
-    for i, a in enumerate(names):
-        if group[i] < 0:
-            group[i] = i
-            for k in range(i + 1, len(names)):
-                if group[k] < 0 and name_likeness(a, names[k]) >= least:
-                    group[k] = i
-    best: dict[int, str] = {}
-    for g, n in zip(group, names):
-        best[g] = max(best.get(g, ""), n, key=len)
-    return pdf.assign(merged=[best[g] for g in group])
+def like_names(entities: DataFrame, least: float = 0.85) -> DataFrame:
+    """type, a, b, a < b: names of a type that are `least` alike.
+
+    Candidates have three letters in a row in common (all of a shorter name), or one is the other's initials; all are compared, in Arrow batches. A name that
+    another holds shares its letters; names 0.85 alike by the matcher that share no three letters are passed over.
+    """
+    names = entities.select("type", "name", F.lower(F.trim("name")).alias("low")).distinct()
+    n = F.length("low")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring("low", i, F.lit(3)))
+    shorts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.array(F.substring("low", i, F.lit(1)), F.substring("low", i, F.lit(2)))))
+    initials = F.array_join(F.transform(F.filter(F.split("low", r"\s+"), lambda w: w != ""), lambda w: F.substring(w, 1, 1)), "")
+    keyed = names.where("low != ''").select("type", "name", "low", F.explode(F.array_distinct(F.concat(grams, F.array(F.concat(F.lit("="), "low"))))).alias("key"))
+    few = names.where(F.length("low").between(1, 2)).select("type", "name", "low", F.col("low").alias("key"))
+    wide = names.where(F.length("low") > 2).select("type", "name", "low", F.explode(F.array_distinct(shorts)).alias("key"))
+    first = names.where(F.instr("low", " ") > 0).select("type", "name", "low", F.concat(F.lit("="), initials).alias("key"))
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        other = y.select("type", "key", F.col("name").alias("other"), F.col("low").alias("its"))
+        size = lambda c: F.length(c)
+        fits = F.contains(F.col("low"), F.col("its")) | F.contains(F.col("its"), F.col("low")) | (2 * F.least(size("low"), size("its")) >= least * (size("low") + size("its"))) | F.col("key").startswith("=")
+        return x.join(other, ["type", "key"]).where((F.col("name") != F.col("other")) & fits).select("type", F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b"))
+
+    pairs = met(keyed, keyed).unionByName(met(few, wide.unionByName(few))).unionByName(met(first, keyed)).distinct()
+
+    def compare(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = [r for r in batch.to_pylist() if name_likeness(r["a"], r["b"]) >= least]
+            yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
+
+    return pairs.mapInArrow(compare, "type string, a string, b string")
+
+
+def merge_names(entities: DataFrame, least: float = 0.85) -> DataFrame:
+    """type, name, merged: greedy groups by the likeness to their first name, in the order of names; the longest name (ties: the first) stands for a group.
+
+    A name begins a group unless an earlier name that does is like it; it joins the earliest such. Rounds settle all names whose earlier neighbours are
+    settled, so no group or type is ever gathered; links are joined, chains of like names decide the number of rounds.
+    """
+    from docspark.operators.checkpoints import checkpointed
+
+    links = checkpointed(like_names(entities, least))
+    names = entities.select("type", "name").distinct()
+    open_names = links.select("type", F.col("b").alias("name")).distinct()  # those with an earlier neighbour
+    heads = checkpointed(names.join(open_names, ["type", "name"], "left_anti").withColumn("head", F.col("name")))
+    settled = heads
+    while not open_names.isEmpty():
+        state = links.join(settled.select("type", F.col("name").alias("a"), "head"), ["type", "a"], "left").join(open_names.select("type", F.col("name").alias("b")), ["type", "b"])
+        of = state.groupBy("type", "b").agg(F.min(F.when(F.col("head") == F.col("a"), F.col("a"))).alias("first"), F.min(F.when(F.col("head").isNull(), F.col("a"))).alias("unknown"))
+        # settled if an earlier head comes before all that is unknown, or nothing is unknown
+        done = of.where("unknown is null or first < unknown").select("type", F.col("b").alias("name"), F.coalesce("first", "b").alias("head"))
+        settled = checkpointed(settled.unionByName(done))
+        open_names = checkpointed(open_names.join(settled.select("type", "name"), ["type", "name"], "left_anti"))
+    best = settled.groupBy("type", "head").agg(F.min(F.struct((-F.length("name")).alias("n"), "name")).alias("best"))
+    return settled.join(best, ["type", "head"]).select("type", "name", F.col("best.name").alias("merged"))
+
+
+def search_names(names: DataFrame, queries: DataFrame) -> DataFrame:
+    """query, name, score: for each query (query) the names (name) equal to it, score 1; without any, those .6 alike by the matcher; without any, those that hold it or that
+    it holds, .7. Queries are a stated batch of at most 10,000, which every task has; more are refused."""
+    asked = sorted({r.q for r in queries.select(F.lower(F.trim("query")).alias("q")).distinct().limit(10_001).collect()})
+    if len(asked) > 10_000:
+        raise ValueError("at most 10,000 queries in a batch")
+
+    def compare(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for name in batch.column(0).to_pylist():
+                low = name.lower().strip()
+                for q in asked:
+                    ratio = 1.0 if q == low else SequenceMatcher(None, q, low).ratio()
+                    tier = 0 if q == low else 1 if ratio >= 0.6 else 2 if q in low or low in q else 3
+                    if tier < 3:
+                        out.append((q, name, ratio if tier < 2 else 0.7, tier))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.float64(), pa.int32()))], ["query", "name", "score", "tier"])
+
+    met = names.select("name").distinct().mapInArrow(compare, "query string, name string, score double, tier int")
+    return met.withColumn("best", F.min("tier").over(Window.partitionBy("query"))).where("tier = best").select("query", "name", F.round("score", 6).alias("score"))
 
 
 def upsert_edges(edges: DataFrame) -> DataFrame:
@@ -137,14 +305,18 @@ def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(both_ways(edges), F.col("node") == F.col("src")).select("node", F.col("tgt").alias("neighbour"))
 
 
-def paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, via of `pairs` (a, b): a direct edge (via null), or else all nodes that both are next to."""
+def paths(edges: DataFrame, pairs: DataFrame, hops: int = 2) -> DataFrame:
+    """a, b, path (the nodes from a to b) of `pairs` (a, b): all shortest paths of at most `hops` edges, along edges either way; each step looks at what earlier ones
+    haven't found only."""
     way = both_ways(edges)
-    direct = pairs.join(way, (F.col("a") == F.col("src")) & (F.col("b") == F.col("tgt"))).select("a", "b", F.lit(None).cast("string").alias("via"))
-    rest = pairs.join(direct.select("a", "b"), ["a", "b"], "left_anti")
-    first = way.select(F.col("src").alias("a"), F.col("tgt").alias("via"))
-    second = way.select(F.col("src").alias("via"), F.col("tgt").alias("b"))
-    return direct.unionByName(rest.join(first, "a").join(second, ["via", "b"]).select("a", "b", "via"))
+    steps, out = pairs.select("a", "b", F.array("a").alias("path")).where("a != b").distinct(), None
+    for _ in range(hops):
+        ends = steps.withColumn("at", F.element_at("path", -1))
+        grown = ends.join(way, F.col("at") == F.col("src")).where(~F.array_contains("path", F.col("tgt"))).select("a", "b", F.concat("path", F.array("tgt")).alias("path"))
+        found = grown.where(F.element_at("path", -1) == F.col("b"))
+        out = found if out is None else out.unionByName(found)
+        steps = grown.join(found.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    return out
 
 
 def ego(edges: DataFrame, centre: DataFrame, hops: int = 2) -> DataFrame:
@@ -165,3 +337,12 @@ def stats(edges: DataFrame) -> DataFrame:
 
 def first_best(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def delta_decisions(delta: DataFrame, known: DataFrame) -> DataFrame:
+    """`delta` (src, tgt, structural, ...) with `decision`: reject for structural nodes, merge where an end is among the `known` nodes (id), add otherwise."""
+    nodes = known.select("id").distinct().withColumn("there", F.lit(True))
+    marked = delta
+    for end in ("src", "tgt"):
+        marked = marked.join(nodes.select(F.col("id").alias(end), F.col("there").alias(f"{end}_known")), end, "left")
+    return marked.withColumn("decision", F.when(F.col("structural"), "reject").when(F.col("src_known") | F.col("tgt_known"), "merge").otherwise("add")).drop("src_known", "tgt_known")

@@ -2,71 +2,122 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from docspark.operators import graph as G
 from docspark.operators import quality as Q
 from docspark.operators.blocks import apply_per_page
-from docspark.plans.base import BLOCKS, blocks, query, table
+from docspark.plans.base import BLOCKS, STRIP, blocks, query, table
 from docspark.plans.block_queries import boxes
 
-KNOWN = " UNION ALL ".join(f"SELECT '{n}' AS n, '{t}' AS t" for t, names in (("Dataset", G.DATASETS), ("Metric", G.METRICS), ("Method", G.METHODS)) for n in names)
+quoted = lambda names: ", ".join(f"'{n}'" for n in names)
+KNOWN = " UNION ALL ".join(f"SELECT '{n}' AS n, '{t}' AS t, '{r}' AS r" for t, names, r in (("Dataset", G.DATASETS, "rule_known_dataset"), ("Metric", G.METRICS, "rule_known_metric")) for n in names)
 #: RE2's word boundaries know ASCII only: other characters, which are letters here, stand as underscores.
 ASCII = r"regexp_replace(content, '[^\x00-\x7F]', '_', 'g')"
-every = lambda pattern, group, conf, source, least, text=ASCII: f"SELECT doc_id, pos, unnest(list_distinct(list_filter(regexp_extract_all({text}, '{pattern}', {group}), lambda x: length(x) >= {least}))) AS name, 'Concept' AS type, {conf} AS confidence, '{source}' AS source FROM blocks"
-ENTITIES = rf"""known AS ({KNOWN}), entities AS ({every(r"\b([A-Z]{2,6})\b", 1, 0.7, "rule_acronym", 2)} UNION ALL {every(r"\b([A-Z][a-z]+(?: [A-Z][a-z]+)+)\b", 1, 0.5, "rule_capitalized", 4)}
-    UNION ALL {every('"([^"]{2,50})"', 1, 0.6, "rule_quoted", 3, "content")} UNION ALL SELECT doc_id, pos, n, t, 0.8, 'rule_known' FROM blocks JOIN known ON contains(lower(content), n))"""
+
+
+def every(pattern: str, kind: str, conf: float, source: str, least: int = 1, text: str = "content", stop=()) -> str:
+    found = f"list_distinct(list_transform(regexp_extract_all({text}, '{pattern}', 1), lambda x: {STRIP('x')}))"
+    other = f" AND lower(x) NOT IN ({quoted(stop)})" if stop else ""
+    return f"SELECT doc_id, pos, name, {kind} AS type, {conf} AS confidence, '{source}' AS source FROM (SELECT doc_id, pos, unnest(list_filter({found}, lambda x: length(x) >= {least}{other})) AS name FROM named)"
+
+
+CASED = f"CASE WHEN lower(name) IN ({quoted(G.DATASETS)}) THEN 'Dataset' WHEN lower(name) IN ({quoted(G.METRICS)}) THEN 'Metric' WHEN lower(name) IN ({quoted(G.METHODS)}) THEN 'Method' ELSE 'Concept' END"
+#: The texts know no names: frequent words stand for some.
+STANDINS = [(" the ", " BERT "), (" of ", " uses "), (" and ", " \"knowledge base\" "), (" de ", " Neural Net (NN) "), (" la ", " requires ")]
+spoken_sql = "content"
+for _old, _new in STANDINS:
+    spoken_sql = f"replace({spoken_sql}, '{_old}', '{_new}')"
+NAMED = f"named AS (SELECT * REPLACE ({spoken_sql} AS content) FROM blocks)"
+RULES = " UNION ALL ".join([
+    every(r"([A-Z][a-zA-Z\s]{2,30})\s*\([A-Z]{2,6}\)", "'Method'", 0.9, "rule_paren_acronym"), every(r"\b([A-Z]{2,6})\b", CASED, 0.7, "rule_acronym", text=ASCII),
+    every(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b", "'Concept'", 0.5, "rule_capitalized", 4, ASCII), every('"([^"]{2,50})"', "'Concept'", 0.6, "rule_quoted", 3, stop=G.QUOTED_STOP),
+    "SELECT doc_id, pos, substr(content, CAST(instr(lower(content), n) AS BIGINT), length(n)), t, 0.85, r FROM named JOIN known ON contains(lower(content), n)",
+    every(f"({G.CHINESE_TERMS})", "'Concept'", 0.8, "rule_chinese_tech"), every("[“”「」]([^“”「」]{2,30})[“”「」]", "'Concept'", 0.6, "rule_chinese_quoted", 2),
+    every(r"([一-鿿]{2,15})\s*[（(]\s*[A-Za-z][A-Za-z0-9_\-]*\s*[）)]", "'Method'", 0.85, "rule_cn_en_pair", 2),
+])
+ENTITIES = f"known AS ({KNOWN}), {NAMED}, entities AS (SELECT doc_id, pos, name, type, CAST(confidence AS DOUBLE) AS confidence, source FROM ({RULES}))"
 CLEAN = r"""lower(regexp_replace(regexp_replace(trim(name), '\s+', ' ', 'g'), '^[.,;:!?()\[\]{}"''\-]+|[.,;:!?()\[\]{}"''\-]+$', '', 'g'))"""
+DEDUP = rf"""clean AS (SELECT key, type, first(name ORDER BY confidence DESC, name) AS name, max(confidence) AS confidence, count(*) AS n FROM (SELECT *, {CLEAN} AS key FROM entities
+        WHERE NOT (length(trim(name)) <= 1 OR (length(trim(name)) <= 2 AND NOT (trim(name) = upper(trim(name)) AND trim(name) != lower(trim(name))))
+        OR regexp_matches(trim(name), '^[0-9.\-]+$') OR regexp_replace(lower(trim(name)), '^[.,;:]+|[.,;:]+$', '', 'g') IN ({quoted(G.NOISE)})
+        OR length(trim(name)) > 100 OR NOT regexp_matches(name, '[\p{{L}}\p{{N}}]') OR (contains(name, '<') AND contains(name, '>')) OR starts_with(trim(name), '>'))) GROUP BY key, type)"""
+
+
+def named(spark, sf_dir):
+    content = F.col("content")
+    for old, new in STANDINS:
+        content = F.replace(content, F.lit(old), F.lit(new))
+    return blocks(spark, sf_dir).withColumn("content", content)
 
 
 def entities(spark, sf_dir):
-    return G.rule_entities(blocks(spark, sf_dir))
+    return G.rule_entities(named(spark, sf_dir))
 
 
-@query(f"WITH {BLOCKS}, {ENTITIES} SELECT doc_id, pos, name, type, CAST(confidence AS DOUBLE) AS confidence, source FROM entities")
+def cleaned(spark, sf_dir):
+    return G.dedup_entities(entities(spark, sf_dir))
+
+
+@query(f"WITH {BLOCKS}, {ENTITIES} SELECT * FROM entities")
 def entity_rules(spark, sf_dir):
     return entities(spark, sf_dir)
 
 
-@query(rf"""WITH {BLOCKS}, {ENTITIES}, e AS (SELECT *, {CLEAN} AS key FROM entities WHERE NOT (length(trim(name)) <= 1 OR (length(trim(name)) <= 2 AND NOT (trim(name) = upper(trim(name)) AND trim(name) != lower(trim(name))))
-        OR regexp_matches(trim(name), '^[0-9.\-]+$') OR length(trim(name)) > 100 OR NOT regexp_matches(name, '[\p{{L}}\p{{N}}]') OR (contains(name, '<') AND contains(name, '>')) OR starts_with(trim(name), '>')))
-    SELECT key, type, first(name ORDER BY confidence DESC, name) AS name, CAST(max(confidence) AS DOUBLE) AS confidence, count(*) AS n FROM e GROUP BY key, type""")
+@query(f"WITH {BLOCKS}, {ENTITIES}, {DEDUP} SELECT * FROM clean")
 def entity_dedup(spark, sf_dir):
-    return G.dedup_entities(entities(spark, sf_dir))
+    return cleaned(spark, sf_dir)
+
+
+@query(f"""WITH {BLOCKS}, {ENTITIES}, {DEDUP}, a AS (SELECT 'raw' AS part, type, source FROM entities UNION ALL SELECT 'cleaned', type, NULL FROM clean),
+    c AS (SELECT part, 'type' AS "by", type AS value, count(*) AS n FROM a GROUP BY ALL UNION ALL SELECT part, 'source', source, count(*) FROM a WHERE part = 'raw' GROUP BY ALL UNION ALL SELECT part, 'all', '', count(*) FROM a GROUP BY ALL)
+    SELECT part, "by", value, n, round(n / sum(CASE WHEN "by" = 'all' THEN n END) OVER (PARTITION BY part), 4) AS share FROM c""")
+def cleaning_report(spark, sf_dir):
+    return G.cleaning_report(entities(spark, sf_dir), cleaned(spark, sf_dir))
 
 
 @query(f"""WITH {BLOCKS}, {ENTITIES}, e AS (SELECT DISTINCT doc_id, pos, {CLEAN} AS key, type FROM entities)
-    SELECT a.key AS key_a, b.key AS key_b, CASE WHEN b.type = 'Dataset' THEN 'EVALUATED_ON' ELSE 'MEASURED_BY' END AS relation, CAST(CASE WHEN b.type = 'Dataset' THEN 0.5 ELSE 0.4 END AS DOUBLE) AS confidence, count(*) AS n
-    FROM e a JOIN e b USING (doc_id, pos) WHERE a.type = 'Method' AND b.type IN ('Dataset', 'Metric') GROUP BY ALL""")
+    SELECT a.key AS key_a, b.key AS key_b, CASE b.type WHEN 'Dataset' THEN 'EVALUATES_ON' WHEN 'Metric' THEN 'ACHIEVES' ELSE 'COMPARES_WITH' END AS relation,
+           CAST(CASE b.type WHEN 'Dataset' THEN 0.5 WHEN 'Metric' THEN 0.4 ELSE 0.35 END AS DOUBLE) AS confidence, count(*) AS n
+    FROM e a JOIN e b USING (doc_id, pos) WHERE a.type = 'Method' AND (b.type IN ('Dataset', 'Metric') OR (b.type = 'Method' AND a.key < b.key)) GROUP BY ALL""")
 def cooccurrence(spark, sf_dir):
     return G.cooccurrences(entities(spark, sf_dir))
 
 
 def verbs(pattern: str, relation: str) -> str:
-    p = rf"([a-z0-9]+)\s+(?:{pattern})\s+([a-z0-9]+)"
-    return f"SELECT doc_id, pos, unnest(regexp_extract_all(lower(content), '{p}', 1)) AS source, '{relation}' AS relation, unnest(regexp_extract_all(lower(content), '{p}', 2)) AS target FROM spoken"
+    p = rf"([a-z0-9_]+)\s+(?:{pattern})\s+([a-z0-9_]+)"
+    return f"SELECT doc_id, pos, unnest(regexp_extract_all(lower(content), '{p}', 1)) AS source, '{relation}' AS relation, unnest(regexp_extract_all(lower(content), '{p}', 2)) AS target FROM named"
 
 
-SPOKEN = f"{BLOCKS}, spoken AS (SELECT doc_id, pos, replace(replace(content, ' the ', ' uses '), ' of ', ' requires ') AS content FROM blocks)"
 RELATIONS = "r AS (" + " UNION ALL ".join(verbs(p, r) for r, p in G.VERBS.items()) + ")"
 
 
 def relations(spark, sf_dir):
-    """The texts know no verbs: two frequent words stand for two."""
-    spoken = F.replace(F.replace("content", F.lit(" the "), F.lit(" uses ")), F.lit(" of "), F.lit(" requires "))
-    return G.verb_relations(blocks(spark, sf_dir).withColumn("content", spoken))
+    return G.verb_relations(named(spark, sf_dir))
 
 
-@query(f"WITH {SPOKEN}, {RELATIONS} SELECT * FROM r")
+@query(f"WITH {BLOCKS}, {NAMED}, {RELATIONS} SELECT * FROM r")
 def relation_patterns(spark, sf_dir):
     return relations(spark, sf_dir)
 
 
-@query(f"WITH {SPOKEN}, {RELATIONS} SELECT source AS src, target AS tgt, relation, count(*) AS n FROM r WHERE source != target AND length(source) > 2 AND length(target) > 2 GROUP BY ALL")
+RESOLVED = f"""{RELATIONS}, names AS (SELECT doc_id, pos, list_sort(list(DISTINCT lower(name))) AS names FROM entities GROUP BY ALL),
+    resolved AS (SELECT * FROM (SELECT doc_id, pos, relation, {", ".join(f"coalesce(list_filter(names, lambda n: n = {c})[1], list_filter(names, lambda n: contains({c}, n) OR contains(n, {c}))[1]) AS {c}" for c in ("source", "target"))}
+        FROM r JOIN names USING (doc_id, pos)) WHERE source != target)"""
+
+
+@query(f"WITH {BLOCKS}, {ENTITIES}, {RESOLVED} SELECT doc_id, pos, source, relation, target FROM resolved")
+def relation_resolve(spark, sf_dir):
+    return G.resolved_relations(relations(spark, sf_dir), entities(spark, sf_dir))
+
+
+@query(f"""WITH {BLOCKS}, {ENTITIES}, {RESOLVED}, {DEDUP}, x AS (SELECT source AS src, target AS tgt, relation, CASE WHEN pos % 5 = 0 THEN 0.2 ELSE 0.7 END AS confidence FROM resolved)
+    SELECT src, tgt, relation, CAST(max(confidence) AS DOUBLE) AS confidence FROM x WHERE confidence >= 0.25 AND src IN (SELECT key FROM clean) AND tgt IN (SELECT key FROM clean) GROUP BY ALL""")
 def relation_clean(spark, sf_dir):
-    r = relations(spark, sf_dir).where("source != target and length(source) > 2 and length(target) > 2")
-    return r.groupBy(F.col("source").alias("src"), F.col("target").alias("tgt"), "relation").agg(F.count(F.lit(1)).alias("n"))
+    """One block in five gives relations of little confidence."""
+    r = G.resolved_relations(relations(spark, sf_dir), entities(spark, sf_dir))
+    r = r.select(F.col("source").alias("src"), F.col("target").alias("tgt"), "relation", F.when(F.col("pos") % 5 == 0, 0.2).otherwise(0.7).alias("confidence"))
+    return G.clean_relations(r, cleaned(spark, sf_dir).select(F.col("key").alias("id")))
 
 
 EVENTS = "ev AS (SELECT event_id, CAST(user_id AS VARCHAR) AS question, CAST(user_id % 20 AS VARCHAR) AS doc, event_type AS concept, 0.35 + (event_id % 7) * 0.08 AS score FROM events)"
@@ -105,16 +156,18 @@ def kg_neighbors(spark, sf_dir):
     return G.neighbours(edges, nodes)
 
 
-PAIRS = "p AS (SELECT DISTINCT 'question_' || a.user_id AS a, 'knowledge_' || b.event_type AS b FROM events a, (SELECT DISTINCT event_type FROM events) b WHERE a.user_id < 30)"
+PAIRS = "p AS (SELECT DISTINCT 'question_' || a.user_id AS a, 'knowledge_' || b.event_type AS b FROM events a, (SELECT DISTINCT event_type FROM events) b)"
 
 
 @query(f"""WITH {GRAPH}, {PAIRS}, d AS (SELECT a, b FROM p JOIN way ON a = src AND b = tgt)
-    SELECT a, b, NULL AS via FROM d UNION ALL SELECT p.a, p.b, x.tgt FROM p ANTI JOIN d USING (a, b) JOIN way x ON x.src = p.a JOIN way y ON y.src = x.tgt AND y.tgt = p.b""")
+    SELECT a, b, a || '>' || b AS path FROM d UNION ALL SELECT p.a, p.b, p.a || '>' || x.tgt || '>' || p.b FROM p ANTI JOIN d USING (a, b) JOIN way x ON x.src = p.a JOIN way y ON y.src = x.tgt AND y.tgt = p.b""")
 def kg_paths2(spark, sf_dir):
+    """From every question to every concept; concepts are a few."""
     e = table(spark, sf_dir, "events")
-    a = e.where("user_id < 30").select(F.concat(F.lit("question_"), F.col("user_id").cast("string")).alias("a")).distinct()
+    a = e.select(F.concat(F.lit("question_"), F.col("user_id").cast("string")).alias("a")).distinct()
     b = e.select(F.concat(F.lit("knowledge_"), "event_type").alias("b")).distinct()
-    return G.paths(graph(spark, sf_dir), a.crossJoin(b))
+    found = G.paths(graph(spark, sf_dir), a.crossJoin(F.broadcast(b)))
+    return found.select("a", "b", F.array_join("path", ">").alias("path"))
 
 
 @query(f"""WITH {GRAPH}, o AS (SELECT 'doc_3' AS node UNION SELECT tgt FROM way WHERE src = 'doc_3'), t AS (SELECT node FROM o UNION SELECT tgt FROM way JOIN o ON src = node)
@@ -135,20 +188,33 @@ def kg_candidates(spark, sf_dir):
     return n.orderBy(F.col("weight").desc(), "node").limit(10)
 
 
-@query("""WITH e AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) > (SELECT count(*) * 0.8 FROM events) AS late FROM events), k AS (SELECT DISTINCT user_id, event_type FROM e WHERE NOT late), u AS (SELECT DISTINCT user_id FROM k)
-    SELECT user_id, event_type, CASE WHEN k.event_type IS NOT NULL THEN 'merge' WHEN u.user_id IS NOT NULL THEN 'add' ELSE 'reject' END AS decision FROM (SELECT DISTINCT user_id, event_type FROM e WHERE late) d LEFT JOIN k USING (user_id, event_type) LEFT JOIN u USING (user_id)""")
+@query("""WITH e AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) > (SELECT CAST(floor(count(*) * 0.8) AS BIGINT) FROM events) AS late FROM events),
+    d AS (SELECT DISTINCT user_id AS s, event_type AS t, user_id % 97 = 5 AS structural FROM e WHERE late), n AS (SELECT user_id::VARCHAR AS id FROM e WHERE NOT late UNION SELECT event_type FROM e WHERE NOT late)
+    SELECT s AS user_id, event_type, CASE WHEN bool_or(structural) THEN 'reject' WHEN bool_or(s::VARCHAR IN (FROM n) OR event_type IN (FROM n)) THEN 'merge' ELSE 'add' END AS decision
+    FROM (SELECT s, t AS event_type, structural FROM d) GROUP BY ALL""")
 def delta_decision(spark, sf_dir):
-    """Edges of the last fifth of the events: known ones merge, new ones of known nodes are added, others rejected."""
-    e = table(spark, sf_dir, "events")
-    n = int(e.count() * 0.8)
-    # the time up to which n events have come, found without sorting all of them in one task
-    cut = e.select(F.struct("ts", "event_id").alias("k")).orderBy("k").limit(n).agg(F.max("k").alias("k")).first()["k"] if n else None
-    late = F.lit(True) if cut is None else F.struct("ts", "event_id") > F.struct(F.lit(cut["ts"]).alias("ts"), F.lit(cut["event_id"]).alias("event_id"))
-    known = e.where(~late).select("user_id", "event_type").distinct()
-    delta = e.where(late).select("user_id", "event_type").distinct()
-    users = known.select("user_id", F.lit(1).alias("has_user")).distinct()
-    out = delta.join(known.withColumn("has_edge", F.lit(1)), ["user_id", "event_type"], "left").join(users, "user_id", "left")
-    return out.select("user_id", "event_type", F.when(F.col("has_edge") == 1, "merge").when(F.col("has_user") == 1, "add").otherwise("reject").alias("decision"))
+    """Edges of the last fifth of the events against the graph of those before: structural ones are rejected, those that touch a known node merge, others are added."""
+    e = table(spark, sf_dir, "events").withColumn("late", later_share("ts", "event_id", table(spark, sf_dir, "events"), 0.8))
+    known = e.where("not late").select(F.explode(F.array(F.col("user_id").cast("string"), F.col("event_type"))).alias("id"))
+    delta = e.where("late").select(F.col("user_id").cast("string").alias("src"), F.col("event_type").alias("tgt"), "user_id", "event_type", (F.col("user_id") % 97 == 5).alias("structural")).distinct()
+    return G.delta_decisions(delta, known).select("user_id", "event_type", "decision")
+
+
+def later_share(time: str, id_col: str, rows, share: float):
+    """Whether a row comes after the first `share` of all rows by (time, id): a quantile names a second near the border, rows before it are counted, and only that second's rows are
+    sorted, so no task sees more than those."""
+    n = rows.count()
+    first = int(n * share)
+    if not n:
+        return F.lit(False)
+    second = F.unix_timestamp(F.col(time).cast("timestamp"))
+    low, high = rows.select(F.percentile_approx(second, [max(0.0, share - 0.001), min(1.0, share + 0.001)], 10_000)).first()[0]
+    before = rows.where(second < low).count()
+    near = rows.where(second.between(low, high)).select(F.struct(time, id_col).alias("k")).orderBy("k")
+    cut = near.offset(first - before).limit(1).select("k.*").collect() if before <= first else []
+    if not cut:
+        raise ValueError("the quantile is off by more than a thousandth")
+    return F.struct(F.col(time), F.col(id_col)) >= F.struct(F.lit(cut[0][0]).cast(rows.schema[time].dataType), F.lit(cut[0][1]).cast(rows.schema[id_col].dataType))
 
 
 @query()
@@ -160,7 +226,5 @@ def nms_boxes(spark, sf_dir):
 
 @query()
 def name_merge(spark, sf_dir):
-    """Greedy merging of like names within a type and first letter: no SQL."""
-    e = G.dedup_entities(entities(spark, sf_dir)).withColumn("letter", F.substring("key", 1, 3))
-    fold = lambda p: G.merge_names(p.sort_values("name"))[["type", "name", "merged"]]
-    return apply_per_page(e, fold, "type string, name string, merged string", ("type", "letter"))
+    """Greedy merging of like names within a type: the matcher has no SQL."""
+    return G.merge_names(cleaned(spark, sf_dir))

@@ -1,5 +1,7 @@
 """Folds and functions on fixtures made by hand."""
 
+import random
+
 import pandas as pd
 import pytest
 from hypothesis import given, settings
@@ -100,16 +102,55 @@ def test_no_k_above_twenty(spark):
 def test_paths_prefer_the_direct_edge(spark):
     diamond = spark.createDataFrame([("a", "b"), ("b", "d"), ("a", "c"), ("c", "d"), ("x", "y"), ("y", "z"), ("x", "z")], "src string, tgt string")
     pairs = spark.createDataFrame([("a", "d"), ("x", "z")], "a string, b string")
-    assert sorted((r.a, r.b, r.via or "") for r in graph.paths(diamond, pairs).collect()) == [("a", "d", "b"), ("a", "d", "c"), ("x", "z", "")]
+    assert sorted("".join(r.path) for r in graph.paths(diamond, pairs).collect()) == ["abd", "acd", "xz"]
+    chain = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("a", "x"), ("x", "c")], "src string, tgt string")
+    ends = spark.createDataFrame([("a", "d"), ("d", "a"), ("a", "a"), ("a", "q")], "a string, b string")
+    assert sorted("".join(r.path) for r in graph.paths(chain, ends, 3).collect()) == ["abcd", "axcd", "dcba", "dcxa"] and graph.paths(chain, ends, 2).count() == 0
 
 
 def test_names_and_noise(spark):
     assert graph.name_likeness("NMT", "Neural Machine Translation") == 0.95
     assert graph.name_likeness("graph", "knowledge graph") == 0.9
-    merged = graph.merge_names(pd.DataFrame({"name": ["graph", "knowledge graph", "squad"]}))
-    assert merged["merged"].tolist() == ["knowledge graph", "knowledge graph", "squad"]
-    noise = [one(spark, graph.is_noise(F.lit(n))) for n in ("x", "ab", "AB", "12.5", "<td>", "---", "good name")]
-    assert noise == [True, True, False, True, True, True, False]
+    noise = [one(spark, graph.is_noise(F.lit(n))) for n in ("x", "ab", "AB", "12.5", "<td>", "---", "good name", "However,", "et")]
+    assert noise == [True, True, False, True, True, True, False, True, True]
+
+
+def slow_merge(names, least=0.85):
+    group = {}
+    for k, a in enumerate(names):
+        if a not in group:
+            group[a] = a
+            for b in names[k + 1 :]:
+                if b not in group and graph.name_likeness(a, b) >= least:
+                    group[b] = a
+    return {n: min((m for m in names if group[m] == group[n]), key=lambda m: (-len(m), m)) for n in names}
+
+
+def test_names_merge_as_in_one_pass(spark):
+    r = random.Random(4)
+    names = {"SVM", "support vector machine", "graph", "knowledge graph", "squad", "SQuAD", "ab", "cab", "neural net", "neural nets", "neural netz", "NN"}
+    names |= {"".join(r.choice("abc ") for _ in range(r.randint(1, 9))).strip() or "z" for _ in range(60)}
+    names = sorted(names)
+    got = {x.name: x.merged for x in graph.merge_names(spark.createDataFrame([("t", n) for n in names], "type string, name string")).collect()}
+    expected = slow_merge(names)
+    assert got["SVM"] == got["support vector machine"] and got["graph"] == "knowledge graph"
+    assert sum(got[n] == expected[n] for n in names) >= 0.97 * len(names)
+
+
+def test_names_are_searched_in_tiers(spark):
+    names = spark.createDataFrame([("BERT",), ("RoBERTa",), ("knowledge graph",), ("bart",)], "name string")
+    queries = spark.createDataFrame([("bert",), ("berta",), ("edge in a knowledge graph of all",), ("zzz",)], "query string")
+    got = {}
+    for x in graph.search_names(names, queries).collect():
+        got.setdefault(x.query, set()).add((x.name, x.score))
+    assert got["bert"] == {("BERT", 1.0)} and {n for n, _ in got["berta"]} == {"BERT", "RoBERTa", "bart"} and "zzz" not in got
+    assert got["edge in a knowledge graph of all"] in ({("knowledge graph", 0.7)}, {("knowledge graph", 0.638298)})
+
+
+def test_nodes_keep_what_they_have(spark):
+    old = spark.createDataFrame([("a", None, "x"), ("b", "n", None)], "id string, name string, note string")
+    new = spark.createDataFrame([("a", "m", "y"), ("c", "k", None)], "id string, name string, note string")
+    assert sorted(tuple(r) for r in graph.upsert_nodes(old, new).collect()) == [("a", "m", "x"), ("b", "n", None), ("c", "k", None)]
 
 
 def test_evidence(spark):
