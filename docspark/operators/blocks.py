@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.functions import text as X
+from docspark.operators.folds import fold_groups
 
 #: Lines that make a page where a text has no pages.
 PAGE_LINES = 20
@@ -86,17 +87,17 @@ def pack_ranges(lengths: list[int], size: int, overlap: int, join: int = 2) -> I
 def pack_blocks(blocks: DataFrame, size: int = 500, overlap: int = 100) -> DataFrame:
     """doc_id, chunk, first_pos, last_pos, n_blocks, n_chars: greedy packing of each document's blocks that aren't empty.
 
-    An order-dependent fold over one document at a time: only positions and lengths are sent to it.
+    An order-dependent fold: only positions and lengths are sent to it.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        pos, lengths = pdf["pos"].tolist(), pdf["n"].tolist()
-        rows = [(pdf["doc_id"].iloc[0], k, pos[a], pos[b], b - a + 1, sum(lengths[a : b + 1]) + 2 * (b - a)) for k, (a, b) in enumerate(pack_ranges(lengths, size, overlap))]
-        return pd.DataFrame(rows, columns=["doc_id", "chunk", "first_pos", "last_pos", "n_blocks", "n_chars"])
+    def fold(rows):
+        pos, upto = [r[1] for r in rows], [0]
+        for r in rows:
+            upto.append(upto[-1] + r[2])
+        return [(rows[0][0], k, pos[a], pos[b], b - a + 1, upto[b + 1] - upto[a] + 2 * (b - a)) for k, (a, b) in enumerate(pack_ranges([r[2] for r in rows], size, overlap))]
 
     solid = blocks.select("doc_id", "pos", F.length(X.strip(F.col("content"))).cast("long").alias("n")).where("n > 0")
-    return solid.groupBy("doc_id").applyInPandas(fold, "doc_id long, chunk long, first_pos long, last_pos long, n_blocks long, n_chars long")
+    return fold_groups(solid, ["doc_id"], ["pos"], fold, "doc_id long, chunk long, first_pos long, last_pos long, n_blocks long, n_chars long")
 
 
 def page_text(blocks: DataFrame) -> DataFrame:

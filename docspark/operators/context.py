@@ -11,10 +11,12 @@ def expand(filled: DataFrame, seeds: DataFrame, budget: int, strategy: str = "se
 
     filled: structure.fill_sections; seeds: (query_id, doc_id, pos, seed_rank). section_first: blocks of the seeds' sections that are no headings, section by
     section in the seeds' order, in document order, then neighbours; neighbor_first: for each seed the blocks before and after in the
-    document, then in the page, then sections; mixed: sections for half of the budget, then neighbours.
+    document, then in the page, then sections; mixed: sections for half of the budget, then neighbours; interleaved: one of a section, one neighbour, in turn, then
+    blocks of the documents' other sections. Only the seeds' documents are looked at.
     """
-    if strategy not in ("section_first", "neighbor_first", "mixed"):
+    if strategy not in ("section_first", "neighbor_first", "mixed", "interleaved"):
         raise ValueError(f"no such strategy: {strategy}")
+    filled = filled.join(seeds.select("doc_id").distinct(), "doc_id", "left_semi")
     near_by = Window.partitionBy("doc_id").orderBy("pos")
     page_by = Window.partitionBy("doc_id", "page").orderBy("pos")
     near = F.array(F.lag("pos").over(near_by), F.lead("pos").over(near_by), F.lag("pos").over(page_by), F.lead("pos").over(page_by))
@@ -36,6 +38,11 @@ def expand(filled: DataFrame, seeds: DataFrame, budget: int, strategy: str = "se
         half = max(1, budget // 2)
         counted = both.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "phase").orderBy("order", "doc_id")))
         both = counted.where((F.col("phase") == 2) | (F.col("n") <= half)).drop("n")
+    if strategy == "interleaved":
+        turn = Window.partitionBy("query_id", "phase").orderBy("order", "doc_id")
+        both = both.withColumn("order", F.struct(F.row_number().over(turn).alias("place"), F.col("phase").cast("long").alias("at"))).withColumn("phase", F.lit(1))
+        other = seeds.select("query_id", "doc_id").distinct().join(body, "doc_id").select("query_id", "doc_id", "pos", F.struct(F.lit(0).alias("place"), F.col("pos").alias("at")).alias("order"))
+        both = both.unionByName(other.withColumn("phase", F.lit(3)).join(seeds.select("query_id", "doc_id", "pos"), ["query_id", "doc_id", "pos"], "left_anti"))
     once = both.withColumn("copy", F.row_number().over(Window.partitionBy("query_id", "doc_id", "pos").orderBy("phase", "order"))).where("copy = 1")
     return once.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= budget).select("query_id", "doc_id", "pos", F.col("rank").cast("long").alias("rank"))
 
@@ -50,3 +57,36 @@ def split_groups(ranked: DataFrame, current: int = 4, support: int = 3) -> DataF
     """With `group`: the first hits answer, the next support, others are left out."""
     group = F.when(F.col("rank") <= current, "current").when(F.col("rank") <= current + support, "support")
     return ranked.withColumn("group", group).where("group is not null")
+
+
+def structural_context(ranked: DataFrame, filled: DataFrame, seeds: int = 8, total: int = 15, more: int = 4, strategy: str = "section_first") -> DataFrame:
+    """query_id, doc_id, pos, part, place: the context of each query of `ranked` (query_id, doc_id, pos, rank).
+
+    The `seeds` best are current; their expansion up to `total` supports them, then the `more` next hits as far as there is room.
+    """
+    chosen = ranked.where(F.col("rank") <= seeds).select("query_id", "doc_id", "pos", F.col("rank").alias("seed_rank"))
+    room = chosen.groupBy("query_id").agg((F.lit(total) - F.count(F.lit(1))).alias("room"))
+    around = expand(filled, chosen, total, strategy).join(room, "query_id").where(F.col("rank") <= F.col("room")).select("query_id", "doc_id", "pos", F.lit(0).alias("turn"), "rank")
+    later = ranked.where(F.col("rank").between(seeds + 1, seeds + more)).select("query_id", "doc_id", "pos", F.lit(1).alias("turn"), "rank")
+    return _parts(chosen.select("query_id", "doc_id", "pos", F.col("seed_rank").alias("rank")), around.unionByName(later)).join(room, "query_id").where("part = 'current' or place <= room").drop("room")
+
+
+def retrieval_context(ranked: DataFrame, blocks: DataFrame, wide: DataFrame) -> DataFrame:
+    """query_id, doc_id, pos, part, place: the first 3 hits (4 for a wide question) are current, the next 4 (6) support them, and 4 (6) at most of the blocks before and
+    after the first two. wide: (query_id, wide). blocks: (doc_id, pos)."""
+    both = ranked.join(wide, "query_id")
+    n = F.when(F.col("wide"), 4).otherwise(3)
+    most = F.when(F.col("wide"), 6).otherwise(4)
+    current = both.where(F.col("rank") <= n).select("query_id", "doc_id", "pos", "rank")
+    later = both.where((F.col("rank") > n) & (F.col("rank") <= n + most)).select("query_id", "doc_id", "pos", F.lit(0).alias("turn"), "rank")
+    sides = both.where("rank <= 2").select("query_id", "doc_id", "rank", "wide", F.posexplode(F.array(F.col("pos") - 1, F.col("pos") + 1)).alias("k", "pos")).join(blocks.select("doc_id", "pos"), ["doc_id", "pos"], "left_semi")
+    placed = sides.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "k")).cast("long")).where(F.col("rank") <= most)
+    return _parts(current, later.unionByName(placed.select("query_id", "doc_id", "pos", F.lit(1).alias("turn"), "rank")))
+
+
+def _parts(current: DataFrame, support: DataFrame) -> DataFrame:
+    """Both, numbered in their order, each block once; what is current supports nothing."""
+    key = ["query_id", "doc_id", "pos"]
+    once = support.groupBy(*key).agg(F.min(F.struct("turn", "rank")).alias("o")).join(current.select(*key), key, "left_anti")
+    number = lambda df, order, part: df.select(*key, F.lit(part).alias("part"), F.row_number().over(Window.partitionBy("query_id").orderBy(order, "doc_id", "pos")).cast("long").alias("place"))
+    return number(current, "rank", "current").unionByName(number(once, "o", "support"))

@@ -43,14 +43,18 @@ def bm25(items: DataFrame, queries: DataFrame, tokens=X.simple_tokens, repeat_te
 
 
 def pseudo_tfidf_cosine(items: DataFrame, queries: DataFrame, tokens=X.simple_tokens) -> DataFrame:
-    """query_id, item_id, score: cosine of vectors whose weight of a term is tf / n * ln(1 + 1 / (1 + tf)); sparse, never a dense vector."""
+    """query_id, item_id, score: cosine of vectors whose weight of a term is tf / n * ln(1 + 1 / (1 + tf)); sparse, never a dense vector.
+
+    Texts are dealt by item before they become tokens, so that counting terms and measuring vectors need no further shuffle; only asked terms move on.
+    """
     weight = lambda tf, n: tf / n * F.log(1 + 1 / (1 + tf))
-    counted = items.select("item_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    length = Window.partitionBy("item_id")
-    w = counted.withColumn("w", weight(F.col("tf"), F.sum("tf").over(length))).withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(length)))
+    measured = items.select("item_id", "text").repartition("item_id").select("item_id", tokens(F.col("text")).alias("t")).select("item_id", F.size("t").alias("n"), F.explode("t").alias("term"))
+    w = measured.groupBy("item_id", "n", "term").agg(F.count(F.lit(1)).alias("tf")).select("item_id", "term", weight(F.col("tf"), F.col("n")).alias("w"))
+    norms = w.groupBy("item_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     by = Window.partitionBy("query_id")
     q = query_terms(queries, tokens).withColumn("qw", weight(F.col("qtf"), F.sum("qtf").over(by))).withColumn("qnorm", F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(by)))
-    return w.join(q, "term").groupBy("query_id", "item_id").agg((F.sum(F.col("w") * F.col("qw")) / F.first("norm") / F.first("qnorm")).alias("score"))
+    met = w.join(q, "term").groupBy("query_id", "item_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.first("qnorm").alias("qnorm"))
+    return met.join(norms, "item_id").select("query_id", "item_id", (F.col("dot") / F.col("norm") / F.col("qnorm")).alias("score"))
 
 
 def top(scored: DataFrame, k: int, by: str = "score", *ties: str) -> DataFrame:
@@ -100,18 +104,180 @@ def merge_groups(*groups: DataFrame) -> DataFrame:
     return merged.groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
 
 
+#: Queries that are sent to all executors at once; a larger batch is joined in blocks.
+QUERY_BLOCK = 1000
+
+
 def vector_top(vectors: DataFrame, queries: DataFrame, k: int, cosine: bool = False) -> DataFrame:
-    """query_id, item_id, score, rank: exact inner product (or cosine, 0 for a vector of length 0) of `queries` (query_id, q) with all `vectors`
-    (item_id, v). Queries are a stated batch, which Spark broadcasts if it is small; the rank is limited within each partition first."""
-    both = vectors.crossJoin(queries)
+    """query_id, item_id, score, rank: exact inner product (or cosine, 0 for a vector of length 0) of `queries` (query_id, q) with all `vectors` (item_id, v).
+
+    Queries are a stated batch, counted first: blocks of QUERY_BLOCK are broadcast, one after the other; each partition of vectors keeps its k best of a query before anything is shuffled.
+    """
+    n = queries.count()
+    blocks = max(1, -(-n // QUERY_BLOCK))
     score = X.dot(F.col("v"), F.col("q"))
     if cosine:
         norm = F.sqrt(X.dot(F.col("v"), F.col("v"))) * F.sqrt(X.dot(F.col("q"), F.col("q")))
         score = F.when(norm == 0, 0.0).otherwise(score / norm)
-    return top(both.select("query_id", "item_id", F.round(score, 6).alias("score")), k)
+    out = None
+    for block in range(blocks):
+        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        best = top(vectors.crossJoin(F.broadcast(own)).select("query_id", "item_id", F.round(score, 6).alias("score")), k)
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
+# What marks a question that asks for more than one thing; of the first list, of questions to structured text.
+WIDE = ["哪些", "什么", "如何", "流程", "步骤", "模块", "功能", "维度", "关键", "创新", "区别", "为什么", "怎么"]
+WIDE_STRUCTURED = WIDE + ["compare", "difference", "how", "what", "which", "why", "explain", "describe", "list", "steps", "process"]
+
+
+def is_wide(question: Column, markers: list[str] = WIDE) -> Column:
+    out = F.lit(False)
+    for m in markers:
+        out = out | F.contains(F.lower(F.coalesce(question, F.lit(""))), F.lit(m))
+    return out
+
+
+def adaptive_k(question: Column, asked: int = 5) -> Column:
+    """How many hits to look for: 6 or more for a wide question, else 3 or more, 20 at most."""
+    return F.least(F.lit(20), F.greatest(F.lit(max(1, asked)), F.when(is_wide(question), 6).otherwise(3)))
+
+
+def structured_k(question: Column, asked: int = 5) -> Column:
+    """The same for structured text: 8 to 15, or 3 to 10."""
+    base = F.lit(max(1, asked))
+    return F.when(is_wide(question, WIDE_STRUCTURED), F.least(F.lit(15), F.greatest(base, F.lit(8)))).otherwise(F.least(F.lit(10), F.greatest(base, F.lit(3))))
+
+
+def fetch_sizes(question: Column, selected: Column) -> Column:
+    """(fetch, keep): how many hits to fetch and to keep, more if blocks were selected by hand or the question is wide."""
+    wide = is_wide(question)
+    return F.struct(F.when(selected, F.when(wide, 12).otherwise(8)).otherwise(F.when(wide, 10).otherwise(6)).alias("fetch"), F.when(wide, 6).otherwise(5).alias("keep"))
+
+
+def share_of(terms: Column, text: Column, tokens=X.simple_tokens) -> Column:
+    """Share of the distinct query terms that stand in the text."""
+    return F.size(F.array_intersect(terms, tokens(text))) / F.greatest(F.size(terms), F.lit(1))
+
+
+def structure_match(terms: Column, path: Column, heading: Column, kind: Column) -> Column:
+    """Share of the terms in path, heading and kind of a block, a little more for one with a heading and for a title; 0 without any token there."""
+    text = F.concat_ws("\n", path, heading, kind)
+    bonus = F.when(F.trim(heading) != "", 0.05).otherwise(0.0) + F.when(F.contains(F.lower(kind), F.lit("title")), 0.04).otherwise(0.0)
+    score = F.least(F.lit(1.0), share_of(terms, text, X.search_tokens) + bonus)
+    return F.when((F.size(terms) == 0) | (F.size(X.search_tokens(text)) == 0), 0.0).otherwise(score)
+
+
+def structure_weighted(terms: Column, path: Column, heading: Column) -> Column:
+    """Half for the heading, .3 for the path, .1 for having a heading."""
+    return F.least(F.lit(1.0), 0.5 * share_of(terms, heading) + 0.3 * share_of(terms, path) + F.when(F.trim(heading) != "", 0.1).otherwise(0.0))
 
 
-def adaptive_k(question: Column, base: int = 5) -> Column:
-    """More for questions that compare or ask for all of something, or are long."""
-    wide = F.lower(question).rlike("compare|difference|versus|all |list|summar|overview")
-    return (F.lit(base) + F.when(wide, 4).otherwise(0) + F.when(F.length(question) > 200, 2).otherwise(0)).cast("int")
+def level_match(terms: Column, name: Column, path: Column, heading: Column, kind: Column) -> Column:
+    return 0.1 * share_of(terms, name) + 0.3 * share_of(terms, path) + 0.4 * share_of(terms, heading) + 0.2 * share_of(terms, kind)
+
+
+def structure_levels(terms: Column, name: Column, path: Column, heading: Column, kind: Column) -> Column:
+    """Four levels (document, path, heading, kind), a little more for one with a heading and for titles and headings."""
+    bonus = F.when(F.trim(heading) != "", 0.05).otherwise(0.0) + F.when(F.lower(kind).rlike("title|heading"), 0.03).otherwise(0.0)
+    return F.least(F.lit(1.0), level_match(terms, name, path, heading, kind) + bonus)
+
+
+def blended(vector: DataFrame, lexical: DataFrame, queries: DataFrame, vector_weight: float = 0.6, lexical_weight: float = 0.4) -> DataFrame:
+    """query_id, item_id, vector, lexical, score > 0: a weighted sum of the vector score and of BM25 by query token, 1 at most."""
+    n = queries.select("query_id", F.greatest(F.size(X.simple_tokens(F.col("question"))), F.lit(1)).alias("n_tokens"))
+    v, b = vector.select("query_id", "item_id", F.col("score").alias("vector")), lexical.select("query_id", "item_id", F.col("score").alias("lexical"))
+    both = v.join(b, ["query_id", "item_id"], "full").join(n, "query_id")
+    out = both.select("query_id", "item_id", F.coalesce("vector", F.lit(0.0)).alias("vector"), F.least(F.lit(1.0), F.coalesce("lexical", F.lit(0.0)) / F.col("n_tokens")).alias("lexical"))
+    return out.withColumn("score", vector_weight * F.col("vector") + lexical_weight * F.col("lexical")).where("score > 0")
+
+
+def with_terms(scored: DataFrame, items: DataFrame, queries: DataFrame) -> DataFrame:
+    """`scored` with the structure of its items (item_id, name, path, heading, kind, section) and the distinct terms of its queries."""
+    terms = queries.select("query_id", F.array_distinct(X.simple_tokens(F.col("question"))).alias("terms"))
+    return scored.join(items.drop("text"), "item_id").join(terms, "query_id")
+
+
+def strategy(name: str, base: DataFrame, items: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, item_id, score, rank: the k best of `base` (blended) by one of the strategies that use structure.
+
+    rerank: 3 k best, plus .2 of the share of terms in path, heading and kind, .1 for a match in the heading, .05 for one in the path; levels: 3 k best, plus .3
+    of four levels; weighted: all, vector .7, BM25 .3, structure .15; optimized: the same with the four levels and bonuses; sections: only blocks of the five sections whose path and heading
+    share most terms, or all where those have fewer than k; hierarchy: only blocks of the sections of the k / 2 best, and of those with the same path. items: (item_id, name, path,
+    heading, kind, section).
+    """
+    heading, path, kind, doc, terms = (F.col(c) for c in ("heading", "path", "kind", "name", "terms"))
+    best = lambda df, n=k: top(df.withColumn("score", F.round("score", 6)), n).select("query_id", "item_id", "score", "rank")
+    if name in ("rerank", "levels"):
+        wide = with_terms(top(base.withColumn("score", F.round("score", 9)), 3 * k).drop("rank"), items, queries)
+        if name == "levels":
+            return best(wide.withColumn("score", F.col("score") + 0.3 * level_match(terms, doc, path, heading, kind)))
+        some = lambda text: F.size(F.array_intersect(terms, X.simple_tokens(text))) > 0
+        more = 0.2 * share_of(terms, F.concat_ws(" ", path, heading, kind)) + F.when(some(heading), 0.1).otherwise(0.0) + F.when(some(path), 0.05).otherwise(0.0)
+        return best(wide.withColumn("score", F.col("score") + more))
+    if name in ("weighted", "optimized"):
+        own = structure_weighted(terms, path, heading) if name == "weighted" else structure_levels(terms, doc, path, heading, kind)
+        return best(with_terms(base, items, queries).withColumn("score", 0.7 * F.col("vector") + 0.3 * F.col("lexical") + 0.15 * own))
+    if name == "sections":
+        asked = query_terms(queries).select("query_id", "term")
+        whole = queries.select("query_id", F.size(F.array_distinct(X.simple_tokens(F.col("question")))).alias("n_terms"))
+        sections = items.where("section is not null").groupBy("section").agg(F.max(F.concat_ws(" ", path, heading)).alias("text"), F.count(F.lit(1)).alias("n_items"))
+        met = sections.select("section", "n_items", F.explode(F.array_distinct(X.simple_tokens(F.col("text")))).alias("term")).join(asked, "term").groupBy("query_id", "section", "n_items").agg(F.count(F.lit(1)).alias("common"))
+        ranked = met.join(whole, "query_id").withColumn("score", F.round(F.col("common") / F.col("n_terms"), 9))
+        five = top(ranked, 5, "score", "section").select("query_id", "section", "n_items")
+        enough = five.groupBy("query_id").agg(F.sum("n_items").alias("n")).where(F.col("n") >= k).select("query_id", F.lit(True).alias("enough"))
+        inside = base.join(items.select("item_id", "section"), "item_id").join(five.select("query_id", "section", F.lit(True).alias("inside")), ["query_id", "section"], "left").join(enough, "query_id", "left")
+        return best(inside.where("inside or enough is null"))
+    if name == "hierarchy":
+        first = top(base.withColumn("score", F.round("score", 9)), max(1, k // 2)).join(items.select("item_id", "path"), "item_id").select("query_id", "path").where("path != ''").distinct()
+        return best(base.join(items.select("item_id", "path"), "item_id").join(first, ["query_id", "path"], "left_semi"))
+    raise ValueError(f"no such strategy: {name}")
+
+
+def overlap_top(items: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, item_id, score, rank: share of a query's distinct terms in an item, .5 more where the whole question stands in it."""
+    met = matches(items, queries).groupBy("query_id", "item_id").agg(F.count(F.lit(1)).alias("common"))
+    whole = queries.select("query_id", F.size(F.array_distinct(X.simple_tokens(F.col("question")))).alias("n"), X.normalize(F.col("question")).alias("asked"))
+    # an item that holds the question has all its terms: only those are looked at again
+    scored = met.join(whole, "query_id").withColumn("score", F.col("common") / F.col("n"))
+    full = scored.where("common = n").join(items.select("item_id", "text"), "item_id").where(F.contains(X.normalize(F.col("text")), F.col("asked"))).select("query_id", "item_id", F.lit(0.5).alias("more"))
+    out = scored.join(full, ["query_id", "item_id"], "left").withColumn("score", F.round(F.col("score") + F.coalesce("more", F.lit(0.0)), 6))
+    return top(out, k).select("query_id", "item_id", "score", "rank")
+
+
+def retried(hits: DataFrame, k: int, more: int = 4, least: float = 0.2) -> DataFrame:
+    """Of `hits` (query_id, item_id, score, rank up to k + more): the first k, or all where the best score is under `least`."""
+    best = F.max("score").over(Window.partitionBy("query_id"))
+    return hits.withColumn("best", best).where((F.col("rank") <= k) | ((F.col("best") < least) & (F.col("rank") <= k + more))).drop("best")
+
+
+def allowed_citations(cited: Column, allowed: Column) -> Column:
+    """Those of the cited ids that are allowed, in order."""
+    return F.filter(cited, lambda c: F.array_contains(allowed, c))
+
+
+def two_followups(asked: Column, other: str = "继续追问这部分") -> Column:
+    """The first two that aren't blank, filled up."""
+    solid = F.filter(F.transform(F.coalesce(asked, F.array().cast("array<string>")), lambda q: F.trim(F.coalesce(q, F.lit("")))), lambda q: q != "")
+    return F.slice(F.concat(solid, F.array(F.lit(other), F.lit(other))), 1, 2)
+
+
+def holding(items: DataFrame, evidence: DataFrame) -> DataFrame:
+    """query_id, item_id: which items (item_id, text) hold which whole texts of `evidence` (query_id, evidence).
+
+    Candidates come from an equi-join of words only: the longest of the evidence's words that have a blank on both sides, which an item that holds it has as a word too.
+    Texts are joined to candidates afterwards. Evidence of one or two words has no such word: it is looked for in every item, in blocks of QUERY_BLOCK that are broadcast.
+    """
+    words = F.split("evidence", " ")
+    inner = F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
+    keyed = evidence.withColumn("key", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    long, short = keyed.where("key is not null"), keyed.where("key is null and evidence is not null").select("query_id", "evidence")
+    spread = items.select("item_id", F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), " "))).alias("key"))
+    pairs = spread.join(long.select("query_id", "key"), "key").select("query_id", "item_id")
+    found = pairs.join(items.select("item_id", "text"), "item_id").join(evidence, "query_id").where(F.contains(F.col("text"), F.col("evidence"))).select("query_id", "item_id")
+    n = short.count()
+    for block in range(-(-n // QUERY_BLOCK)):
+        own = short.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // QUERY_BLOCK))) == block)
+        found = found.unionByName(items.crossJoin(F.broadcast(own)).where(F.contains(F.col("text"), F.col("evidence"))).select("query_id", "item_id"))
+    return found.distinct()

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.functions import text as X
+from docspark.operators.folds import fold_groups
 
 # What a heading looks like.
 MARKDOWN = r"^\s{0,3}(#{1,6})\s+(\S.*?)\s*$"
@@ -101,19 +101,17 @@ def fold_levels(levels: list[int]) -> list[tuple[int, int | None]]:
 
 
 def section_tree(marked: DataFrame) -> DataFrame:
-    """doc_id, pos, level, parent_pos, depth of each heading: a fold over one document's headings at a time."""
+    """doc_id, pos, level, parent_pos, depth, path (titles from the top) of each heading: a fold over one document's headings at a time."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        found = fold_levels(pdf["level"].tolist())
-        pos, depth = pdf["pos"].tolist(), []
-        for _, parent in found:
+    def fold(rows):
+        found, depth, paths, out = fold_levels([r[2] for r in rows]), [], [], []
+        for (level, parent), r in zip(found, rows):
             depth.append(1 if parent is None else depth[parent] + 1)
-        return pd.DataFrame(
-            {"doc_id": pdf["doc_id"].to_numpy(), "pos": pos, "level": [n for n, _ in found], "parent_pos": pd.array([None if p is None else pos[p] for _, p in found], "Int64"), "depth": depth}
-        )
+            paths.append([r[3]] if parent is None else [*paths[parent], r[3]])
+            out.append((r[0], r[1], level, None if parent is None else rows[parent][1], depth[-1], paths[-1]))
+        return out
 
-    return marked.where("is_heading").select("doc_id", "pos", "level").groupBy("doc_id").applyInPandas(fold, "doc_id long, pos long, level int, parent_pos long, depth int")
+    return fold_groups(marked.where("is_heading").select("doc_id", "pos", "level", "text"), ["doc_id"], ["pos"], fold, "doc_id long, pos long, level int, parent_pos long, depth int, path array<string>")
 
 
 def document_graph(marked: DataFrame, tree: DataFrame) -> DataFrame:

@@ -34,9 +34,8 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark item as a question: its first 60 characters."""
-    b = table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("question"))
+    """Each benchmark item's whole text as a question."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,19 +50,24 @@ BLOCKS = """blocks AS (
 STRIP = lambda x: rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
 TOKENS = lambda x: f"regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9]+|[一-鿿]{{2,}}')"
-BM25 = f"""
-    docs AS (SELECT doc_id AS item_id, {TOKENS('text')} AS t FROM documents),
+
+
+def bm25_sql(items: str = "SELECT doc_id AS item_id, text FROM documents") -> str:
+    return f"""
+    docs AS (SELECT item_id, {TOKENS('text')} AS t FROM ({items})),
     whole AS (SELECT count(*) AS n, greatest(avg(len(t)), 1e-6) AS avgdl FROM docs),
     tf AS (SELECT item_id, term, dl, count(*) AS tf FROM (SELECT item_id, len(t) AS dl, unnest(t) AS term FROM docs) GROUP BY ALL),
-    q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({TOKENS('left(text, 60)')}) AS term FROM benchmark) GROUP BY ALL),
+    q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({TOKENS('text')}) AS term FROM benchmark) GROUP BY ALL),
     df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
     bm25 AS (
         SELECT query_id, item_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) * qtf) AS score, count(*) AS matched
         FROM q JOIN tf USING (term) JOIN df USING (term), whole GROUP BY ALL
     )"""
-COSINE = f"""
-    dtf AS (SELECT item_id, term, count(*) AS tf FROM (SELECT doc_id AS item_id, unnest({TOKENS('text')}) AS term FROM documents) GROUP BY ALL),
-    dw AS (SELECT *, tf / sum(tf) OVER (PARTITION BY item_id) * ln(1 + 1 / (1 + tf)) AS w FROM dtf),
+
+
+BM25 = bm25_sql()
+COSINE = """
+    dw AS (SELECT *, tf / dl * ln(1 + 1 / (1 + tf)) AS w FROM tf),
     dn AS (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS norm FROM dw),
     qw AS (SELECT *, qtf / sum(qtf) OVER (PARTITION BY query_id) * ln(1 + 1 / (1 + qtf)) AS qw FROM q),
     qn AS (SELECT *, sqrt(sum(qw * qw) OVER (PARTITION BY query_id)) AS qnorm FROM qw),

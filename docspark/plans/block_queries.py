@@ -90,13 +90,13 @@ def region_to_block(spark, sf_dir):
 def titled(spark, sf_dir):
     """Blocks, of which every seventh is numbered as a heading and every eleventh marked as one."""
     b = blocks(spark, sf_dir)
-    head = F.concat(F.lit("1"), F.when(F.col("pos") % 14 == 7, "").otherwise(".2"), F.lit(" "), F.substring("content", 1, 30))
-    mark = F.concat(F.repeat(F.lit("#"), (F.col("pos") % 3 + 1).cast("int")), F.lit(" "), F.substring("content", 1, 40))
-    return b.withColumn("content", F.when(F.col("pos") % 11 == 3, mark).when(F.col("pos") % 7 == 0, head).otherwise(F.substring("content", 1, 400)))
+    head = F.concat(F.lit("1"), F.when(F.col("pos") % 14 == 7, "").otherwise(".2"), F.lit(" "), F.col("content"))
+    mark = F.concat(F.repeat(F.lit("#"), (F.col("pos") % 3 + 1).cast("int")), F.lit(" "), F.col("content"))
+    return b.withColumn("content", F.when(F.col("pos") % 11 == 3, mark).when(F.col("pos") % 7 == 0, head).otherwise(F.col("content")))
 
 
-HEAD = rf"""t AS (SELECT doc_id, pos, page, idx, CASE WHEN pos % 11 = 3 THEN repeat('#', CAST(pos % 3 + 1 AS INTEGER)) || ' ' || left(content, 40)
-        WHEN pos % 7 = 0 THEN '1' || CASE WHEN pos % 14 = 7 THEN '' ELSE '.2' END || ' ' || left(content, 30) ELSE left(content, 400) END AS content FROM blocks),
+HEAD = rf"""t AS (SELECT doc_id, pos, page, idx, CASE WHEN pos % 11 = 3 THEN repeat('#', CAST(pos % 3 + 1 AS INTEGER)) || ' ' || content
+        WHEN pos % 7 = 0 THEN '1' || CASE WHEN pos % 14 = 7 THEN '' ELSE '.2' END || ' ' || content ELSE content END AS content FROM blocks),
     c AS (SELECT *, {STRIP(r"regexp_replace(regexp_replace(" + STRIP(r"regexp_replace(content, '[ \t]+', ' ', 'g')") + r", '<[^>]+>', chr(10), 'g'), '\n{2,}', chr(10), 'g')")} AS x FROM t),
     m AS (SELECT *, regexp_extract(x, '^\s{{0,3}}(#{{1,6}})\s+(\S.*?)\s*$', 1) AS marks, {STRIP(r"regexp_replace(CASE WHEN regexp_extract(x, '^\s{0,3}(#{1,6})\s+(\S.*?)\s*$', 1) != '' THEN regexp_extract(x, '^\s{0,3}(#{1,6})\s+(\S.*?)\s*$', 2) ELSE x END, '\s+', ' ', 'g')")} AS h FROM c),
     d AS (SELECT *, regexp_extract(h, '^\s*([0-9]+(?:\.[0-9]+){{0,6}})([.)])?\s+(\S.{{0,120}})$', 1) AS n1, regexp_extract(h, '^\s*([0-9]+\.[0-9]+(?:\.[0-9]+){{0,5}})([.)])?(\S.{{0,120}})$', 1) AS n2 FROM m),
@@ -113,7 +113,7 @@ HEAD = rf"""t AS (SELECT doc_id, pos, page, idx, CASE WHEN pos % 11 = 3 THEN rep
     l AS (SELECT *, CASE kind WHEN 'numbered_body' THEN NULL WHEN 'attached' THEN -1 WHEN 'decimal' THEN least(len(regexp_extract_all(num, '\.')) + 1, 6) WHEN 'chapter' THEN 1 WHEN 'common' THEN 1 ELSE CASE WHEN marks != '' THEN length(marks) END END AS lv,
         CASE WHEN h = '' THEN 0 ELSE round(least(greatest(CASE WHEN marks != '' THEN 0.72 ELSE 0 END + CASE kind WHEN 'numbered_body' THEN -0.2 WHEN 'attached' THEN 0.56 WHEN 'decimal' THEN 0.78 WHEN 'chapter' THEN 0.78 WHEN 'common' THEN 0.62 ELSE 0 END
         + CASE WHEN length(h) <= 140 THEN 0.12 ELSE -0.25 END + 0.06 + CASE WHEN regexp_matches(h, '[A-Za-z]') THEN 0.03 ELSE 0 END, 0), 1), 6) END AS confidence FROM k),
-    heads AS (SELECT doc_id, pos, page, idx, h, coalesce(h != '' AND confidence >= 0.52 AND lv IS NOT NULL, false) AS is_heading, CAST(lv AS INTEGER) AS lv, CAST(confidence AS DOUBLE) AS confidence, CASE WHEN h = '' THEN 'empty' ELSE kind END AS pattern FROM l)"""
+    heads AS (SELECT doc_id, pos, page, idx, h, content, coalesce(h != '' AND confidence >= 0.52 AND lv IS NOT NULL, false) AS is_heading, CAST(lv AS INTEGER) AS lv, CAST(confidence AS DOUBLE) AS confidence, CASE WHEN h = '' THEN 'empty' ELSE kind END AS pattern FROM l)"""
 
 
 def marked(spark, sf_dir):
@@ -147,10 +147,13 @@ def formal(spark, sf_dir):
     return marked(spark, sf_dir).withColumn("is_heading", F.col("is_heading") & (F.coalesce("level", F.lit(-1)) > 0))
 
 
-@query(f"WITH {BLOCKS}, {HEAD}, {TREE} SELECT * FROM tree")
+@query(f"""WITH RECURSIVE {BLOCKS}, {HEAD}, {TREE}, named AS (SELECT t.*, h.h FROM tree t JOIN heads h USING (doc_id, pos)),
+    walk AS (SELECT doc_id, pos, level, parent_pos, h AS path FROM named WHERE parent_pos IS NULL
+             UNION ALL SELECT n.doc_id, n.pos, n.level, n.parent_pos, w.path || ' > ' || n.h FROM named n JOIN walk w ON n.doc_id = w.doc_id AND n.parent_pos = w.pos)
+    SELECT doc_id, pos, level, parent_pos, md5(path) AS path FROM walk""")
 def section_tree(spark, sf_dir):
-    """Formal headings only, whose parent is the nearest before of a smaller level; attached ones are covered by tests."""
-    return S.section_tree(formal(spark, sf_dir)).select("doc_id", "pos", "level", "parent_pos")
+    """Formal headings only, whose parent is the nearest before of a smaller level, with the titles from the top; attached ones are covered by tests."""
+    return S.section_tree(formal(spark, sf_dir)).select("doc_id", "pos", "level", "parent_pos", F.md5(F.array_join("path", " > ").cast("binary")).alias("path"))
 
 
 @query(f"""WITH {BLOCKS}, {HEAD}, {TREE}, g AS (SELECT * REPLACE (is_heading AND coalesce(lv, -1) > 0 AS is_heading) FROM heads),
@@ -162,31 +165,31 @@ def doc_graph(spark, sf_dir):
     return S.document_graph(own, S.section_tree(own))
 
 
-SEED = "seeds AS (SELECT doc_id % 50 AS query_id, doc_id, pos, CAST(doc_id // 50 AS BIGINT) AS seed_rank FROM heads WHERE pos = 2 AND doc_id < 500)"
+SEED = "seeds AS (SELECT doc_id // 500 AS query_id, doc_id, pos, CAST(doc_id // 50 % 10 AS BIGINT) AS seed_rank FROM heads WHERE pos = 2 AND doc_id % 50 = 0)"
 SIDES = """near AS (SELECT *, [lag(pos) OVER d, lead(pos) OVER d, lag(pos) OVER p, lead(pos) OVER p] AS near FROM filled WINDOW d AS (PARTITION BY doc_id ORDER BY pos), p AS (PARTITION BY doc_id, page ORDER BY pos)),
     own AS (SELECT s.*, n.section_pos, n.near FROM seeds s JOIN near n USING (doc_id, pos)),
     one AS (SELECT query_id, doc_id, f.pos, min((place, f.pos)) AS o FROM (SELECT query_id, doc_id, section_pos, min(seed_rank) AS place FROM own GROUP BY ALL) JOIN filled f USING (doc_id, section_pos) WHERE NOT f.is_heading GROUP BY ALL),
     two AS (SELECT query_id, doc_id, pos, min((seed_rank, k)) AS o FROM (SELECT query_id, doc_id, seed_rank, unnest(near) AS pos, generate_subscripts(near, 1) - 1 AS k FROM own) WHERE pos IS NOT NULL GROUP BY ALL)"""
 
 
-def expansion(first: int, second: int, half: int | None = None) -> str:
+def expansion(first: int, second: int, half: int | None = None, seed: str = SEED, budget: int = 12, lead: str = "") -> str:
     limit = f"WHERE phase = 2 OR n <= {half}" if half else ""
-    return f"""WITH {BLOCKS}, {HEAD}, {FILL}, {SEED}, {SIDES},
+    return f"""WITH {lead or BLOCKS + "," + HEAD + "," + FILL}, {seed}, {SIDES},
     a AS (SELECT *, {first} AS phase FROM one UNION ALL SELECT *, {second} AS phase FROM two),
     u AS (SELECT *, row_number() OVER (PARTITION BY query_id, phase ORDER BY o, doc_id) AS n FROM a ANTI JOIN seeds USING (query_id, doc_id, pos)),
     x AS (SELECT * FROM u {limit} QUALIFY row_number() OVER (PARTITION BY query_id, doc_id, pos ORDER BY phase, o) = 1)
-    SELECT query_id, doc_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY phase, o, doc_id) AS rank FROM x QUALIFY rank <= 12"""
+    SELECT query_id, doc_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY phase, o, doc_id) AS rank FROM x QUALIFY rank <= {budget}"""
 
 
 def expanded(spark, sf_dir, strategy):
     filled = S.fill_sections(marked(spark, sf_dir))
-    seeds = filled.where("pos = 2 and doc_id < 500").select((F.col("doc_id") % 50).alias("query_id"), "doc_id", "pos", F.floor(F.col("doc_id") / 50).cast("long").alias("seed_rank"))
+    seeds = filled.where("pos = 2 and doc_id % 50 = 0").select(F.floor(F.col("doc_id") / 500).cast("long").alias("query_id"), "doc_id", "pos", F.floor(F.col("doc_id") / 50 % 10).cast("long").alias("seed_rank"))
     return C.expand(filled, seeds, 12, strategy)
 
 
 @query(expansion(1, 2))
 def section_first_expand(spark, sf_dir):
-    """Seeds: the third line of each of the documents 0 to 499, fifty to a query's rank."""
+    """Seeds: the third line of each document whose id is divisible by 50, ten documents to a query."""
     return expanded(spark, sf_dir, "section_first")
 
 
@@ -200,6 +203,16 @@ def mixed_expand(spark, sf_dir):
     return expanded(spark, sf_dir, "mixed")
 
 
+@query(f"""WITH {BLOCKS}, {HEAD}, {FILL}, {SEED}, {SIDES},
+    u AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY o, doc_id) AS n FROM (SELECT *, 1 AS kind FROM one UNION ALL SELECT *, 2 FROM two) ANTI JOIN seeds USING (query_id, doc_id, pos)),
+    other AS (SELECT DISTINCT s.query_id, s.doc_id, f.pos FROM seeds s JOIN filled f USING (doc_id) WHERE NOT f.is_heading AND f.section_pos IS NOT NULL),
+    a AS (SELECT query_id, doc_id, pos, 1 AS phase, CAST(n AS BIGINT) AS x, CAST(kind AS BIGINT) AS y FROM u UNION ALL SELECT *, 3, 0, pos FROM other ANTI JOIN seeds USING (query_id, doc_id, pos)),
+    x AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY query_id, doc_id, pos ORDER BY phase, x, y) = 1)
+    SELECT query_id, doc_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY phase, x, y, doc_id) AS rank FROM x QUALIFY rank <= 12""")
+def interleaved_expand(spark, sf_dir):
+    return expanded(spark, sf_dir, "interleaved")
+
+
 G = r"""CASE WHEN regexp_replace(content, '\s+', '', 'g') = '' THEN 0 ELSE 1 - len(regexp_extract_all(regexp_replace(content, '\s+', '', 'g'), '[\p{L}\p{N}.,;:!?''"()\-]')) / length(regexp_replace(content, '\s+', '', 'g')) END"""
 PAGE = f"""pq AS (SELECT doc_id, page, sum(n)::BIGINT AS char_len, count(*) AS n_blocks, avg(CASE WHEN n = 0 THEN 1.0 ELSE 0 END) AS er, coalesce(avg(CASE WHEN n > 0 THEN g END), 1) AS gr, count(*) FILTER (n > 0) AS nl
         FROM (SELECT *, length(regexp_replace(content, '\\s+', '', 'g')) AS n, {G} AS g FROM blocks) GROUP BY ALL),

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docspark.functions import text as X
+from docspark.operators import context as C
 from docspark.operators import retrieval as R
-from docspark.plans.base import BM25, COSINE, HYBRID, items, query, questions, table
+from docspark.operators import structure as S
+from docspark.plans.base import BLOCKS, BM25, COSINE, HYBRID, TOKENS, blocks, bm25_sql, items, query, questions, table
+from docspark.plans.block_queries import FILL, HEAD, SIDES
+from docspark.plans.block_queries import marked as headed
+from docspark.plans.text_queries import normal
 
 
 def lexical(spark, sf_dir):
@@ -85,12 +90,11 @@ def cosine_topk(spark, sf_dir):
     return R.vector_top(*vectors(spark, sf_dir), 10, cosine=True)
 
 
-@query(f"""WITH {VECTORS}, s AS (SELECT query_id, item_id, list_dot_product(v, q) AS d FROM v, q)
+@query(f"""WITH {VECTORS}, s AS (SELECT query_id, item_id, round(list_dot_product(v, q), 6) AS d FROM v, q QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(v, q), 6) DESC, item_id) <= 20)
     SELECT query_id, item_id, round((d - min(d) OVER w) / (max(d) OVER w - min(d) OVER w), 6) AS share FROM s WINDOW w AS (PARTITION BY query_id)""")
 def minmax_norm(spark, sf_dir):
-    v, q = vectors(spark, sf_dir)
-    scored = v.crossJoin(q).select("query_id", "item_id", X.dot(F.col("v"), F.col("q")).alias("d"))
-    return scored.select("query_id", "item_id", F.round(R.min_max(F.col("d"), "query_id"), 6).alias("share"))
+    """Of each query's twenty best."""
+    return R.vector_top(*vectors(spark, sf_dir), 20).select("query_id", "item_id", F.round(R.min_max(F.col("score"), "query_id"), 6).alias("share"))
 
 
 @query(f"""WITH {BM25}, h AS (SELECT query_id, item_id, round(score, 9) AS score FROM bm25 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) <= 10),
@@ -105,26 +109,25 @@ def selected_boost_rank(spark, sf_dir):
     return hits.join(chosen, "item_id", "left").select("query_id", "item_id", F.round(F.col("score") + boost, 6).alias("score"))
 
 
-@query("""SELECT conv_id, turn, CAST(5 + CASE WHEN regexp_matches(lower(text), 'compare|difference|versus|all |list|summar|overview') THEN 4 ELSE 0 END
-       + CASE WHEN length(text) > 200 THEN 2 ELSE 0 END AS INTEGER) AS k FROM conversations WHERE role = 'user'""")
+marked = lambda names: " OR ".join(f"contains(lower(text), '{m}')" for m in names)
+WIDE = f"({marked(R.WIDE)})"
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN {WIDE} THEN 6 ELSE 5 END AS k, CASE WHEN {marked(R.WIDE_STRUCTURED)} THEN 8 ELSE 5 END AS structured,
+    CASE WHEN turn > 1 THEN CASE WHEN {WIDE} THEN 12 ELSE 8 END ELSE CASE WHEN {WIDE} THEN 10 ELSE 6 END END AS fetch, CASE WHEN {WIDE} THEN 6 ELSE 5 END AS keep FROM conversations WHERE role = 'user'""")
 def adaptive_k(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", R.adaptive_k(F.col("text")).alias("k"))
+    """Later questions count as having blocks selected by hand."""
+    t = table(spark, sf_dir, "conversations").where("role = 'user'")
+    sizes = R.fetch_sizes(F.col("text"), F.col("turn") > 1)
+    return t.select("conv_id", "turn", R.adaptive_k(F.col("text")).alias("k"), R.structured_k(F.col("text")).alias("structured"), sizes.alias("s")).select("conv_id", "turn", "k", "structured", "s.fetch", "s.keep")
 
 
 GOLD = "gold AS (SELECT item_id AS query_id, doc_id AS item_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text))"
 
 
 def gold(spark, sf_dir):
-    """Where a benchmark item's whole text stands in a document: verified after the item's rarest part, its longest word, is found by an equi-join."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("evidence"))
-    words = F.filter(F.split("evidence", " "), lambda w: F.length(w) > 0)
-    # the first and the last word may be parts of words in a document; those between are not
-    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(1)))
-    b = b.withColumn("key", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text")
-    keyed = own.withColumn("key", F.explode(F.array_distinct(F.split("text", " "))))
-    found = keyed.join(b, "key").where(F.col("text").contains(F.col("evidence")))
-    return found.select("query_id", "item_id")
+    return R.holding(items(spark, sf_dir), b)
 
 
 @query(f"WITH {GOLD} SELECT query_id, item_id FROM gold")
@@ -149,3 +152,159 @@ def grid_summary(spark, sf_dir):
     from docspark.operators.evaluation import grid
 
     return grid(R.top(lexical(spark, sf_dir), 10), gold(spark, sf_dir), [1, 3, 5])
+
+
+# Blocks with their sections as items.
+SECTIONS = f"""{BLOCKS}, {HEAD}, sec AS (SELECT heads.doc_id * 1000000 + pos AS item_id, content AS text, source AS name, CASE WHEN is_heading THEN 'title' ELSE 'text' END AS kind,
+        coalesce(last_value(CASE WHEN is_heading THEN h END IGNORE NULLS) OVER w, '') AS heading,
+        concat_ws(' > ', last_value(CASE WHEN is_heading AND lv = 1 THEN h END IGNORE NULLS) OVER w, last_value(CASE WHEN is_heading THEN h END IGNORE NULLS) OVER w) AS path,
+        heads.doc_id || '_' || last_value(CASE WHEN is_heading THEN pos END IGNORE NULLS) OVER w AS section
+    FROM heads JOIN documents USING (doc_id) WINDOW w AS (PARTITION BY heads.doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING))"""
+SHARE = lambda x: f"len(list_intersect(terms, {TOKENS(x)})) / greatest(len(terms), 1)"
+LEVELS = f"(0.1 * {SHARE('name')} + 0.3 * {SHARE('path')} + 0.4 * {SHARE('heading')} + 0.2 * {SHARE('kind')})"
+BLEND = f"""{bm25_sql('SELECT item_id, text FROM sec')}, {COSINE}, asked AS (SELECT item_id AS query_id, greatest(len({TOKENS('text')}), 1) AS nt, list_distinct({TOKENS('text')}) AS terms FROM benchmark),
+    base AS (SELECT * FROM (SELECT query_id, item_id, vector, lexical, 0.6::DOUBLE * vector + 0.4::DOUBLE * lexical AS score FROM (SELECT query_id, item_id, coalesce(v.score, 0) AS vector, least(1.0::DOUBLE, coalesce(b.score, 0) / nt) AS lexical
+        FROM cosine v FULL JOIN bm25 b USING (query_id, item_id) JOIN asked USING (query_id))) WHERE score > 0)"""
+BEST = "SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM ({}) QUALIFY rank <= 10"
+FIRST = "SELECT * FROM (SELECT * REPLACE (round(score, 9) AS score) FROM base) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) <= {}"
+
+
+def section_items(spark, sf_dir):
+    """Lines as items: item_id, text, name (the document's source), heading, path (the last heading of the first level and the last of all), kind, section."""
+    marked = headed(spark, sf_dir)
+    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda value, when: F.last(F.when(when, value), ignorenulls=True).over(w)
+    yes, text = F.col("is_heading"), F.col("text")
+    found = marked.select("doc_id", "pos", "content", yes, last(text, yes).alias("heading"), last(text, yes & (F.col("level") == 1)).alias("top"), last(F.col("pos"), yes).alias("section_pos"))
+    found = found.join(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("name")), "doc_id")
+    return found.select(
+        (F.col("doc_id") * 1000000 + F.col("pos")).alias("item_id"), F.col("content").alias("text"), "name", F.when(yes, "title").otherwise("text").alias("kind"), F.coalesce("heading", F.lit("")).alias("heading"),
+        F.concat_ws(" > ", "top", "heading").alias("path"), F.when(F.col("section_pos").isNotNull(), F.concat(F.col("doc_id"), F.lit("_"), F.col("section_pos"))).alias("section"),
+    )
+
+
+def by_strategy(spark, sf_dir, name):
+    own, asked = section_items(spark, sf_dir), questions(spark, sf_dir)
+    base = R.blended(R.pseudo_tfidf_cosine(own, asked), R.bm25(own, asked), asked)
+    return base if name is None else R.strategy(name, base, own, asked)
+
+
+@query(f"WITH {SECTIONS}, {BLEND}, f AS ({FIRST.format(20)}) SELECT query_id, item_id, round(CASE WHEN len(terms) = 0 OR len({TOKENS('concat_ws(chr(10), path, heading, kind)')}) = 0 THEN 0 ELSE least(1.0::DOUBLE, {SHARE('concat_ws(chr(10), path, heading, kind)')} + CASE WHEN trim(heading) != '' THEN 0.05 ELSE 0 END + CASE WHEN contains(kind, 'title') THEN 0.04 ELSE 0 END) END, 6) AS matched, round(least(1.0::DOUBLE, 0.5 * {SHARE('heading')} + 0.3 * {SHARE('path')} + CASE WHEN trim(heading) != '' THEN 0.1 ELSE 0 END), 6) AS weighted, round(least(1.0::DOUBLE, {LEVELS} + CASE WHEN trim(heading) != '' THEN 0.05 ELSE 0 END + CASE WHEN kind = 'title' THEN 0.03 ELSE 0 END), 6) AS levels FROM f JOIN sec USING (item_id) JOIN asked USING (query_id)")
+def structure_match(spark, sf_dir):
+    """Three structure scores of each query's twenty best blocks."""
+    own, asked = section_items(spark, sf_dir), questions(spark, sf_dir)
+    best = R.top(by_strategy(spark, sf_dir, None).withColumn("score", F.round("score", 9)), 20)
+    terms, path, heading, kind = (F.col(c) for c in ("terms", "path", "heading", "kind"))
+    three = {"matched": R.structure_match(terms, path, heading, kind), "weighted": R.structure_weighted(terms, path, heading), "levels": R.structure_levels(terms, F.col("name"), path, heading, kind)}
+    return R.with_terms(best, own, asked).select("query_id", "item_id", *[F.round(c, 6).alias(n) for n, c in three.items()])
+
+
+some = lambda x: f"len(list_intersect(terms, {TOKENS(x)})) > 0"
+SECOND = {
+    "rerank": f"SELECT query_id, item_id, round(score + 0.2 * {SHARE(chr(39).join(['concat_ws(', ' ', ', path, heading, kind)']))} + CASE WHEN {some('heading')} THEN 0.1 ELSE 0 END + CASE WHEN {some('path')} THEN 0.05 ELSE 0 END, 6) AS score FROM f JOIN sec USING (item_id) JOIN asked USING (query_id)",
+    "levels": f"SELECT query_id, item_id, round(score + 0.3 * {LEVELS}, 6) AS score FROM f JOIN sec USING (item_id) JOIN asked USING (query_id)",
+    "weighted": f"SELECT query_id, item_id, round(0.7 * vector + 0.3 * lexical + 0.15 * least(1.0::DOUBLE, 0.5 * {SHARE('heading')} + 0.3 * {SHARE('path')} + CASE WHEN trim(heading) != '' THEN 0.1 ELSE 0 END), 6) AS score FROM base JOIN sec USING (item_id) JOIN asked USING (query_id)",
+    "optimized": f"SELECT query_id, item_id, round(0.7 * vector + 0.3 * lexical + 0.15 * least(1.0::DOUBLE, {LEVELS} + CASE WHEN trim(heading) != '' THEN 0.05 ELSE 0 END + CASE WHEN kind = 'title' THEN 0.03 ELSE 0 END), 6) AS score FROM base JOIN sec USING (item_id) JOIN asked USING (query_id)",
+}
+
+
+def second(name: str) -> str:
+    return f"WITH {SECTIONS}, {BLEND}, f AS ({FIRST.format(30)}) " + BEST.format(SECOND[name])
+
+
+@query(second("rerank"))
+def structure_rerank_topk(spark, sf_dir):
+    return by_strategy(spark, sf_dir, "rerank")
+
+
+@query(second("levels"))
+def structure_levels_topk(spark, sf_dir):
+    return by_strategy(spark, sf_dir, "levels")
+
+
+@query(second("weighted"))
+def structure_weighted_topk(spark, sf_dir):
+    return by_strategy(spark, sf_dir, "weighted")
+
+
+@query(second("optimized"))
+def structure_optimized_topk(spark, sf_dir):
+    return by_strategy(spark, sf_dir, "optimized")
+
+
+@query(f"""WITH {SECTIONS}, {BLEND}, s AS (SELECT section, max(concat_ws(' ', path, heading)) AS text, count(*) AS n_items FROM sec WHERE section IS NOT NULL GROUP BY 1),
+    met AS (SELECT query_id, section, any_value(n_items) AS n_items, count(*) AS common FROM (SELECT section, n_items, unnest(list_distinct({TOKENS('text')})) AS term FROM s) JOIN q USING (term) GROUP BY ALL),
+    five AS (SELECT query_id, section, n_items FROM met JOIN asked USING (query_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(common / len(terms), 9) DESC, section) <= 5),
+    enough AS (SELECT query_id FROM five GROUP BY 1 HAVING sum(n_items) >= 10)
+    """ + BEST.format("SELECT query_id, item_id, round(score, 6) AS score FROM base JOIN sec USING (item_id) WHERE query_id NOT IN (FROM enough) OR (query_id, section) IN (SELECT (query_id, section) FROM five)"))
+def structure_sections_topk(spark, sf_dir):
+    return by_strategy(spark, sf_dir, "sections")
+
+
+@query(f"""WITH {SECTIONS}, {BLEND}, f AS ({FIRST.format(5)}), p AS (SELECT DISTINCT query_id, path FROM f JOIN sec USING (item_id) WHERE path != '')
+    """ + BEST.format("SELECT query_id, item_id, round(score, 6) AS score FROM base JOIN sec USING (item_id) JOIN p USING (query_id, path)"))
+def structure_hierarchy_topk(spark, sf_dir):
+    return by_strategy(spark, sf_dir, "hierarchy")
+
+
+@query(f"""WITH {BM25}, {COSINE}, n AS (SELECT item_id AS query_id, greatest(len({TOKENS('text')}), 1) AS nt FROM benchmark),
+    s AS (SELECT query_id, item_id, round(0.7::DOUBLE * coalesce(v.score, 0) + 0.3::DOUBLE * least(1.0::DOUBLE, coalesce(b.score, 0) / nt), 6) AS score, round(0.6::DOUBLE * coalesce(v.score, 0) + 0.4::DOUBLE * coalesce(b.score, 0), 6) AS formula
+          FROM cosine v FULL JOIN bm25 b USING (query_id, item_id) JOIN n USING (query_id))
+    SELECT query_id, item_id, score, formula, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s QUALIFY rank <= 10""")
+def weighted_hybrid_topk(spark, sf_dir):
+    """.7 vector and .3 BM25, with the raw formula beside it."""
+    own, asked = items(spark, sf_dir), questions(spark, sf_dir)
+    lexical = R.bm25(own, asked)
+    base = R.blended(R.pseudo_tfidf_cosine(own, asked), lexical, asked, 0.7, 0.3)
+    best = R.top(base.withColumn("score", F.round("score", 6)), 10).join(lexical.select("query_id", "item_id", F.col("score").alias("raw")), ["query_id", "item_id"], "left")
+    return best.select("query_id", "item_id", "score", F.round(0.6 * F.col("vector") + 0.4 * F.coalesce("raw", F.lit(0.0)), 6).alias("formula"), "rank")
+
+
+@query(f"""WITH {bm25_sql()}, a AS (SELECT item_id AS query_id, len(list_distinct({TOKENS('text')})) AS n, {normal('text')} AS asked FROM benchmark),
+    s AS (SELECT query_id, item_id, round(matched / n + CASE WHEN contains({normal('text')}, asked) THEN 0.5 ELSE 0 END, 6) AS score FROM bm25 JOIN a USING (query_id) JOIN (SELECT doc_id AS item_id, text FROM documents) USING (item_id))
+    """ + BEST.format("SELECT * FROM s"))
+def overlap_topk(spark, sf_dir):
+    return R.overlap_top(items(spark, sf_dir), questions(spark, sf_dir))
+
+
+@query(f"""WITH {BM25}, nq AS (SELECT query_id, count(*) AS n FROM q GROUP BY 1), s AS (SELECT query_id, item_id, round(score + matched / n, 6) AS score FROM bm25 JOIN nq USING (query_id)) """ + BEST.format("SELECT * FROM s"))
+def bm25_overlap_topk(spark, sf_dir):
+    """BM25 and the share of terms found."""
+    scored = R.bm25(items(spark, sf_dir), questions(spark, sf_dir))
+    both = scored.join(coverage(spark, sf_dir, scored), ["query_id", "item_id"])
+    return R.top(both.withColumn("score", F.round(F.col("score") + F.col("coverage"), 6)), 10).select("query_id", "item_id", "score", "rank")
+
+
+HITS = f"""{SECTIONS}, {BLEND}, hits AS (SELECT query_id, item_id // 1000000 AS doc_id, item_id % 1000000 AS pos, score, rank FROM (SELECT query_id, item_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, item_id) AS rank FROM base)),
+    best AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM hits)"""
+
+
+def hits(spark, sf_dir, k, more):
+    base = by_strategy(spark, sf_dir, None).withColumn("score", F.round("score", 6))
+    found = R.retried(R.top(base, k + more).select("query_id", "item_id", "score", "rank"), k, more)
+    return found.select("query_id", F.floor(F.col("item_id") / 1000000).cast("long").alias("doc_id"), (F.col("item_id") % 1000000).alias("pos"), "score", "rank")
+
+
+@query(f"""WITH {HITS}, {FILL}, ranked AS (SELECT * FROM best WHERE rank <= 20 OR (top < 0.2 AND rank <= 30)), seeds AS (SELECT query_id, doc_id, pos, rank AS seed_rank FROM ranked WHERE rank <= 8), {SIDES},
+    a AS (SELECT *, 1 AS phase FROM one UNION ALL SELECT *, 2 AS phase FROM two), x AS (SELECT * FROM a ANTI JOIN seeds USING (query_id, doc_id, pos) QUALIFY row_number() OVER (PARTITION BY query_id, doc_id, pos ORDER BY phase, o) = 1),
+    room AS (SELECT query_id, 15 - count(*) AS room FROM seeds GROUP BY 1), around AS (SELECT query_id, doc_id, pos, 0 AS turn, row_number() OVER (PARTITION BY query_id ORDER BY phase, o, doc_id) AS rank, room FROM x JOIN room USING (query_id) QUALIFY rank <= room),
+    s AS (SELECT query_id, doc_id, pos, min((turn, rank)) AS o FROM (SELECT query_id, doc_id, pos, turn, rank FROM around UNION ALL SELECT query_id, doc_id, pos, 1, rank FROM ranked WHERE rank BETWEEN 9 AND 12) GROUP BY ALL)
+    SELECT query_id, doc_id, pos, 'current' AS part, row_number() OVER (PARTITION BY query_id ORDER BY seed_rank) AS place FROM seeds
+    UNION ALL SELECT query_id, doc_id, pos, 'support', place FROM (SELECT query_id, doc_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY o, doc_id, pos) AS place FROM s ANTI JOIN seeds USING (query_id, doc_id, pos)) JOIN room USING (query_id) WHERE place <= room""")
+def lad_context(spark, sf_dir):
+    """Eight seeds of each question among all lines, expanded by section."""
+    return C.structural_context(hits(spark, sf_dir, 20, 10), S.fill_sections(headed(spark, sf_dir)))
+
+
+@query(f"""WITH {HITS}, w AS (SELECT item_id AS query_id, {WIDE} AS wide FROM benchmark), sized AS (SELECT *, CASE WHEN wide THEN 6 ELSE 5 END AS k, CASE WHEN wide THEN 4 ELSE 3 END AS c, CASE WHEN wide THEN 6 ELSE 4 END AS m FROM best JOIN w USING (query_id)),
+    ranked AS (SELECT * FROM sized WHERE rank <= k OR (top < 0.2 AND rank <= least(20, k + 4))),
+    side AS (SELECT r.query_id, r.doc_id, b.pos, r.m, row_number() OVER (PARTITION BY r.query_id ORDER BY r.rank, b.pos) AS rank FROM ranked r JOIN blocks b ON b.doc_id = r.doc_id AND b.pos IN (r.pos - 1, r.pos + 1) WHERE r.rank <= 2 QUALIFY rank <= m),
+    s AS (SELECT query_id, doc_id, pos, min((turn, rank)) AS o FROM (SELECT query_id, doc_id, pos, 0 AS turn, rank FROM ranked WHERE rank > c AND rank <= c + m UNION ALL SELECT query_id, doc_id, pos, 1, rank FROM side) GROUP BY ALL)
+    SELECT query_id, doc_id, pos, 'current' AS part, rank AS place FROM ranked WHERE rank <= c
+    UNION ALL SELECT query_id, doc_id, pos, 'support', row_number() OVER (PARTITION BY query_id ORDER BY o, doc_id, pos) FROM s ANTI JOIN (SELECT * FROM ranked WHERE rank <= c) USING (query_id, doc_id, pos)""")
+def rag_context(spark, sf_dir):
+    asked = questions(spark, sf_dir)
+    wide = asked.select("query_id", R.is_wide(F.col("question")).alias("wide"), R.adaptive_k(F.col("question")).alias("k"))
+    found = hits(spark, sf_dir, 20, 0).join(wide, "query_id").withColumn("best", F.max("score").over(Window.partitionBy("query_id")))
+    kept = found.where((F.col("rank") <= F.col("k")) | ((F.col("best") < 0.2) & (F.col("rank") <= F.least(F.lit(20), F.col("k") + 4)))).select("query_id", "doc_id", "pos", "rank")
+    return C.retrieval_context(kept, blocks(spark, sf_dir), wide.select("query_id", "wide"))

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docspark.functions import text as X
-from docspark.operators import blocks, context, evidence, graph, quality, retrieval, sessions, structure
+from docspark.operators import blocks, context, evidence, folds, graph, quality, retrieval, sessions, structure
 
 
 def one(spark, column):
@@ -177,3 +177,18 @@ def test_expansion_keeps_to_its_budget(spark):
     assert [r.pos for r in context.expand(filled, seeds, 3, "neighbor_first").orderBy("rank").collect()] == [1, 3, 4]
     with pytest.raises(ValueError):
         context.expand(filled, seeds, 3, "other")
+
+
+def test_evidence_of_any_length_is_found(spark):
+    texts = ["alpha beta gamma delta", "xalpha betay", "", "the beta", "beta", None]
+    own = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    asked = {0: "alpha beta", 1: "beta", 2: "beta gamma delta", 3: "pha beta gam", 4: "zzz", 5: "alpha beta gamma delta", 6: "a  b", 7: None}
+    rows = spark.createDataFrame(list(asked.items()), "query_id long, evidence string")
+    got = {(r.query_id, r.item_id) for r in retrieval.holding(own, rows).collect()}
+    assert got == {(q, i) for q, e in asked.items() for i, t in enumerate(texts) if e is not None and t is not None and e in t}
+
+
+def test_batched_folds(spark):
+    rows = spark.createDataFrame([(k % 7, k) for k in range(500)], "g long, v long").repartition(5)
+    got = {r.g: (r.n, r.first) for r in folds.fold_groups(rows, ["g"], ["v"], lambda group: [(group[0][0], len(group), group[0][1])], "g long, n long, first long").collect()}
+    assert got == {g: (len(range(g, 500, 7)), g) for g in range(7)} and folds.fold_groups(rows.where("false"), ["g"], ["v"], lambda g: [], "g long").count() == 0
