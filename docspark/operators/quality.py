@@ -9,21 +9,32 @@ from pyspark.sql import functions as F
 from docspark.functions import text as X
 
 
-def page_quality(blocks: DataFrame, keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
-    """Density, garbled and empty shares and line count of each page, and its score from 0 to 1."""
-    solid = F.length(F.regexp_replace("content", r"\s+", ""))
-    rows = blocks.select(*keys, solid.cast("long").alias("n"), X.garbled_ratio(F.col("content")).alias("g"))
+def page_quality(blocks: DataFrame, keys: tuple[str, ...] = ("doc_id", "page"), heavy: DataFrame | None = None) -> DataFrame:
+    """Density, garbled, wrongly decoded and empty shares and line count of each page, and its score from 0 to 1. heavy: (keys, heavy), how many of a page's pairs of boxes cover
+    each other, see layout.pair_counts."""
+    solid = F.regexp_replace("content", r"\s+", "")
+    marks = sum((F.regexp_count("content", F.lit(m)) for m in X.MOJIBAKE), F.lit(0))
+    rows = blocks.select(*keys, F.length(solid).cast("long").alias("n"), X.garbled_ratio(F.col("content")).alias("g"), marks.alias("marks"))
     page = rows.groupBy(*keys).agg(
         F.sum("n").alias("char_len"),
         F.count(F.lit(1)).alias("n_blocks"),
         F.avg(F.when(F.col("n") == 0, 1.0).otherwise(0.0)).alias("empty_ratio"),
         F.coalesce(F.avg(F.when(F.col("n") > 0, F.col("g"))), F.lit(1.0)).alias("garbled_ratio"),
         F.sum((F.col("n") > 0).cast("long")).alias("n_lines"),
+        F.sum("marks").alias("marks"),
     )
+    over = F.lit(0.0)
+    if heavy is not None:
+        page, pairs = page.join(heavy.select(*keys, "heavy"), list(keys), "left"), F.col("n_blocks") * (F.col("n_blocks") - 1) / 2
+        over = F.when(pairs > 0, F.coalesce("heavy", F.lit(0)) / pairs).otherwise(0.0)
     short = F.when(F.col("char_len") < 20, (20 - F.col("char_len")) / 20).when(F.col("char_len") > 20000, F.least(F.lit(1.0), (F.col("char_len") - 20000) / 15000)).otherwise(0.0)
     lines = F.when(F.col("n_lines") < 2, 1.0).when(F.col("n_lines") > 220, F.least(F.lit(1.0), (F.col("n_lines") - 220) / 120)).otherwise(0.0)
-    penalty = 0.25 * short + 0.3 * F.col("garbled_ratio") + 0.2 * F.col("empty_ratio") + 0.1 * lines
-    return page.select(*keys, "char_len", "n_blocks", F.round("empty_ratio", 4).alias("empty_ratio"), F.round("garbled_ratio", 4).alias("garbled_ratio"), F.round(F.greatest(F.lit(0.0), 1 - penalty), 4).alias("score"))
+    wrong = F.col("marks") / F.greatest(F.col("char_len"), F.lit(1))
+    penalty = 0.25 * short + 0.3 * F.col("garbled_ratio") + 0.15 * F.least(F.lit(1.0), 8 * wrong) + 0.2 * F.col("empty_ratio") + 0.15 * over + 0.1 * lines
+    return page.select(
+        *keys, "char_len", "n_blocks", F.round("empty_ratio", 4).alias("empty_ratio"), F.round("garbled_ratio", 4).alias("garbled_ratio"), F.round(wrong, 4).alias("mojibake_ratio"), F.round(over, 4).alias("overlap_ratio"),
+        F.round(F.greatest(F.lit(0.0), 1 - penalty), 4).alias("score"),
+    )
 
 
 def structure_quality(text: Column) -> Column:

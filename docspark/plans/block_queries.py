@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docspark.functions import text as X
 from docspark.operators import blocks as K
 from docspark.operators import context as C
+from docspark.operators import layout as L
 from docspark.operators import quality as Q
 from docspark.operators import structure as S
 from docspark.plans.base import BLOCKS, STRIP, blocks, query, table
@@ -69,14 +70,14 @@ def page_markdown(spark, sf_dir):
     return K.page_text(blocks(spark, sf_dir)).select("doc_id", "page", "n_blocks", F.md5(F.col("markdown").cast("binary")).alias("digest"))
 
 
-BOX = "box AS (SELECT doc_id, page, idx, CAST((pos * 37) % 400 AS BIGINT) AS x1, CAST(idx * 45 AS BIGINT) AS y1, CAST((pos * 37) % 400 + 200 + length(content) % 500 AS BIGINT) AS x2, CAST(idx * 45 + 40 + length(content) % 60 AS BIGINT) AS y2 FROM blocks)"
+BOX = "box AS (SELECT doc_id, page, idx, content, CAST((pos * 37) % 400 AS BIGINT) AS x1, CAST(idx * 45 AS BIGINT) AS y1, CAST((pos * 37) % 400 + 200 + length(content) % 500 AS BIGINT) AS x2, CAST(idx * 45 + 40 + length(content) % 60 AS BIGINT) AS y2 FROM blocks)"
 
 
 def boxes(spark, sf_dir):
     """Boxes by arithmetic: the tables have none."""
     b = blocks(spark, sf_dir)
     x, n = (F.col("pos") * 37) % 400, F.length("content").cast("long")
-    return b.select("doc_id", "page", "idx", x.alias("x1"), (F.col("idx") * 45).alias("y1"), (x + 200 + n % 500).alias("x2"), (F.col("idx") * 45 + 40 + n % 60).alias("y2"))
+    return b.select("doc_id", "page", "idx", "content", x.alias("x1"), (F.col("idx") * 45).alias("y1"), (x + 200 + n % 500).alias("x2"), (F.col("idx") * 45 + 40 + n % 60).alias("y2"))
 
 
 @query(f"""WITH {BLOCKS}, {BOX}, h AS (SELECT doc_id, page, idx, least(greatest(x1 - 100, 0), 1000) AS x1, least(y1, 1000) AS y1, least(x2 - 100, 1000) AS x2, least(y2, 1000) AS y2 FROM box)
@@ -213,21 +214,28 @@ def interleaved_expand(spark, sf_dir):
     return expanded(spark, sf_dir, "interleaved")
 
 
+OVER = "greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0)"
+AREA = lambda p: f"(({p}.x2 - {p}.x1) * ({p}.y2 - {p}.y1))"
+NESTED = lambda a, b: f"({a}.x1 >= {b}.x1 - 2 AND {a}.y1 >= {b}.y1 - 2 AND {a}.x2 <= {b}.x2 + 2 AND {a}.y2 <= {b}.y2 + 2 AND ({a}.x1, {a}.y1, {a}.x2, {a}.y2) != ({b}.x1, {b}.y1, {b}.x2, {b}.y2))"
+PAIRS = f"""{BOX}, pairs AS (SELECT a.doc_id, a.page, count(*) FILTER ({OVER} / ({AREA('a')} + {AREA('b')} - {OVER}) > 0.5) AS heavy, count(*) FILTER ({NESTED('a', 'b')} OR {NESTED('b', 'a')}) AS nested
+    FROM box a JOIN box b ON a.doc_id = b.doc_id AND a.page = b.page AND a.idx < b.idx GROUP BY ALL)"""
+
+
 G = r"""CASE WHEN regexp_replace(content, '\s+', '', 'g') = '' THEN 0 ELSE 1 - len(regexp_extract_all(regexp_replace(content, '\s+', '', 'g'), '[\p{L}\p{N}.,;:!?''"()\-]')) / length(regexp_replace(content, '\s+', '', 'g')) END"""
-PAGE = f"""pq AS (SELECT doc_id, page, sum(n)::BIGINT AS char_len, count(*) AS n_blocks, avg(CASE WHEN n = 0 THEN 1.0 ELSE 0 END) AS er, coalesce(avg(CASE WHEN n > 0 THEN g END), 1) AS gr, count(*) FILTER (n > 0) AS nl
-        FROM (SELECT *, length(regexp_replace(content, '\\s+', '', 'g')) AS n, {G} AS g FROM blocks) GROUP BY ALL),
-    pages_q AS (SELECT doc_id, page, char_len, n_blocks, round(er, 4) AS empty_ratio, round(gr, 4) AS garbled_ratio, round(greatest(0, 1 - (0.25 * CASE WHEN char_len < 20 THEN (20 - char_len) / 20 WHEN char_len > 20000 THEN least(1, (char_len - 20000) / 15000) ELSE 0 END
+PAGE = f"""{PAIRS}, pq AS (SELECT doc_id, page, sum(n)::BIGINT AS char_len, count(*) AS n_blocks, avg(CASE WHEN n = 0 THEN 1.0 ELSE 0 END) AS er, coalesce(avg(CASE WHEN n > 0 THEN g END), 1) AS gr, count(*) FILTER (n > 0) AS nl, sum(mk) AS mk, coalesce(any_value(heavy) / nullif(count(*) * (count(*) - 1) / 2, 0), 0) AS ov
+        FROM (SELECT blocks.*, heavy, len(regexp_extract_all(content, '{'|'.join(X.MOJIBAKE)}')) AS mk, length(regexp_replace(content, '\\s+', '', 'g')) AS n, {G} AS g FROM blocks LEFT JOIN pairs USING (doc_id, page)) GROUP BY doc_id, page),
+    pages_q AS (SELECT doc_id, page, char_len, n_blocks, round(er, 4) AS empty_ratio, round(gr, 4) AS garbled_ratio, round(mk / greatest(char_len, 1), 4) AS mojibake_ratio, round(ov, 4) AS overlap_ratio, round(greatest(0, 1 - (0.15 * least(1, 8 * mk / greatest(char_len, 1)) + 0.15 * ov + 0.25 * CASE WHEN char_len < 20 THEN (20 - char_len) / 20 WHEN char_len > 20000 THEN least(1, (char_len - 20000) / 15000) ELSE 0 END
         + 0.3 * gr + 0.2 * er + 0.1 * CASE WHEN nl < 2 THEN 1 WHEN nl > 220 THEN least(1, (nl - 220) / 120) ELSE 0 END)), 4) AS score FROM pq)"""
 
 
 @query(f"WITH {BLOCKS}, {PAGE} SELECT * FROM pages_q")
 def page_quality(spark, sf_dir):
-    return Q.page_quality(blocks(spark, sf_dir))
+    return Q.page_quality(blocks(spark, sf_dir), heavy=L.pair_counts(boxes(spark, sf_dir)))
 
 
 @query(f"WITH {BLOCKS}, {PAGE} SELECT doc_id, count(*) AS n_pages, round(avg(score), 4) AS mean_score, min(score) AS worst_score, count(*) FILTER (score < 0.6) AS n_low FROM pages_q GROUP BY doc_id")
 def doc_quality_rollup(spark, sf_dir):
-    return Q.rollup(Q.page_quality(blocks(spark, sf_dir)))
+    return Q.rollup(page_quality(spark, sf_dir))
 
 
 @query(r"""WITH t AS (SELECT page_id, html, list_filter(list_transform(string_split(html, chr(10)), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p != '') AS l FROM pages),
@@ -238,14 +246,10 @@ def structure_quality(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", Q.structure_quality(F.col("html")).alias("q")).select("page_id", "q.*")
 
 
-OVER = "greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0)"
-AREA = lambda p: f"(({p}.x2 - {p}.x1) * ({p}.y2 - {p}.y1))"
-
-
 @query(f"""WITH {BLOCKS}, {BOX}, o AS (SELECT a.doc_id, a.page, a.idx AS i, b.idx AS j, {OVER} AS o, {AREA('a')} + {AREA('b')} AS s FROM box a JOIN box b ON a.doc_id = b.doc_id AND a.page = b.page AND a.idx < b.idx)
     SELECT doc_id, page, i, j, round(o / (s - o), 6) AS iou FROM o WHERE o > 0""")
 def iou_pairs(spark, sf_dir):
-    return Q.box_pairs(boxes(spark, sf_dir))
+    return Q.box_pairs(boxes(spark, sf_dir).drop("content"))
 
 
 @query(f"""WITH {BLOCKS}, {BOX} SELECT doc_id, page, idx FROM box a WHERE NOT EXISTS (SELECT 1 FROM box b WHERE a.doc_id = b.doc_id AND a.page = b.page AND a.idx != b.idx
@@ -287,3 +291,107 @@ def docs_index_upsert(spark, sf_dir):
     old = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("v"), F.lit(0).alias("version"))
     new = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("long").alias("v"), F.lit(1).alias("version"))
     return first_best(old.unionByName(new), ["doc_id"], F.col("version").desc(), F.col("v").desc())
+
+
+ISSUES = "list_sort(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in {
+    "high_empty_block_ratio": "empty > 0.25", "consecutive_empty_blocks": "longest >= 3", "high_empty_block_area_ratio": "empty_area > 0.2", "heavy_bbox_overlap": "heavy > 0.1", "nested_bbox_anomaly": "nested > 0.08",
+    "low_layout_coverage": "coverage < 0.15", "high_layout_coverage": "coverage > 0.95", "layout_fragmentation": "fragments > 1.2"}.items()) + "], lambda x: x IS NOT NULL))"
+LAYOUT = f"""{PAIRS}, o AS (SELECT *, trim(content) = '' AS e, sum(CASE WHEN trim(content) = '' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page ORDER BY (y1 + y2) / 2, x1, idx ROWS UNBOUNDED PRECEDING) AS run FROM box),
+    lo AS (SELECT doc_id, page, max(n) AS longest FROM (SELECT doc_id, page, run, count(*) FILTER (e) AS n FROM o GROUP BY ALL) GROUP BY ALL),
+    pa AS (SELECT doc_id, page, count(*) AS n_blocks, count(*) FILTER (e) / count(*) AS empty, sum((x2 - x1) * (y2 - y1)) AS covered, coalesce(sum((x2 - x1) * (y2 - y1)) FILTER (e), 0) AS ea, greatest(1, (max(x2) - min(x1)) * (max(y2) - min(y1))) AS whole FROM o GROUP BY ALL),
+    lm AS (SELECT *, n_blocks / greatest(1.0::DOUBLE, coverage * 100) AS fragments FROM (SELECT doc_id, page, n_blocks, longest, empty, ea / whole AS empty_area, CASE WHEN n_blocks > 1 THEN coalesce(heavy, 0) / (n_blocks * (n_blocks - 1) / 2) ELSE 0 END AS heavy,
+        CASE WHEN n_blocks > 1 THEN coalesce(nested, 0) / (n_blocks * (n_blocks - 1) / 2) ELSE 0 END AS nested, least(1.0::DOUBLE, covered / whole) AS coverage FROM pa JOIN lo USING (doc_id, page) LEFT JOIN pairs USING (doc_id, page))),
+    layout AS (SELECT doc_id, page, n_blocks, longest, round(empty, 4) AS empty, round(empty_area, 4) AS empty_area, round(heavy, 4) AS heavy, round(nested, 4) AS nested, round(coverage, 4) AS coverage, round(fragments, 4) AS fragments,
+        array_to_string({ISSUES}, ',') AS issues, round(greatest(0, least(1, 1 - (least(0.25::DOUBLE, empty * 0.6) + least(0.18::DOUBLE, empty_area * 0.6) + least(0.15::DOUBLE, longest * 0.05) + least(0.16::DOUBLE, heavy * 0.8) + least(0.12::DOUBLE, nested * 1.2)
+        + CASE WHEN coverage < 0.15 OR coverage > 0.95 THEN 0.12 ELSE 0 END + least(0.16::DOUBLE, greatest(0.0::DOUBLE, fragments - 0.6) * 0.25)))), 4) AS layout_score FROM lm)"""
+
+
+@query(f"WITH {BLOCKS}, {LAYOUT} SELECT * FROM layout")
+def layout_quality(spark, sf_dir):
+    return L.layout_metrics(boxes(spark, sf_dir)).withColumn("issues", F.array_join("issues", ","))
+
+
+@query(f"""WITH {BLOCKS}, {PAGE}, {LAYOUT.replace(PAIRS + ', ', '')}, f AS (SELECT doc_id, page, round(0.5 * score + 0.2 * empty_ratio + 0.3 * layout_score, 4) AS final, issues FROM pages_q JOIN layout USING (doc_id, page))
+    SELECT doc_id, count(*) AS n_pages, round(avg(final), 4) AS final, count(*) FILTER (contains(issues, 'nested_bbox_anomaly')) AS n_nested, count(*) FILTER (issues != '') AS n_issues FROM f GROUP BY doc_id""")
+def doc_final_scores(spark, sf_dir):
+    """The share of empty blocks stands in for the structure score, which needs whole pages."""
+    q = page_quality(spark, sf_dir).select("doc_id", "page", F.col("score").alias("quality"), F.col("empty_ratio").alias("structure"))
+    lay = layout_quality(spark, sf_dir).select("doc_id", "page", F.col("layout_score").alias("layout"), "issues")
+    f = L.final_scores(q.join(lay, ["doc_id", "page"]))
+    return f.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"), F.round(F.avg("final"), 4).alias("final"), F.count_if(F.contains("issues", F.lit("nested_bbox_anomaly"))).alias("n_nested"), F.count_if(F.col("issues") != "").alias("n_issues"))
+
+
+@query(f"WITH {BLOCKS}, {BOX} SELECT doc_id, page, idx, row_number() OVER (PARTITION BY doc_id, page ORDER BY (y1 + y2) / 2, x1, idx) - 1 AS place FROM box WHERE x2 > x1 AND y2 > y1")
+def reading_order(spark, sf_dir):
+    return L.reading_order(boxes(spark, sf_dir)).select("doc_id", "page", "idx", "place")
+
+
+@query()
+def line_merge(spark, sf_dir):
+    """Each box joins the first line that is near: an order-dependent fold, no SQL."""
+    return L.merge_lines(boxes(spark, sf_dir))
+
+
+COLUMNS = "ln AS (SELECT doc_id, page, idx AS line, x1 + (idx % 2) * 600 AS x1, y1, x2 + (idx % 2) * 600 AS x2, y2 FROM box)"
+
+
+@query(f"""WITH {BLOCKS}, {BOX}, {COLUMNS}, lm AS (SELECT *, (x1 + x2) / 2 AS mid, (x1 + x2) / 2 < median((x1 + x2) / 2) OVER p AS l, median(y2 - y1) OVER p AS h FROM ln WINDOW p AS (PARTITION BY doc_id, page)),
+    g AS (SELECT *, l != lag(l) OVER w AS turned, abs(y1 - lag(y2) OVER w) AS gap FROM lm WINDOW w AS (PARTITION BY doc_id, page ORDER BY line)),
+    r AS (SELECT doc_id, page, count(*) AS n, least(count(*) FILTER (l), count(*) FILTER (NOT l)) / count(*) AS balance, (max(mid) - min(mid)) / greatest(1, max(x2) - min(x1)) AS spread, count(*) FILTER (turned) AS turns, count(*) FILTER (turned AND gap <= 0.8 * h) AS close FROM g GROUP BY ALL),
+    s AS (SELECT *, CASE WHEN n >= 6 AND balance >= 0.2 AND spread >= 0.35 THEN turns / greatest(n - 1, 1) ELSE 0 END AS sw, CASE WHEN n >= 6 AND balance >= 0.2 AND spread >= 0.35 AND turns > 0 THEN close / turns ELSE 0 END AS be FROM r)
+    SELECT doc_id, page, round(sw, 4) AS switches, round(CASE WHEN n >= 6 THEN balance ELSE 0 END, 4) AS balance, round(be, 4) AS beside, sw > 0.45 AND be > 0.35 AS risk FROM s""")
+def column_risk(spark, sf_dir):
+    """Every other line is moved to a second column."""
+    moved = (F.col("idx") % 2) * 600
+    return L.column_risk(boxes(spark, sf_dir).select("doc_id", "page", F.col("idx").alias("line"), (F.col("x1") + moved).alias("x1"), "y1", (F.col("x2") + moved).alias("x2"), "y2"))
+
+
+LABELLED = "lb AS (SELECT *, ['text', 'table', 'image'][idx % 3 + 1] AS label FROM box)"
+INNER = f"inn AS (SELECT a.doc_id, a.page, a.idx AS i, b.idx AS o FROM lb a JOIN lb b ON a.doc_id = b.doc_id AND a.page = b.page AND a.idx != b.idx AND a.label != 'image' AND {AREA('a')} > 0 AND {OVER} >= 0.8 * {AREA('a')})"
+
+
+def labelled(spark, sf_dir):
+    return boxes(spark, sf_dir).withColumn("label", F.element_at(F.array(*map(F.lit, ("text", "table", "image"))), (F.col("idx") % 3 + 1).cast("int")))
+
+
+@query(f"WITH {BLOCKS}, {BOX}, {LABELLED}, {INNER} SELECT doc_id, page, idx, label FROM lb WHERE (doc_id, page, idx) NOT IN (SELECT (doc_id, page, o) FROM inn WHERE (doc_id, page, o) NOT IN (SELECT (doc_id, page, i) FROM inn))")
+def merge_small(spark, sf_dir):
+    """Boxes that hold others go unless they lie in one."""
+    return L.merge_boxes(labelled(spark, sf_dir), "small").select("doc_id", "page", "idx", "label")
+
+
+@query(f"WITH {BLOCKS}, {BOX}, {LABELLED}, {INNER} SELECT lb.doc_id, lb.page, lb.idx, lb.label FROM lb WHERE (doc_id, page, idx) NOT IN (SELECT (inn.doc_id, inn.page, i) FROM inn JOIN lb x ON x.doc_id = inn.doc_id AND x.page = inn.page AND x.idx = o AND x.label = 'table')")
+def merge_large_tables(spark, sf_dir):
+    """Boxes that lie in a table go."""
+    return L.merge_boxes(labelled(spark, sf_dir), "large", label="table").select("doc_id", "page", "idx", "label")
+
+
+@query(f"""WITH {BLOCKS}, {BOX}, {LABELLED}, s AS (SELECT doc_id, page, idx, label, x1 * 2 AS x1, y1 AS y1, x2 * 3 AS x2, y2 * 8 AS y2 FROM lb),
+    g AS (SELECT *, label = 'image' AND (least(greatest(x2, 0), 1000) - least(greatest(x1, 0), 1000)) * (least(greatest(y2, 0), 1400) - least(greatest(y1, 0), 1400)) > 0.93 * 1000 * 1400 AS large FROM s)
+    SELECT doc_id, page, idx, label FROM g QUALIFY NOT large OR bool_and(large) OVER (PARTITION BY doc_id, page)""")
+def oversize_images(spark, sf_dir):
+    wide = labelled(spark, sf_dir).select("doc_id", "page", "idx", "label", (F.col("x1") * 2).alias("x1"), "y1", (F.col("x2") * 3).alias("x2"), (F.col("y2") * 8).alias("y2"))
+    return L.without_oversize(wide, 1000, 1400).select("doc_id", "page", "idx", "label")
+
+
+@query(f"""WITH {BLOCKS}, {BOX}, u AS (SELECT doc_id, page, idx, least(greatest((x1 + x2) / 2 - (x2 - x1) * 1.2 / 2, 0), 900) AS x1, least(greatest((y1 + y2) / 2 - (y2 - y1) * 1.1 / 2, 0), 800) AS y1,
+        least(greatest((x1 + x2) / 2 + (x2 - x1) * 1.2 / 2, 0), 900) AS x2, least(greatest((y1 + y2) / 2 + (y2 - y1) * 1.1 / 2, 0), 800) AS y2 FROM box)
+    SELECT doc_id, page, idx, round(x1, 4) AS x1, round(y2, 4) AS y2, row_number() OVER (PARTITION BY doc_id, page ORDER BY (y1 + y2) / 2, x1, idx) - 1 AS place FROM u WHERE x2 > x1 AND y2 > y1""")
+def unclip_boxes(spark, sf_dir):
+    u = L.unclipped(boxes(spark, sf_dir).drop("content"), 1.2, 1.1, 900, 800)
+    return u.select("doc_id", "page", "idx", F.round("x1", 4).alias("x1"), F.round("y2", 4).alias("y2"), "place")
+
+
+@query(f"""WITH {BLOCKS}, {PAGE}, a AS (SELECT doc_id, page, 1 AS attempt, score FROM pages_q UNION ALL SELECT doc_id, page, 2, least(1, round(score + CASE WHEN page % 2 = 0 THEN 0.1 ELSE -0.1 END, 4)) FROM pages_q)
+    SELECT doc_id, page, attempt, score FROM (SELECT *, min_by(score, attempt) OVER (PARTITION BY doc_id, page) >= 0.6 AS enough FROM a) QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY CASE WHEN enough THEN -attempt ELSE score END DESC, attempt DESC) = 1""")
+def better_attempt(spark, sf_dir):
+    q = page_quality(spark, sf_dir).select("doc_id", "page", F.lit(1).alias("attempt"), "score")
+    second = F.least(F.lit(1.0), F.round(F.col("score") + F.when(F.col("page") % 2 == 0, 0.1).otherwise(-0.1), 4))
+    return L.better_attempt(q.unionByName(q.select("doc_id", "page", F.lit(2).alias("attempt"), second.alias("score"))))
+
+
+@query()
+def block_merge(spark, sf_dir):
+    """Formula numbers, hyphens and bullets: order-dependent folds, no SQL."""
+    label = F.when(F.col("idx") % 7 == 3, "formula").when(F.col("idx") % 7 == 4, "formula_number").otherwise("text")
+    return L.merged_blocks(blocks(spark, sf_dir).withColumns({"label": label, "x1": F.col("idx") % 3}))
