@@ -110,3 +110,70 @@ def page_text(blocks: DataFrame) -> DataFrame:
 def apply_per_page(rows: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str, keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
     """A greedy fold over one page at a time."""
     return rows.groupBy(*keys).applyInPandas(function, schema)
+
+
+def numbered_anew(blocks: DataFrame) -> DataFrame:
+    """Blocks without empty content, with idx counted anew from 0 in each page and where they were before."""
+    by = Window.partitionBy("doc_id", "page").orderBy("pos")
+    return blocks.where(X.strip(F.col("content")) != "").withColumn("was", F.col("idx")).withColumn("idx", F.row_number().over(by).cast("long") - 1)
+
+
+def band_of_block(bands: DataFrame) -> DataFrame:
+    """doc_id, chunk_id, band: of `bands` (doc_id, page, place, band, chunks: the ids it is made of) the first that holds each chunk."""
+    each = bands.select("doc_id", "page", "place", "band", F.explode("chunks").alias("chunk_id")).where("trim(chunk_id) != '' and band != ''")
+    return each.groupBy("doc_id", "chunk_id").agg(F.min(F.struct("page", "place", "band"))["band"].alias("band"))
+
+
+def select_ranges(blocks: DataFrame, ranges: DataFrame) -> DataFrame:
+    """who, doc_id, page, idx, place: what each of `ranges` (who, step, doc_id, page, low, high, removes) selects of `blocks` in the end, a later range over an earlier one.
+
+    A range counts only if all its blocks are there.
+    """
+    met = ranges.join(blocks.select("doc_id", "page", "idx"), ["doc_id", "page"]).where(F.col("idx").between(F.least("low", "high"), F.greatest("low", "high")))
+    size = F.abs(F.col("high") - F.col("low")) + 1
+    whole = met.groupBy("who", "step").agg(F.count(F.lit(1)).alias("n"), F.first(size).alias("size")).where("n = size").select("who", "step")
+    last = met.join(whole, ["who", "step"], "left_semi").groupBy("who", "doc_id", "page", "idx").agg(F.max_by("removes", "step").alias("removes")).where("not removes")
+    return last.select("who", "doc_id", "page", "idx", F.row_number().over(Window.partitionBy("who").orderBy("doc_id", "page", "idx")).cast("long").alias("place"))
+
+
+def carry_ranges(lengths: list[int], size: int, overlap: int, join: int = 2) -> Iterator[tuple[int, int]]:
+    """(first, last) of chunks that carry over the last block of the one before, and more of its last blocks up to `overlap`; the size isn't looked at again once the next block is added."""
+    first, total, at = 0, 0, 0
+    while at < len(lengths):
+        add = lengths[at] + (join if at > first else 0)
+        if at > first and total + add > size:
+            yield first, at - 1
+            back, kept = at, 0
+            while back > first:
+                more = lengths[back - 1] + (join if back < at else 0)
+                if back < at and kept + more > overlap:
+                    break
+                back, kept = back - 1, kept + more
+                if kept >= overlap:
+                    break
+            first, total = back, kept
+        total += add
+        at += 1
+    if lengths:
+        yield first, len(lengths) - 1
+
+
+def pack_carrying(blocks: DataFrame, size: int = 500, overlap: int = 100) -> DataFrame:
+    """doc_id, chunk, first_pos, last_pos, n_blocks of carry_ranges over each document's blocks that aren't empty."""
+
+    def fold(rows):
+        pos = [r[1] for r in rows]
+        return [(rows[0][0], k, pos[a], pos[b], b - a + 1) for k, (a, b) in enumerate(carry_ranges([r[2] for r in rows], size, overlap))]
+
+    solid = blocks.select("doc_id", "pos", F.length(X.strip(F.col("content"))).cast("long").alias("n")).where("n > 0")
+    return fold_groups(solid, ["doc_id"], ["pos"], fold, "doc_id long, chunk long, first_pos long, last_pos long, n_blocks long")
+
+
+def manifest(chunks: DataFrame) -> DataFrame:
+    """`chunks` (chunk_id, doc_id, doc_name, page, content, section_id, section_path, heading, kind) as the items of a search index, each its own only source, numbered over all by document and id."""
+    none = F.array().cast("array<string>")
+    listed = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.array(c)).otherwise(none)
+    return chunks.select(
+        "chunk_id", "doc_id", "doc_name", F.coalesce("page", F.lit(0)).alias("page"), F.lit("paragraph").alias("label"), "content", F.length("content").cast("long").alias("n_chars"), F.array("chunk_id").alias("sources"),
+        listed("section_id").alias("source_sections"), listed("section_path").alias("source_paths"), F.array(F.coalesce("kind", F.lit("paragraph"))).alias("source_kinds"), F.coalesce("heading", F.lit("")).alias("heading"),
+    )

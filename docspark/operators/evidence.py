@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.functions import text as X
@@ -37,3 +37,41 @@ def consistency(resolved: DataFrame, supported: DataFrame) -> DataFrame:
         "score",
         F.col("n_cited").isNull().alias("missing_citation"),
     )
+
+
+#: What a structured answer has to hold, and of which type.
+PAYLOAD = {"answer": "string", "cited_chunk_ids": "list", "claim_evidence_map": "object", "follow_up_questions": "list", "insufficient_evidence": "boolean"}
+TYPES = {"string": "^STRING", "list": "^ARRAY", "object": "^OBJECT", "boolean": "^BOOLEAN"}
+
+
+def validate(payload: Column) -> Column:
+    """(valid, missing, type_errors) of a structured answer as JSON text; what is no object misses all."""
+    v = F.try_parse_json(payload)
+    is_object = F.coalesce(F.schema_of_variant(v).rlike("^OBJECT"), F.lit(False))
+    kind = lambda k: F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant"))
+    keys = sorted(PAYLOAD)
+    absent = lambda k: ~is_object | kind(k).isNull()
+    missing = F.array_compact(F.array(*[F.when(absent(k), k) for k in keys]))
+    wrong = F.array_compact(F.array(*[F.when(~absent(k) & ~kind(k).rlike(TYPES[PAYLOAD[k]]), f"{k} must be {PAYLOAD[k]}") for k in keys]))
+    return F.struct((F.size(missing) + F.size(wrong) == 0).alias("valid"), missing.alias("missing"), wrong.alias("type_errors"))
+
+
+def claim_map(claims: Column, answer: Column, cited: Column) -> Column:
+    """The claims with their ids if there are any, else the whole answer with all it cites; nothing without an answer."""
+    own = F.when(F.trim(F.coalesce(answer, F.lit(""))) != "", F.create_map(F.trim(answer), cited))
+    return F.when(F.coalesce(F.size(F.map_keys(claims)), F.lit(0)) > 0, claims).otherwise(F.coalesce(own, F.create_map().cast("map<string,array<string>>")))
+
+
+def preview(citations: DataFrame, blocks: DataFrame, most: int = 8, chars: int = 220) -> DataFrame:
+    """answer_id, place, doc_id, pos, preview: the first `most` citations (answer_id, doc_id, pos, place) of each answer, once each, with the beginning of what they cite, empty if it isn't there."""
+    once = citations.groupBy("answer_id", "doc_id", "pos").agg(F.min("place").alias("place"))
+    ranked = once.withColumn("place", F.row_number().over(Window.partitionBy("answer_id").orderBy("place")).cast("long")).where(F.col("place") <= most)
+    return ranked.join(blocks.select("doc_id", "pos", "content"), ["doc_id", "pos"], "left").select("answer_id", "place", "doc_id", "pos", F.coalesce(F.substring("content", 1, chars), F.lit("")).alias("preview"))
+
+
+def task_summary(traces: DataFrame) -> DataFrame:
+    """Of each kind of question: answers, rates of citations that exist and of answers without any, mean support, invalid citations. traces: consistency, with kind."""
+    return traces.groupBy("kind").agg(
+        F.count(F.lit(1)).alias("total"), F.round(F.avg("exist_rate"), 4).alias("exist_rate"), F.round(F.avg("score"), 4).alias("mean_support"), F.sum("n_invalid").cast("long").alias("n_invalid"),
+        F.round(F.count_if("missing_citation") / F.count(F.lit(1)), 4).alias("missing_rate"),
+    )

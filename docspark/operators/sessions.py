@@ -28,8 +28,51 @@ def classify(question: Column, n_selected: Column | None = None) -> Column:
     return out.when(F.regexp_count(low, F.lit(r"[\p{L}\p{N}_]+")) <= 10, "fact_qa").otherwise("multi_evidence_qa")
 
 
-def route(kind: Column) -> Column:
-    out = F.when(F.lit(False), "")
+#: How a model is asked for a kind of question: mode, temperature, top_p, max_tokens; any other kind is asked as balanced.
+MODELS = {
+    "fact_qa": ("fact_stable", 0.1, 0.8, 384), "local_evidence_qa": ("local_evidence_stable", 0.1, 0.8, 512), "multi_evidence_qa": ("multi_evidence_balanced", 0.2, 0.9, 900),
+    "method_qa": ("method_detailed", 0.2, 0.9, 1100), "comparison_qa": ("comparison_structured", 0.25, 0.9, 1100), "dataset_qa": ("dataset_precise", 0.1, 0.85, 650),
+}
+BALANCED = ("balanced", 0.2, 0.9, 768)
+
+
+def model_config(kind: Column) -> Column:
+    """(mode, temperature, top_p, max_tokens)."""
+    made = lambda c: F.struct(F.lit(c[0]).alias("mode"), F.lit(c[1]).alias("temperature"), F.lit(c[2]).alias("top_p"), F.lit(c[3]).alias("max_tokens"))
+    out = F.when(F.lit(False), made(BALANCED))
+    for k, c in MODELS.items():
+        out = out.when(kind == k, made(c))
+    return out.otherwise(made(BALANCED))
+
+
+def prompts(questions: DataFrame, context: DataFrame, turns: DataFrame, overviews: DataFrame, last: int = 8, chars: int = 1200) -> DataFrame:
+    """query_id, prompt, n_blocks: what a model is asked for each of `questions` (query_id, conv_id, doc_id, question): the overview of the document (doc_id, overview), the conversation's `last` turns
+    (conv_id, turn, role, text) and the context's blocks (query_id, place, chunk_id, content), each at most `chars` characters."""
+    near = recent(turns, last).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", F.coalesce("text", F.lit(""))).alias("line")))).alias("lines"))
+    own = context.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", F.concat(F.lit("["), "chunk_id", F.lit("] "), F.substring("content", 1, chars)).alias("line")))).alias("blocks"))
+    lines = lambda c: F.array_join(F.transform(F.coalesce(F.col(c), F.array().cast("array<struct<place:bigint,line:string>>" if c == "blocks" else "array<struct<turn:bigint,line:string>>")), lambda x: x["line"]), "\n")
+    both = questions.join(near, "conv_id", "left").join(own, "query_id", "left").join(overviews, "doc_id", "left")
+    parts = [("overview", F.coalesce("overview", F.lit(""))), ("history", lines("lines")), ("chunks", lines("blocks")), ("question", F.col("question"))]
+    return both.select("query_id", F.concat_ws("\n\n", *[F.concat(F.lit(f"{k}:\n"), v) for k, v in parts]).alias("prompt"), F.coalesce(F.size("blocks"), F.lit(0)).cast("long").alias("n_blocks"))
+
+
+def with_turns(turns: DataFrame, more: DataFrame) -> DataFrame:
+    """`turns` with the rows of `more` (conv_id, role, text, order) after each conversation's last."""
+    last = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("order"))
+    new = more.withColumn("place", place).join(last, "conv_id", "left").select("conv_id", (F.coalesce("last", F.lit(-1)) + F.col("place")).cast("long").alias("turn"), "role", "text")
+    return turns.select("conv_id", "turn", "role", "text").unionByName(new)
+
+
+def session_list(turns: DataFrame, compactions: DataFrame, documents: DataFrame) -> DataFrame:
+    """conv_id, doc_id, title, n_turns, last_turn, compacted: sessions of `documents` (conv_id, doc_id), with the turns that a compaction (conv_id, n_turns) covers, 0 without one."""
+    done = compactions.groupBy("conv_id").agg(F.max("n_turns").alias("compacted"))
+    return titles(turns).join(documents, "conv_id").join(done, "conv_id", "left").select("conv_id", "doc_id", "title", "n_turns", "last_turn", F.coalesce("compacted", F.lit(0)).cast("long").alias("compacted"))
+
+
+def route(kind: Column, override: Column | None = None) -> Column:
+    """Which retrieval answers a kind of question; an override of lad or rag stands."""
+    out = F.when(override.isin("lad", "rag"), override) if override is not None else F.when(F.lit(False), "")
     for k, r in ROUTES.items():
         out = out.when(kind == k, r)
     return out.otherwise("rag")

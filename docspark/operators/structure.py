@@ -121,3 +121,40 @@ def document_graph(marked: DataFrame, tree: DataFrame) -> DataFrame:
     up = tree.select(F.coalesce(section("parent_pos"), doc).alias("src"), section("pos").alias("tgt"))
     down = fill_sections(marked).where("not is_heading").select(F.coalesce(section("section_pos"), doc).alias("src"), F.concat(F.lit("blk_"), F.col("doc_id"), F.lit("_"), F.col("pos")).alias("tgt"))
     return up.unionByName(down).withColumn("relation", F.lit("contains"))
+
+
+def line_features(text: Column, x1: Column, x2: Column) -> Column:
+    """(n_lines, n_chars, is_short, is_centered) of a block's text and the left and right of its box, as shares of the page."""
+    lines = F.size(F.filter(F.split(text, r"\r\n|\r|\n"), lambda t: X.strip(t) != ""))
+    middle = F.when(x2 != 0, (x1 + x2) / 2).otherwise(0.0)
+    return F.struct(
+        lines.cast("long").alias("n_lines"), F.length(text).cast("long").alias("n_chars"), ((F.length(text) <= 140) & (lines <= 2)).alias("is_short"),
+        (middle.between(0.35, 0.65) & (F.greatest(F.lit(0.0), x2 - x1) <= 0.78)).alias("is_centered"),
+    )
+
+
+def strict_headings(blocks: DataFrame, kind: Column, least: float = 0.68, most: int = 80) -> tuple[DataFrame, DataFrame]:
+    """headings of each block's first line, none of tables, images, formulas, captions and code, and the `most` headings of each document that are under `least` sure, in order."""
+    first = blocks.withColumn("content", F.split(X.strip(F.coalesce("content", F.lit(""))), "\n")[0])
+    found = headings(first.withColumn("content", F.when(kind.isin("table", "image", "formula", "caption", "code"), "").otherwise(F.col("content"))))
+    doubtful = found.where(F.col("is_heading") & (F.col("confidence") < least)).withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")).cast("long"))
+    return found, doubtful.where(F.col("place") <= most)
+
+
+def structure_rollup(marked: DataFrame) -> DataFrame:
+    """doc_id, n_pages, n_blocks, n_sections, roles (headings by role)."""
+    n = lambda role: F.count_if(F.col("role") == role)
+    return marked.groupBy("doc_id").agg(
+        F.count_distinct("page").alias("n_pages"), F.count(F.lit(1)).alias("n_blocks"), F.count_if("is_heading").alias("n_sections"),
+        F.create_map(F.lit("formal_section"), n("formal_section"), F.lit("attached_subheading"), n("attached_subheading")).alias("roles"),
+    )
+
+
+def named_sections(chunks: DataFrame) -> DataFrame:
+    """doc_id, section_id, name, title, level, path: sections of `chunks` (doc_id, pos, section_name) by name, whose parts are divided by :::, in the order in which they begin."""
+    name = X.strip(F.coalesce("section_name", F.lit("Document")))
+    first = chunks.select("doc_id", "pos", F.when(name == "", "Document").otherwise(name).alias("name")).groupBy("doc_id", "name").agg(F.min("pos").alias("first"))
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("first", "name")) - 1
+    parts = F.filter(F.transform(F.split("name", ":::"), X.strip), lambda p: p != "")
+    path = F.when(F.size(parts) > 0, parts).otherwise(F.array("name"))
+    return first.select("doc_id", F.concat(F.lit("sec_"), F.lpad(number.cast("string"), 4, "0")).alias("section_id"), "name", F.element_at(path, -1).alias("title"), F.greatest(F.lit(1), F.least(F.size(parts), F.lit(6))).alias("level"), path.alias("path"))

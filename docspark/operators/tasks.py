@@ -40,3 +40,25 @@ def without_old(tasks: DataFrame, before: Column, statuses: list[str]) -> DataFr
 def delete_cascade(gone: DataFrame, *tables: DataFrame, key: str = "doc_id") -> list[DataFrame]:
     """Each table without the rows of keys in `gone`."""
     return [t.join(gone.select(key), key, "left_anti") for t in tables]
+
+
+def created(tasks: DataFrame, new: DataFrame) -> DataFrame:
+    """`tasks` with the rows of `new` whose task_id isn't there; missing columns are null."""
+    return tasks.unionByName(new.join(tasks.select("task_id"), "task_id", "left_anti"), allowMissingColumns=True)
+
+
+def updated(tasks: DataFrame, changes: DataFrame) -> DataFrame:
+    """`tasks` with the values of `changes` (task_id and some columns) where these aren't null."""
+    fields = [c for c in changes.columns if c != "task_id"]
+    named = changes.select("task_id", *[F.col(c).alias(f"new {c}") for c in fields])
+    both = tasks.join(named, "task_id", "left")
+    return both.select(*[F.coalesce(F.col(f"`new {c}`"), F.col(c)).alias(c) if c in fields else F.col(c) for c in tasks.columns])
+
+
+def state(tasks: DataFrame, now: Column) -> DataFrame:
+    """`tasks` with is_locked, is_expired (a lease that is over), can_retry and seconds from start to end, null without both."""
+    lease = F.col("lock_expires_at")
+    seconds = (F.col("completed_at").cast("double") - F.col("started_at").cast("double"))
+    return tasks.withColumns({
+        "is_locked": F.coalesce(lease > now, F.lit(False)), "is_expired": F.coalesce(lease <= now, F.lit(False)), "can_retry": F.col("retry_count") < F.col("max_retries"), "seconds": seconds,
+    })

@@ -126,10 +126,57 @@ def heading_score(spark, sf_dir):
     return marked(spark, sf_dir).select("doc_id", "pos", "is_heading", "level", "confidence", "pattern")
 
 
-@query(f"WITH {BLOCKS}, {HEAD} SELECT doc_id, count(*) AS n_blocks, count(*) FILTER (is_heading AND lv > 0) AS n_formal, count(*) FILTER (is_heading AND lv < 0) AS n_attached FROM heads GROUP BY doc_id")
+@query(f"""WITH {BLOCKS}, {HEAD} SELECT doc_id, count(DISTINCT page) AS n_pages, count(*) AS n_blocks, count(*) FILTER (is_heading) AS n_sections, count(*) FILTER (is_heading AND lv > 0) AS n_formal,
+    count(*) FILTER (is_heading AND lv < 0) AS n_attached FROM heads GROUP BY doc_id""")
 def heading_stats(spark, sf_dir):
-    n = lambda role: F.count_if(F.col("role") == role)
-    return marked(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_blocks"), n("formal_section").alias("n_formal"), n("attached_subheading").alias("n_attached"))
+    r = S.structure_rollup(marked(spark, sf_dir))
+    return r.select("doc_id", "n_pages", "n_blocks", "n_sections", F.col("roles")["formal_section"].alias("n_formal"), F.col("roles")["attached_subheading"].alias("n_attached"))
+
+
+@query(f"""WITH {BLOCKS} SELECT doc_id, pos, CASE WHEN {STRIP('content')} = '' THEN 0 ELSE 1 END AS n_lines, length(content) AS n_chars, length(content) <= 140 AS is_short,
+    (pos * 37 % 100 + 20) / 200 BETWEEN 0.35 AND 0.65 AND (20 - pos * 37 % 100) / 100 <= 0.78 AS is_centered FROM blocks""")
+def line_features(spark, sf_dir):
+    """Left sides by arithmetic, right sides at a fifth of the page."""
+    f = S.line_features(F.col("content"), (F.col("pos") * 37 % 100) / 100, F.lit(0.2))
+    return blocks(spark, sf_dir).select("doc_id", "pos", f.alias("f")).select("doc_id", "pos", "f.*")
+
+
+@query(f"""WITH {BLOCKS}, s AS (SELECT doc_id, pos, [' Intro', 'Method ::: Data', 'Method:::Model ::: ', ''][pos % 4 + 1] AS name FROM blocks),
+    f AS (SELECT doc_id, CASE WHEN trim(name) = '' THEN 'Document' ELSE trim(name) END AS name, min(pos) AS p FROM s GROUP BY ALL),
+    l AS (SELECT *, list_filter(list_transform(string_split(name, ':::'), lambda x: trim(x)), lambda x: x != '') AS parts FROM f)
+    SELECT doc_id, 'sec_' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p, name) - 1 AS VARCHAR), 4, '0') AS section_id, name, parts[-1] AS title, CAST(len(parts) AS INTEGER) AS level FROM l""")
+def named_sections(spark, sf_dir):
+    name = F.element_at(F.array(*map(F.lit, (" Intro", "Method ::: Data", "Method:::Model ::: ", ""))), (F.col("pos") % 4 + 1).cast("int"))
+    return S.named_sections(blocks(spark, sf_dir).withColumn("section_name", name)).drop("path")
+
+
+@query(f"WITH {BLOCKS} SELECT doc_id, page, idx AS was, row_number() OVER (PARTITION BY doc_id, page ORDER BY pos) - 1 AS idx FROM blocks WHERE {STRIP('content')} != ''")
+def numbered_anew(spark, sf_dir):
+    return K.numbered_anew(blocks(spark, sf_dir)).select("doc_id", "page", "was", "idx")
+
+
+@query(f"WITH {BLOCKS}, c AS (SELECT doc_id, page, pos // 3 AS place, 'b' || (pos // 3) AS band, 'c' || (pos % 40) AS chunk_id FROM blocks) SELECT doc_id, chunk_id, first(band ORDER BY page, place, band) AS band FROM c GROUP BY ALL")
+def band_of_block(spark, sf_dir):
+    """Three lines a band; ids come back every forty lines."""
+    place = F.floor(F.col("pos") / 3).cast("long")
+    b = blocks(spark, sf_dir).select("doc_id", "page", place.alias("place"), F.concat(F.lit("b"), place).alias("band"), F.array(F.concat(F.lit("c"), F.col("pos") % 40)).alias("chunks"))
+    return K.band_of_block(b)
+
+
+@query(f"""WITH {BLOCKS}, rg AS (SELECT conv_id % 7 AS who, conv_id * 100 + turn AS step, conv_id AS doc_id, 0::BIGINT AS page, turn AS low, turn + 2 AS high, turn % 3 = 2 AS removes FROM conversations),
+    mt AS (SELECT rg.*, idx FROM rg JOIN blocks USING (doc_id, page) WHERE idx BETWEEN low AND high), wh AS (SELECT who, step FROM mt GROUP BY ALL HAVING count(*) = 3),
+    la AS (SELECT who, doc_id, page, idx, max_by(removes, step) AS removes FROM mt SEMI JOIN wh USING (who, step) GROUP BY ALL)
+    SELECT who, doc_id, page, idx, row_number() OVER (PARTITION BY who ORDER BY doc_id, page, idx) AS place FROM la WHERE NOT removes""")
+def select_ranges(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    r = c.select((F.col("conv_id") % 7).alias("who"), (F.col("conv_id") * 100 + F.col("turn")).alias("step"), F.col("conv_id").alias("doc_id"), F.lit(0).cast("long").alias("page"), F.col("turn").alias("low"), (F.col("turn") + 2).alias("high"), (F.col("turn") % 3 == 2).alias("removes"))
+    return K.select_ranges(blocks(spark, sf_dir), r)
+
+
+@query()
+def pack_carrying(spark, sf_dir):
+    """An order-dependent fold without SQL, tested against a slow one."""
+    return K.pack_carrying(blocks(spark, sf_dir))
 
 
 FILL = "filled AS (SELECT *, last_value(CASE WHEN is_heading THEN pos END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section_pos FROM heads)"
@@ -266,20 +313,37 @@ def paragraph_merge(spark, sf_dir):
     return Q.merge_paragraphs(spaced, factor=0.4)
 
 
-@query(f"""WITH {BLOCKS}, r AS (SELECT doc_id, page, pos, row_number() OVER (PARTITION BY doc_id, page ORDER BY length(content) > 80, pos) AS n FROM blocks WHERE page < 3 AND trim(content) != ''),
-    c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, n) AS k FROM r WHERE n <= CASE WHEN page = 0 THEN 8 ELSE 4 END) SELECT doc_id, page, pos, k FROM c WHERE k <= 24""")
-def overview_sample(spark, sf_dir):
+SAMPLED = """r AS (SELECT doc_id, page, pos, content, row_number() OVER (PARTITION BY doc_id, page ORDER BY CASE pos % 5 WHEN 1 THEN 0 WHEN 3 THEN 1 ELSE 2 END, pos) AS n FROM blocks WHERE page < 3 AND trim(content) != ''),
+    sm AS (SELECT * FROM (SELECT doc_id, page, pos, content, row_number() OVER (PARTITION BY doc_id ORDER BY page, n) AS k FROM r WHERE n <= CASE WHEN page = 0 THEN 8 ELSE 4 END) WHERE k <= 24),
+    tc AS (SELECT doc_id, title, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS place FROM (SELECT doc_id, trim(content) AS title, min(k) AS k FROM sm WHERE length(trim(content)) <= 80 GROUP BY ALL) QUALIFY place <= 5)"""
+
+
+def sampled(spark, sf_dir):
+    """Of five lines one counts as a title and one as a section."""
     from docspark.operators.overview import sample
 
-    return sample(blocks(spark, sf_dir))
+    label = F.when(F.col("pos") % 5 == 1, "doc_title").when(F.col("pos") % 5 == 3, "Section").otherwise("text")
+    return sample(blocks(spark, sf_dir).withColumn("label", label))
+
+
+@query(f"WITH {BLOCKS}, {SAMPLED} SELECT doc_id, page, pos, k FROM sm")
+def overview_sample(spark, sf_dir):
+    return sampled(spark, sf_dir).drop("content")
+
+
+@query(f"WITH {BLOCKS}, {SAMPLED} SELECT doc_id, place, title FROM tc")
+def title_candidates(spark, sf_dir):
+    from docspark.operators.overview import title_candidates as candidates
+
+    return candidates(sampled(spark, sf_dir))
 
 
-@query(f"""WITH {BLOCKS}, s AS (SELECT doc_id, pos, trim(content) AS t FROM blocks WHERE trim(content) != ''), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM s)
-    SELECT doc_id, left(string_agg(t, ' ' ORDER BY pos), 120) AS summary, count(*) AS n_points FROM n WHERE k <= 6 GROUP BY doc_id""")
+@query(f"""WITH {BLOCKS}, {SAMPLED}, o AS (SELECT doc_id, left(first(trim(content) ORDER BY k), 120) AS short, md5(string_agg(trim(content), chr(10) ORDER BY k) FILTER (k <= 6)) AS long FROM sm GROUP BY doc_id)
+    SELECT doc_id, short, long, coalesce(keywords, '') AS keywords FROM o LEFT JOIN (SELECT doc_id, string_agg(title, '|' ORDER BY place) AS keywords FROM tc WHERE place <= 3 GROUP BY 1) USING (doc_id)""")
 def heuristic_overview(spark, sf_dir):
     from docspark.operators.overview import heuristic
 
-    return heuristic(blocks(spark, sf_dir))
+    return heuristic(sampled(spark, sf_dir)).select("doc_id", "short", F.md5(F.col("long").cast("binary")).alias("long"), F.array_join("keywords", "|").alias("keywords"))
 
 
 @query("""WITH u AS (SELECT doc_id, n_chars AS v, 0 AS version FROM documents UNION ALL SELECT doc_id, quality, 1 FROM labels)

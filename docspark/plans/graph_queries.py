@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from docspark.functions import text as X
 from docspark.operators import graph as G
+from docspark.operators import knowledge as N
 from docspark.operators import quality as Q
+from docspark.operators import structure as S
 from docspark.operators.blocks import apply_per_page
 from docspark.plans.base import BLOCKS, STRIP, blocks, query, table
-from docspark.plans.block_queries import boxes
+from docspark.plans.block_queries import FILL, HEAD, boxes, marked
 
 quoted = lambda names: ", ".join(f"'{n}'" for n in names)
 KNOWN = " UNION ALL ".join(f"SELECT '{n}' AS n, '{t}' AS t, '{r}' AS r" for t, names, r in (("Dataset", G.DATASETS, "rule_known_dataset"), ("Metric", G.METRICS, "rule_known_metric")) for n in names)
@@ -228,3 +232,104 @@ def nms_boxes(spark, sf_dir):
 def name_merge(spark, sf_dir):
     """Greedy merging of like names within a type: the matcher has no SQL."""
     return G.merge_names(cleaned(spark, sf_dir))
+
+
+QA = """qa AS (SELECT conv_id * 1000 + turn AS event_id, text AS question, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer, CAST(conv_id % 20 AS VARCHAR) AS doc FROM conversations QUALIFY role = 'user')"""
+
+
+def label_sql(x: str) -> str:
+    t = rf"regexp_replace(trim(coalesce({x}, '')), '^[\s,，;；:：.\-、（(]*[0-9]+[\)）.、\s]*', '')"
+    t = f"regexp_replace(regexp_replace({t}, '^(其|该|本|这个|一种|一个|项目的?|具体的?)', ''), '(包括|为|是|指|通过|用于).*$', '')"
+    return f"trim(left(regexp_replace({t}, '^[ ，,;；:：。]+|[ ，,;；:：。]+$', '', 'g'), 24))"
+
+
+STOPS = quoted(X.STOP_TERMS)
+has = lambda c, marks: "(" + " OR ".join(f"contains({c}, '{m}')" for m in marks) + ")"
+TYPE = "CASE WHEN " + has("label", X.KNOWLEDGE["Method"]) + " OR " + has("lower(label)", X.METHOD_WORDS) + " THEN 'Method' " + " ".join(f"WHEN {has('label', m)} THEN '{k}'" for k, m in list(X.KNOWLEDGE.items())[1:]) + " ELSE 'Concept' END"
+TERMS = rf"""{QA}, fo AS (SELECT event_id, unnest(list_distinct(list_filter(list_transform(regexp_split_to_array(coalesce(question, ''), '[，,。？?；;：:\s]+'), lambda p: {label_sql('p')}), lambda p: length(p) BETWEEN 2 AND 18 AND p NOT IN ({STOPS}))[:3])) AS label FROM qa),
+    sg AS (SELECT event_id, unnest(list_filter(list_transform(regexp_split_to_array(coalesce(answer, ''), '\([0-9]+\)|（[0-9]+）|[。；;\n]'), lambda p: {STRIP('p')}), lambda p: p != '')) AS s FROM qa),
+    cl AS (SELECT event_id, {label_sql('s')} AS label FROM sg), wd AS (SELECT event_id, {label_sql('w')} AS label FROM (SELECT event_id, unnest(regexp_extract_all(s, '[A-Za-z][A-Za-z0-9_\-]{{2,}}|[一-鿿]{{2,10}}')) AS w FROM sg)),
+    ev_ AS (SELECT event_id, label, 3 AS w, 'question_focus' AS r FROM fo UNION ALL SELECT event_id, label, 3, 'answer_claim' FROM cl WHERE length(label) BETWEEN 2 AND 24
+        UNION ALL SELECT event_id, left(label, 18), 1, 'term_frequency' FROM wd WHERE label != '' AND label NOT IN ({STOPS}) AND lower(label) NOT IN ({STOPS})),
+    ct AS (SELECT event_id, label, sum(w)::BIGINT AS n, list_sort(list(DISTINCT r)) AS reasons FROM ev_ GROUP BY ALL),
+    lo AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY n DESC, label) AS place FROM ct QUALIFY place <= 12),
+    terms AS (SELECT event_id, label, {TYPE} AS type, round(least(1.0::DOUBLE, 0.35::DOUBLE + least(n, 5) * 0.08 + CASE WHEN list_contains(reasons, 'answer_claim') THEN 0.18 ELSE 0 END + CASE WHEN list_contains(reasons, 'question_focus') THEN 0.18 ELSE 0 END
+        + CASE WHEN regexp_matches(label, '[A-Z]{{2,}}|Agent|SQL|RAG') THEN 0.12 ELSE 0 END), 3) AS score, array_to_string(reasons, ',') AS reasons
+        FROM (SELECT * FROM lo WHERE label NOT IN ({STOPS}) AND lower(label) NOT IN ({STOPS}) AND length(label) >= 2 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY place) <= 4))"""
+
+
+def answered(spark, sf_dir):
+    """Questions of conversations with the turn that follows."""
+    c = table(spark, sf_dir, "conversations")
+    following = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = c.withColumn("answer", following).where("role = 'user'")
+    return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("event_id"), F.col("text").alias("question"), "answer", (F.col("conv_id") % 20).cast("string").alias("doc"))
+
+
+@query(f"WITH {TERMS} SELECT * FROM terms")
+def question_terms(spark, sf_dir):
+    return N.terms(answered(spark, sf_dir)).withColumn("reasons", F.array_join("reasons", ","))
+
+
+SLUG = r"CASE WHEN left(regexp_replace(regexp_replace(trim(lower(label)), '\s+', '_', 'g'), '[^a-z0-9_一-鿿-]', '', 'g'), 48) = '' THEN 'unknown' ELSE left(regexp_replace(regexp_replace(trim(lower(label)), '\s+', '_', 'g'), '[^a-z0-9_一-鿿-]', '', 'g'), 48) END"
+NODES = f"""{TERMS}, nd AS (SELECT event_id, 'doc_' || doc AS id, 'Document' AS type, doc AS label, 0.8::DOUBLE AS score FROM qa UNION ALL SELECT event_id, 'question_' || event_id, 'QuestionEvent', left(coalesce(question, ''), 80), 1 FROM qa
+        UNION ALL SELECT event_id, 'knowledge_' || {SLUG}, type, label, score FROM terms UNION ALL SELECT NULL, 'deepdoc', 'System', 'DeepDOC', 1 UNION ALL SELECT NULL, 'question_driven_kg', 'Capability', 'Question Driven KG', 1),
+    nodes AS (SELECT id, min(type) AS type, min(label) AS label, max(score) AS score, count(DISTINCT event_id) AS n_events FROM nd GROUP BY id)"""
+
+
+@query(f"WITH {NODES} SELECT * FROM nodes")
+def kg_event_nodes(spark, sf_dir):
+    own = answered(spark, sf_dir)
+    return N.event_nodes(own, N.terms(own))
+
+
+@query(f"WITH {NODES} SELECT type AS value, count(*) AS n FROM nodes GROUP BY 1")
+def kg_type_histogram(spark, sf_dir):
+    return N.histogram(kg_event_nodes(spark, sf_dir), "type")
+
+
+@query(f"""WITH {TERMS}, d AS (SELECT event_id AS source_id, 'question_' || event_id % 50 AS src, 'FOCUSES_ON' AS relation, label AS tgt FROM terms)
+    SELECT src || '::' || relation || '::' || tgt AS id, src, tgt, relation, count(DISTINCT source_id) AS n_sources, 0.72::DOUBLE AS confidence FROM d GROUP BY ALL""")
+def delta_graph(spark, sf_dir):
+    t = N.terms(answered(spark, sf_dir))
+    src = F.concat(F.lit("question_"), (F.col("event_id") % 50).cast("string"))
+    return N.delta_graph(t.select(F.col("event_id").alias("source_id"), src.alias("src"), F.lit("FOCUSES_ON").alias("relation"), F.col("label").alias("tgt")))
+
+
+@query(f"""WITH {BLOCKS}, {HEAD}, {FILL}, i AS (SELECT * FROM filled WHERE section_pos IS NOT NULL) SELECT 'section_' || doc_id || '_' || section_pos AS src, 'chunk_' || doc_id || '_' || pos AS tgt, 'CONTAINS' AS relation, 1.0::DOUBLE AS confidence FROM i
+    UNION ALL SELECT DISTINCT 'doc_' || doc_id, 'section_' || doc_id || '_' || section_pos, 'CONTAINS', 1.0::DOUBLE FROM i""")
+def contains_edges(spark, sf_dir):
+    return G.contains_edges(S.fill_sections(marked(spark, sf_dir)))
+
+
+@query(f"""WITH {BLOCKS}, {HEAD}, {FILL}, {ENTITIES}, {DEDUP}, nd AS (SELECT 'Document' AS type, 'doc_' || doc_id AS id FROM filled WHERE pos = 0 UNION ALL SELECT 'Section', 'section_' || doc_id || '_' || pos FROM filled WHERE is_heading
+        UNION ALL SELECT 'Chunk', 'chunk_' || doc_id || '_' || pos FROM filled UNION ALL SELECT type, 'entity_' || lower(type) || '_' || key FROM clean)
+    SELECT type, count(*) AS n, count(DISTINCT id) AS n_ids FROM nd GROUP BY type""")
+def graph_nodes(spark, sf_dir):
+    """How many nodes of each kind."""
+    n = G.graph_nodes(S.fill_sections(marked(spark, sf_dir)), cleaned(spark, sf_dir))
+    return n.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_ids"))
+
+
+@query(f"""WITH {EVENTS}, o AS (SELECT DISTINCT question AS id, CASE WHEN CAST(question AS BIGINT) % 2 = 0 THEN 'q' || question END AS name FROM ev), n AS (SELECT DISTINCT CAST(CAST(question AS BIGINT) + 5 AS VARCHAR) AS id, 'n' || (CAST(question AS BIGINT) + 5) AS name FROM ev)
+    SELECT id, coalesce(o.name, n.name) AS name FROM o FULL JOIN n USING (id)""")
+def node_upsert(spark, sf_dir):
+    """Half of the old nodes lack a name; the new ones are five further on."""
+    q = kg_events(spark, sf_dir).select(F.col("question").cast("long").alias("n")).distinct()
+    old = q.select(F.col("n").cast("string").alias("id"), F.when(F.col("n") % 2 == 0, F.concat(F.lit("q"), F.col("n"))).alias("name"))
+    new = q.select((F.col("n") + 5).cast("string").alias("id"), F.concat(F.lit("n"), F.col("n") + 5).alias("name"))
+    return G.upsert_nodes(old, new)
+
+
+@query(f"""WITH {GRAPH}, m AS (SELECT DISTINCT src AS name, 'group_' || length(src) AS merged FROM g WHERE src LIKE 'knowledge%') SELECT coalesce(a.merged, src) AS src, coalesce(b.merged, tgt) AS tgt, relation, weight FROM g LEFT JOIN m a ON a.name = src LEFT JOIN m b ON b.name = tgt""")
+def relation_remap(spark, sf_dir):
+    e = graph(spark, sf_dir)
+    merged = e.where("src like 'knowledge%'").select(F.col("src").alias("name"), F.concat(F.lit("group_"), F.length("src").cast("string")).alias("merged")).distinct()
+    return G.remapped(e, merged).select("src", "tgt", "relation", "weight")
+
+
+@query()
+def node_search(spark, sf_dir):
+    """Names of cleaned entities for five words, in tiers; the matcher has no SQL."""
+    asked = spark.createDataFrame([(q,) for q in ("bert", "knowlege base", "f1", "neural nets", "em")], "query string")
+    return G.search_names(cleaned(spark, sf_dir), asked)

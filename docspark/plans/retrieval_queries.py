@@ -308,3 +308,37 @@ def rag_context(spark, sf_dir):
     found = hits(spark, sf_dir, 20, 0).join(wide, "query_id").withColumn("best", F.max("score").over(Window.partitionBy("query_id")))
     kept = found.where((F.col("rank") <= F.col("k")) | ((F.col("best") < 0.2) & (F.col("rank") <= F.least(F.lit(20), F.col("k") + 4)))).select("query_id", "doc_id", "pos", "rank")
     return C.retrieval_context(kept, blocks(spark, sf_dir), wide.select("query_id", "wide"))
+
+
+@query(f"""WITH {BM25}, {GOLD}, h AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM bm25 QUALIFY rank <= 10),
+    f AS (SELECT query_id, count(*) AS n_gold, count(rank) AS n_hit, min(rank) AS first FROM gold LEFT JOIN h USING (query_id, item_id) GROUP BY 1), nf AS (SELECT query_id, count(*) AS n FROM h GROUP BY 1),
+    it AS (SELECT doc_id AS item_id, source, {TOKENS('text')} AS tk FROM documents),
+    gt AS (SELECT query_id, list_distinct(flatten(list(tk))) AS tk, list(DISTINCT source) AS sc FROM gold JOIN it USING (item_id) GROUP BY 1), ht AS (SELECT query_id, list_distinct(flatten(list(tk))) AS tk, list(DISTINCT source) AS sc FROM h JOIN it USING (item_id) GROUP BY 1),
+    x AS (SELECT f.query_id, n_hit, first, n_hit / n_gold AS r, coalesce(n_hit / n, 0) AS p, CASE WHEN len(gt.tk) > 0 THEN coalesce(len(list_intersect(gt.tk, ht.tk)), 0) / len(gt.tk) ELSE 0 END AS tr, CASE WHEN len(gt.sc) > 0 THEN coalesce(len(list_intersect(gt.sc, ht.sc)), 0) / len(gt.sc) ELSE 0 END AS sr
+          FROM f LEFT JOIN nf USING (query_id) LEFT JOIN gt USING (query_id) LEFT JOIN ht USING (query_id))
+    SELECT query_id, round(r, 4) AS chunk_recall, round(tr, 4) AS token_recall, round(sr, 4) AS section_recall, round(p, 4) AS precision, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 4) AS f1, round(coalesce(1 / first, 0), 4) AS mrr, CAST(n_hit > 0 AS DOUBLE) AS hit FROM x""")
+def retrieval_quality(spark, sf_dir):
+    """Sources as sections."""
+    from docspark.operators.evaluation import retrieval_quality as quality
+
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text", F.col("source").alias("section"))
+    return quality(R.top(lexical(spark, sf_dir), 10).select("query_id", "item_id", "rank"), gold(spark, sf_dir), own)
+
+
+@query(f"""WITH {BM25}, h AS (SELECT query_id, item_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, item_id) AS rank FROM bm25 QUALIFY rank <= 14)
+    SELECT query_id, item_id, rank FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM h) WHERE rank <= 10 OR top < 90""")
+def weak_retry(spark, sf_dir):
+    """Four more hits where the best BM25 score is under 90."""
+    return R.retried(R.top(lexical(spark, sf_dir).withColumn("score", F.round("score", 6)), 14), 10, 4, 90.0).select("query_id", "item_id", "rank")
+
+
+@query("""WITH c AS (SELECT conv_id, turn, ['c' || turn, 'c' || conv_id % 7, 'x'] AS cited, ['c1', 'c3', 'c5'] AS allowed, CASE WHEN turn % 3 = 0 THEN [' one ', '', 'two', 'three'] WHEN turn % 3 = 1 THEN ['only'] ELSE NULL END AS f FROM conversations),
+    g AS (SELECT *, list_filter(list_transform(coalesce(f, []), lambda x: trim(x)), lambda x: x != '') AS s FROM c)
+    SELECT conv_id, turn, array_to_string(list_filter(cited, lambda x: list_contains(allowed, x)), ',') AS cited, array_to_string((s || ['继续追问这部分', '继续追问这部分'])[:2], '|') AS follow FROM g""")
+def answer_normalize(spark, sf_dir):
+    t, v = F.col("turn"), F.col("conv_id")
+    name = lambda c: F.concat(F.lit("c"), c)
+    words = lambda *w: F.array(*map(F.lit, w))
+    asked = F.when(t % 3 == 0, words(" one ", "", "two", "three")).when(t % 3 == 1, words("only"))
+    own = R.allowed_citations(F.array(name(t), name(v % 7), F.lit("x")), words("c1", "c3", "c5"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(own, ",").alias("cited"), F.array_join(R.two_followups(asked), "|").alias("follow"))

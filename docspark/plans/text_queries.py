@@ -39,10 +39,10 @@ def profile_detect(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.profile(F.col("text")).alias("profile"))
 
 
-@query(r"""WITH s AS (SELECT doc_id, left(regexp_replace(regexp_replace(trim(lower(left(text, 60))), '\s+', '_', 'g'), '[^a-z0-9_一-鿿-]', '', 'g'), 48) AS s FROM documents)
+@query(r"""WITH s AS (SELECT doc_id, left(regexp_replace(regexp_replace(trim(lower(text)), '\s+', '_', 'g'), '[^a-z0-9_一-鿿-]', '', 'g'), 48) AS s FROM documents)
     SELECT doc_id, 'doc_' || CASE WHEN coalesce(s, '') = '' THEN 'unknown' ELSE s END AS slug FROM s""")
 def node_slug(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.slug("doc", F.substring("text", 1, 60)).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.slug("doc", F.col("text")).alias("slug"))
 
 
 @query(r"""WITH s AS (SELECT doc_id, text, regexp_replace(coalesce(text, ''), '\s+', '', 'g') AS s FROM documents)
@@ -88,3 +88,74 @@ def region_format(spark, sf_dir):
 def name_search(spark, sf_dir):
     name = F.lower("p_name")
     return table(spark, sf_dir, "part").where(name.contains("widget") | name.contains("blue")).select("p_partkey", "p_name")
+
+
+LABELS = ["Title", " heading", "figure_caption", "chart", "equation", "list_item", "paragraph", "code", "table", "seal", "", "plain_text"]
+KINDS = " ".join(f"WHEN l IN ({', '.join(repr(x) for x in labels)}) THEN '{kind}'" for kind, labels in X.BLOCK_TYPES.items())
+
+
+def labelled(spark, sf_dir):
+    return blocks(spark, sf_dir).withColumn("label", F.element_at(F.array(*map(F.lit, LABELS)), (F.col("pos") % len(LABELS) + 1).cast("int")))
+
+
+@query(f"WITH {BLOCKS}, x AS (SELECT doc_id, pos, lower(trim(({LABELS!r})[pos % {len(LABELS)} + 1])) AS l FROM blocks) SELECT doc_id, pos, CASE WHEN l = '' THEN 'unknown' {KINDS} ELSE l END AS kind FROM x")
+def block_types(spark, sf_dir):
+    return labelled(spark, sf_dir).select("doc_id", "pos", X.block_type(F.col("label")).alias("kind"))
+
+
+@query(rf"""WITH {BLOCKS} SELECT doc_id, pos, md5('文档:' || doc_id || chr(10) || '页码:' || page || chr(10) || '类型:' || 'text ' || chr(10) || '章节路径:' || chr(10) || '标题:' || trim(left(trim(content), 20)) || chr(10) || '内容:' || trim(content)) AS digest,
+    length('query: ' || trim(content)) AS n_query FROM blocks""")
+def search_texts(spark, sf_dir):
+    t = F.trim("content")
+    made = X.search_text(F.col("doc_id"), F.col("page"), F.lit("text"), F.lit(None).cast("string"), F.lit(""), F.substring(t, 1, 20), F.col("content"))
+    return blocks(spark, sf_dir).select("doc_id", "pos", F.md5(made.cast("binary")).alias("digest"), F.length(X.prefixed(F.col("content"), "query: ")).cast("long").alias("n_query"))
+
+
+@query(rf"""SELECT p_partkey, CASE WHEN s = '' THEN 'item' ELSE s END AS id, regexp_matches(p_name, '^[A-Za-z0-9_-][A-Za-z0-9_.-]*$') AS valid, p_partkey || '_' || regexp_replace(p_name, '[^\w.\-]', '_', 'g') AS stored
+    FROM (SELECT *, regexp_replace(regexp_replace(trim(p_name), '[^A-Za-z0-9_.-]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM part)""")
+def safe_ids(spark, sf_dir):
+    from docspark.sources.json_store import stored_name
+
+    n = F.col("p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", X.safe_id(n).alias("id"), X.valid_id(n).alias("valid"), stored_name(n, F.col("p_partkey").cast("string")).alias("stored"))
+
+
+@query(r"""WITH s AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(text, '[。！？!?;；\n]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x != '') AS s, regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?%?|[一二三四五六七八九十百千万]+') AS n FROM benchmark),
+    f AS (SELECT item_id, len(s) AS n_sentences, len(n) AS n_numbers, list_distinct(list_filter(list_transform(CASE WHEN len(n) > 0 THEN n[:8] ELSE s[:3] END, lambda x: lower(regexp_replace(x, '\s+', '', 'g'))), lambda x: x != '')) AS f FROM s)
+    SELECT item_id, n_sentences, n_numbers, len(f) AS n_facts, md5(array_to_string(list_sort(f), '|')) AS digest FROM f""")
+def gold_facts(spark, sf_dir):
+    t = F.col("text")
+    f = X.gold_facts(t, F.lit("how"))
+    return table(spark, sf_dir, "benchmark").select(
+        "item_id", F.size(X.sentences(t)).cast("long").alias("n_sentences"), F.size(X.numbers(t)).cast("long").alias("n_numbers"), F.size(f).cast("long").alias("n_facts"), F.md5(F.array_join(F.array_sort(f), "|").cast("binary")).alias("digest")
+    )
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN CAST(doc_id AS VARCHAR) WHEN 1 THEN doc_id || '.1' ELSE '(' || doc_id END AS number FROM documents")
+def formula_numbers(spark, sf_dir):
+    d = F.col("doc_id").cast("string")
+    written = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" ("), d, F.lit(")"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("（"), d, F.lit(".1）"))).otherwise(F.concat(F.lit("("), d))
+    return table(spark, sf_dir, "documents").select("doc_id", X.formula_number(written).alias("number"))
+
+
+@query(rf"""WITH {BLOCKS}, c AS (SELECT doc_id, pos, {STRIP("regexp_replace(regexp_replace('\\t\\t' || content || ' .....', '^(\\\\t)+', ''), '(\\\\t)+$', '')")} AS t FROM blocks)
+    SELECT doc_id, pos, md5({STRIP(r"regexp_replace(regexp_replace(regexp_replace(t, '\.{3,}', '...', 'g'), '·{3,}', '···', 'g'), '_{3,}', '___', 'g')")}) AS digest FROM c""")
+def clean_contents(spark, sf_dir):
+    """Lines with two tabs written out before and five points after."""
+    t = F.concat(F.lit("\\t\\t"), "content", F.lit(" ....."))
+    return blocks(spark, sf_dir).select("doc_id", "pos", F.md5(X.clean_content(t).cast("binary")).alias("digest"))
+
+
+@query()
+def without_loops(spark, sf_dir):
+    """Loops of characters need back references: no SQL."""
+    t = X.without_loops(F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(t).cast("long").alias("n_chars"), F.md5(t.cast("binary")).alias("digest"))
+
+
+@query()
+def mojibake_repair(spark, sf_dir):
+    """Texts whose UTF-8 was read as Latin-1 are read again: no SQL."""
+    broken = F.decode(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), "ISO-8859-1")
+    t = X.repair_mojibake(broken)
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(t).cast("long").alias("n_chars"), F.md5(t.cast("binary")).alias("digest"))

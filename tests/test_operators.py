@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docspark.functions import text as X
-from docspark.operators import blocks, context, evidence, folds, graph, quality, retrieval, sessions, structure
+from docspark.operators import blocks, context, evaluation, evidence, folds, graph, layout, quality, retrieval, sessions, structure
 
 
 def one(spark, column):
@@ -192,3 +192,76 @@ def test_batched_folds(spark):
     rows = spark.createDataFrame([(k % 7, k) for k in range(500)], "g long, v long").repartition(5)
     got = {r.g: (r.n, r.first) for r in folds.fold_groups(rows, ["g"], ["v"], lambda group: [(group[0][0], len(group), group[0][1])], "g long, n long, first long").collect()}
     assert got == {g: (len(range(g, 500, 7)), g) for g in range(7)} and folds.fold_groups(rows.where("false"), ["g"], ["v"], lambda g: [], "g long").count() == 0
+
+
+def test_carrying_packer():
+    for lengths in ([300, 150, 60, 20, 600, 40], [10] * 80, [700, 700], [5], []):
+        found = list(blocks.carry_ranges(lengths, 500, 100))
+        assert {k for a, b in found for k in range(a, b + 1)} == set(range(len(lengths))) and all(a <= b for a, b in found)
+
+
+def slow_loop(text, least=10, times=10):
+    import re
+
+    n = len(text) // times
+    m = re.search(r"(.{%d,%d}?)\1{%d,}" % (least, n, times - 1), text, re.DOTALL) if n >= least else None
+    return (m.start(), len(m.group(1))) if m else None
+
+
+def test_loops_are_cut():
+    r = random.Random(3)
+    for _ in range(150):
+        unit = "".join(r.choice("ab\n") for _ in range(r.randint(3, 25)))
+        text = "".join(r.choice("abc") for _ in range(r.randint(0, 30))) + unit * r.randint(5, 14) + "tail"
+        assert X.first_loop(text) == slow_loop(text), repr(text)
+    lines = "intro\n" + "same line\n" * 20 + "end"
+    assert X.without_loop(lines).count("same line") == 1 and X.without_loop("a b c") == "a b c" and X.without_loop("") == ""
+    short = "intro\n" + "x\n\n" * 30
+    assert X.without_loop("q\n" + "x\ny\n" * 3) == "q\n" + "x\ny\n" * 3 and X.without_loop(short) != short
+
+
+def test_mojibake_is_read_again(spark):
+    assert X.repaired("知识图谱".encode().decode("latin1")) == "知识图谱" and X.repaired("plain") == "plain"
+    rows = spark.createDataFrame([("知识".encode().decode("latin1"),), (None,), ("ascii",)], "t string")
+    assert [x.t for x in rows.select(X.repair_mojibake(F.col("t")).alias("t")).collect()] == ["知识", None, "ascii"]
+
+
+def test_lines_of_boxes():
+    boxes = [(0, 0, 0, 100, 20), (1, 110, 2, 200, 22), (2, 500, 0, 600, 20), (3, 0, 40, 90, 60)]
+    assert layout.group_lines(boxes) == [[0, 1], [2], [3]] and layout.group_lines([]) == []
+
+
+def test_merges_of_blocks(spark):
+    text = lambda *parts: [(k, "text", t) for k, t in enumerate(parts)]
+    assert layout.join_hyphens(text("an exam-", "ple of it", "next")) == [(0, "text", "an example of it"), (2, "text", "next")]
+    assert layout.join_hyphens(text("an exam-", "Ple of it")) == text("an exam-", "Ple of it") and layout.join_hyphens(text("x-", "1y")) == text("x-", "1y")
+    skipped = [(0, "text", "exam-"), (1, "table", "t"), (2, "text", "ple")]
+    assert layout.join_hyphens(skipped) == [(0, "text", "example"), (1, "table", "t")]
+    f = lambda t, label="formula": (label, t)
+    numbered = lambda *b: [(k, label, t) for k, (label, t) in enumerate(b)]
+    assert layout.tag_formulas(numbered(f("$$\nE\n$$"), f("(1)", "formula_number"))) == [(0, "formula", "$$\nE \\tag{1}\n$$")]
+    assert layout.tag_formulas(numbered(f("（2）", "formula_number"), f("$$\nE\n$$"), f("x", "text"))) == [(1, "formula", "$$\nE \\tag{2}\n$$"), (2, "text", "x")]
+    assert layout.tag_formulas(numbered(f("(3)", "formula_number"))) == [] and layout.tag_formulas(numbered(f("$E$"), f("4", "formula_number"))) == [(0, "formula", "$E$")]
+    bullets = [(0, "text", "- a", 0.0), (1, "text", "b", 5.0), (2, "text", "- c", 0.0), (3, "text", "d", 50.0), (4, "text", "- e", 0.0)]
+    assert [t for _, _, t, _ in layout.fill_bullets(bullets)] == ["- a", "- b", "- c", "d", "- e"]
+    rows = spark.createDataFrame([(1, 0, 0, "text", "exam-", 0), (1, 0, 1, "text", "", 0), (1, 0, 2, "text", "ple", 0), (1, 0, 3, "formula", "$$\nE\n$$", 0), (1, 0, 4, "formula_number", "(1)", 0)], "doc_id long, page long, idx long, label string, content string, x1 int")
+    got = [(r.idx, r.content) for r in layout.merged_blocks(rows).orderBy("idx").collect()]
+    assert got == [(0, "exam-"), (1, "ple"), (2, "$$\nE \\tag{1}\n$$")]
+
+
+def test_strict_headings(spark):
+    rows = spark.createDataFrame([(1, 0, 0, 0, "1.2 Beta part\nmore"), (1, 1, 0, 1, "1.3 Table head"), (1, 2, 0, 2, "1 Gamma")], "doc_id long, pos long, page long, idx long, content string")
+    found, doubtful = structure.strict_headings(rows, F.when(F.col("pos") == 1, "table").otherwise("text"), least=0.8)
+    assert {r.pos: r.is_heading for r in found.collect()} == {0: True, 1: False, 2: True} and [r.pos for r in doubtful.collect()] == [2]
+
+
+def test_context_groups_and_order(spark):
+    hits = spark.createDataFrame([(1, k % 3, k, k + 1) for k in range(9)] + [(1, 0, 0, 10)], "query_id long, doc_id long, pos long, rank long")
+    assert [r.group for r in context.split_groups(hits).orderBy("rank").collect()] == ["current"] * 4 + ["support"] * 3
+    assert [(r.doc_id, r.pos, r.place) for r in context.in_document_order(hits).orderBy("place").collect()][:4] == [(0, 0, 1), (0, 3, 2), (0, 6, 3), (1, 1, 4)]
+
+
+def test_rescoring(spark):
+    rows = spark.createDataFrame([("q", "in 1999 there were 5 %", "1999 and 7", "5"), ("q", "abc", "abd", ""), ("q", "", "", "")], "question string, answer string, gold string, cited_text string")
+    got = [(r.n_facts, r.key_fact_f1, r.groundedness) for r in evaluation.rescored(rows).collect()]
+    assert got == [(2, 0.5, 0.35), (1, 0.0, 0.0), (0, 1.0, 0.0)]
