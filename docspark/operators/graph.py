@@ -48,27 +48,32 @@ def rule_entities(blocks: DataFrame, title: Column | None = None) -> DataFrame:
     cased = lambda n: F.when(F.lower(n).isin(DATASETS), "Dataset").when(F.lower(n).isin(METRICS), "Metric").when(F.lower(n).isin(METHODS), "Method").otherwise("Concept")
     every = lambda pattern, group: F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), X.strip))
 
-    def rule(pattern, group, kind, confidence, source, least=1, stop=()):
+    none = F.array().cast("array<struct<name:string,type:string,confidence:double,source:string>>")
+    wide = text.rlike("[^\\x00-\\x7F]")
+
+    def rule(pattern, group, kind, confidence, source, least=1, stop=(), where=None):
+        """`where`: what a text has to have for the pattern to be tried."""
         kept = F.filter(every(pattern, group), lambda n: (F.length(n) >= least) & (~F.lower(n).isin(list(stop)) if stop else F.lit(True)))
-        return F.transform(kept, lambda n: entity(n, kind(n) if callable(kind) else F.lit(kind), confidence, source))
+        found = F.transform(kept, lambda n: entity(n, kind(n) if callable(kind) else F.lit(kind), confidence, source))
+        return found if where is None else F.when(where, found).otherwise(none)
 
     def known(names, kind, source):
         there = F.filter(F.array(*map(F.lit, names)), lambda n: F.contains(low, n))
         return F.transform(there, lambda n: entity(F.substring(text, F.position(n, low), F.length(n)), F.lit(kind), 0.85, source))
 
     found = F.concat(
-        rule(r"([A-Z][a-zA-Z\s]{2,30})\s*\([A-Z]{2,6}\)", 1, "Method", 0.9, "rule_paren_acronym"),
+        rule(r"([A-Z][a-zA-Z\s]{2,30})\s*\([A-Z]{2,6}\)", 1, "Method", 0.9, "rule_paren_acronym", where=F.contains(text, F.lit("("))),
         rule(r"\b([A-Z]{2,6})\b", 1, cased, 0.7, "rule_acronym"),
         rule(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b", 1, "Concept", 0.5, "rule_capitalized", 4),
-        rule('"([^"]{2,50})"', 1, "Concept", 0.6, "rule_quoted", 3, QUOTED_STOP),
+        rule('"([^"]{2,50})"', 1, "Concept", 0.6, "rule_quoted", 3, QUOTED_STOP, F.contains(text, F.lit('"'))),
         known(DATASETS, "Dataset", "rule_known_dataset"),
         known(METRICS, "Metric", "rule_known_metric"),
-        rule(f"({CHINESE_TERMS})", 1, "Concept", 0.8, "rule_chinese_tech"),
-        rule("[“”「」]([^“”「」]{2,30})[“”「」]", 1, "Concept", 0.6, "rule_chinese_quoted", 2),
-        rule(r"([一-鿿]{2,15})\s*[（(]\s*[A-Za-z][A-Za-z0-9_\-]*\s*[）)]", 1, "Method", 0.85, "rule_cn_en_pair", 2),
+        rule(f"({CHINESE_TERMS})", 1, "Concept", 0.8, "rule_chinese_tech", where=wide | F.contains(text, F.lit("Dropout"))),
+        rule("[“”「」]([^“”「」]{2,30})[“”「」]", 1, "Concept", 0.6, "rule_chinese_quoted", 2, where=wide),
+        rule(r"([一-鿿]{2,15})\s*[（(]\s*[A-Za-z][A-Za-z0-9_\-]*\s*[）)]", 1, "Method", 0.85, "rule_cn_en_pair", 2, where=wide),
     )
     if title is not None:
-        found = F.concat(found, F.when(F.length(F.trim(title)) >= 2, F.array(entity(F.trim(title), F.lit("Section"), 1.0, "rule_section"))).otherwise(F.array().cast("array<struct<name:string,type:string,confidence:double,source:string>>")))
+        found = F.concat(found, F.when(F.length(F.trim(title)) >= 2, F.array(entity(F.trim(title), F.lit("Section"), 1.0, "rule_section"))).otherwise(none))
     return blocks.select("doc_id", "pos", F.explode(found).alias("e")).select("doc_id", "pos", "e.*")
 
 

@@ -126,8 +126,8 @@ def column_risk(lines: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
 
 
 def final_scores(pages: DataFrame) -> DataFrame:
-    """`pages` (quality, structure, layout) with `final`: half quality, a fifth structure, the rest layout."""
-    return pages.withColumn("final", F.round(0.5 * F.col("quality") + 0.2 * F.col("structure") + 0.3 * F.col("layout"), 4))
+    """`pages` (quality, structure, layout) with `final`: half quality, a fifth structure, the rest layout, rounded half up."""
+    return pages.withColumn("final", F.round(0.5 * F.col("quality") + 0.2 * F.col("structure") + 0.3 * F.col("layout") + 1e-9, 4))
 
 
 def better_attempt(attempts: DataFrame, keys: tuple[str, ...] = PAGE, least: float = 0.6) -> DataFrame:

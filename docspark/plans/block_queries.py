@@ -230,9 +230,10 @@ def expansion(first: int, second: int, half: int | None = None, seed: str = SEED
 
 
 def expanded(spark, sf_dir, strategy):
-    filled = S.fill_sections(marked(spark, sf_dir))
-    seeds = filled.where("pos = 2 and doc_id % 50 = 0").select(F.floor(F.col("doc_id") / 500).cast("long").alias("query_id"), "doc_id", "pos", F.floor(F.col("doc_id") / 50 % 10).cast("long").alias("seed_rank"))
-    return C.expand(filled, seeds, 12, strategy)
+    own = titled(spark, sf_dir)
+    seeds = blocks(spark, sf_dir).where("pos = 2 and doc_id % 50 = 0").select(F.floor(F.col("doc_id") / 500).cast("long").alias("query_id"), "doc_id", "pos", F.floor(F.col("doc_id") / 50 % 10).cast("long").alias("seed_rank"))
+    # headings are looked for in the seeds' documents only
+    return C.expand(S.fill_sections(S.headings(own.join(seeds.select("doc_id").distinct(), "doc_id", "left_semi"))), seeds, 12, strategy)
 
 
 @query(expansion(1, 2))
@@ -375,14 +376,14 @@ def layout_quality(spark, sf_dir):
     return L.layout_metrics(boxes(spark, sf_dir)).withColumn("issues", F.array_join("issues", ","))
 
 
-@query(f"""WITH {BLOCKS}, {PAGE}, {LAYOUT.replace(PAIRS + ', ', '')}, f AS (SELECT doc_id, page, round(0.5 * score + 0.2 * empty_ratio + 0.3 * layout_score, 4) AS final, issues FROM pages_q JOIN layout USING (doc_id, page))
-    SELECT doc_id, count(*) AS n_pages, round(avg(final), 4) AS final, count(*) FILTER (contains(issues, 'nested_bbox_anomaly')) AS n_nested, count(*) FILTER (issues != '') AS n_issues FROM f GROUP BY doc_id""")
+@query(f"""WITH {BLOCKS}, {PAGE}, {LAYOUT.replace(PAIRS + ', ', '')}, f AS (SELECT doc_id, page, round(0.5::DOUBLE * score + 0.2::DOUBLE * empty_ratio + 0.3::DOUBLE * layout_score + 1e-9, 4) AS final, issues FROM pages_q JOIN layout USING (doc_id, page))
+    SELECT doc_id, count(*) AS n_pages, round(avg(final) + 1e-9, 4) AS final, count(*) FILTER (contains(issues, 'nested_bbox_anomaly')) AS n_nested, count(*) FILTER (issues != '') AS n_issues FROM f GROUP BY doc_id""")
 def doc_final_scores(spark, sf_dir):
     """The share of empty blocks stands in for the structure score, which needs whole pages."""
     q = page_quality(spark, sf_dir).select("doc_id", "page", F.col("score").alias("quality"), F.col("empty_ratio").alias("structure"))
     lay = layout_quality(spark, sf_dir).select("doc_id", "page", F.col("layout_score").alias("layout"), "issues")
     f = L.final_scores(q.join(lay, ["doc_id", "page"]))
-    return f.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"), F.round(F.avg("final"), 4).alias("final"), F.count_if(F.contains("issues", F.lit("nested_bbox_anomaly"))).alias("n_nested"), F.count_if(F.col("issues") != "").alias("n_issues"))
+    return f.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"), F.round(F.avg("final") + 1e-9, 4).alias("final"), F.count_if(F.contains("issues", F.lit("nested_bbox_anomaly"))).alias("n_nested"), F.count_if(F.col("issues") != "").alias("n_issues"))
 
 
 @query(f"WITH {BLOCKS}, {BOX} SELECT doc_id, page, idx, row_number() OVER (PARTITION BY doc_id, page ORDER BY (y1 + y2) / 2, x1, idx) - 1 AS place FROM box WHERE x2 > x1 AND y2 > y1")

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from docspark.operators import context as C
 from docspark.operators import retrieval as R
 from docspark.operators import structure as S
+from docspark.operators.checkpoints import checkpointed
 from docspark.plans.base import BLOCKS, BM25, COSINE, HYBRID, TOKENS, blocks, bm25_sql, items, query, questions, table
 from docspark.plans.block_queries import FILL, HEAD, SIDES
 from docspark.plans.block_queries import marked as headed
+from docspark.plans.block_queries import titled
 from docspark.plans.text_queries import normal
 
 
@@ -282,7 +284,8 @@ HITS = f"""{SECTIONS}, {BLEND}, hits AS (SELECT query_id, item_id // 1000000 AS
 def hits(spark, sf_dir, k, more):
     base = by_strategy(spark, sf_dir, None).withColumn("score", F.round("score", 6))
     found = R.retried(R.top(base, k + more).select("query_id", "item_id", "score", "rank"), k, more)
-    return found.select("query_id", F.floor(F.col("item_id") / 1000000).cast("long").alias("doc_id"), (F.col("item_id") % 1000000).alias("pos"), "score", "rank")
+    found = found.select("query_id", F.floor(F.col("item_id") / 1000000).cast("long").alias("doc_id"), (F.col("item_id") % 1000000).alias("pos"), "score", "rank")
+    return checkpointed(found)  # a few rows a question, that contexts look at several times
 
 
 @query(f"""WITH {HITS}, {FILL}, ranked AS (SELECT * FROM best WHERE rank <= 20 OR (top < 0.2 AND rank <= 30)), seeds AS (SELECT query_id, doc_id, pos, rank AS seed_rank FROM ranked WHERE rank <= 8), {SIDES},
@@ -293,7 +296,8 @@ def hits(spark, sf_dir, k, more):
     UNION ALL SELECT query_id, doc_id, pos, 'support', place FROM (SELECT query_id, doc_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY o, doc_id, pos) AS place FROM s ANTI JOIN seeds USING (query_id, doc_id, pos)) JOIN room USING (query_id) WHERE place <= room""")
 def lad_context(spark, sf_dir):
     """Eight seeds of each question among all lines, expanded by section."""
-    return C.structural_context(hits(spark, sf_dir, 20, 10), S.fill_sections(headed(spark, sf_dir)))
+    found = hits(spark, sf_dir, 20, 10)
+    return C.structural_context(found, S.fill_sections(S.headings(titled(spark, sf_dir).join(found.select("doc_id").distinct(), "doc_id", "left_semi"))))
 
 
 @query(f"""WITH {HITS}, w AS (SELECT item_id AS query_id, {WIDE} AS wide FROM benchmark), sized AS (SELECT *, CASE WHEN wide THEN 6 ELSE 5 END AS k, CASE WHEN wide THEN 4 ELSE 3 END AS c, CASE WHEN wide THEN 6 ELSE 4 END AS m FROM best JOIN w USING (query_id)),
