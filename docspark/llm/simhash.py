@@ -61,8 +61,8 @@ def ball_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     """
     if radius not in (1, 2):
         raise ValueError("half the radius has to be one bit at most: a wider ball has thousands of values")
-    # dealt out anew: the few partitions that hold the fingerprints are too few for 65 times as many rows
-    distinct = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    # dealt out anew: the few partitions that hold the fingerprints are too few for 65 times as many rows (by a hash of their own, else the shuffle is left out)
+    distinct = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(64)])
     variants = distinct.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
     met = checkpointed(variants.groupBy("variant").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count(F.lit(1)).alias("n")).where("n > 1"))
