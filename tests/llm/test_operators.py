@@ -127,6 +127,40 @@ def test_quality(spark, odd, none):
     assert empty.constant and {r.score for r in quality.score_quality(odd, empty).collect()} == {0.5}
 
 
+def test_dual_coordinate_descent_finds_the_least_loss():
+    """No small step from the solution lowers the regularised hinge loss; ratios are log ratios of smoothed counts."""
+    rng = np.random.default_rng(5)
+    rows = [np.unique(rng.integers(0, 30, rng.integers(2, 9))) for _ in range(60)]
+    y = np.where(rng.random(60) < 0.5, 1.0, -1.0)
+    ratio = rng.standard_normal(30)
+    weight, bias = quality.dual_coordinate_descent(rows, y, ratio, 1.0, 2000)
+
+    def loss(w, b):
+        margins = np.array([w[r] @ (ratio[r] / np.linalg.norm(ratio[r])) + b for r in rows])
+        return 0.5 * (w @ w + b * b) + np.maximum(0, 1 - y * margins).sum()
+
+    least = loss(weight, bias)
+    for scale in (1e-3, 1e-2, 0.1):
+        for _ in range(200):
+            step = rng.standard_normal(31) * scale
+            assert loss(weight + step[:30], bias + step[30]) > least - 2e-3
+    model = quality.Model([np.array([k % 7, 9]) for k in range(80)], np.array([k % 7 < 3 for k in range(80)], float))
+    fit = [k for k in range(80) if k % 4 != 3]
+    count = lambda f, good: 1 + sum((k % 7 == f or f == 9) and (k % 7 < 3) == good for k in fit)
+    total = {good: sum(2 for k in fit if (k % 7 < 3) == good) + (1 << quality.BITS) for good in (True, False)}
+    expected = math.log(count(2, True) / total[True]) - math.log(count(2, False) / total[False])
+    assert model.square[2] == pytest.approx(expected**2, rel=1e-4) and model.square[1000] == 0
+
+
+def test_quality_and_licenses_of_odd_rows(odd):
+    model = quality.Model([np.array([k % 7]) for k in range(80)], np.array([k % 2 for k in range(80)], float))
+    scored = quality.score_quality(odd, model, keep=("score", "place")).collect()
+    assert len(scored) == len(ODD) and all(0 <= r.score <= 1 and r.kept.score == 1.5 for r in scored)
+    found = licenses.scan_licenses(odd).collect()
+    words = lambda t: len([w for w in "".join(c if c.isalnum() or ord(c) > 127 else " " for c in t or "").split()])
+    assert Counter((r.doc_id, r.n_words) for r in found if r.doc_id != 7) == Counter((i, words(t)) for i, t, _ in ODD if i != 7)
+
+
 def brute_simhash(text, n=3):
     words = (text or "").encode().lower().split()
     if not words:
