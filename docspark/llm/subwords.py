@@ -7,18 +7,24 @@ hold none. `WordMemo` keeps the ids of words it has met and asks the tokenizer f
 
 from __future__ import annotations
 
+import string
 import sys
 import unicodedata
 from array import array
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 if array("I").itemsize != 4 or sys.byteorder != "little":
     raise ImportError("ids are packed as little-endian 32-bit numbers")
 
 #: Words a worker remembers; beyond them it starts anew. About 130 bytes each.
 MEMO_WORDS = 700_000
 
-TAIL = b".,!?;:"
+#: ASCII punctuation: a run of it after letters is a piece of its own for the pattern, whatever stands before.
+TAIL = string.punctuation.encode()
 
 
 @lru_cache(maxsize=2)
@@ -51,7 +57,7 @@ def byte_letters() -> dict[int, str]:
 class WordMemo(dict):
     """Word as bytes -> its ids as little-endian unsigned 32-bit numbers. `learn` words before looking them up.
 
-    Runs of letters, without the punctuation that ends a word, are kept apart: the pattern keeps them whole, so the model encodes them alone.
+    Runs of letters, without the ASCII punctuation that ends a word, are kept apart: the pattern keeps them whole, so the model encodes them alone.
     """
 
     def __init__(self, path: str, most: int = MEMO_WORDS):
@@ -112,6 +118,27 @@ def memo(path: str, most: int = MEMO_WORDS) -> WordMemo:
     return WordMemo(path, most)
 
 
+def distinct_words(column: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Words of texts, lower-cased (A-Z), split at ASCII white space: number of words of each text, the distinct words, and of all words in order
+    which of these they are. A null text has none. Words become Python objects once, not at each place."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.cast(pa.string()), "")))
+    length = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    which, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    _, places, data = names.buffers()
+    at = np.frombuffer(places, np.int32)[names.offset : names.offset + len(names) + 1].tolist() if len(names) else [0]
+    raw = data.to_pybytes() if data else b""
+    words = [raw[a:b] for a, b in zip(at, at[1:])]
+    if b"" in words:  # before white space that begins a text, after white space that ends it
+        empty = words.index(b"")
+        there = which != empty
+        length -= np.bincount(np.repeat(np.arange(len(length)), length)[~there], minlength=len(length))
+        which = which[there]
+        which -= which > empty
+        del words[empty]
+    return length, words, which
+
+
 def encode_words(words: WordMemo, texts: list[bytes]) -> list[bytes]:
     """Each text's ids, packed."""
     split = [t.split() for t in texts]
