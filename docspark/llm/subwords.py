@@ -79,21 +79,27 @@ class WordMemo(dict):
 
     def learn(self, words: set[bytes]) -> None:
         """`words`: all that will be looked up next, split at ASCII white space, valid UTF-8."""
-        units = self.units
-        if len(self) + len(units) > self.most:
+        if len(self) + len(self.units) > self.most:
             self.clear()
+            self.units.clear()
+        fresh = [w for w in words if w not in self]
+        self.update(zip(fresh, self.packed(fresh)))
+
+    def packed(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of `words`, which are as for `learn`; only runs of letters and punctuation are kept."""
+        units = self.units
+        if len(units) > self.most:
             units.clear()
-        rest = []
+        out, rest = [], []
         for word in words:
-            if word in self:
-                continue
             core = word.rstrip(TAIL)
             if core.isalpha():
                 letters = core.lower()
             elif core:
                 text = core.decode()
                 if not (text.isalpha() and max(text) < "ɐ" and "İ" not in text and unicodedata.is_normalized("NFC", text)):
-                    rest.append(word)  # the tokenizer itself has to look
+                    rest.append(len(out))  # the tokenizer itself has to look
+                    out.append(word)
                     continue
                 letters = text.lower().encode()
             else:
@@ -106,10 +112,11 @@ class WordMemo(dict):
             if len(core) < len(word):
                 mark = word[len(core) :]
                 ids += units.get(mark) or self.tail(mark)
-            self[word] = ids
+            out.append(ids)
         if rest:
-            for word, e in zip(rest, self.whole.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
-                self[word] = array("I", e.ids).tobytes()
+            for k, e in zip(rest, self.whole.encode_batch_fast([out[k].decode() for k in rest], add_special_tokens=False)):
+                out[k] = array("I", e.ids).tobytes()
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -118,25 +125,35 @@ def memo(path: str, most: int = MEMO_WORDS) -> WordMemo:
     return WordMemo(path, most)
 
 
-def distinct_words(column: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Words of texts, lower-cased (A-Z), split at ASCII white space: number of words of each text, the distinct words, and of all words in order
-    which of these they are. A null text has none. Words become Python objects once, not at each place."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.cast(pa.string()), "")))
+def words_of(column: pa.Array) -> pa.ListArray:
+    """Words of texts, lower-cased (A-Z), split at ASCII white space; an empty one where white space begins or ends a text. A null text is empty."""
+    return pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.cast(pa.string()), "")))
+
+
+def distinct_words(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Number of words of each text, the distinct words, and of all words in order which of these they are."""
+    lists = words_of(column)
     length = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = lists.flatten().dictionary_encode()
     which, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
-    _, places, data = names.buffers()
-    at = np.frombuffer(places, np.int32)[names.offset : names.offset + len(names) + 1].tolist() if len(names) else [0]
-    raw = data.to_pybytes() if data else b""
-    words = [raw[a:b] for a, b in zip(at, at[1:])]
-    if b"" in words:  # before white space that begins a text, after white space that ends it
-        empty = words.index(b"")
+    empty = pc.index(names, "").as_py()
+    if empty >= 0:
         there = which != empty
         length -= np.bincount(np.repeat(np.arange(len(length)), length)[~there], minlength=len(length))
         which = which[there]
         which -= which > empty
-        del words[empty]
-    return length, words, which
+        names = pa.concat_arrays([names[:empty], names[empty + 1 :]])
+    return length, names, which
+
+
+def word_bytes(names: pa.Array) -> list[bytes]:
+    """Strings without nulls as bytes."""
+    if not len(names):
+        return []
+    _, places, data = names.buffers()
+    at = np.frombuffer(places, np.int32)[names.offset : names.offset + len(names) + 1]
+    raw, at = bytes(memoryview(data)[at[0] : at[-1]]) if data else b"", (at - at[0]).tolist()
+    return [raw[a:b] for a, b in zip(at, at[1:])]
 
 
 def encode_words(words: WordMemo, texts: list[bytes]) -> list[bytes]:

@@ -7,12 +7,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from docspark.llm import attention, chat, licenses, lm, media, minhash, mixing, near_copies, packing, quality, simhash, token_counts
-from docspark.llm.subwords import encode_words, memo, tokenizer, word_vocabulary
+from docspark.llm.subwords import distinct_words, encode_words, memo, tokenizer, word_bytes, word_vocabulary
 
 WORDS = "the of and sea ship wind harbour stone river night lamp road garden winter song letter".split()
 
@@ -40,6 +41,26 @@ def none(odd):
     return odd.where("false")
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_words_through_arrow_are_those_of_plain_splitting(seed):
+    rng = random.Random(seed)
+    texts = [None if rng.random() < 0.1 else "".join(rng.choices(" \t\n\x0b\x0c\r\x1cAb\u00e9\x85. ", k=rng.randrange(30))) for _ in range(rng.randrange(1, 8))]
+    for column, plain in ((pa.array(texts, pa.string()), texts), (pa.array(texts, pa.string())[1:], texts[1:])):
+        length, names, which = distinct_words(column)
+        want, words = [(t or "").encode().lower().split() for t in plain], word_bytes(names)
+        assert length.tolist() == [len(w) for w in want]
+        assert [words[k] for k in which] == [w for ws in want for w in ws] and len(set(words)) == len(words)
+
+
+def test_punctuation_of_all_kinds_after_letters_is_encoded_as_the_library_does():
+    rng = random.Random(4)
+    words = {"".join(rng.choices("abc\u00e9'\u00dfSTRE", k=rng.randrange(5))) + rng.choice(["", "s", "t", "re"]) + "".join(rng.choices("!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~", k=rng.randrange(5))) for _ in range(3000)} - {""}
+    known = memo(word_vocabulary())
+    for word, ids in zip(words, known.packed([w.encode() for w in words])):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer(word_vocabulary()).encode(word, add_special_tokens=False).ids
+
+
+
 def test_tokens_of_words_are_those_of_texts():
     r, letters = random.Random(1), "aAbé ̈'sS \n\t.,!1٣日ßİΣ ​|<>한"
     texts = [t or "" for _, t, _ in ODD if len(t or "") < 9000] + ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(2000)]
