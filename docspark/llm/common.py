@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Rows and bytes of one Arrow batch handed to Python, so that a worker's memory doesn't follow the length of texts.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
+#: Tables of so many rows at most are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 50_000
+
 #: A-Z to lower case; every byte that is no word byte (0-9, a-z, 128-255) to a space.
 WORD_TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -50,6 +53,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, to be broadcast if its counted `rows` are BROADCAST_ROWS at most; a larger one is joined by a shuffle."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow with bounded batches."""
     bounded_batches(df.sparkSession)

@@ -16,13 +16,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.llm.common import checkpointed
+from docspark.llm.common import checkpointed, small
 
 #: Words of a block; blocks of a source, at least; words of a shard; passes over a source, at most.
 BLOCK_WORDS, LEAST_BLOCKS, SHARD_WORDS, PASSES = 1 << 18, 32, 1 << 24, 3
 WEIGHTS = (1, 2, 3)
-#: Tables of so many rows at most are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 50_000
 
 
 def uniform(*parts) -> Column:
@@ -196,10 +194,6 @@ def plan_mix(rows: DataFrame, seed: int = 0, levels: int | None = None, block_wo
     return Mix(sources, draws, parts, (n_sources, plan.count(), parts.count()), seed)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def with_block(rows: DataFrame, sources: DataFrame, n_sources: int, seed: int) -> DataFrame:
     """`rows` (doc, key, ...) with their source's columns and their block."""
     return rows.join(small(sources, n_sources), "key").withColumn("block", F.pmod(F.xxhash64("doc", F.lit(seed), F.lit("block")), F.col("blocks")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docspark.llm.chat import CLOSE, OPEN, fold_events, message_events, read_back, render
 from docspark.llm.common import table
+from docspark.llm.divergence import source_divergence
 from docspark.llm.licenses import scan_licenses
 from docspark.llm.lm import score_texts
 from docspark.llm.media import media_columns
@@ -14,8 +15,13 @@ from docspark.llm.minhash import fingerprint_documents
 from docspark.llm.mixing import mix_sources
 from docspark.llm.packing import pack_documents
 from docspark.llm.quality import fit_quality, score_quality
+from docspark.llm.repair import damage, repair_conversations
 from docspark.llm.simhash import near_duplicates
 from docspark.llm.token_counts import count_tokens
+from docspark.llm.url_rules import judge_urls
+
+#: The rules of op13_url_rules.
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,9 +91,26 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The damaged table, repaired; the repaired text as a digest."""
+    fixed = repair_conversations(damage(table(spark, sf_dir, "conversations")))
+    return fixed.withColumn("repaired_sha256", F.sha2(F.col("repaired").cast("binary"), 256)).drop("repaired")
+
+
+def op13_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), RULES)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_license_scan, op2_quality_classifier, op3_simhash_dedup, op4_token_counts, op5_minhash_fingerprints, op6_source_mix, op7_chat_format, op8_lexical_packing, op9_media_chunks, op10_lm_scores)
+    for f in (
+        op1_license_scan, op2_quality_classifier, op3_simhash_dedup, op4_token_counts, op5_minhash_fingerprints, op6_source_mix, op7_chat_format, op8_lexical_packing, op9_media_chunks,
+        op10_lm_scores, op11_source_divergence, op12_conversation_repair, op13_url_rules,
+    )
 }
 ORACLE: dict[str, str] = {
     "op7_chat_format": r"""
