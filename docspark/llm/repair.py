@@ -34,7 +34,7 @@ def flagged(rows: DataFrame) -> DataFrame:
     """`rows` (conv_id, turn, role, text, gone) with place, initial, fault, illegal (the pair with the turn before) and new_turn. One shuffle, by conversation."""
     order = [F.col("turn").asc_nulls_first(), "role", "text"]
     by = Window.partitionBy("conv_id", "gone").orderBy(*order)
-    same = Window.partitionBy("conv_id", "gone", "role", "text").orderBy(F.col("turn").asc_nulls_first())
+    same = Window.partitionBy("conv_id", "gone", "role", "text").orderBy("place")
     rows = rows.repartition("conv_id").withColumn("initial", F.substring("role", 1, 1))
     rows = rows.withColumns({"place": F.row_number().over(by), "last_initial": F.lag("initial").over(by), "last_turn": F.lag("turn").over(by)})
     rows = rows.withColumn("seen", F.row_number().over(same) > 1)
