@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,6 +54,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a table in the shared checkpoint folder. For loops: a checkpoint's estimated size is that of its whole past, and joins multiply estimates, round by round."""
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """`df`, to be broadcast if its counted `rows` are BROADCAST_ROWS at most; a larger one is joined by a shuffle."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

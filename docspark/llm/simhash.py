@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import as_bytes, checkpointed, map_batches
+from docspark.llm.common import as_bytes, checkpointed, map_batches, written
 
 #: A round of contraction follows this many pointers at most; what is left comes in the next round.
 JUMPS = 2
@@ -75,22 +75,22 @@ def ball_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node of its component, for every node of `links` (a, b). Rows, not groups, move between rounds."""
-    links = checkpointed(links.select("a", "b").where("a != b"))
+    links = written(links.select("a", "b").where("a != b"))
     found = None
     while not links.isEmpty():
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = checkpointed(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root")))
+        up = written(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root")))
         for _ in range(JUMPS):
             higher = up.select(F.col("node").alias("root"), F.col("root").alias("next"))
             up = up.join(higher, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-        up = checkpointed(up)
+        up = written(up)
         ends = [up.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab"]
-        links = checkpointed(links.join(ends[0], "a").join(ends[1], "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).where("a != b").distinct())
+        links = written(links.join(ends[0], "a").join(ends[1], "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).where("a != b").distinct())
         if found is None:
             found = up
         else:
             moved = up.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            found = checkpointed(found.join(moved, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
+            found = written(found.join(moved, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
     return found if found is not None else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
