@@ -287,15 +287,15 @@ def upsert_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "tgt", "relation").agg(F.max("confidence").alias("confidence"))
 
 
-def event_edges(events: DataFrame) -> DataFrame:
-    """src, tgt, relation, weight, n_events of `events` (event_id, question, doc, concept, score): running sums of weights, each rounded to 3 digits.
+def event_edges(events: DataFrame, root: str = "question_graph") -> DataFrame:
+    """src, tgt, relation, weight, n_events of `events` (event_id, question, doc, concept, score): running sums of weights, each rounded to 3 digits. All questions hang on the node `root`.
 
     The same function serves a batch and a stream in update or complete mode: every aggregate can be merged.
     """
     q, d, c = F.concat(F.lit("question_"), "question"), F.concat(F.lit("doc_"), "doc"), F.concat(F.lit("knowledge_"), "concept")
     edge = lambda s, t, r, w: F.struct(s.alias("src"), t.alias("tgt"), F.lit(r).alias("relation"), w.alias("weight"))
     four = F.array(
-        edge(F.lit("question_driven_kg"), q, "EXPANDS_FROM", F.lit(1.0)), edge(q, d, "ASKS_ABOUT", F.lit(0.8)), edge(q, c, "FOCUSES_ON", F.col("score")), edge(c, d, "GROUNDED_IN", F.greatest(F.lit(0.4), F.col("score") - 0.1))
+        edge(F.lit(root), q, "EXPANDS_FROM", F.lit(1.0)), edge(q, d, "ASKS_ABOUT", F.lit(0.8)), edge(q, c, "FOCUSES_ON", F.col("score")), edge(c, d, "GROUNDED_IN", F.greatest(F.lit(0.4), F.col("score") - 0.1))
     )
     rows = events.select("event_id", F.explode(four).alias("e")).select("event_id", "e.*")
     return rows.groupBy("src", "tgt", "relation").agg(F.round(F.sum(F.round("weight", 3)), 3).alias("weight"), F.count(F.lit(1)).alias("n_events"))

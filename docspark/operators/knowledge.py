@@ -30,8 +30,13 @@ def terms(events: DataFrame, most: int = 4) -> DataFrame:
     return kept.select("event_id", "label", X.knowledge_type(F.col("label")).alias("type"), F.round(F.least(F.lit(1.0), score), 3).alias("score"), "reasons")
 
 
-def event_nodes(events: DataFrame, found: DataFrame) -> DataFrame:
-    """id, type, label, score, n_events: the nodes of `events` (event_id, question, doc) and of their terms (event_id, label, type, score), beside the two that are always there.
+#: The node that all questions hang on, and the others that a graph begins with: (id, type, label, score).
+ROOT = "question_graph"
+FIXED = [("workbench", "System", "Workbench", 1.0), (ROOT, "Capability", "Question graph", 1.0)]
+
+
+def event_nodes(events: DataFrame, found: DataFrame, fixed: list[tuple[str, str, str, float]] = FIXED) -> DataFrame:
+    """id, type, label, score, n_events: the nodes of `events` (event_id, question, doc) and of their terms (event_id, label, type, score), beside the `fixed` ones.
 
     Every aggregate can be merged, so batch and stream share the function.
     """
@@ -42,7 +47,6 @@ def event_nodes(events: DataFrame, found: DataFrame) -> DataFrame:
     )
     rows = events.select("event_id", F.explode(own).alias("n")).select("event_id", "n.*")
     rows = rows.unionByName(found.select("event_id", X.slug("knowledge", F.col("label")).alias("id"), "type", "label", "score"))
-    fixed = [("deepdoc", "System", "DeepDOC", 1.0), ("question_driven_kg", "Capability", "Question Driven KG", 1.0)]
     always = events.sparkSession.createDataFrame([(None, *f) for f in fixed], "event_id long, id string, type string, label string, score double")
     rows = rows.select("event_id", "id", "type", "label", F.col("score").cast("double").alias("score")).unionByName(always.select(F.col("event_id").cast(events.schema["event_id"].dataType).alias("event_id"), "id", "type", "label", "score"))
     return rows.groupBy("id").agg(F.min("type").alias("type"), F.min("label").alias("label"), F.max("score").alias("score"), F.count_distinct("event_id").alias("n_events"))

@@ -132,7 +132,7 @@ def kg_events(spark, sf_dir):
     return e.select("event_id", F.col("user_id").cast("string").alias("question"), (F.col("user_id") % 20).cast("string").alias("doc"), F.col("event_type").alias("concept"), (0.35 + (F.col("event_id") % 7) * 0.08).alias("score"))
 
 
-GRAPH = f"""{EVENTS}, ed AS (SELECT event_id, 'question_driven_kg' AS src, 'question_' || question AS tgt, 'EXPANDS_FROM' AS relation, 1.0 AS w FROM ev UNION ALL SELECT event_id, 'question_' || question, 'doc_' || doc, 'ASKS_ABOUT', 0.8 FROM ev
+GRAPH = f"""{EVENTS}, ed AS (SELECT event_id, '{N.ROOT}' AS src, 'question_' || question AS tgt, 'EXPANDS_FROM' AS relation, 1.0 AS w FROM ev UNION ALL SELECT event_id, 'question_' || question, 'doc_' || doc, 'ASKS_ABOUT', 0.8 FROM ev
     UNION ALL SELECT event_id, 'question_' || question, 'knowledge_' || concept, 'FOCUSES_ON', score FROM ev UNION ALL SELECT event_id, 'knowledge_' || concept, 'doc_' || doc, 'GROUNDED_IN', greatest(0.4, score - 0.1) FROM ev),
     g AS (SELECT src, tgt, relation, round(CAST(sum(round(CAST(w AS DOUBLE), 3)) AS DOUBLE), 3) AS weight, count(*) AS n_events FROM ed GROUP BY ALL),
     way AS (SELECT DISTINCT * FROM (SELECT src, tgt FROM g UNION ALL SELECT tgt, src FROM g) WHERE src != tgt)"""
@@ -272,8 +272,9 @@ def question_terms(spark, sf_dir):
 
 
 SLUG = r"CASE WHEN left(regexp_replace(regexp_replace(trim(lower(label)), '\s+', '_', 'g'), '[^a-z0-9_一-鿿-]', '', 'g'), 48) = '' THEN 'unknown' ELSE left(regexp_replace(regexp_replace(trim(lower(label)), '\s+', '_', 'g'), '[^a-z0-9_一-鿿-]', '', 'g'), 48) END"
+FIXED = " UNION ALL ".join(f"SELECT NULL, '{i}', '{t}', '{label}', {score}" for i, t, label, score in N.FIXED)
 NODES = f"""{TERMS}, nd AS (SELECT event_id, 'doc_' || doc AS id, 'Document' AS type, doc AS label, 0.8::DOUBLE AS score FROM qa UNION ALL SELECT event_id, 'question_' || event_id, 'QuestionEvent', left(coalesce(question, ''), 80), 1 FROM qa
-        UNION ALL SELECT event_id, 'knowledge_' || {SLUG}, type, label, score FROM terms UNION ALL SELECT NULL, 'deepdoc', 'System', 'DeepDOC', 1 UNION ALL SELECT NULL, 'question_driven_kg', 'Capability', 'Question Driven KG', 1),
+        UNION ALL SELECT event_id, 'knowledge_' || {SLUG}, type, label, score FROM terms UNION ALL {FIXED}),
     nodes AS (SELECT id, min(type) AS type, min(label) AS label, max(score) AS score, count(DISTINCT event_id) AS n_events FROM nd GROUP BY id)"""
 
 
