@@ -72,6 +72,17 @@ def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def release_memory() -> None:
+    """Gives what this process has freed back to the system: workers are kept, and stages that follow need the room."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """A string column as UTF-8, null as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -16,11 +16,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.llm.common import checkpointed, small
+from docspark.llm.common import BROADCAST_ROWS, checkpointed, small
 
 #: Words of a block; blocks of a source, at least; words of a shard; passes over a source, at most.
 BLOCK_WORDS, LEAST_BLOCKS, SHARD_WORDS, PASSES = 1 << 18, 32, 1 << 24, 3
 WEIGHTS = (1, 2, 3)
+#: Parts of a shard's places: the two highest bits of a hash.
+QUARTERS = 4
 
 
 def uniform(*parts) -> Column:
@@ -155,6 +157,7 @@ class Mix:
     draws: DataFrame
     parts: DataFrame
     rows: tuple[int, int, int]
+    shards: int
     seed: int
 
 
@@ -191,7 +194,7 @@ def plan_mix(rows: DataFrame, seed: int = 0, levels: int | None = None, block_wo
     left = F.floor((F.floor(F.col("words") * F.col("share") + 0.5) - upto) / F.col("copies"))
     parts = checkpointed(inside.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), left)).cast("long")).select("key", "block", "doc", "size", "part").where("part > 0"))
     draws = plan.select("key", "block", "draws")
-    return Mix(sources, draws, parts, (n_sources, plan.count(), parts.count()), seed)
+    return Mix(sources, draws, parts, (n_sources, plan.count(), parts.count()), 1 << levels, seed)
 
 
 def with_block(rows: DataFrame, sources: DataFrame, n_sources: int, seed: int) -> DataFrame:
@@ -236,8 +239,18 @@ def mixed_texts(
     own = F.struct(*[df[c] for c in df.columns])
     rows = df.select(df[id_col].alias("id"), source_key(df[source_col]).alias("key"), size_of(df[text_col].cast("string")).alias("size"), own.alias("own"))
     mix = plan_mix(rows.select("id", "key", "size"), seed, levels, block_words)
-    each = drawn(rows, mix).select("own", "size", F.explode("draws").alias("draw"))
-    laid = each.repartitionByRange("draw.shard", "draw.place").sortWithinPartitions("draw.shard", "draw.place")
+    if max(mix.rows) <= BROADCAST_ROWS:
+        each = drawn(rows, mix)
+    else:  # ids and sizes meet their draws first, texts last and once
+        by = ["doc", "key", "size"]
+        draws = drawn(rows.select("id", "key", "size").distinct(), mix).where(F.size("draws") > 0).select(*by, "draws").dropDuplicates(by)
+        each = rows.withColumn("doc", F.xxhash64("id", F.lit(seed))).join(draws, by)
+    each = each.select("own", "size", F.explode("draws").alias("draw"))
+    # a shard's rows lie in QUARTERS of its places: partitions in the order of shards and places, without looking at the rows beforehand
+    buckets = mix.shards * QUARTERS
+    parts = min(buckets, max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    bucket = F.col("draw.shard") * QUARTERS + F.shiftright("draw.place", 62) + QUARTERS // 2
+    laid = each.repartitionById(parts, F.floor(bucket * parts / buckets).cast("int")).sortWithinPartitions("draw.shard", "draw.place")
     text = F.col("own")[text_col]
     cut = F.when(F.col("draw.words") >= F.col("size"), text).otherwise(first_words(text.cast("string"), F.col("draw.words"))).alias(text_col)
     out = laid.select(*[cut if c == text_col else F.col("own")[c].alias(c) for c in df.columns])

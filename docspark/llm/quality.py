@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import as_bytes, map_batches, remainder
+from docspark.llm.common import as_bytes, map_batches, release_memory, remainder
 
 #: Most labelled rows that the model is fitted to, a sample by hash of the id. They reach the driver as hashed features.
 TRAIN_ROWS = 6000
@@ -45,6 +45,12 @@ def hashes() -> Hashes:
     return Hashes()
 
 
+def forget() -> None:
+    """Empties the worker's memo at a task's end."""
+    hashes().clear()
+    release_memory()
+
+
 def mixed(x: np.ndarray, kind: int) -> np.ndarray:
     """Hashed to BITS bits; kinds of n-grams differ."""
     x = (x + np.uint64(kind * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xFF51AFD7ED558CCD)
@@ -164,6 +170,7 @@ def fit_quality(df: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS,
         for batch in batches:
             packed = [features(t, known, stamp).tobytes() for t in as_bytes(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column(1), batch.column(2)], ["found", "label", "place"])
+        forget()
 
     got = map_batches(rows.select("text", F.col("label").cast("int").alias("label"), order.alias("place")), prepare, "found binary, label int, place bigint").collect()
     got.sort(key=lambda r: (r.place, bytes(r.found)))
@@ -173,7 +180,8 @@ def fit_quality(df: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS,
 def score_quality(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score, predicted and the columns in `keep`: one row for each input row, in one pass without a shuffle.
 
-    A null text is scored as an empty one, by the model's bias; a null id isn't held out; repeated rows are scored again.
+    A null text is scored as an empty one, by the model's bias; a null id isn't held out; repeated rows are scored again. Texts are read whole, whatever their
+    length; an empty table gives no rows. Other columns are ignored, those in `keep` come back in a struct, so that no name can clash.
     """
     extra = [df[c] for c in keep]
     # carried in one struct, so that no name can clash with the operator's own
@@ -191,5 +199,6 @@ def score_quality(df: DataFrame, model: Model, id_col: str = "doc_id", text_col:
                 [batch.column(0), batch.column(2), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32), pa.int32()), batch.column(3)],
                 ["doc_id", "held_out", "score", "predicted", "kept"],
             )
+        forget()
 
     return map_batches(source, score, f"doc_id {kinds['doc_id']}, held_out boolean, score double, predicted int, kept {kinds['kept']}")

@@ -773,3 +773,63 @@ def test_scores(odd, none):
         expected[(i, held(i), len(own) + 1, sum(w in words for w in own) + 1, n, round(base, 4))] += 1
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == expected
     assert all(r.score < 0 for r in got) and lm.score_texts(none).count() == 0
+
+
+def test_rows_whose_nulls_are_shifted_stay(spark):
+    text = " ".join(f"word{k}" for k in range(30))
+    rows = [(3, text, None), (7, None, text), (7, text, None), (8, "another text altogether with several words", None)]
+    kept = near_copies.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sorted((r.doc_id, r.text, r.lang) for r in kept if r.text) == sorted([(3, text, None), (8, rows[3][1], None)])
+    assert (7, None, text) in [tuple(r) for r in kept] and len(kept) == 3
+    # maps, arrays and structs count too
+    schema = "doc_id long, text string, m map<string,int>, a array<int>, s struct<x:int,y:int>"
+    odd = [(1, None, {"k": 1}, [None, 1], (None, 1)), (1, None, {"k": 2}, [None, 1], (None, 1)), (1, None, {"k": 1}, [1, None], (None, 1)), (1, None, {"k": 1}, [None, 1], (1, None))]
+    df = spark.createDataFrame(odd, schema)
+    assert df.select(near_copies.row_hash(df)).distinct().count() == 4
+
+
+def pipeline_tables(spark, folder, rows, labels, extra=""):
+    spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long{extra}").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_pipeline_runs(spark, tmp_path):
+    """Nulls, repeated rows, near copies, a column with an operator's own name, a text of some megabytes."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    good = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(2, 8))) for _ in range(n)).capitalize() + "."
+    rows, labels = [], []
+    for k in range(240):
+        bad = k % 2
+        text = " ".join(rng.choices(["WIN!!!", "$$$", "click", "NOW", "www"], k=60)) + str(rng.random()) if bad else good(60)
+        rows.append((k, text, "en", f"s{k % 3}" if k % 5 else None, len(text)))
+        labels.append((k, 1 - bad, 0))
+    copies = [rows[k] for k in range(0, 40, 2)]
+    longs = [(8000 + k, good(100_000), "en", "s1", 0) for k in range(4)]
+    labels += [(r[0], 1, 0) for r in longs]
+    rows += copies + [(1000 + r[0], r[1] + " tail", None, r[3], None) for r in copies] + [(None, None, None, None, None), (7000, "", "en", "s1", 0), (7001, None, "fr", None, None), *longs]
+    pipeline_tables(spark, tmp_path, [(*r, "x", 5) for r in rows], labels, ", row string, size int")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        kept.append([tuple(r) for r in docs.collect()])
+    ids = [{r[0] for r in k} for k in kept]
+    assert {k for k in range(0, 240, 2)} | {8000, 8001, 8002, 8003} <= ids[0] and not {k for k in range(1, 240, 2)} & ids[0]
+    assert {k for k in range(0, 240, 2)} | {8000, 8001, 8002, 8003} <= ids[1] and not {1000 + k for k in range(0, 40, 2)} & ids[1]
+    assert len(kept[1]) == len(set(kept[1]))
+    assert ids[2] <= ids[1] and len(ids[2]) > 60
+    assert {r[0] for r in kept[3]} == ids[2]
+    per_sequence = Counter()
+    for r in kept[3]:
+        per_sequence[r[5]] += r[2]
+    assert all(n == 2048 or n & (n - 1) == 0 for n in per_sequence.values())
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert Counter(map(tuple, whole.select("doc_id", "doc_tokens").distinct().collect())) == Counter({(r[0], r[4]): 1 for r in kept[3]})
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    pipeline_tables(spark, tmp_path, [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
