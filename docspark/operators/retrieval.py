@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.functions import text as X
+from docspark.operators.checkpoints import checkpointed
 
 K1, B, RRF = 1.2, 0.75, 60.0
 
@@ -15,31 +16,41 @@ def query_terms(queries: DataFrame, tokens=X.simple_tokens) -> DataFrame:
     return queries.select("query_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def matches(items: DataFrame, queries: DataFrame, tokens=X.simple_tokens) -> DataFrame:
-    """query_id, term, qtf, item_id, tf, dl: where a query's term stands in an item. Only items' tokens that some query asks for are kept.
+def counted_terms(items: DataFrame, asked: DataFrame, tokens=X.simple_tokens) -> DataFrame:
+    """item_id, term, tf, dl of the `asked` terms (term) that stand in an item, and a row of term '' for every item, so that one pass over the texts also counts
+    items and their lengths. Other tokens are dropped before anything is shuffled; `asked` is broadcast only if Spark finds it small enough."""
+    # a text's length is taken before its tokens become rows, not for each of them
+    measured = items.select("item_id", tokens(F.col("text")).alias("t")).select("item_id", F.size("t").cast("long").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))
+    wanted = asked.select("term").unionByName(items.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    return measured.join(wanted, "term", "left_semi").groupBy("item_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
-    The terms of the batch of queries are looked up while items are read: `asked` is broadcast only if Spark finds it small enough.
-    """
+
+def matches(items: DataFrame, queries: DataFrame, tokens=X.simple_tokens) -> DataFrame:
+    """query_id, term, qtf, item_id, tf, dl: where a query's term stands in an item."""
     asked = query_terms(queries, tokens)
-    # a text's length is taken before its tokens become rows, not for each of them
-    measured = items.select("item_id", tokens(F.col("text")).alias("t")).select("item_id", F.size("t").cast("long").alias("dl"), "t")
-    wanted = measured.select("item_id", "dl", F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    counted = wanted.groupBy("item_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    return counted.join(asked, "term")
+    return counted_terms(items, asked, tokens).where("term != ''").join(asked, "term")
 
 
 def bm25(items: DataFrame, queries: DataFrame, tokens=X.simple_tokens, repeat_terms: bool = True) -> DataFrame:
     """query_id, item_id, score > 0, matched (distinct query terms found). Counts and mean length are over all of `items`.
 
+    Texts are read and tokenised once: what the queries ask for is written to the checkpoint folder, and counted and scored from there.
     `repeat_terms`: a term that a query repeats counts as often.
     """
-    met = matches(items, queries, tokens)
-    whole = items.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("dl"), F.lit(1e-6)).alias("avgdl"))
-    df = met.select("term", "item_id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    both = met.join(df, "term").crossJoin(F.broadcast(whole))  # one row
+    asked = query_terms(queries, tokens)
+    counted = checkpointed(counted_terms(items, asked, tokens))
+    whole = counted.where("term = ''").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("dl"), F.lit(1e-6)).alias("avgdl"))
+    met = counted.where("term != ''")
+    df = met.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return bm25_scores(met, df, whole, asked, repeat_terms)
+
+
+def bm25_scores(postings: DataFrame, df: DataFrame, whole: DataFrame, asked: DataFrame, repeat_terms: bool = True) -> DataFrame:
+    """query_id, item_id, score, matched from postings (item_id, term, tf, dl), df (term, df), one row (n, avgdl) and the queries' terms (query_id, term, qtf)."""
+    weighed = asked.join(df, "term").crossJoin(F.broadcast(whole))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) * (F.col("qtf") if repeat_terms else F.lit(1))
-    return both.groupBy("query_id", "item_id").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("matched"))
+    return postings.join(weighed, "term").groupBy("query_id", "item_id").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("matched"))
 
 
 def pseudo_tfidf_cosine(items: DataFrame, queries: DataFrame, tokens=X.simple_tokens) -> DataFrame:
@@ -50,11 +61,11 @@ def pseudo_tfidf_cosine(items: DataFrame, queries: DataFrame, tokens=X.simple_to
     weight = lambda tf, n: tf / n * F.log(1 + 1 / (1 + tf))
     measured = items.select("item_id", "text").repartition("item_id").select("item_id", tokens(F.col("text")).alias("t")).select("item_id", F.size("t").alias("n"), F.explode("t").alias("term"))
     w = measured.groupBy("item_id", "n", "term").agg(F.count(F.lit(1)).alias("tf")).select("item_id", "term", weight(F.col("tf"), F.col("n")).alias("w"))
-    norms = w.groupBy("item_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    w = w.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("item_id"))))
     by = Window.partitionBy("query_id")
     q = query_terms(queries, tokens).withColumn("qw", weight(F.col("qtf"), F.sum("qtf").over(by))).withColumn("qnorm", F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(by)))
-    met = w.join(q, "term").groupBy("query_id", "item_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.first("qnorm").alias("qnorm"))
-    return met.join(norms, "item_id").select("query_id", "item_id", (F.col("dot") / F.col("norm") / F.col("qnorm")).alias("score"))
+    met = w.join(q, "term").groupBy("query_id", "item_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.first("norm").alias("norm"), F.first("qnorm").alias("qnorm"))
+    return met.select("query_id", "item_id", (F.col("dot") / F.col("norm") / F.col("qnorm")).alias("score"))
 
 
 def top(scored: DataFrame, k: int, by: str = "score", *ties: str) -> DataFrame:
