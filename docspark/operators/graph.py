@@ -199,29 +199,59 @@ def name_likeness(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
+def shared_run(total: int, least: float) -> int:
+    """The letters in a row that two names of `total` letters together have in common at least, if they are `least` alike by the matcher.
+
+    The matcher finds m letters in blocks, in order, with 2 m / total >= least; between two blocks stands a letter of one name only, so there are total - 2 m + 1 blocks at most.
+    """
+    few = -int(-(least * total - 1e-9) // 2)  # the least m
+    return min(-(-m // (total - 2 * m + 1)) for m in range(few, total // 2 + 1)) if 0 < few <= total // 2 else 0
+
+
+def gram_sizes(least: float) -> tuple[int, dict[int, int]]:
+    """(size, shorter): all names `least` alike have `size` letters in a row in common, but for those whose total length is in `shorter`, which have as many as it says."""
+    size = -int(-(least / (2 * (1 - least)) - 1e-9) // 1)  # what the bound comes to for long names
+    far = int((2 * size + 4) / max(least - 2 * (1 - least) * (size - 1), 1e-3)) + 1  # from here on it holds
+    shorter = {t: n for t in range(2, far + 1) if 0 < (n := shared_run(t, least)) < size}
+    return size, shorter
+
+
 def like_names(entities: DataFrame, least: float = 0.85) -> DataFrame:
-    """type, a, b, a < b: names of a type that are `least` alike.
+    """type, a, b, a < b: names of a type that are `least` alike, by name_likeness. No pair is passed over.
 
-    Candidates have three letters in a row in common (all of a shorter name), or one is the other's initials; all are compared, in Arrow batches. A name that
-    another holds shares its letters; names 0.85 alike by the matcher that share no three letters are passed over.
+    Names that the matcher finds alike have a run of letters in common (gram_sizes): three in a row for 0.85, but for pairs of 2, 4, 7, 9 or 14 letters together, which have
+    two. A name that another holds shares all its letters; an acronym meets the initials. Candidates come from equi-joins on runs, and have to fit in length,
+    in how far the run has moved, or by one holding the other, before they are compared, in Arrow batches.
     """
-    names = entities.select("type", "name", F.lower(F.trim("name")).alias("low")).distinct()
-    n = F.length("low")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring("low", i, F.lit(3)))
-    shorts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.array(F.substring("low", i, F.lit(1)), F.substring("low", i, F.lit(2)))))
-    initials = F.array_join(F.transform(F.filter(F.split("low", r"\s+"), lambda w: w != ""), lambda w: F.substring(w, 1, 1)), "")
-    keyed = names.where("low != ''").select("type", "name", "low", F.explode(F.array_distinct(F.concat(grams, F.array(F.concat(F.lit("="), "low"))))).alias("key"))
-    few = names.where(F.length("low").between(1, 2)).select("type", "name", "low", F.col("low").alias("key"))
-    wide = names.where(F.length("low") > 2).select("type", "name", "low", F.explode(F.array_distinct(shorts)).alias("key"))
-    first = names.where(F.instr("low", " ") > 0).select("type", "name", "low", F.concat(F.lit("="), initials).alias("key"))
-
-    def met(x: DataFrame, y: DataFrame) -> DataFrame:
-        other = y.select("type", "key", F.col("name").alias("other"), F.col("low").alias("its"))
-        size = lambda c: F.length(c)
-        fits = F.contains(F.col("low"), F.col("its")) | F.contains(F.col("its"), F.col("low")) | (2 * F.least(size("low"), size("its")) >= least * (size("low") + size("its"))) | F.col("key").startswith("=")
+    if not 0.7 <= least < 1:
+        raise ValueError("the likeness has to be .7 or more, and less than 1")
+    size, shorter = gram_sizes(least)
+    names = entities.select("type", "name", F.lower(F.trim("name")).alias("low")).distinct().where("low != ''").withColumn("n", F.length("low"))
+    grams = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - (k - 1), F.lit(1))), lambda i: F.struct(F.substring("low", i, F.lit(k)).alias("key"), i.alias("at")))
+    keyed = lambda df, keys: df.select("type", "name", "low", "n", F.explode(keys).alias("k")).select("type", "name", "low", "n", "k.key", "k.at")
+
+    def met(x: DataFrame, y: DataFrame, fits: Column) -> DataFrame:
+        other = y.select("type", "key", F.col("name").alias("other"), F.col("low").alias("its"), F.col("n").alias("its_n"), F.col("at").alias("its_at"))
         return x.join(other, ["type", "key"]).where((F.col("name") != F.col("other")) & fits).select("type", F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b"))
 
-    pairs = met(keyed, keyed).unionByName(met(few, wide.unionByName(few))).unionByName(met(first, keyed)).distinct()
+    total = F.col("n") + F.col("its_n")
+    unmatched = F.floor((1 - least) * total + 1e-9)  # letters of either name that stand in no block: a run can't have moved farther
+    alike = (2 * F.least("n", "its_n") >= least * total - 1e-9) & (F.abs(F.col("at") - F.col("its_at")) <= unmatched)
+    holds = F.contains("low", F.col("its")) | F.contains(F.col("its"), F.col("low"))
+    runs = keyed(names, grams(size))
+    pairs = met(runs, runs, alike | holds)
+    for t, k in shorter.items():
+        own = keyed(names.where((2 * F.least(F.col("n"), t - F.col("n")) >= least * t - 1e-9) & (F.col("n") < t)), grams(k))
+        pairs = pairs.unionByName(met(own, own, (total == t) & alike))
+    # names shorter than a run are held by others, or equal
+    for k in range(1, size):
+        few = names.where(F.col("n") == k).select("type", "name", "low", "n", F.col("low").alias("key"), F.lit(1).alias("at"))
+        wide = keyed(names.where(F.col("n") >= k), grams(k)).dropDuplicates(["type", "name", "key"])
+        pairs = pairs.unionByName(met(few, wide, holds))
+    same = names.select("type", "name", "low", "n", F.col("low").alias("key"), F.lit(1).alias("at"))
+    words = F.filter(F.split("low", r"\s+"), lambda w: w != "")
+    initials = names.where(F.size(words) >= 2).withColumn("key", F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")).withColumn("at", F.lit(1))
+    pairs = pairs.unionByName(met(same, same, F.lit(True))).unionByName(met(initials, same, F.lit(True)))
 
     def compare(batches):
         import pyarrow as pa
@@ -230,7 +260,7 @@ def like_names(entities: DataFrame, least: float = 0.85) -> DataFrame:
             rows = [r for r in batch.to_pylist() if name_likeness(r["a"], r["b"]) >= least]
             yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
 
-    return pairs.mapInArrow(compare, "type string, a string, b string")
+    return pairs.distinct().mapInArrow(compare, "type string, a string, b string")
 
 
 def merge_names(entities: DataFrame, least: float = 0.85) -> DataFrame:
@@ -257,28 +287,56 @@ def merge_names(entities: DataFrame, least: float = 0.85) -> DataFrame:
     return settled.join(best, ["type", "head"]).select("type", "name", F.col("best.name").alias("merged"))
 
 
+#: Names and queries that are compared with each other in one task.
+NAMES_BLOCK, QUERY_BLOCK = 20_000, 1000
+
+
+def letter_counts(texts: list[str]):
+    """How often a text has the letters of each of 61 classes."""
+    import numpy as np
+
+    out = np.zeros((len(texts), 61), np.int16)
+    for row, text in zip(out, texts):
+        np.add.at(row, np.frombuffer(text.encode("utf-32-le"), np.uint32) % 61, 1)
+    return out
+
+
+def compared(names, queries):
+    """query, name, score, tier of all names and queries of a task (Arrow tables); tier 0: equal, 1: .6 alike, 2: one holds the other."""
+    import numpy as np
+    import pyarrow as pa
+
+    own = queries.column("q").to_pylist()
+    counts, size, out = letter_counts(own), np.array([len(q) for q in own]), []
+    for batch in names.select(["name"]).to_batches(1000):
+        texts = batch.column(0).to_pylist()
+        lows = [t.lower().strip() for t in texts]
+        for name, low, letters in zip(texts, lows, letter_counts(lows)):
+            common = np.minimum(counts, letters).sum(1) if own else np.empty(0)
+            may = (2 * common >= 0.6 * (size + len(low)) - 1e-9) | (common >= np.minimum(size, len(low)))
+            for k in np.flatnonzero(may):
+                q = own[k]
+                ratio = 1.0 if q == low else SequenceMatcher(None, q, low).ratio()
+                tier = 0 if q == low else 1 if ratio >= 0.6 else 2 if q in low or low in q else 3
+                if tier < 3:
+                    out.append((q, name, ratio if tier < 2 else 0.7, tier))
+    return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate({"query": pa.string(), "name": pa.string(), "score": pa.float64(), "tier": pa.int32()}.items())})
+
+
 def search_names(names: DataFrame, queries: DataFrame) -> DataFrame:
     """query, name, score: for each query (query) the names (name) equal to it, score 1; without any, those .6 alike by the matcher; without any, those that hold it or that
-    it holds, .7. Queries are a stated batch of at most 10,000, which every task has; more are refused."""
-    asked = sorted({r.q for r in queries.select(F.lower(F.trim("query")).alias("q")).distinct().limit(10_001).collect()})
-    if len(asked) > 10_000:
-        raise ValueError("at most 10,000 queries in a batch")
+    it holds, .7. Letters' case and blanks at the ends don't count.
 
-    def compare(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            out = []
-            for name in batch.column(0).to_pylist():
-                low = name.lower().strip()
-                for q in asked:
-                    ratio = 1.0 if q == low else SequenceMatcher(None, q, low).ratio()
-                    tier = 0 if q == low else 1 if ratio >= 0.6 else 2 if q in low or low in q else 3
-                    if tier < 3:
-                        out.append((q, name, ratio if tier < 2 else 0.7, tier))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.float64(), pa.int32()))], ["query", "name", "score", "tier"])
-
-    met = names.select("name").distinct().mapInArrow(compare, "query string, name string, score double, tier int")
+    Queries are a stated batch against all names, in blocks of both. The matcher can't find more letters than two texts have in common, however ordered: pairs with too few
+    are ruled out by counts of letters, which are compared as arrays, and only the rest are matched.
+    """
+    every = names.select("name").where("name is not null").distinct()
+    asked = queries.select(F.lower(F.trim("query")).alias("q")).where("q is not null").distinct()
+    parts, blocks = max(1, -(-every.count() // NAMES_BLOCK)), max(1, -(-asked.count() // QUERY_BLOCK))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = every.select("name", F.pmod(F.xxhash64("name"), F.lit(parts)).alias("part"), numbers(blocks).alias("block"))
+    right = asked.select("q", F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("block"), numbers(parts).alias("part"))
+    met = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(compared, "query string, name string, score double, tier int")
     return met.withColumn("best", F.min("tier").over(Window.partitionBy("query"))).where("tier = best").select("query", "name", F.round("score", 6).alias("score"))
 
 
