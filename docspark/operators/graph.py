@@ -301,7 +301,7 @@ def letter_counts(texts: list[str]):
     return out
 
 
-def compared(names, queries):
+def compared(names, queries, fuzzy: bool = True):
     """query, name, score, tier of all names and queries of a task (Arrow tables); tier 0: equal, 1: .6 alike, 2: one holds the other."""
     import numpy as np
     import pyarrow as pa
@@ -316,16 +316,16 @@ def compared(names, queries):
             may = (2 * common >= 0.6 * (size + len(low)) - 1e-9) | (common >= np.minimum(size, len(low)))
             for k in np.flatnonzero(may):
                 q = own[k]
-                ratio = 1.0 if q == low else SequenceMatcher(None, q, low).ratio()
+                ratio = 1.0 if q == low else SequenceMatcher(None, q, low).ratio() if fuzzy else 0.0
                 tier = 0 if q == low else 1 if ratio >= 0.6 else 2 if q in low or low in q else 3
                 if tier < 3:
                     out.append((q, name, ratio if tier < 2 else 0.7, tier))
     return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate({"query": pa.string(), "name": pa.string(), "score": pa.float64(), "tier": pa.int32()}.items())})
 
 
-def search_names(names: DataFrame, queries: DataFrame) -> DataFrame:
+def search_names(names: DataFrame, queries: DataFrame, fuzzy: bool = True) -> DataFrame:
     """query, name, score: for each query (query) the names (name) equal to it, score 1; without any, those .6 alike by the matcher; without any, those that hold it or that
-    it holds, .7. Letters' case and blanks at the ends don't count.
+    it holds, .7. Letters' case and blanks at the ends don't count. Without `fuzzy` the matcher is left out.
 
     Queries are a stated batch against all names, in blocks of both. The matcher can't find more letters than two texts have in common, however ordered: pairs with too few
     are ruled out by counts of letters, which are compared as arrays, and only the rest are matched.
@@ -336,7 +336,7 @@ def search_names(names: DataFrame, queries: DataFrame) -> DataFrame:
     numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left = every.select("name", F.pmod(F.xxhash64("name"), F.lit(parts)).alias("part"), numbers(blocks).alias("block"))
     right = asked.select("q", F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("block"), numbers(parts).alias("part"))
-    met = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(compared, "query string, name string, score double, tier int")
+    met = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(lambda n, q: compared(n, q, fuzzy), "query string, name string, score double, tier int")
     return met.withColumn("best", F.min("tier").over(Window.partitionBy("query"))).where("tier = best").select("query", "name", F.round("score", 6).alias("score"))
 
 
@@ -363,9 +363,48 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "tgt").unionByName(edges.select(F.col("tgt").alias("src"), F.col("src").alias("tgt"))).where("src != tgt").distinct()
 
 
-def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, neighbour of `nodes` (node), along edges either way."""
-    return nodes.join(both_ways(edges), F.col("node") == F.col("src")).select("node", F.col("tgt").alias("neighbour"))
+def neighbours(edges: DataFrame, nodes: DataFrame, relation: str | None = None) -> DataFrame:
+    """node, neighbour, relation, confidence of `nodes` (node), along edges (src, tgt, relation, confidence) either way, or those of one relation: each neighbour once, by its most
+    confident edge, ties by the relation. Both ends are added up before neighbours of a node meet."""
+    own = edges if relation is None else edges.where(F.col("relation") == relation)
+    ends = F.array(F.struct(F.col("src").alias("node"), F.col("tgt").alias("neighbour")), F.struct(F.col("tgt").alias("node"), F.col("src").alias("neighbour")))
+    each = own.select(F.explode(ends).alias("e"), "relation", "confidence").select("e.node", "e.neighbour", "relation", "confidence").where("node != neighbour")
+    best = each.join(nodes.select("node").distinct(), "node", "left_semi").groupBy("node", "neighbour").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "relation")).alias("b"))
+    return best.select("node", "neighbour", "b.relation", (-F.col("b.c")).alias("confidence"))
+
+
+def keyword_candidates(nodes: DataFrame, edges: DataFrame, queries: DataFrame, most: int = 10, near: int = 5, fuzzy: bool = True) -> DataFrame:
+    """query_id, rank, id, score, place, neighbour, relation, confidence: the `most` best nodes (id, name) of each of `queries` (query_id, query), each with up to `near` neighbours.
+
+    A query's words of two letters or more are looked up by search_names; a node counts by its best word, ties by id. Neighbours come by their edge's confidence, ties by id; a
+    node without any has one row, with nulls. Words are looked up once, however many queries have them.
+    """
+    words = queries.select("query_id", F.explode(F.split(F.lower("query"), r"\s+")).alias("word")).where(F.length("word") >= 2).distinct()
+    found = search_names(nodes.select("name"), words.select(F.col("word").alias("query")), fuzzy).select(F.col("query").alias("word"), "name", "score")
+    scored = words.join(found, "word").join(nodes.select("id", "name"), "name").groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")).cast("long")).where(F.col("rank") <= most)
+    around = neighbours(edges, ranked.select(F.col("id").alias("node")))
+    by = Window.partitionBy("node").orderBy(F.col("confidence").desc(), "neighbour")
+    around = around.withColumn("place", F.row_number().over(by).cast("long")).where(F.col("place") <= near).withColumnRenamed("node", "id")
+    return ranked.join(around, "id", "left").select("query_id", "rank", "id", "score", "place", "neighbour", "relation", "confidence")
+
+
+def centres(nodes: DataFrame, queries: DataFrame, default: str) -> DataFrame:
+    """query, node: for each of `queries` (query) the first node (id, name), by id, whose name or id equals it; else the first that holds it in either; else, as for a blank query, the `default`.
+
+    Queries are a stated batch: equal ones meet by a join, the rest are looked for in all nodes, in blocks of QUERY_BLOCK.
+    """
+    asked = queries.select("query", F.lower(F.trim("query")).alias("q")).distinct()
+    named = nodes.select("id", F.lower(F.coalesce("name", F.lit(""))).alias("low"), F.lower("id").alias("low_id"))
+    keys = named.select("id", F.explode(F.array_distinct(F.array("low", "low_id"))).alias("q"))
+    exact = asked.where("q != ''").join(keys, "q").groupBy("query").agg(F.min("id").alias("node"))
+    rest = asked.where("q != ''").join(exact, "query", "left_anti")
+    blocks = max(1, -(-rest.count() // QUERY_BLOCK))
+    packed = rest.groupBy(F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query", "q")).alias("asked"))
+    holds = F.filter("asked", lambda a: F.contains(F.col("low"), a["q"]) | F.contains(F.col("low_id"), a["q"]))
+    numbered = named.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    partial = numbered.join(packed, "block").select("id", F.explode(holds).alias("a")).groupBy("a.query").agg(F.min("id").alias("node"))
+    return queries.select("query").distinct().join(exact.unionByName(partial), "query", "left").select("query", F.coalesce("node", F.lit(default)).alias("node"))
 
 
 def paths(edges: DataFrame, pairs: DataFrame, hops: int = 2) -> DataFrame:

@@ -153,9 +153,18 @@ def kg_upsert(spark, sf_dir):
     return G.upsert_edges(e.select(F.concat(F.lit("question_"), "question").alias("src"), F.concat(F.lit("knowledge_"), "concept").alias("tgt"), F.lit("FOCUSES_ON").alias("relation"), F.col("score").alias("confidence")))
 
 
-@query(f"WITH {GRAPH} SELECT src AS node, tgt AS neighbour FROM way WHERE src LIKE 'doc_%'")
+#: Each neighbour once, by its heaviest edge.
+NEAR = """near AS (SELECT node, neighbour, arg_min(relation, (-weight, relation)) AS relation, max(weight) AS confidence
+        FROM (SELECT src AS node, tgt AS neighbour, relation, weight FROM g UNION ALL SELECT tgt, src, relation, weight FROM g) WHERE node != neighbour GROUP BY ALL)"""
+
+
+def weighed(spark, sf_dir):
+    return graph(spark, sf_dir).withColumnRenamed("weight", "confidence")
+
+
+@query(f"WITH {GRAPH}, {NEAR} SELECT * FROM near WHERE node LIKE 'doc_%'")
 def kg_neighbors(spark, sf_dir):
-    edges = graph(spark, sf_dir)
+    edges = weighed(spark, sf_dir)
     nodes = edges.select(F.explode(F.array("src", "tgt")).alias("node")).where("node like 'doc_%'").distinct()
     return G.neighbours(edges, nodes)
 
@@ -177,7 +186,9 @@ def kg_paths2(spark, sf_dir):
 @query(f"""WITH {GRAPH}, o AS (SELECT 'doc_3' AS node UNION SELECT tgt FROM way WHERE src = 'doc_3'), t AS (SELECT node FROM o UNION SELECT tgt FROM way JOIN o ON src = node)
     SELECT src, tgt, relation FROM g WHERE src IN (FROM t) AND tgt IN (FROM t)""")
 def kg_ego2(spark, sf_dir):
-    return G.ego(graph(spark, sf_dir), spark.createDataFrame([("doc_3",)], "node string")).select("src", "tgt", "relation")
+    edges = graph(spark, sf_dir)
+    centre = G.centres(named_nodes(edges), spark.createDataFrame([("DOC_3 ",)], "query string"), "question_1")
+    return G.ego(edges, centre.select("node")).select("src", "tgt", "relation")
 
 
 @query(f"WITH {GRAPH}, n AS (SELECT count(*) AS n_nodes FROM (SELECT src FROM g UNION SELECT tgt FROM g)), e AS (SELECT count(*) AS n_edges FROM g) SELECT n_nodes, n_edges, round(n_edges / (n_nodes * (n_nodes - 1)), 9) AS density FROM n, e")
@@ -185,11 +196,23 @@ def kg_stats(spark, sf_dir):
     return G.stats(graph(spark, sf_dir))
 
 
-@query(f"WITH {GRAPH}, w AS (SELECT tgt AS node, sum(weight) AS weight, count(*) AS degree FROM g WHERE relation IN ('FOCUSES_ON', 'ASKS_ABOUT') GROUP BY 1) SELECT node, round(weight, 3) AS weight, degree FROM w ORDER BY round(weight, 3) DESC, node LIMIT 10")
+def named_nodes(edges):
+    """The graph's nodes, named by what follows the kind."""
+    return edges.select(F.explode(F.array("src", "tgt")).alias("id")).distinct().withColumn("name", F.regexp_replace("id", "^[a-z]+_", ""))
+
+
+@query(rf"""WITH {GRAPH}, {NEAR}, nd AS (SELECT DISTINCT id, regexp_replace(id, '^[a-z]+_', '') AS name FROM (SELECT src AS id FROM g UNION ALL SELECT tgt FROM g)),
+    kw AS (SELECT DISTINCT query_id, word FROM (SELECT item_id AS query_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS word FROM benchmark) WHERE length(word) >= 2),
+    m AS (SELECT word, id, CASE WHEN lower(name) = word THEN 1.0 ELSE 0.7 END AS score FROM (SELECT DISTINCT word FROM kw) JOIN nd ON contains(lower(name), word) OR contains(word, lower(name)) QUALIFY score = max(score) OVER (PARTITION BY word)),
+    c AS (SELECT query_id, id, CAST(max(score) AS DOUBLE) AS score FROM kw JOIN m USING (word) GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM c QUALIFY rank <= 10),
+    five AS (SELECT node AS id, neighbour, relation, confidence, row_number() OVER (PARTITION BY node ORDER BY confidence DESC, neighbour) AS place FROM near QUALIFY place <= 5)
+    SELECT query_id, rank, id, score, place, neighbour, relation, confidence FROM r LEFT JOIN five USING (id)""")
 def kg_candidates(spark, sf_dir):
-    g = graph(spark, sf_dir).where("relation in ('FOCUSES_ON', 'ASKS_ABOUT')")
-    n = g.groupBy(F.col("tgt").alias("node")).agg(F.round(F.sum("weight"), 3).alias("weight"), F.count(F.lit(1)).alias("degree"))
-    return n.orderBy(F.col("weight").desc(), "node").limit(10)
+    """Nodes that the words of each benchmark item name or hold, with their neighbours; without the matcher, which SQL doesn't have."""
+    edges = weighed(spark, sf_dir)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return G.keyword_candidates(named_nodes(edges), edges, asked, fuzzy=False)
 
 
 @query("""WITH e AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) > (SELECT CAST(floor(count(*) * 0.8) AS BIGINT) FROM events) AS late FROM events),
