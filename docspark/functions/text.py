@@ -170,20 +170,53 @@ def clean_content(text: Column) -> Column:
     return strip(F.regexp_replace(t, r"(\\_){3,}", r"\\_\\_\\_"))
 
 
+def run_around(codes, at: int, unit: int, width: int) -> tuple[int, int]:
+    """Begin and end of the longest stretch with the period `unit` around [at, at + width), which has it."""
+    import numpy as np
+
+    begin, end, step = at, at + width, 4 * unit
+    while begin > 0:
+        low = max(0, begin - step)
+        differ = np.flatnonzero(codes[low:begin] != codes[low + unit : begin + unit])
+        if len(differ):
+            begin = low + int(differ[-1]) + 1
+            break
+        begin, step = low, 2 * step
+    step = 4 * unit
+    while end < len(codes):
+        high = min(len(codes), end + step)
+        differ = np.flatnonzero(codes[end:high] != codes[end - unit : high - unit])
+        if len(differ):
+            return begin, end + int(differ[0])
+        end, step = high, 2 * step
+    return begin, end
+
+
 def first_loop(text: str, least: int = 10, times: int = 10) -> tuple[int, int] | None:
-    """Start and length of the first unit of `least` characters or more that stands `times` times in a row; the shortest unit there."""
+    """Start and length of the first unit of `least` characters or more that stands `times` times in a row, times being 8 or more; the shortest unit there.
+
+    For units of w to 2 w - 1 characters, one window of 4 w in each 4 w lies within any such loop, as that has 8 w or more; a window that is followed by its own beginning
+    within 2 w has that period, and its stretch is measured once. So the time is that of a few passes for each doubling of w.
+    """
     import numpy as np
 
-    n = len(text)
-    if n < least * times:
-        return None
-    codes, found = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), None
-    for unit in range(least, n // times + 1):
-        same = np.concatenate([[False], codes[unit:] == codes[:-unit], [False]])
-        edges = np.flatnonzero(same[1:] != same[:-1])
-        long = edges[0::2][(edges[1::2] - edges[0::2]) >= unit * (times - 1)]
-        if len(long) and (found is None or long[0] < found[0]):
-            found = (int(long[0]), unit)
+    n, found, width = len(text), None, least
+    if times < 8:
+        raise ValueError("a unit has to stand 8 times or more")
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    while width * times <= n:
+        measured = 0  # where the last stretch of this width ends
+        for at in range(0, n - 4 * width + 1, 4 * width):
+            if at + 4 * width <= measured:
+                continue
+            again = text.find(text[at : at + 2 * width], at + width, at + 4 * width - 1)
+            if again < 0:
+                continue
+            unit = again - at
+            begin, measured = run_around(codes, at, unit, 2 * width + unit)
+            if measured - begin >= unit * times and (found is None or (begin, unit) < found):
+                found = (begin, unit)
+        width *= 2
     return found
 
 

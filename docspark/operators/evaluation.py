@@ -81,17 +81,24 @@ def citation_scores(cited: Column, retrieved: Column, evidence: Column) -> Colum
 def retrieval_quality(hits: DataFrame, gold: DataFrame, items: DataFrame) -> DataFrame:
     """query_id, chunk_recall, token_recall, section_recall, precision, f1, mrr, hit of each query of `gold` (query_id, item_id). hits: (query_id, item_id, rank); items: (item_id, text, section).
 
-    Tokens are those of all gold items together and of all hits together; only these items are looked up.
+    Tokens are those of all gold items together and of all hits together; only these items are looked up, and tokens are counted as rows.
     """
-    wanted = items.join(hits.select("item_id").unionByName(gold.select("item_id")).distinct(), "item_id", "left_semi").select("item_id", "section", X.simple_tokens(F.col("text")).alias("tokens"))
-    of = lambda df, name: df.join(wanted, "item_id").groupBy("query_id").agg(F.collect_set("section").alias(f"{name}_sections"), F.array_distinct(F.flatten(F.collect_list("tokens"))).alias(f"{name}_tokens"))
+    wanted = items.join(hits.select("item_id").unionByName(gold.select("item_id")).distinct(), "item_id", "left_semi").select("item_id", "section", F.array_distinct(X.simple_tokens(F.col("text"))).alias("tokens"))
+    kinds = {"tokens": wanted.select("item_id", F.explode("tokens").alias("value")), "sections": wanted.where("section is not null").select("item_id", F.col("section").alias("value"))}
+
+    def share(kind: str) -> DataFrame:
+        """query_id, share of the distinct values of a query's gold items that its hits have: rows of (query, value), never an item's or a query's values together."""
+        own, found = (df.select("query_id", "item_id").join(kinds[kind], "item_id").select("query_id", "value").distinct() for df in (gold, hits))
+        met = own.join(found.withColumn("there", F.lit(1)), ["query_id", "value"], "left")
+        return met.groupBy("query_id").agg((F.count("there") / F.count(F.lit(1))).alias(kind))
+
     found = gold.join(hits, ["query_id", "item_id"], "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("n_gold"), F.count("rank").alias("n_hit"), F.min("rank").alias("first"))
     n = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_found"))
-    out = found.join(n, "query_id", "left").join(of(gold, "gold"), "query_id", "left").join(of(hits, "hit"), "query_id", "left")
-    share = lambda kind: F.when(F.size(f"gold_{kind}") > 0, F.coalesce(F.size(F.array_intersect(f"gold_{kind}", f"hit_{kind}")), F.lit(0)) / F.size(f"gold_{kind}")).otherwise(0.0)
+    out = found.join(n, "query_id", "left").join(share("tokens"), "query_id", "left").join(share("sections"), "query_id", "left")
+    of = lambda kind: F.coalesce(kind, F.lit(0.0))
     p, r = F.coalesce(F.col("n_hit") / F.col("n_found"), F.lit(0.0)), F.col("n_hit") / F.col("n_gold")
     return out.select(
-        "query_id", F.round(r, 4).alias("chunk_recall"), F.round(share("tokens"), 4).alias("token_recall"), F.round(share("sections"), 4).alias("section_recall"), F.round(p, 4).alias("precision"),
+        "query_id", F.round(r, 4).alias("chunk_recall"), F.round(of("tokens"), 4).alias("token_recall"), F.round(of("sections"), 4).alias("section_recall"), F.round(p, 4).alias("precision"),
         F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 4).alias("f1"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 4).alias("mrr"), (F.col("n_hit") > 0).cast("double").alias("hit"),
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.functions import text as X
@@ -60,3 +60,39 @@ def delta_graph(deltas: DataFrame) -> DataFrame:
     """id (source::relation::target), src, tgt, relation, n_sources, confidence: the edges of all deltas (source_id, src, relation, tgt), each once."""
     edge = F.concat_ws("::", "src", "relation", "tgt")
     return deltas.groupBy(edge.alias("id"), "src", "tgt", "relation").agg(F.count_distinct("source_id").alias("n_sources")).withColumn("confidence", F.lit(0.72))
+
+
+#: Parts that a range of numbers is counted in.
+CUTS = 1024
+
+
+def nth_values(rows: DataFrame, columns: list[Column], nth: int) -> list[int]:
+    """The values of whole-number `columns` of the row at place `nth`, from 0, of all `rows` sorted by them.
+
+    Column by column, the range that holds the place is counted in CUTS parts, again and again, until it is one number. Only counts reach the driver; nothing is sorted.
+    """
+    found, inside, before = [], F.lit(True), 0
+    for value in columns:
+        low, high = rows.where(inside).select(F.min(value), F.max(value)).first()
+        while low < high:
+            width = -(-(high - low + 1) // CUTS)
+            part = F.call_function("div", value - F.lit(low), F.lit(width))
+            counts = rows.where(inside & value.between(low, high)).groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()  # CUTS rows at most
+            for k, n in sorted((r.part, r.n) for r in counts):
+                if before + n > nth:
+                    break
+                before += n
+            low, high = low + k * width, min(high, low + (k + 1) * width - 1)
+        found.append(low)
+        inside = inside & (value == low)
+    return found
+
+
+def later_share(rows: DataFrame, columns: list[Column], share: float) -> Column:
+    """Whether a row comes after the first `share` of all `rows` by whole-number `columns` without nulls. Rows equal in all of them are on one side, with the first of them."""
+    n = rows.count()
+    first = int(n * share)
+    if first >= n:
+        return F.lit(False)
+    border = nth_values(rows, columns, first)
+    return F.struct(*columns) >= F.struct(*[F.lit(v).cast("long") for v in border])

@@ -91,16 +91,30 @@ def merge_paragraphs(lines: DataFrame, keys: tuple[str, ...] = ("doc_id", "page"
     return fresh.withColumn("paragraph", F.sum("fresh").over(by.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "paragraph").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
-def suppress(boxes: pd.DataFrame, same: float = 0.6, other: float = 0.98) -> pd.DataFrame:
-    """Greedy non-maximum suppression of one page's boxes (x1, y1, x2, y2, score, label), with a pixel's breadth counted in."""
-    rows, kept = boxes.sort_values(["score", "idx"], ascending=[False, True]), []
-    for r in rows.itertuples():
-        for k in kept:
-            w, h = min(r.x2, k.x2) - max(r.x1, k.x1) + 1, min(r.y2, k.y2) - max(r.y1, k.y1) + 1
-            both = max(0, w) * max(0, h)
-            size = lambda q: (q.x2 - q.x1 + 1) * (q.y2 - q.y1 + 1)
-            if both / (size(r) + size(k) - both) >= (same if r.label == k.label else other):
-                break
-        else:
-            kept.append(r)
-    return rows.loc[[r.Index for r in kept]]
+def suppress(boxes: DataFrame, keys: tuple[str, ...] = ("doc_id", "page"), same: float = 0.6, other: float = 0.98) -> DataFrame:
+    """The `boxes` (keys, idx, x1, y1, x2, y2, score, label) that greedy non-maximum suppression keeps on each page: by score, ties by idx, a box goes if one that is kept before it covers it by
+    `same` or more (`other` for another label), as intersection over union with a pixel's breadth counted in.
+
+    Boxes that none before covers are kept; then, round by round, what they cover goes, and what is covered by boxes that went only is kept. Boxes meet in a page only if they overlap;
+    no page is in one call. Boxes of one page and idx count as one, the first by score.
+    """
+    from docspark.operators.checkpoints import checkpointed
+
+    side = lambda n: [F.col(c).alias(f"{n}_{c}") for c in ("idx", "x1", "y1", "x2", "y2", "score", "label")]
+    k, c = boxes.select(*keys, *side("k")), boxes.select(*keys, *side("c"))
+    width = F.least("k_x2", "c_x2") - F.greatest("k_x1", "c_x1") + 1
+    height = F.least("k_y2", "c_y2") - F.greatest("k_y1", "c_y1") + 1
+    size = lambda n: (F.col(f"{n}_x2") - F.col(f"{n}_x1") + 1) * (F.col(f"{n}_y2") - F.col(f"{n}_y1") + 1)
+    before = (F.col("k_score") > F.col("c_score")) | ((F.col("k_score") == F.col("c_score")) & (F.col("k_idx") < F.col("c_idx")))
+    met = k.join(c, [*keys]).where((F.col("k_idx") != F.col("c_idx")) & before & (width > 0) & (height > 0)).withColumn("both", width * height)
+    covers = F.col("both") / (size("k") + size("c") - F.col("both")) >= F.when(F.col("k_label") == F.col("c_label"), same).otherwise(other)
+    links = checkpointed(met.where(covers).select(*keys, F.col("k_idx").alias("above"), F.col("c_idx").alias("idx")).distinct())
+    gone, open_links = None, links
+    while not open_links.isEmpty():
+        covered = open_links.select(*keys, "idx").distinct()
+        kept = open_links.join(covered.withColumnRenamed("idx", "above"), [*keys, "above"], "left_anti").select(*keys, "above").distinct()  # nothing that is left covers these
+        now = checkpointed(open_links.join(kept, [*keys, "above"], "left_semi").select(*keys, "idx").distinct())
+        gone = now if gone is None else checkpointed(gone.unionByName(now))
+        rest = open_links.join(now, [*keys, "idx"], "left_anti").join(now.withColumnRenamed("idx", "above"), [*keys, "above"], "left_anti")
+        open_links = checkpointed(rest)
+    return boxes if gone is None else boxes.join(gone, [*keys, "idx"], "left_anti")

@@ -81,11 +81,12 @@ def min_max(score: Column, *keys: str) -> Column:
     return F.when(high > low, (score - low) / (high - low)).otherwise(F.when(score.isNotNull(), 0.0))
 
 
-def hybrid(vector: DataFrame, lexical: DataFrame, coverage: DataFrame, n_items: int | None = None, k: int = 10, structure: DataFrame | None = None) -> DataFrame:
+def hybrid(vector: DataFrame, lexical: DataFrame, coverage: DataFrame, n_items: int | None = None, k: int = 10, structure: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """query_id, item_id, score, rank: reciprocal ranks of both sides + .72 (.6 vector + .4 lexical, both min-max) + .18 coverage + .1 structure.
 
     vector, lexical: (query_id, item_id, score); each side gives its best max(20, min(n, max(6 k, 30))); lexical scores have to be positive.
-    coverage: (query_id, item_id, coverage); structure the same, optional. k is 20 at most.
+    coverage: (query_id, item_id, coverage). structure: items (item_id, path, heading, kind) and queries (query_id, question), whose structure_match counts for the candidates; optional.
+    k is 20 at most.
     """
     limit = max(20, min(n_items if n_items is not None else 1 << 30, max(6 * k, 30)))
     v = top(vector, limit).select("query_id", "item_id", F.col("score").alias("v"), F.col("rank").alias("v_rank")).withColumn("vn", min_max(F.col("v"), "query_id"))
@@ -93,7 +94,10 @@ def hybrid(vector: DataFrame, lexical: DataFrame, coverage: DataFrame, n_items:
     both = v.join(b, ["query_id", "item_id"], "full").join(coverage, ["query_id", "item_id"], "left")
     structural = F.lit(0.0)
     if structure is not None:
-        both, structural = both.join(structure, ["query_id", "item_id"], "left"), F.coalesce("structure", F.lit(0.0))
+        shaped, asked = structure
+        terms = asked.select("query_id", F.array_distinct(X.search_tokens(F.col("question"))).alias("terms"))
+        both = both.join(shaped.select("item_id", "path", "heading", "kind"), "item_id", "left").join(terms, "query_id", "left")
+        structural = F.coalesce(structure_match(F.col("terms"), F.coalesce("path", F.lit("")), F.coalesce("heading", F.lit("")), F.coalesce("kind", F.lit(""))), F.lit(0.0))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     score = zero(1 / (RRF + F.col("v_rank"))) + zero(1 / (RRF + F.col("b_rank"))) + 0.72 * (0.6 * zero(F.col("vn")) + 0.4 * zero(F.col("bn"))) + 0.18 * zero(F.col("coverage")) + 0.1 * structural
     return top(both.withColumn("score", F.round(score, 6)), min(k, 20)).select("query_id", "item_id", "score", "rank")
@@ -247,14 +251,28 @@ def strategy(name: str, base: DataFrame, items: DataFrame, queries: DataFrame, k
 
 
 def overlap_top(items: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, item_id, score, rank: share of a query's distinct terms in an item, .5 more where the whole question stands in it."""
+    """query_id, item_id, score, rank: share of a query's distinct terms in an item, .5 more where the whole question stands in it. A query that meets no item gets the first k by id, with score 0."""
     met = matches(items, queries).groupBy("query_id", "item_id").agg(F.count(F.lit(1)).alias("common"))
     whole = queries.select("query_id", F.size(F.array_distinct(X.simple_tokens(F.col("question")))).alias("n"), X.normalize(F.col("question")).alias("asked"))
     # an item that holds the question has all its terms: only those are looked at again
     scored = met.join(whole, "query_id").withColumn("score", F.col("common") / F.col("n"))
     full = scored.where("common = n").join(items.select("item_id", "text"), "item_id").where(F.contains(X.normalize(F.col("text")), F.col("asked"))).select("query_id", "item_id", F.lit(0.5).alias("more"))
     out = scored.join(full, ["query_id", "item_id"], "left").withColumn("score", F.round(F.col("score") + F.coalesce("more", F.lit(0.0)), 6))
-    return top(out, k).select("query_id", "item_id", "score", "rank")
+    best = checkpointed(top(out, k).select("query_id", "item_id", "score", "rank"))
+    first = items.select("item_id").orderBy("item_id").limit(k).withColumn("rank", F.row_number().over(Window.orderBy("item_id")).cast("long"))  # k rows
+    without = queries.select("query_id").distinct().join(best.select("query_id").distinct(), "query_id", "left_anti")
+    return best.unionByName(without.crossJoin(F.broadcast(first)).select("query_id", "item_id", F.lit(0.0).alias("score"), "rank"))
+
+
+def with_selected(hits: DataFrame, selected: DataFrame, k: int = 5) -> DataFrame:
+    """query_id, item_id, score, rank, source ('selected' or 'retrieval'): hits (query_id, item_id, score, rank) gain .2, less .01 a rank; items that are selected by hand (query_id, item_id, place from 1)
+    gain 10 and .5, less .01 a place, whether they were found or not. Ties go by item."""
+    less = lambda most, place: F.greatest(F.lit(0.0), most - 0.01 * (F.col(place) - 1))
+    found = hits.select("query_id", "item_id", (F.col("score") + less(0.2, "rank")).alias("found"))
+    chosen = selected.groupBy("query_id", "item_id").agg(F.min("place").alias("place")).select("query_id", "item_id", (10 + less(0.5, "place")).alias("chosen"))
+    both = found.join(chosen, ["query_id", "item_id"], "full")
+    score = F.round(F.coalesce("found", F.lit(0.0)) + F.coalesce("chosen", F.lit(0.0)), 6)
+    return top(both.withColumn("score", score), k).select("query_id", "item_id", "score", "rank", F.when(F.col("chosen").isNotNull(), "selected").otherwise("retrieval").alias("source"))
 
 
 def retried(hits: DataFrame, k: int, more: int = 4, least: float = 0.2) -> DataFrame:
@@ -274,21 +292,48 @@ def two_followups(asked: Column, other: str = "继续追问这部分") -> Column
     return F.slice(F.concat(solid, F.array(F.lit(other), F.lit(other))), 1, 2)
 
 
+#: Characters of a gram that is looked for in place of a word.
+GRAM = 3
+
+
 def holding(items: DataFrame, evidence: DataFrame) -> DataFrame:
     """query_id, item_id: which items (item_id, text) hold which whole texts of `evidence` (query_id, evidence).
 
-    Candidates come from an equi-join of words only: the longest of the evidence's words that have a blank on both sides, which an item that holds it has as a word too.
-    Texts are joined to candidates afterwards. Evidence of one or two words has no such word: it is looked for in every item, in blocks of QUERY_BLOCK that are broadcast.
+    Candidates come from equi-joins only, on the evidence's rarest part: of its words that have a blank on both sides, which an item that holds it has as words too, the one in fewest items; of
+    an evidence without such words, the rarest of its runs of GRAM characters, or it itself if it is shorter. How many items have a part is counted first, and only chosen parts are looked for.
+    An empty evidence stands in every item, a null one in none.
     """
     words = F.split("evidence", " ")
-    inner = F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
-    keyed = evidence.withColumn("key", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    long, short = keyed.where("key is not null"), keyed.where("key is null and evidence is not null").select("query_id", "evidence")
-    spread = items.select("item_id", F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), " "))).alias("key"))
-    pairs = spread.join(long.select("query_id", "key"), "key").select("query_id", "item_id")
-    found = pairs.join(items.select("item_id", "text"), "item_id").join(evidence, "query_id").where(F.contains(F.col("text"), F.col("evidence"))).select("query_id", "item_id")
-    n = short.count()
-    for block in range(-(-n // QUERY_BLOCK)):
-        own = short.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // QUERY_BLOCK))) == block)
-        found = found.unionByName(items.crossJoin(F.broadcast(own)).where(F.contains(F.col("text"), F.col("evidence"))).select("query_id", "item_id"))
-    return found.distinct()
+    inner = F.array_distinct(F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != ""))
+    n = F.length("evidence")
+    runs = lambda text, size, k: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(size - (k - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(k))))
+    asked = evidence.where("evidence is not null").withColumn("inner", inner)
+    worded = asked.where(F.size("inner") > 0).select("query_id", "evidence", F.explode("inner").alias("part"), F.lit(0).alias("size"))
+    short = asked.where((F.size("inner") == 0) & (n > 0))
+    parts = [worded] + [short.where(n >= k if k == GRAM else n == k).select("query_id", "evidence", F.explode(runs("evidence", n, k)).alias("part"), F.lit(k).alias("size")) for k in range(1, GRAM + 1)]
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    every = checkpointed(every)
+    sizes = [r["size"] for r in every.select("size").distinct().collect()]  # GRAM + 1 values at most
+    text = F.coalesce("text", F.lit(""))
+
+    def spread(wanted: DataFrame) -> DataFrame:
+        """item_id, part, size of the `wanted` (part, size) that stand in an item; each kind of part is looked for only if some evidence needs it."""
+        out = None
+        for k in sizes:
+            own = F.array_distinct(F.split(text, " ")) if k == 0 else runs(text, F.length(text), k)
+            found = items.select("item_id", F.explode(own).alias("part")).join(wanted.where(F.col("size") == k).select("part").distinct(), "part", "left_semi").withColumn("size", F.lit(k))
+            out = found if out is None else out.unionByName(found)
+        return out
+
+    whole = items.select("item_id").crossJoin(F.broadcast(evidence.where("evidence = ''").select("query_id").limit(1).select(F.lit(True).alias("any")))).select("item_id")
+    blank = evidence.where("evidence = ''").select("query_id", F.lit(1).alias("one")).join(whole.withColumn("one", F.lit(1)), "one").select("query_id", "item_id")
+    if not sizes:
+        return blank.distinct()
+    counts = spread(every).groupBy("part", "size").agg(F.count(F.lit(1)).alias("df"))
+    rarest = every.join(counts, ["part", "size"], "left").groupBy("query_id", "evidence").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "part", "size")).alias("best"))
+    chosen = checkpointed(rarest.where("best.df > 0").select("query_id", "evidence", "best.part", "best.size"))  # a part that no item has: no item holds the evidence
+    pairs = spread(chosen).join(chosen, ["part", "size"]).select("query_id", "item_id", "evidence")
+    met = pairs.join(items.select("item_id", "text"), "item_id").where(F.contains(F.col("text"), F.col("evidence")))
+    return met.select("query_id", "item_id").unionByName(blank).distinct()

@@ -10,9 +10,8 @@ from docspark.operators import graph as G
 from docspark.operators import knowledge as N
 from docspark.operators import quality as Q
 from docspark.operators import structure as S
-from docspark.operators.blocks import apply_per_page
 from docspark.plans.base import BLOCKS, STRIP, blocks, query, table
-from docspark.plans.block_queries import FILL, HEAD, boxes, marked
+from docspark.plans.block_queries import BOX, FILL, HEAD, boxes, marked
 
 quoted = lambda names: ", ".join(f"'{n}'" for n in names)
 KNOWN = " UNION ALL ".join(f"SELECT '{n}' AS n, '{t}' AS t, '{r}' AS r" for t, names, r in (("Dataset", G.DATASETS, "rule_known_dataset"), ("Metric", G.METRICS, "rule_known_metric")) for n in names)
@@ -221,34 +220,23 @@ def kg_candidates(spark, sf_dir):
     FROM (SELECT s, t AS event_type, structural FROM d) GROUP BY ALL""")
 def delta_decision(spark, sf_dir):
     """Edges of the last fifth of the events against the graph of those before: structural ones are rejected, those that touch a known node merge, others are added."""
-    e = table(spark, sf_dir, "events").withColumn("late", later_share("ts", "event_id", table(spark, sf_dir, "events"), 0.8))
+    own = table(spark, sf_dir, "events")
+    e = own.withColumn("late", N.later_share(own, [F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_id")], 0.8))
     known = e.where("not late").select(F.explode(F.array(F.col("user_id").cast("string"), F.col("event_type"))).alias("id"))
     delta = e.where("late").select(F.col("user_id").cast("string").alias("src"), F.col("event_type").alias("tgt"), "user_id", "event_type", (F.col("user_id") % 97 == 5).alias("structural")).distinct()
     return G.delta_decisions(delta, known).select("user_id", "event_type", "decision")
 
 
-def later_share(time: str, id_col: str, rows, share: float):
-    """Whether a row comes after the first `share` of all rows by (time, id): a quantile names a second near the border, rows before it are counted, and only that second's rows are
-    sorted, so no task sees more than those."""
-    n = rows.count()
-    first = int(n * share)
-    if not n:
-        return F.lit(False)
-    second = F.unix_timestamp(F.col(time).cast("timestamp"))
-    low, high = rows.select(F.percentile_approx(second, [max(0.0, share - 0.001), min(1.0, share + 0.001)], 10_000)).first()[0]
-    before = rows.where(second < low).count()
-    near = rows.where(second.between(low, high)).select(F.struct(time, id_col).alias("k")).orderBy("k")
-    cut = near.offset(first - before).limit(1).select("k.*").collect() if before <= first else []
-    if not cut:
-        raise ValueError("the quantile is off by more than a thousandth")
-    return F.struct(F.col(time), F.col(id_col)) >= F.struct(F.lit(cut[0][0]).cast(rows.schema[time].dataType), F.lit(cut[0][1]).cast(rows.schema[id_col].dataType))
-
-
-@query()
+@query(f"""WITH RECURSIVE {BLOCKS}, {BOX}, o AS (SELECT doc_id, page, {{'idx': idx, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'label': idx % 3}} AS b, row_number() OVER (PARTITION BY doc_id, page ORDER BY x1 DESC, idx) AS r FROM box),
+    f AS (SELECT doc_id, page, r, [b] AS kept FROM o WHERE r = 1 UNION ALL
+          SELECT doc_id, page, r, CASE WHEN len(list_filter(list_transform(kept, lambda k: greatest(0, least(k.x2, b.x2) - greatest(k.x1, b.x1) + 1) * greatest(0, least(k.y2, b.y2) - greatest(k.y1, b.y1) + 1)
+                / ((k.x2 - k.x1 + 1) * (k.y2 - k.y1 + 1) + (b.x2 - b.x1 + 1) * (b.y2 - b.y1 + 1) - greatest(0, least(k.x2, b.x2) - greatest(k.x1, b.x1) + 1) * greatest(0, least(k.y2, b.y2) - greatest(k.y1, b.y1) + 1))
+                >= CASE WHEN k.label = b.label THEN 0.6 ELSE 0.98 END), lambda x: x)) = 0 THEN kept || [b] ELSE kept END
+          FROM (SELECT f.doc_id, f.page, o.r, f.kept, o.b FROM f JOIN o ON o.doc_id = f.doc_id AND o.page = f.page AND o.r = f.r + 1))
+    SELECT doc_id, page, unnest(kept).idx AS idx FROM f QUALIFY r = max(r) OVER (PARTITION BY doc_id, page)""")
 def nms_boxes(spark, sf_dir):
-    """A greedy fold over a page's boxes: no SQL."""
     scored = boxes(spark, sf_dir).withColumn("score", F.col("x1") / 1000.0).withColumn("label", (F.col("idx") % 3).cast("string"))
-    return apply_per_page(scored, lambda p: Q.suppress(p)[["doc_id", "page", "idx"]], "doc_id long, page long, idx long")
+    return Q.suppress(scored).select("doc_id", "page", "idx")
 
 
 @query()

@@ -31,7 +31,8 @@ def coverage(spark, sf_dir, scored):
 
 def fused(spark, sf_dir):
     scored = lexical(spark, sf_dir)
-    return R.hybrid(semantic(spark, sf_dir), scored.select("query_id", "item_id", "score"), coverage(spark, sf_dir, scored), k=10)
+    shape = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("source").alias("path"), F.lit("").alias("heading"), F.col("lang").alias("kind"))
+    return R.hybrid(semantic(spark, sf_dir), scored.select("query_id", "item_id", "score"), coverage(spark, sf_dir, scored), k=10, structure=(shape, questions(spark, sf_dir)))
 
 
 @query(f"WITH {BM25} SELECT query_id, item_id, round(score, 6) AS score, r AS rank FROM (SELECT query_id, item_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS r FROM bm25) WHERE r <= 10")
@@ -46,6 +47,7 @@ def tfidf_cosine_topk(spark, sf_dir):
 
 @query(f"WITH {BM25}, {COSINE}, {HYBRID} SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM hybrid QUALIFY rank <= 10")
 def rrf_hybrid_topk(spark, sf_dir):
+    """With the structure term: a document's source is its path, its language its kind."""
     return fused(spark, sf_dir)
 
 
@@ -99,16 +101,16 @@ def minmax_norm(spark, sf_dir):
     return R.vector_top(*vectors(spark, sf_dir), 20).select("query_id", "item_id", F.round(R.min_max(F.col("score"), "query_id"), 6).alias("share"))
 
 
-@query(f"""WITH {BM25}, h AS (SELECT query_id, item_id, round(score, 9) AS score FROM bm25 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) <= 10),
-    l AS (SELECT doc_id AS item_id, max(quality) AS quality FROM labels GROUP BY 1)
-    SELECT query_id, item_id, round(score + CASE WHEN quality = 1 THEN 10 ELSE 0 END
-           + greatest(0, 0.2 - 0.01 * (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) - 1)), 6) AS score FROM h LEFT JOIN l USING (item_id)""")
+@query(f"""WITH {BM25}, h AS (SELECT query_id, item_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS r FROM bm25 QUALIFY r <= 10),
+    l AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY item_id) AS p FROM (SELECT b.item_id AS query_id, l.doc_id AS item_id FROM labels l JOIN benchmark b ON l.doc_id % 20 = b.item_id % 20 WHERE toxic = 1 GROUP BY ALL)),
+    f AS (SELECT query_id, item_id, round(coalesce(score + greatest(0, 0.2 - 0.01 * (r - 1)), 0) + CASE WHEN p IS NULL THEN 0 ELSE 10 + greatest(0, 0.5 - 0.01 * (p - 1)) END, 6) AS score, CASE WHEN p IS NOT NULL THEN 'selected' ELSE 'retrieval' END AS source FROM h FULL JOIN l USING (query_id, item_id))
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM f QUALIFY rank <= 8""")
 def selected_boost_rank(spark, sf_dir):
-    """Hits of good documents count as selected."""
+    """Toxic documents count as selected by hand, each for the items of its remainder by 20, in the order of their ids."""
     hits = R.top(lexical(spark, sf_dir), 10)
-    chosen = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("item_id")).agg(F.max("quality").alias("quality"))
-    boost = F.when(F.col("quality") == 1, 10).otherwise(0) + F.greatest(F.lit(0.0), 0.2 - 0.01 * (F.col("rank") - 1))
-    return hits.join(chosen, "item_id", "left").select("query_id", "item_id", F.round(F.col("score") + boost, 6).alias("score"))
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("item_id"), (F.col("doc_id") % 20).alias("m")).distinct()
+    chosen = toxic.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 20).alias("m")), "m")
+    return R.with_selected(hits, chosen.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("item_id"))), 8)
 
 
 marked = lambda names: " OR ".join(f"contains(lower(text), '{m}')" for m in names)
@@ -326,7 +328,7 @@ def retrieval_quality(spark, sf_dir):
     from docspark.operators.evaluation import retrieval_quality as quality
 
     own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text", F.col("source").alias("section"))
-    return quality(R.top(lexical(spark, sf_dir), 10).select("query_id", "item_id", "rank"), gold(spark, sf_dir), own)
+    return quality(checkpointed(R.top(lexical(spark, sf_dir), 10).select("query_id", "item_id", "rank")), checkpointed(gold(spark, sf_dir)), own)
 
 
 @query(f"""WITH {BM25}, h AS (SELECT query_id, item_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, item_id) AS rank FROM bm25 QUALIFY rank <= 14)

@@ -1,6 +1,7 @@
 """Folds and functions on fixtures made by hand."""
 
 import random
+import time
 
 import pandas as pd
 import pytest
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docspark.functions import text as X
-from docspark.operators import blocks, context, evaluation, evidence, folds, graph, layout, quality, retrieval, sessions, structure
+from docspark.operators import blocks, context, evaluation, evidence, folds, graph, knowledge, layout, quality, retrieval, sessions, structure
 
 
 def one(spark, column):
@@ -166,8 +167,47 @@ def test_routing_and_suppression(spark):
     kinds = [one(spark, sessions.classify(F.lit(q))) for q in ("Compare A with B", "the listed method", "what is it", "which of them")]
     assert kinds == ["comparison_qa", "method_qa", "fact_qa", "multi_evidence_qa"]
     assert one(spark, sessions.classify(F.lit("x"), F.lit(1))) == "local_evidence_qa"
-    boxes = pd.DataFrame({"idx": [0, 1, 2], "x1": [0, 0, 50], "y1": [0, 0, 50], "x2": [10, 10, 60], "y2": [10, 11, 60], "score": [0.9, 0.8, 0.7], "label": ["a", "a", "a"]})
-    assert quality.suppress(boxes)["idx"].tolist() == [0, 2]
+
+
+def slow_suppress(page):
+    """page: (idx, x1, y1, x2, y2, score, label)."""
+    kept = []
+    for r in sorted(page, key=lambda b: (-b[5], b[0])):
+        for k in kept:
+            w, h = min(r[3], k[3]) - max(r[1], k[1]) + 1, min(r[4], k[4]) - max(r[2], k[2]) + 1
+            both, size = max(0, w) * max(0, h), lambda q: (q[3] - q[1] + 1) * (q[4] - q[2] + 1)
+            if both / (size(r) + size(k) - both) >= (0.6 if r[6] == k[6] else 0.98):
+                break
+        else:
+            kept.append(r)
+    return {r[0] for r in kept}
+
+
+def test_suppression_by_rounds(spark):
+    r = random.Random(4)
+    pages = {}
+    for p in range(12):
+        at = [r.randint(0, 30) for _ in range(3)]
+        pages[p] = [(k, x := r.choice(at) + r.randint(0, 3), y := r.choice(at) + r.randint(0, 3), x + r.randint(15, 19), y + r.randint(15, 19), r.randint(1, 8) / 10, r.choice("ab")) for k in range(40)]
+    pages[99] = [(k, k, 0, k + 20, 20, 1 - k / 100, "a") for k in range(30)]  # a chain of boxes, each covered by the one before
+    df = spark.createDataFrame([(p, *b) for p, boxes in pages.items() for b in boxes], "page int, idx int, x1 int, y1 int, x2 int, y2 int, score double, label string")
+    got = {}
+    for x in quality.suppress(df, ("page",)).collect():
+        got.setdefault(x.page, set()).add(x.idx)
+    assert got == {p: slow_suppress(boxes) for p, boxes in pages.items()}
+    assert quality.suppress(df.limit(0), ("page",)).collect() == []
+
+
+def test_border_by_counting(spark):
+    r = random.Random(5)
+    rows = [(r.choice([0, 5, 10**15, 10**15 + 1, r.randint(-(10**6), 10**12)]), k) for k in range(500)]
+    df, columns = spark.createDataFrame(rows, "t long, id long"), [F.col("t"), F.col("id")]
+    ordered = sorted(rows)
+    for nth in (0, 1, 250, 499):
+        assert tuple(knowledge.nth_values(df, columns, nth)) == ordered[nth]
+    for share in (0.0, 0.5, 0.999, 1.0):
+        assert {tuple(x) for x in df.where(knowledge.later_share(df, columns, share)).collect()} == set(ordered[int(500 * share) :])
+    assert df.limit(0).where(knowledge.later_share(df.limit(0), columns, 0.5)).collect() == []
 
 
 def test_expansion_keeps_to_its_budget(spark):
@@ -214,6 +254,13 @@ def test_loops_are_cut():
         unit = "".join(r.choice("ab\n") for _ in range(r.randint(3, 25)))
         text = "".join(r.choice("abc") for _ in range(r.randint(0, 30))) + unit * r.randint(5, 14) + "tail"
         assert X.first_loop(text) == slow_loop(text), repr(text)
+    for _ in range(300):  # several loops of few letters, whose units are made of shorter ones
+        text = "".join("".join(r.choice("abc") for _ in range(r.choice([1, 2, 3, 7, 9, 10, 11, 19, 20, 21, 40]))) * r.randint(1, 24) + r.choice(["", "a", "bca"]) for _ in range(r.randint(1, 4)))
+        assert X.first_loop(text) == slow_loop(text), repr(text)
+    began = time.perf_counter()
+    half = "".join(r.choices("ab", k=60_000))
+    assert X.first_loop("x" + half * 9) is None and X.first_loop("x" * 5 + half * 11) == (5, 60_000) and X.first_loop("a" * 1_000_000) == (0, 10)
+    assert time.perf_counter() - began < 3
     lines = "intro\n" + "same line\n" * 20 + "end"
     assert X.without_loop(lines).count("same line") == 1 and X.without_loop("a b c") == "a b c" and X.without_loop("") == ""
     short = "intro\n" + "x\n\n" * 30
