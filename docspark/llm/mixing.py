@@ -176,10 +176,14 @@ def plan_mix(rows: DataFrame, seed: int = 0, levels: int | None = None, block_wo
     blocked = with_block(rows, sources, n_sources, seed).select("key", "block", "doc", "size")
     per_block = checkpointed(blocked.groupBy("key", "block").agg(F.sum("size").alias("words")).where("words > 0"))
     shards = split_blocks(per_block.groupBy("key").agg(F.count(F.lit(1)).alias("quota")), levels, seed)
-    # the source's permuted blocks, dealt out to the shards by their quotas
-    permuted = Window.partitionBy("key").orderBy(F.xxhash64("key", "block", F.lit(seed), F.lit("deal")), "block")
+    # the source's permuted blocks, dealt out to the shards by their quotas: numbered over ranges of all blocks, so that no source's blocks are sorted in one task
+    deal = F.xxhash64("key", "block", F.lit(seed), F.lit("deal"))
+    numbered = prefix_sums(per_block.withColumn("deal", deal), [F.col("key"), F.col("deal"), F.col("block")], {"place": F.lit(1)})
+    first = numbered.groupBy("key").agg(F.min("place").alias("first"))
+    turn = (F.col("place") - F.col("first") + 1).cast("long")
+    turned = numbered.join(small(first, n_sources), "key").select("key", "block", "words", turn.alias("turn"))
     turns = shards.select("key", "shard", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("n"))).alias("turn"))
-    dealt = per_block.withColumn("turn", F.row_number().over(permuted).cast("long")).join(turns, ["key", "turn"])
+    dealt = turned.join(turns, ["key", "turn"])
     own = Window.partitionBy("key", "shard")
     drawn = own.orderBy(F.xxhash64("key", "block", F.lit(seed), F.lit("draw")), "block").rowsBetween(Window.unboundedPreceding, -1)
     dealt = dealt.withColumns({"own": F.sum("words").over(own), "before": F.coalesce(F.sum("words").over(drawn), F.lit(0))}).join(sources.select("key", "source_size", "target"), "key")

@@ -1,7 +1,7 @@
 """Packing by lexical retrieval: each window is filled with documents like its seed.
 
-Documents are dealt into shards as they are read, so nothing is shuffled. A shard cuts full windows from long documents; what is left, with
-the short documents, are its fragments. A BM25 inverted index over the fragments' token ids is built for the shard. Fragments are seeds in turn;
+Documents are dealt into shards as they are read, so nothing is shuffled. Full windows of long documents are written as they are read; what is left of them, with
+the short documents, are a shard's fragments, each shorter than a window: a shard holds SHARD_DOCS of them at most, whatever its documents' length. A BM25 inverted index over the fragments' token ids is built for the shard. Fragments are seeds in turn;
 for each seed that is still unused the index returns the unused fragments most like it, which greedily fill the window; the last of them is
 cut where the window ends and its rest stays a fragment. What a shard has left over at its end goes to sequences of a power of two.
 """
@@ -58,11 +58,18 @@ class Index:
 def pack_shard(lengths: np.ndarray, tokens: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces (document, start, length). Each token is in one piece; only a shard's last sequences are shorter than a window,
     and their lengths are powers of two. Ties in a score go to the earlier document."""
-    sequences = [[(k, s, window)] for k, n in enumerate(lengths) for s in range(0, int(n) - window + 1, window)]
-    start = [int(n) // window * window for n in lengths]
-    left = [int(n) - s for n, s in zip(lengths, start)]
+    whole = [(k, s, window) for k, n in enumerate(lengths) for s in range(0, int(n) - window + 1, window)]
+    begin = [int(n) // window * window for n in lengths]
+    rest = pack_fragments([t[b:] for t, b in zip(tokens, begin)], window)
+    return [[p] for p in whole] + [[(k, begin[k] + s, n) for k, s, n in pieces] for pieces in rest]
+
+
+def pack_fragments(fragments: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+    """Sequences of pieces (fragment, start, length) of fragments shorter than a window, as for pack_shard."""
+    sequences: list[list[tuple[int, int, int]]] = []
+    start, left = [0] * len(fragments), [len(f) for f in fragments]
     places = [k for k, n in enumerate(left) if n]
-    index = Index([tokens[k][start[k] :] for k in places])
+    index = Index([fragments[k] for k in places])
     unused = np.array([left[k] for k in places], np.int64)
     rank = -np.arange(len(places)) * 1e-12
     waiting = int(unused.sum())
@@ -120,8 +127,9 @@ def pack_documents(
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, the packed ids.
 
     A document is its text's ids and `end_id`; a null or empty text is `end_id` alone. Repeated rows are packed again. Sequence ids hold the
-    partition's and the sequence's number; they and the pieces are the same again for the same partitioning of the input. Other columns
-    are ignored; an empty table gives no rows. The window has to be a power of two, so that no sequence needs padding.
+    partition's and the sequence's number; they and the pieces are the same again for the same partitioning of the input. Texts are read whole; what is held of
+    a long one is what its last window leaves. Other columns are ignored; an empty table gives no rows. The window has to be a power of two, so that no sequence
+    needs padding.
     """
     if window < 1 or window & (window - 1):
         raise ValueError("the window has to be a power of two")
@@ -135,31 +143,47 @@ def pack_documents(
         words, number = memo(path), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         end = np.array([end_id], "<u4").tobytes()
 
-        def shard(doc_ids: list, packed: list[bytes]) -> pa.RecordBatch:
+        def rows(sequences: list[list[tuple[int, int, int]]], pieces_of) -> pa.RecordBatch:
+            """pieces_of: (doc_id, start, ids, length of the document) of a piece."""
             nonlocal number
-            tokens = [np.frombuffer(p, "<u4") for p in packed]
-            lengths = np.array([len(t) for t in tokens])
             columns: list[list] = [[] for _ in names]
-            for pieces in pack_shard(lengths, tokens, window):
+            for pieces in sequences:
                 offset = 0
-                for k, s, n in pieces:
-                    own = packed[k][4 * s : 4 * (s + n)]
-                    for column, value in zip(columns, (doc_ids[k], s, n, zlib.crc32(own), int(lengths[k]), number, offset, own)):
+                for piece in pieces:
+                    doc_id, begin, own, total = pieces_of(piece)
+                    for column, value in zip(columns, (doc_id, begin, piece[2], zlib.crc32(own), total, number, offset, own)):
                         column.append(value)
-                    offset += n
+                    offset += piece[2]
                 number += 1
             return pa.RecordBatch.from_arrays([pa.array(columns[0], kind)] + [pa.array(c, pa.int64()) for c in columns[1:7]] + [pa.array(c, pa.binary()) for c in columns[7:]], names)
 
-        doc_ids, packed, kind = [], [], None
+        held: list[tuple] = []  # doc_id, start, ids of the fragment, length of the document
+
+        def shard() -> pa.RecordBatch:
+            def piece_of(piece):
+                k, s, n = piece
+                doc_id, begin, ids, total = held[k]
+                return doc_id, begin + s, ids[4 * s : 4 * (s + n)], total
+
+            out = rows(pack_fragments([np.frombuffer(h[2], "<u4") for h in held], window), piece_of)
+            held.clear()
+            return out
+
+        kind = None
         for batch in in_slices(batches, 200):
             kind = batch.schema.field(0).type
-            doc_ids += batch.column(0).to_pylist()
-            packed += [p + end for p in encode_words(words, as_bytes(batch.column(1)))]
-            if len(packed) >= shard_docs:
-                yield shard(doc_ids, packed)
-                doc_ids, packed = [], []
-        if packed:
-            yield shard(doc_ids, packed)
+            doc_ids, packed = batch.column(0).to_pylist(), [p + end for p in encode_words(words, as_bytes(batch.column(1)))]
+            whole = []
+            for k, ids in enumerate(packed):
+                total = len(ids) // 4
+                begin = total // window * window
+                whole += [[(k, s, window)] for s in range(0, begin, window)]
+                held.append((doc_ids[k], begin, ids[4 * begin :], total))
+            yield rows(whole, lambda p: (doc_ids[p[0]], p[1], packed[p[0]][4 * p[1] : 4 * (p[1] + p[2])], len(packed[p[0]]) // 4))
+            if len(held) >= shard_docs:
+                yield shard()
+        if held:
+            yield shard()
 
     from pyspark.sql import functions as F
 

@@ -833,3 +833,54 @@ def test_pipeline_of_nothing(spark, tmp_path):
 
     pipeline_tables(spark, tmp_path, [], [])
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def slow_fill(fragments, window):
+    """Greedy packing by BM25 over all fragments, a score at a time."""
+    n = len(fragments)
+    counts = [Counter(f.tolist()) for f in fragments]
+    df = Counter(t for c in counts for t in c)
+    mean = sum(map(len, fragments)) / n
+    weight = lambda t, k: max(0.0, np.log((n - df[t] + 0.5) / (df[t] + 0.5))) * counts[k][t] * 2.2 / (counts[k][t] + 1.2 * (1 - 0.75 + 0.75 * len(fragments[k]) / mean))
+    left, start, out = [len(f) for f in fragments], [0] * n, []
+    for seed in range(n):
+        while left[seed] and sum(left) >= window:
+            score = {k: sum(weight(t, k) for t in sorted(counts[seed]) if counts[k][t]) - k * 1e-12 for k in range(n) if left[k]}
+            score[seed] = np.inf
+            room, pieces = window, []
+            for k in sorted(score, key=lambda k: -score[k]):
+                take = min(room, left[k])
+                if take:
+                    pieces.append((k, start[k], take))
+                    start[k], left[k], room = start[k] + take, left[k] - take, room - take
+            out.append(pieces)
+    return out
+
+
+def test_greedy_packing_equals_slow():
+    rng = np.random.default_rng(3)
+    for n, window in ((12, 16), (40, 32), (90, 32)):
+        fragments = [rng.integers(0, 40, rng.integers(1, window)).astype(np.uint32) ** 2 % 61 for _ in range(n)]
+        got = packing.pack_fragments(fragments, window)
+        expected = slow_fill(fragments, window)
+        assert got[: len(expected)] == expected
+        assert all((m := sum(p[2] for p in s)) & (m - 1) == 0 and m < window for s in got[len(expected) :])
+
+
+def test_packing_holds_fragments_only(spark):
+    """Long and short documents, shards smaller than a partition: pieces are those of the documents' ids, once each."""
+    rng = random.Random(4)
+    rows = [(k, " ".join(rng.choices(WORDS, k=rng.choice([0, 3, 60, 700])))) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = packing.pack_documents(df, window=64, shard_docs=7, with_ids=True).collect()
+    whole = {}
+    for r in sorted(got, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == len(whole.get(r.doc_id, b"")) // 4 and zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length
+        whole[r.doc_id] = whole.get(r.doc_id, b"") + r.ids
+    words = memo(word_vocabulary())
+    assert whole == {k: ids + np.array([1], "<u4").tobytes() for (k, _), ids in zip(rows, encode_words(words, [t.encode() for _, t in rows]))}
+    size = Counter()
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == size[r.sequence_id] and r.doc_tokens == len(whole[r.doc_id]) // 4
+        size[r.sequence_id] += r.length
+    assert all(n == 64 or n & (n - 1) == 0 for n in size.values()) and sum(n < 64 for n in size.values()) <= 7 * 10
