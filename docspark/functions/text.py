@@ -132,6 +132,23 @@ MOJIBAKE = ["閿", "閵", "閳", "閺", "閻", "閸", "閹", "锟斤拷"]
 FACT_MARKS = ["是什么", "谁", "哪些", "多少", "第几", "哪四个", "哪三个", "目标", "指标", "计划", "模块", "流程"]
 
 
+#: What a region is shown as.
+REGION_KINDS = {
+    "image": ["chart", "image"],
+    "text": ["abstract", "algorithm", "content", "doc_title", "figure_title", "paragraph_title", "reference_content", "text", "vertical_text", "vision_footnote", "seal", "formula_number"],
+    "table": ["table"],
+    "formula": ["display_formula", "inline_formula"],
+}
+
+
+def region_kind(label: Column, kinds: dict[str, list[str]] | None = None) -> Column:
+    """image, text, table or formula by the lists of labels in `kinds`, tried in their order; a label in none of them stays."""
+    out = F.when(F.lit(False), F.lit(""))
+    for kind, labels in (REGION_KINDS if kinds is None else kinds).items():
+        out = out.when(label.isin(labels), kind)
+    return out.otherwise(label)
+
+
 def block_type(label: Column) -> Column:
     """The kind of a block by its label; other labels stay, none is unknown."""
     low = F.lower(F.trim(F.coalesce(label, F.lit(""))))

@@ -10,12 +10,21 @@ from pyspark.sql import functions as F
 from docspark.functions import text as X
 
 # Names that are known, matched as substrings; words that are no names; relations by verb; relation types that count.
-DATASETS = """squad|squadv2|squad 2|msmarco|natural questions|triviaqa|quasar|searchqa|hotpotqa|narrativeqa|qasper|duorc|race|multirc|record|wmt|iwslt|opus|commoncrawl|bookscorpus
-wikipedia|imagenet|coco|mnist|cifar|glue|superglue|blimp|hellaswag|arc|mmlu""".replace("\n", "|").split("|")
-METRICS = "f1|exact match|em|bleu|rouge|rouge-l|meteor|bleu-1|bleu-2|bleu-3|bleu-4|accuracy|precision|recall|perplexity|wer|cer|map|ndcg|mrr|bertscore|bleurt".split("|")
-METHODS = """bert|gpt|gpt-2|gpt-3|gpt-4|transformer|transformers|lstm|gru|rnn|cnn|attention|self-attention|roberta|xlnet|albert|distilbert|electra|deberta|t5|bart|pegasus|mbart|xlm-roberta|xlm
-word2vec|glove|fasttext|elmo|ulmfit|seq2seq|encoder-decoder|pointer-generator|copynet|beam search|greedy decoding|nucleus sampling|knowledge graph|knowledge graph completion
-faiss|tf-idf|bm25|bm25f|rag|retrieval-augmented generation""".replace("\n", "|").split("|")
+DATASETS = [
+    "squad", "squadv2", "squad 2", "msmarco", "natural questions", "triviaqa", "quasar", "searchqa", "hotpotqa", "narrativeqa", "qasper", "duorc",
+    "race", "multirc", "record", "wmt", "iwslt", "opus", "commoncrawl", "bookscorpus", "wikipedia", "imagenet", "coco", "mnist",
+    "cifar", "glue", "superglue", "blimp", "hellaswag", "arc", "mmlu",
+]
+METRICS = [
+    "f1", "exact match", "em", "bleu", "rouge", "rouge-l", "meteor", "bleu-1", "bleu-2", "bleu-3", "bleu-4", "accuracy",
+    "precision", "recall", "perplexity", "wer", "cer", "map", "ndcg", "mrr", "bertscore", "bleurt",
+]
+METHODS = [
+    "bert", "gpt", "gpt-2", "gpt-3", "gpt-4", "transformer", "transformers", "lstm", "gru", "rnn", "cnn", "attention",
+    "self-attention", "roberta", "xlnet", "albert", "distilbert", "electra", "deberta", "t5", "bart", "pegasus", "mbart", "xlm-roberta",
+    "xlm", "word2vec", "glove", "fasttext", "elmo", "ulmfit", "seq2seq", "encoder-decoder", "pointer-generator", "copynet", "beam search", "greedy decoding",
+    "nucleus sampling", "knowledge graph", "knowledge graph completion", "faiss", "tf-idf", "bm25", "bm25f", "rag", "retrieval-augmented generation",
+]
 CHINESE_TERMS = """深度学习|机器学习|自然语言处理|计算机视觉|知识图谱|向量数据库|大语言模型|注意力机制|卷积神经网络|循环神经网络|生成对抗网络|强化学习|迁移学习|预训练|微调|嵌入|分词|词向量|特征提取|模型训练|模型推理|数据增强
 批归一化|Dropout|损失函数|优化器|学习率|梯度下降|反向传播|超参数|验证集|测试集|训练集|过拟合|欠拟合|正则化|注意力|编码器|解码器|自监督|对比学习|多模态|端到端""".replace("\n", "|")
 COMMON = """the a an is are was were be been being have has had do does did will would could should may might shall can need dare ought to of in for on with at by from as
@@ -97,21 +106,24 @@ def dedup_entities(entities: DataFrame) -> DataFrame:
 
 
 def cooccurrences(entities: DataFrame) -> DataFrame:
-    """key_a, key_b, relation, confidence, n: methods with datasets, metrics and other methods (once, by name) of the same block. A block has few names."""
-    e = entities.where("type in ('Method', 'Dataset', 'Metric')").select("doc_id", "pos", F.lower(clean_name(F.col("name"))).alias("key"), "type").distinct()
-    a, b = e.where("type = 'Method'").withColumnRenamed("key", "key_a").drop("type"), e.withColumnRenamed("key", "key_b")
-    both = a.join(b, ["doc_id", "pos"]).where("type != 'Method' or key_a < key_b")
+    """key_a, key_b, relation, confidence, n: methods with datasets, metrics and other methods (once, by name) of the same block. A block has few names: they meet in one row."""
+    e = entities.where("type in ('Method', 'Dataset', 'Metric')").select("doc_id", "pos", F.struct("type", F.lower(clean_name(F.col("name"))).alias("key")).alias("e"))
+    blocks = e.groupBy("doc_id", "pos").agg(F.collect_set("e").alias("names"))
+    methods = F.filter("names", lambda a: a["type"] == "Method")
+    others = lambda a: F.filter("names", lambda b: (b["type"] != "Method") | (a["key"] < b["key"]))
+    pairs = F.flatten(F.transform(methods, lambda a: F.transform(others(a), lambda b: F.struct(a["key"].alias("key_a"), b["key"].alias("key_b"), b["type"].alias("type")))))
+    both = blocks.where(F.size("names") > 1).select(F.explode(pairs).alias("p")).select("p.*")
     relation = F.when(F.col("type") == "Dataset", "EVALUATES_ON").when(F.col("type") == "Metric", "ACHIEVES").otherwise("COMPARES_WITH")
     confidence = F.when(F.col("type") == "Dataset", 0.5).when(F.col("type") == "Metric", 0.4).otherwise(0.35)
     return both.groupBy("key_a", "key_b", relation.alias("relation"), confidence.alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def verb_relations(blocks: DataFrame) -> DataFrame:
-    """doc_id, pos, source, relation, target: word, verb, word."""
+    """doc_id, pos, source, relation, target: word, verb, word; letters of any script make words."""
     low = F.lower("content")
 
     def of(relation, verbs):
-        pattern = F.lit(rf"([a-z0-9_]+)\s+(?:{verbs})\s+([a-z0-9_]+)")
+        pattern = F.lit(rf"([\p{{L}}\p{{N}}_]+)\s+(?:{verbs})\s+([\p{{L}}\p{{N}}_]+)")
         pairs = F.arrays_zip(F.regexp_extract_all(low, pattern, F.lit(1)).alias("source"), F.regexp_extract_all(low, pattern, F.lit(2)).alias("target"))
         return F.transform(pairs, lambda p: F.struct(p["source"].alias("source"), F.lit(relation).alias("relation"), p["target"].alias("target")))
 

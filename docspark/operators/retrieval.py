@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -250,6 +252,27 @@ def strategy(name: str, base: DataFrame, items: DataFrame, queries: DataFrame, k
     raise ValueError(f"no such strategy: {name}")
 
 
+def expanded(best: DataFrame, items: DataFrame, k: int = 10, sections: int = 5, paths: int = 3, separator: str = " > ") -> DataFrame:
+    """query_id, item_id, score, rank, origin: `best` (query_id, item_id, score, rank) filled up to k with other items of its first `sections` items' sections ('section'), then with items of sections whose path
+    begins like the parent of one of its first `paths` items' paths ('related'); these have score 0 and come by item. items: (item_id, section, path).
+
+    Paths meet by a join on their beginnings, section by section; sections and items are rows.
+    """
+    shape = items.select("item_id", F.col("section").cast("string").alias("section"), F.coalesce("path", F.lit("")).alias("path"))
+    first = best.join(shape, "item_id")
+    own = first.where((F.col("rank") <= sections) & F.col("section").isNotNull()).select("query_id", "section").distinct()
+    steps = F.split("path", re.escape(separator))
+    parents = first.where((F.col("rank") <= paths) & (F.size(steps) > 1)).select("query_id", F.trim(F.array_join(F.slice(steps, F.lit(1), F.size(steps) - 1), separator)).alias("begin")).distinct()
+    known = shape.where("section is not null and path != ''").select("section", "path").distinct()
+    begins = known.select("section", F.explode(F.transform(F.sequence(F.lit(1), F.length("path")), lambda n: F.substring("path", F.lit(1), n))).alias("begin"))
+    related = parents.join(begins, "begin").select("query_id", "section").distinct()
+    of = lambda rows, origin, phase: rows.join(shape, "section").select("query_id", "item_id", F.lit(0.0).alias("score"), F.lit(origin).alias("origin"), F.lit(phase).alias("phase"))
+    every = best.select("query_id", "item_id", "score", F.lit("found").alias("origin"), F.lit(0).alias("phase")).unionByName(of(own, "section", 1)).unionByName(of(related, "related", 2))
+    once = every.groupBy("query_id", "item_id").agg(F.min(F.struct("phase", "score", "origin")).alias("b")).select("query_id", "item_id", "b.score", "b.origin", "b.phase")
+    by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "phase", "item_id")
+    return once.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= k).select("query_id", "item_id", "score", "rank", "origin")
+
+
 def overlap_top(items: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, item_id, score, rank: share of a query's distinct terms in an item, .5 more where the whole question stands in it. A query that meets no item gets the first k by id, with score 0."""
     met = matches(items, queries).groupBy("query_id", "item_id").agg(F.count(F.lit(1)).alias("common"))

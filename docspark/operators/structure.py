@@ -21,6 +21,12 @@ TRAILING = r"^\s*(?:[0-9]{1,3}|[A-Za-z]|[一-鿿]{1,3})[)）]\s*\S.{0,120}$"
 SCENE = r"(?i)^\s*(?:场景|案例|示例|步骤|阶段|任务|scenario|case|example|step|stage|task)\s*[一-鿿0-9a-z]*[:：.\-\s]\s*\S.{0,120}$"
 
 
+# What speaks for a heading or against it, and how much of it is enough.
+KIND_POINTS = {"numbered_body": -0.2, "attached": 0.56, "decimal": 0.78, "chapter": 0.78, "common": 0.62}
+POINTS = {"marked": 0.72, "titled": 0.35, "short": 0.12, "long": -0.25, "few_lines": 0.06, "centred": 0.06, "language": 0.03}
+SHORT_CHARS, LEAST_CONFIDENCE = 140, 0.52
+
+
 def settled(rows: DataFrame) -> DataFrame:
     """The same rows, whose columns the optimizer takes as they are: a filter on them isn't rewritten into all that they were computed from."""
     return rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("r")).select("r.*")
@@ -56,13 +62,15 @@ def headings(blocks: DataFrame, label: Column | None = None, profile: Column | N
         F.when(kind == "numbered_body", F.lit(None).cast("int")).when(kind == "attached", -1).when(kind == "decimal", F.least(F.regexp_count(number, F.lit(r"\.")) + 1, F.lit(6)))
         .when(kind.isin("chapter", "common"), 1).when(marks != "", F.length(marks))
     )
-    points = F.when(kind == "numbered_body", -0.2).when(kind == "attached", 0.56).when(kind.isin("decimal", "chapter"), 0.78).when(kind == "common", 0.62).otherwise(0.0)
-    score = F.when(marks != "", 0.72).otherwise(0.0) + points + F.when(F.col("titled"), 0.35).otherwise(0.0)
-    score = score + F.when(F.length(text) <= 140, 0.12).otherwise(-0.25) + 0.06 + F.when(F.col("centred"), 0.06).otherwise(0.0)
-    score = score + F.when(F.col("profile").isin("zh", "mixed") & text.rlike("[一-鿿]"), 0.03).otherwise(0.0) + F.when(F.col("profile").isin("en", "mixed") & text.rlike("[A-Za-z]"), 0.03).otherwise(0.0)
+    points = F.lit(0.0)
+    for name, value in KIND_POINTS.items():
+        points = F.when(kind == name, value).otherwise(points)
+    given = lambda when, name, other=0.0: F.when(when, POINTS[name]).otherwise(other)
+    score = given(marks != "", "marked") + points + given(F.col("titled"), "titled") + given(F.length(text) <= SHORT_CHARS, "short", POINTS["long"]) + POINTS["few_lines"] + given(F.col("centred"), "centred")
+    score = score + given(F.col("profile").isin("zh", "mixed") & text.rlike("[一-鿿]"), "language") + given(F.col("profile").isin("en", "mixed") & text.rlike("[A-Za-z]"), "language")
     rows = rows.withColumns({"found": F.when(F.col("titled"), F.coalesce(level, F.lit(1))).otherwise(level), "confidence": F.when(text == "", 0.0).otherwise(F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)), 6))})
     rows = settled(rows)
-    rows = rows.withColumn("is_heading", (text != "") & (F.col("confidence") >= 0.52) & F.col("found").isNotNull())
+    rows = rows.withColumn("is_heading", (text != "") & (F.col("confidence") >= LEAST_CONFIDENCE) & F.col("found").isNotNull())
     yes = F.col("is_heading")
     return rows.select(
         *keep,

@@ -27,6 +27,10 @@ def claimable(now: Column) -> Column:
     return (F.col("status") == "pending") | ((F.col("status") == "processing") & (F.col("lock_expires_at") < now))
 
 
+#: Errors that trying again doesn't mend; any other, unknown ones too, may be gone the next time.
+FINAL_ERRORS = ["validation_error", "authentication_error", "authorization_error", "not_found", "invalid_input", "file_not_found"]
+
+
 def retry_delay(retries: Column, base: float = 60.0, most: float = 3600.0) -> Column:
     """Seconds, doubling."""
     return F.least(F.lit(most), base * F.pow(F.lit(2.0), retries))
@@ -62,3 +66,26 @@ def state(tasks: DataFrame, now: Column) -> DataFrame:
     return tasks.withColumns({
         "is_locked": F.coalesce(lease > now, F.lit(False)), "is_expired": F.coalesce(lease <= now, F.lit(False)), "can_retry": F.col("retry_count") < F.col("max_retries"), "seconds": seconds,
     })
+
+
+def failed(tasks: DataFrame, failures: DataFrame, now: Column, base: float = 60.0) -> DataFrame:
+    """`tasks` after `failures` (task_id, error_type, error_message), with `delay`: seconds until the next attempt, null for tasks that didn't fail or don't come again.
+
+    A task with attempts left (retry_count, max_retries) whose error isn't final goes back to pending: one more attempt is counted, and its lease, worker, start, step and progress are taken back, as
+    far as there are such columns. Others become dead letters. Of several failures of a task the first by type counts.
+    """
+    one = failures.groupBy("task_id").agg(F.min(F.struct("error_type", "error_message")).alias("failure"))
+    both = tasks.join(one, "task_id", "left")
+    fails = F.col("failure").isNotNull()
+    again = fails & (F.col("retry_count") < F.col("max_retries")) & ~F.coalesce(F.col("failure.error_type").isin(FINAL_ERRORS), F.lit(False))
+    reset = {"status": F.lit("pending"), "retry_count": F.col("retry_count") + 1, "last_retry_at": now, "error_message": F.col("failure.error_message"), "progress": F.lit(0.0)}
+    reset |= {c: F.lit(None) for c in ("worker_id", "lock_expires_at", "started_at", "current_step")}
+    dead = {"status": F.lit("dead_letter"), "error_message": F.col("failure.error_message"), "completed_at": now}
+
+    def of(c: str) -> Column:
+        kind, out = tasks.schema[c].dataType, F.col(c)
+        if c in reset:
+            out = F.when(again, reset[c].cast(kind)).otherwise(out)
+        return F.when(fails & ~again, dead[c].cast(kind)).otherwise(out).alias(c) if c in dead else out.alias(c)
+
+    return both.select(*[of(c) for c in tasks.columns], F.when(again, retry_delay(F.col("retry_count"), base)).alias("delay"))

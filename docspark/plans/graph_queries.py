@@ -88,7 +88,7 @@ def cooccurrence(spark, sf_dir):
 
 
 def verbs(pattern: str, relation: str) -> str:
-    p = rf"([a-z0-9_]+)\s+(?:{pattern})\s+([a-z0-9_]+)"
+    p = rf"([\p{{L}}\p{{N}}_]+)\s+(?:{pattern})\s+([\p{{L}}\p{{N}}_]+)"
     return f"SELECT doc_id, pos, unnest(regexp_extract_all(lower(content), '{p}', 1)) AS source, '{relation}' AS relation, unnest(regexp_extract_all(lower(content), '{p}', 2)) AS target FROM named"
 
 

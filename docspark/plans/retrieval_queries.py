@@ -236,6 +236,22 @@ def structure_optimized_topk(spark, sf_dir):
     return by_strategy(spark, sf_dir, "optimized")
 
 
+@query(f"""WITH {SECTIONS}, {BLEND}, three AS (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM ({SECOND['optimized']}) QUALIFY rank <= 3),
+    fst AS (SELECT query_id, rank, section, path FROM three JOIN sec USING (item_id)),
+    own AS (SELECT DISTINCT query_id, section FROM fst WHERE section IS NOT NULL),
+    par AS (SELECT DISTINCT query_id, trim(array_to_string(string_split(path, ' > ')[:-2], ' > ')) AS start FROM fst WHERE contains(path, ' > ')),
+    rel AS (SELECT DISTINCT query_id, k.section FROM par JOIN (SELECT DISTINCT section, path FROM sec WHERE section IS NOT NULL AND path != '') k ON starts_with(k.path, start) AND start != ''),
+    a AS (SELECT query_id, item_id, score, 'found' AS origin, 0 AS phase FROM three UNION ALL SELECT query_id, item_id, 0.0::DOUBLE, 'section', 1 FROM own JOIN sec USING (section) UNION ALL SELECT query_id, item_id, 0.0::DOUBLE, 'related', 2 FROM rel JOIN sec USING (section)),
+    once AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY query_id, item_id ORDER BY phase) = 1)
+    SELECT query_id, item_id, score, origin, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, phase, item_id) AS rank FROM once QUALIFY rank <= 10""")
+def structure_expanded_topk(spark, sf_dir):
+    """The three best of the optimised strategy, filled up to ten from their sections and related ones."""
+    own, asked = section_items(spark, sf_dir), questions(spark, sf_dir)
+    base = R.blended(R.pseudo_tfidf_cosine(own, asked), R.bm25(own, asked), asked)
+    best = checkpointed(R.strategy("optimized", base, own, asked, 3))
+    return R.expanded(best, own)
+
+
 @query(f"""WITH {SECTIONS}, {BLEND}, s AS (SELECT section, max(concat_ws(' ', path, heading)) AS text, count(*) AS n_items FROM sec WHERE section IS NOT NULL GROUP BY 1),
     met AS (SELECT query_id, section, any_value(n_items) AS n_items, count(*) AS common FROM (SELECT section, n_items, unnest(list_distinct({TOKENS('text')})) AS term FROM s) JOIN q USING (term) GROUP BY ALL),
     five AS (SELECT query_id, section, n_items FROM met JOIN asked USING (query_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(common / len(terms), 9) DESC, section) <= 5),

@@ -45,15 +45,20 @@ def compaction_candidates(spark, sf_dir):
     return S.to_compact(table(spark, sf_dir, "conversations"), least=6, chars=2000, most=8)
 
 
-@query(r"""WITH p AS (SELECT conv_id, turn, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations),
-    t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(a), '[a-z]+(?:''[a-z]+)?|[一-鿿]{2,}|[0-9]+(?:\.[0-9]+)?%?')) AS ta, list_distinct(regexp_extract_all(lower(g), '[a-z]+(?:''[a-z]+)?|[一-鿿]{2,}|[0-9]+(?:\.[0-9]+)?%?')) AS tg FROM p WHERE g IS NOT NULL)
-    SELECT conv_id, turn, round(CASE WHEN len(tg) > 0 THEN len(list_intersect(ta, tg)) / len(tg) ELSE 0 END, 4) AS token_recall FROM t""")
+BARE = lambda x: rf"regexp_replace(lower(coalesce({x}, '')), '[^\p{{L}}\p{{N}}_]+', '', 'g')"
+ANSWER = lambda x: rf"regexp_extract_all(lower({x}), '[a-z]+(?:''[a-z]+)?|[一-鿿]{{2,}}|[0-9]+(?:\.[0-9]+)?%?')"
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations),
+    t AS (SELECT conv_id, turn, {BARE('a')} AS ba, {BARE('g')} AS bg, list_distinct({ANSWER('a')}) AS ta, list_distinct({ANSWER('g')}) AS tg, list_filter({ANSWER('g')}, lambda x: length(x) >= 2)[:8] AS keys FROM p WHERE g IS NOT NULL)
+    SELECT conv_id, turn, ba != '' AND ba = bg AS exact_match, round(CASE WHEN len(tg) > 0 THEN len(list_intersect(ta, tg)) / len(tg) ELSE 0 END, 4) AS token_recall,
+           round(CASE WHEN len(keys) > 0 THEN len(list_filter(keys, lambda k: contains(ba, {BARE('k')}))) / len(keys) ELSE 0 END, 4) AS keyword_recall FROM t""")
 def answer_metrics(spark, sf_dir):
     """Each turn as an answer, the next as gold."""
     from pyspark.sql import Window
 
     pairs = table(spark, sf_dir, "conversations").withColumn("gold", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("gold is not null")
-    return pairs.select("conv_id", "turn", V.answer_scores(F.col("text"), F.col("gold")).alias("s")).select("conv_id", "turn", "s.token_recall")
+    return pairs.select("conv_id", "turn", V.answer_scores(F.col("text"), F.col("gold")).alias("s")).select("conv_id", "turn", "s.exact_match", "s.token_recall", "s.keyword_recall")
 
 
 PROMPT = "coalesce(text, '') || CASE conv_id % 3 WHEN 0 THEN ' Answer as JSON with keys; cite chunk ids.' WHEN 1 THEN ' Use only retrieved chunks and verify.' ELSE '' END"
@@ -323,3 +328,14 @@ def task_edit(spark, sf_dir):
 @query(f"WITH {TASKS} SELECT task_id, status = 'pending' OR (status = 'processing' AND lock_expires_at < TIMESTAMP '1996-06-17') AS claimable, least(3600.0::DOUBLE, 60.0::DOUBLE * 2 ** (task_id % 8)) AS delay FROM t")
 def task_claims(spark, sf_dir):
     return tasks(spark, sf_dir).select("task_id", T.claimable(F.lit("1996-06-17").cast("timestamp")).alias("claimable"), T.retry_delay(F.col("task_id") % 8).alias("delay"))
+
+
+@query(f"""WITH {TASKS}, x AS (SELECT task_id, status, task_id % 5 AS retry_count, 3 AS max_retries, ['timeout', 'not_found', 'odd', 'invalid_input', NULL][task_id % 5 + 1] AS error_type FROM t WHERE status = 'processing'),
+    d AS (SELECT *, retry_count < max_retries AND coalesce(error_type, '') NOT IN ('not_found', 'invalid_input') AS again FROM x)
+    SELECT task_id, CASE WHEN again THEN 'pending' ELSE 'dead_letter' END AS status, CASE WHEN again THEN retry_count + 1 ELSE retry_count END AS retry_count, CASE WHEN again THEN least(3600.0::DOUBLE, 60.0::DOUBLE * 2 ** retry_count) END AS delay FROM d""")
+def task_failures(spark, sf_dir):
+    """All tasks that are being processed fail, by different errors."""
+    t = tasks(spark, sf_dir).where("status = 'processing'").withColumns({"retry_count": F.col("task_id") % 5, "max_retries": F.lit(3), "progress": F.lit(50.0)})
+    kinds = F.array(*[F.lit(k) for k in ("timeout", "not_found", "odd", "invalid_input", None)])
+    failures = t.select("task_id", F.get(kinds, (F.col("task_id") % 5).cast("int")).alias("error_type"), F.lit("failed").alias("error_message"))
+    return T.failed(t, failures, F.lit("1996-06-17").cast("timestamp")).select("task_id", "status", F.col("retry_count").cast("long").alias("retry_count"), "delay")
