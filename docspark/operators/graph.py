@@ -105,17 +105,37 @@ def dedup_entities(entities: DataFrame) -> DataFrame:
     return e.groupBy("key", "type").agg(best.alias("b"), F.count(F.lit(1)).alias("n")).select("key", "type", F.col("b.name").alias("name"), (-F.col("b.c")).alias("confidence"), "n")
 
 
-def cooccurrences(entities: DataFrame) -> DataFrame:
-    """key_a, key_b, relation, confidence, n: methods with datasets, metrics and other methods (once, by name) of the same block. A block has few names: they meet in one row."""
+def cooccurring(entities: DataFrame) -> DataFrame:
+    """doc_id, pos, key_a, key_b, relation, confidence: methods with datasets, metrics and other methods (once, by name) of the same block. A block has few names: they meet in one row."""
     e = entities.where("type in ('Method', 'Dataset', 'Metric')").select("doc_id", "pos", F.struct("type", F.lower(clean_name(F.col("name"))).alias("key")).alias("e"))
     blocks = e.groupBy("doc_id", "pos").agg(F.collect_set("e").alias("names"))
     methods = F.filter("names", lambda a: a["type"] == "Method")
     others = lambda a: F.filter("names", lambda b: (b["type"] != "Method") | (a["key"] < b["key"]))
     pairs = F.flatten(F.transform(methods, lambda a: F.transform(others(a), lambda b: F.struct(a["key"].alias("key_a"), b["key"].alias("key_b"), b["type"].alias("type")))))
-    both = blocks.where(F.size("names") > 1).select(F.explode(pairs).alias("p")).select("p.*")
+    both = blocks.where(F.size("names") > 1).select("doc_id", "pos", F.explode(pairs).alias("p")).select("doc_id", "pos", "p.*")
     relation = F.when(F.col("type") == "Dataset", "EVALUATES_ON").when(F.col("type") == "Metric", "ACHIEVES").otherwise("COMPARES_WITH")
     confidence = F.when(F.col("type") == "Dataset", 0.5).when(F.col("type") == "Metric", 0.4).otherwise(0.35)
-    return both.groupBy("key_a", "key_b", relation.alias("relation"), confidence.alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
+    return both.select("doc_id", "pos", "key_a", "key_b", relation.alias("relation"), confidence.alias("confidence"))
+
+
+def cooccurrences(entities: DataFrame) -> DataFrame:
+    """key_a, key_b, relation, confidence, n: cooccurring pairs and in how many blocks they stand."""
+    return cooccurring(entities).groupBy("key_a", "key_b", "relation", "confidence").agg(F.count(F.lit(1)).alias("n"))
+
+
+def uncovered_pairs(entities: DataFrame, covered: DataFrame, most: int = 5) -> DataFrame:
+    """doc_id, pos, key_a, key_b, place: for a model outside, the first `most` pairs of a block's names (by clean lower-case name, key_a < key_b, in that order) that no relation of the
+    block connects either way. covered: (doc_id, pos, a, b).
+
+    Of a block's pairs only as many are made as could be needed: its covered ones and `most` more, so a block of many names isn't paired out.
+    """
+    names = entities.where(~is_noise(F.col("name"))).groupBy("doc_id", "pos").agg(F.array_sort(F.collect_set(F.lower(clean_name(F.col("name"))))).alias("names"))
+    known = covered.where("a != b").groupBy("doc_id", "pos").agg(F.collect_set(F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).alias("known"))
+    both = names.where(F.size("names") > 1).join(known, ["doc_id", "pos"], "left").withColumn("known", F.coalesce("known", F.array().cast("array<struct<a:string,b:string>>")))
+    need = F.size("known") + most
+    pairs = F.flatten(F.transform(F.slice("names", F.lit(1), need), lambda a, k: F.transform(F.slice("names", k + 2, need), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    left = F.slice(F.array_except(pairs, "known"), 1, most)
+    return both.select("doc_id", "pos", F.posexplode(left).alias("k", "p")).select("doc_id", "pos", F.col("p.a").alias("key_a"), F.col("p.b").alias("key_b"), (F.col("k") + 1).cast("long").alias("place"))
 
 
 def verb_relations(blocks: DataFrame) -> DataFrame:

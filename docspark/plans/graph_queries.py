@@ -10,6 +10,7 @@ from docspark.operators import graph as G
 from docspark.operators import knowledge as N
 from docspark.operators import quality as Q
 from docspark.operators import structure as S
+from docspark.operators.checkpoints import checkpointed
 from docspark.plans.base import BLOCKS, STRIP, blocks, query, table
 from docspark.plans.block_queries import BOX, FILL, HEAD, boxes, marked
 
@@ -114,6 +115,25 @@ def relation_resolve(spark, sf_dir):
     return G.resolved_relations(relations(spark, sf_dir), entities(spark, sf_dir))
 
 
+NOISY = rf"""length(trim(name)) <= 1 OR (length(trim(name)) <= 2 AND NOT (trim(name) = upper(trim(name)) AND trim(name) != lower(trim(name))))
+        OR regexp_matches(trim(name), '^[0-9.\-]+$') OR regexp_replace(lower(trim(name)), '^[.,;:]+|[.,;:]+$', '', 'g') IN ({quoted(G.NOISE)})
+        OR length(trim(name)) > 100 OR NOT regexp_matches(name, '[\p{{L}}\p{{N}}]') OR (contains(name, '<') AND contains(name, '>')) OR starts_with(trim(name), '>')"""
+
+
+@query(f"""WITH {BLOCKS}, {ENTITIES}, {RESOLVED}, e AS (SELECT DISTINCT doc_id, pos, {CLEAN} AS key, type FROM entities), n AS (SELECT DISTINCT doc_id, pos, {CLEAN} AS key FROM entities WHERE NOT ({NOISY})),
+    cov AS (SELECT doc_id, pos, least(source, target) AS x, greatest(source, target) AS y FROM resolved
+        UNION SELECT doc_id, pos, least(a.key, b.key), greatest(a.key, b.key) FROM e a JOIN e b USING (doc_id, pos) WHERE a.type = 'Method' AND b.type IN ('Dataset', 'Metric', 'Method') AND a.key != b.key)
+    SELECT doc_id, pos, key_a, key_b, row_number() OVER (PARTITION BY doc_id, pos ORDER BY key_a, key_b) AS place
+    FROM (SELECT a.doc_id, a.pos, a.key AS key_a, b.key AS key_b FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.pos = b.pos AND a.key < b.key) p
+    WHERE NOT EXISTS (SELECT 1 FROM cov WHERE cov.doc_id = p.doc_id AND cov.pos = p.pos AND x = key_a AND y = key_b) QUALIFY place <= 5""")
+def uncovered_pairs(spark, sf_dir):
+    """Pairs of names that neither a verb nor their kinds connect."""
+    found = checkpointed(entities(spark, sf_dir))
+    spoken = G.resolved_relations(relations(spark, sf_dir), found).select("doc_id", "pos", F.col("source").alias("a"), F.col("target").alias("b"))
+    together = G.cooccurring(found).select("doc_id", "pos", F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    return G.uncovered_pairs(found, spoken.unionByName(together))
+
+
 @query(f"""WITH {BLOCKS}, {ENTITIES}, {RESOLVED}, {DEDUP}, x AS (SELECT source AS src, target AS tgt, relation, CASE WHEN pos % 5 = 0 THEN 0.2 ELSE 0.7 END AS confidence FROM resolved)
     SELECT src, tgt, relation, CAST(max(confidence) AS DOUBLE) AS confidence FROM x WHERE confidence >= 0.25 AND src IN (SELECT key FROM clean) AND tgt IN (SELECT key FROM clean) GROUP BY ALL""")
 def relation_clean(spark, sf_dir):

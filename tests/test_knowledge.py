@@ -112,3 +112,13 @@ def test_hits_are_filled_up_from_sections(spark):
     best = spark.createDataFrame([(7, 1, 0.5, 1), (7, 5, 0.4, 2), (8, 6, 0.3, 1)], "query_id long, item_id long, score double, rank long")
     got = [tuple(r) for r in retrieval.expanded(best, items, 5).orderBy("query_id", "rank").collect()]
     assert got == [(7, 1, 0.5, 1, "found"), (7, 5, 0.4, 2, "found"), (7, 2, 0.0, 3, "section"), (7, 3, 0.0, 4, "related"), (7, 4, 0.0, 5, "related"), (8, 6, 0.3, 1, "found")]
+
+
+def test_uncovered_pairs(spark):
+    many = [f"name{k:03d}" for k in range(60)]
+    rows = [(1, 0, n) for n in ("BERT", "bert", "Attention", "SQuAD", "the", "F1")] + [(2, 0, n) for n in many] + [(3, 0, "alone")]
+    entities = spark.createDataFrame(rows, "doc_id long, pos long, name string")
+    covered = spark.createDataFrame([(1, 0, "squad", "bert"), (1, 0, "bert", "squad"), (1, 0, "attention", "f1"), *[(2, 0, many[k], many[0]) for k in range(1, 59)]], "doc_id long, pos long, a string, b string")
+    got = [tuple(r)[:4] for r in graph.uncovered_pairs(entities, covered, 3).orderBy("doc_id", "place").collect()]
+    assert got[:3] == [(1, 0, "attention", "bert"), (1, 0, "attention", "squad"), (1, 0, "bert", "f1")]
+    assert got[3:] == [(2, 0, many[0], many[59]), (2, 0, many[1], many[2]), (2, 0, many[1], many[3])]
