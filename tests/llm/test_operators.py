@@ -884,3 +884,22 @@ def test_packing_holds_fragments_only(spark):
         assert r.offset == size[r.sequence_id] and r.doc_tokens == len(whole[r.doc_id]) // 4
         size[r.sequence_id] += r.length
     assert all(n == 64 or n & (n - 1) == 0 for n in size.values()) and sum(n < 64 for n in size.values()) <= 7 * 10
+
+
+def test_pairs_on_rare_shingles_lose_none(spark):
+    """All pairs 0.8 alike share a rarest shingle, among texts that have much in common."""
+    rng = random.Random(12)
+    common = [f"common{k}" for k in range(40)]
+    texts = []
+    for k in range(120):
+        own = texts[rng.randrange(len(texts))].split() if texts and rng.random() < 0.6 else common + [f"w{rng.randrange(200)}" for _ in range(rng.randrange(5, 120))]
+        for _ in range(rng.randrange(0, 4)):
+            at = rng.randrange(len(own))
+            own[at : at + rng.randrange(3)] = [f"n{rng.randrange(500)}"] * rng.randrange(2)
+        texts.append(" ".join(own))
+    texts += ["one two", "one two", "one"]
+    rows = spark.createDataFrame([(k, k % 100, t) for k, t in enumerate(texts)], "node long, root long, text string").repartition(3)
+    got = {tuple(r) for r in near_copies.sharing_rare(rows).collect()}
+    sets = [set(near_copies.shingle_hashes(t.encode()).tolist()) for t in texts]
+    alike = {(a, b) for a in range(len(texts)) for b in range(a) if a % 100 != b % 100 and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert alike <= got and len(alike) > 50
