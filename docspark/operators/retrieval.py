@@ -121,27 +121,11 @@ def merge_groups(*groups: DataFrame) -> DataFrame:
     return merged.groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
 
 
-#: Queries that are sent to all executors at once; a larger batch is joined in blocks.
-QUERY_BLOCK = 1000
-
-
 def vector_top(vectors: DataFrame, queries: DataFrame, k: int, cosine: bool = False) -> DataFrame:
-    """query_id, item_id, score, rank: exact inner product (or cosine, 0 for a vector of length 0) of `queries` (query_id, q) with all `vectors` (item_id, v).
+    """query_id, item_id, score, rank: exact inner product (or cosine, 0 for a vector of length 0) of `queries` (query_id, q) with all `vectors` (item_id, v), by cells (operators.vectors)."""
+    from docspark.operators import vectors as V
 
-    Queries are a stated batch, counted first: blocks of QUERY_BLOCK are broadcast, one after the other; each partition of vectors keeps its k best of a query before anything is shuffled.
-    """
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    score = X.dot(F.col("v"), F.col("q"))
-    if cosine:
-        norm = F.sqrt(X.dot(F.col("v"), F.col("v"))) * F.sqrt(X.dot(F.col("q"), F.col("q")))
-        score = F.when(norm == 0, 0.0).otherwise(score / norm)
-    out = None
-    for block in range(blocks):
-        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        best = top(vectors.crossJoin(F.broadcast(own)).select("query_id", "item_id", F.round(score, 6).alias("score")), k)
-        out = best if out is None else out.unionByName(best)
-    return out
+    return V.search(V.deal(vectors, cosine), queries, k)[0]
 
 
 # What marks a question that asks for more than one thing; of the first list, of questions to structured text.
