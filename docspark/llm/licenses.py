@@ -53,6 +53,49 @@ TEMPLATES: dict[str, tuple[float, str]] = {
         PROVIDED "AS IS" AND <<var author 1-12>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
         MERCHANTABILITY AND FITNESS.""",
     ),
+    "bsd-2-clause": (
+        1.0,
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+        conditions are met: <<optional>>1.<<end>> Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. <<optional>>2.<<end>> Redistributions in binary form must reproduce the above copyright
+        notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+        distribution.
+        THIS SOFTWARE IS PROVIDED BY <<var holder 1-12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+        IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var holder 1-12>>
+        BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+        PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+        THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF
+        THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    ),
+    "bsd-3-clause": (
+        1.0,
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+        conditions are met: <<optional>>1.<<end>> Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. <<optional>>2.<<end>> Redistributions in binary form must reproduce the above copyright
+        notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+        distribution.
+        <<optional>>3.<<end>> Neither the name of <<var holder 1-12>> nor the names of its contributors may be used to endorse or promote
+        products derived from this software without specific prior written permission.
+        THIS SOFTWARE IS PROVIDED BY <<var holder 1-12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+        IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var holder 1-12>>
+        BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+        PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+        THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF
+        THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    ),
+    "apache-2.0-header": (
+        1.0,
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+        You may obtain a copy of the License at <<var place 1-12>> Unless required by applicable law or agreed to in writing, software
+        distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or
+        implied. See the License for the specific language governing permissions and limitations under the License.""",
+    ),
+    "mpl-2.0": (
+        0.9,
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. <<optional>>If a copy of the MPL was not
+        distributed with this file, You can obtain one at<<end>>""",
+    ),
+    "unlicense": (0.9, "This is free and unencumbered software released into the public domain"),
 }
 
 MARK = re.compile(r"<<(optional|end|var\s+\w+\s+(\d+)-(\d+))>>")

@@ -903,3 +903,59 @@ def test_pairs_on_rare_shingles_lose_none(spark):
     sets = [set(near_copies.shingle_hashes(t.encode()).tolist()) for t in texts]
     alike = {(a, b) for a in range(len(texts)) for b in range(a) if a % 100 != b % 100 and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
     assert alike <= got and len(alike) > 50
+
+
+def test_automata_equal_every_way_to_read_a_template():
+    """Random templates against a slow reader that tries every end."""
+    import re as regex
+
+    rng, met = random.Random(13), 0
+    for _ in range(400):
+        parts, pattern = [], ""
+        for k in range(rng.randrange(1, 7)):
+            words = rng.choices("abc", k=rng.randrange(1, 4))
+            kind = rng.random() if k else 1.0
+            if kind < 0.3:
+                parts.append(f"<<optional>>{' '.join(words)}<<end>>")
+                pattern += f"(?:{''.join(w + ' ' for w in words)})?"
+            elif kind < 0.5:
+                low, high = sorted((rng.randrange(4), rng.randrange(4)))
+                parts.append(f"<<var v {low}-{high}>>")
+                pattern += rf"(?:\S+ ){{{low},{high}}}"
+            else:
+                parts.append(" ".join(words))
+                pattern += "".join(w + " " for w in words)
+        made = licenses.compile_template("t", " ".join(parts))
+        text = [w.encode() for w in rng.choices("abcd", [4, 4, 4, 1], k=40)]
+        for at in range(len(text) + 1):
+            ends = [e for e in range(at, len(text) + 1) if regex.fullmatch(pattern, "".join(w.decode() + " " for w in text[at:e]))]
+            assert made.match(text, at) == max(ends, default=-1), (parts, at)
+            met += bool(ends)
+    assert met > 500
+
+
+def test_whole_licenses():
+    made = [licenses.compile_template(n, t, w) for n, (w, t) in licenses.TEMPLATES.items()]
+    filled = lambda n: licenses.MARK.sub(lambda m: " the holders " if m[1].startswith("var") else " ", licenses.TEMPLATES[n][1])
+
+    def labels(text):
+        words = licenses.words_of(text.encode())
+        return {m[0] for m in licenses.find_licenses(words, b" " + b" ".join(words) + b" ", made)}
+
+    for name in licenses.TEMPLATES:
+        assert name in labels(f"before it {filled(name)} and after it"), name
+    assert "bsd-3-clause" not in labels(filled("bsd-2-clause")) and "bsd-2-clause" not in labels(filled("bsd-3-clause"))
+    assert "bsd-2-clause" not in labels(filled("bsd-2-clause").replace("must retain", "should retain"))
+
+
+def test_scores_of_license_query(spark):
+    from docspark.llm import queries
+
+    rows = [(1, "Words. MIT License and CC BY"), (2, "nothing"), (3, None), (4, licenses.MARK.sub(lambda m: " x " if m[1].startswith("var") else " ", licenses.TEMPLATES["bsd-2-clause"][1])), (5, "apache license apache license")]
+    spark.createDataFrame(rows, "doc_id long, text string").createOrReplaceTempView("scanned")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(queries, "table", lambda *a: spark.table("scanned"))
+        got = {r.doc_id: (r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in queries.op1_license_scan(spark, "").collect()}
+    assert got[1] == (2, 1, 4, "cc-by,mit", "cc-by,mit", 0.5)
+    assert got[2] == got[3] == (0, None, None, "", "", 0.0)
+    assert got[4] == (0, None, None, "", "bsd-2-clause", 1.0) and got[5] == (2, 0, 2, "apache", "apache", 0.5)
