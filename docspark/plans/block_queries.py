@@ -173,9 +173,20 @@ def select_ranges(spark, sf_dir):
     return K.select_ranges(blocks(spark, sf_dir), r)
 
 
-@query()
+@query(f"""WITH RECURSIVE {BLOCKS},
+    b AS (SELECT doc_id, pos, row_number() OVER w AS k, count(*) OVER (PARTITION BY doc_id) AS n, l, sum(l) OVER (w ROWS UNBOUNDED PRECEDING) AS s
+          FROM (SELECT doc_id, pos, length({STRIP('content')}) AS l FROM blocks) WHERE l > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    back AS (SELECT a.doc_id, a.k, min(z.k) AS back FROM b a JOIN b z ON z.doc_id = a.doc_id AND z.k < a.k AND z.k >= a.k - 100
+             AND (z.k = a.k - 1 OR a.s - a.l - z.s + z.l + 2 * (a.k - z.k - 1) <= 100) GROUP BY ALL),
+    f AS (SELECT doc_id, k, n, k AS first, CAST(l AS HUGEINT) AS total, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS z FROM b WHERE k = 1
+          UNION ALL SELECT f.doc_id, x.k, f.n, CASE WHEN f.total + x.l + 2 > 500 THEN y.k ELSE f.first END, CASE WHEN f.total + x.l + 2 > 500 THEN x.s - x.l - y.s + y.l + 2 * (x.k - y.k - 1) ELSE f.total END + x.l + 2,
+                 CASE WHEN f.total + x.l + 2 > 500 THEN f.first END, CASE WHEN f.total + x.l + 2 > 500 THEN f.k END
+          FROM f JOIN b x ON x.doc_id = f.doc_id AND x.k = f.k + 1 JOIN back ON back.doc_id = x.doc_id AND back.k = x.k JOIN b y ON y.doc_id = x.doc_id AND y.k = greatest(f.first, back.back)),
+    r AS (SELECT doc_id, a, z FROM f WHERE a IS NOT NULL UNION ALL SELECT doc_id, first, n FROM f WHERE k = n)
+    SELECT r.doc_id, row_number() OVER (PARTITION BY r.doc_id ORDER BY z) - 1 AS chunk, x.pos AS first_pos, y.pos AS last_pos, z - a + 1 AS n_blocks
+    FROM r JOIN b x ON x.doc_id = r.doc_id AND x.k = a JOIN b y ON y.doc_id = r.doc_id AND y.k = z""")
 def pack_carrying(spark, sf_dir):
-    """An order-dependent fold without SQL, tested against a slow one."""
+    """An order-dependent fold."""
     return K.pack_carrying(blocks(spark, sf_dir))
 
 

@@ -3,7 +3,6 @@
 import random
 import time
 
-import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
