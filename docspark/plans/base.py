@@ -73,15 +73,20 @@ COSINE = """
     qn AS (SELECT *, sqrt(sum(qw * qw) OVER (PARTITION BY query_id)) AS qnorm FROM qw),
     cosine AS (SELECT query_id, item_id, sum(w * qw) / any_value(norm) / any_value(qnorm) AS score FROM dn JOIN qn USING (term) GROUP BY ALL)"""
 HYBRID = """
-    v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS r FROM (SELECT query_id, item_id, round(score, 9) AS score FROM cosine) QUALIFY r <= 60),
-    b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS r FROM (SELECT query_id, item_id, round(score, 9) AS score FROM bm25) WHERE score > 0 QUALIFY r <= 60),
-    vn AS (SELECT *, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0 END AS s FROM v WINDOW w AS (PARTITION BY query_id)),
-    bn AS (SELECT *, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0 END AS s FROM b WINDOW w AS (PARTITION BY query_id)),
+    v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS r
+        FROM (SELECT query_id, item_id, round(score, 9) AS score FROM cosine) QUALIFY r <= 60),
+    b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS r
+        FROM (SELECT query_id, item_id, round(score, 9) AS score FROM bm25) WHERE score > 0 QUALIFY r <= 60),
+    vn AS (SELECT *, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w)
+        ELSE 0 END AS s FROM v WINDOW w AS (PARTITION BY query_id)),
+    bn AS (SELECT *, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w)
+        ELSE 0 END AS s FROM b WINDOW w AS (PARTITION BY query_id)),
     nq AS (SELECT query_id, count(*) AS nq, list(term) AS terms FROM q GROUP BY 1),
     shape AS (SELECT doc_id AS item_id, source AS path, '' AS heading, lang AS kind FROM documents),
     hybrid AS (
         SELECT query_id, item_id, round(coalesce(1 / (60.0 + vn.r), 0) + coalesce(1 / (60.0 + bn.r), 0) + 0.72 * (0.6 * coalesce(vn.s, 0) + 0.4 * coalesce(bn.s, 0))
                + 0.18 * coalesce(matched / nq, 0) + 0.1 * CASE WHEN len(regexp_extract_all(lower(concat_ws(chr(10), path, heading, kind)), '[a-z0-9]+')) = 0 THEN 0
-                   ELSE least(1.0, len(list_intersect(terms, regexp_extract_all(lower(concat_ws(chr(10), path, heading, kind)), '[a-z0-9]+'))) / greatest(nq, 1) + CASE WHEN contains(lower(kind), 'title') THEN 0.04 ELSE 0 END) END, 6) AS score
+                   ELSE least(1.0, len(list_intersect(terms, regexp_extract_all(lower(concat_ws(chr(10), path, heading, kind)),
+        '[a-z0-9]+'))) / greatest(nq, 1) + CASE WHEN contains(lower(kind), 'title') THEN 0.04 ELSE 0 END) END, 6) AS score
         FROM vn FULL JOIN bn USING (query_id, item_id) LEFT JOIN bm25 USING (query_id, item_id) LEFT JOIN nq USING (query_id) LEFT JOIN shape USING (item_id)
     )"""

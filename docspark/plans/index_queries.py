@@ -23,7 +23,8 @@ def best(spark, sf_dir, path):
     return R.top(found, 10).select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({TOKENS('text')})) AS term FROM documents) GROUP BY term UNION ALL SELECT '', count(*) FROM documents")
+@query(f"""SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({TOKENS('text')})) AS term FROM documents) GROUP BY term UNION ALL
+        SELECT '', count(*) FROM documents""")
 def index_build(spark, sf_dir):
     """Document frequency of every term of a new index, and the number of documents."""
     path = folder(spark)

@@ -35,17 +35,22 @@ def fused(spark, sf_dir):
     return R.hybrid(semantic(spark, sf_dir), scored.select("query_id", "item_id", "score"), coverage(spark, sf_dir, scored), k=10, structure=(shape, questions(spark, sf_dir)))
 
 
-@query(f"WITH {BM25} SELECT query_id, item_id, round(score, 6) AS score, r AS rank FROM (SELECT query_id, item_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS r FROM bm25) WHERE r <= 10")
+@query(f"""WITH {BM25} SELECT query_id, item_id, round(score, 6) AS score, r AS rank
+        FROM (SELECT query_id, item_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC,
+        item_id) AS r FROM bm25) WHERE r <= 10""")
 def bm25_topk(spark, sf_dir):
     return R.top(lexical(spark, sf_dir), 10).select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"WITH {BM25}, {COSINE} SELECT query_id, item_id, round(score, 6) AS score, r AS rank FROM (SELECT query_id, item_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS r FROM cosine) WHERE r <= 10")
+@query(f"""WITH {BM25}, {COSINE} SELECT query_id, item_id, round(score, 6) AS score, r AS rank
+        FROM (SELECT query_id, item_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC,
+        item_id) AS r FROM cosine) WHERE r <= 10""")
 def tfidf_cosine_topk(spark, sf_dir):
     return R.top(semantic(spark, sf_dir), 10).select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"WITH {BM25}, {COSINE}, {HYBRID} SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM hybrid QUALIFY rank <= 10")
+@query(f"""WITH {BM25}, {COSINE}, {HYBRID} SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
+        item_id) AS rank FROM hybrid QUALIFY rank <= 10""")
 def rrf_hybrid_topk(spark, sf_dir):
     """With the structure term: a document's source is its path, its language its kind."""
     return fused(spark, sf_dir)
@@ -83,27 +88,36 @@ def vectors(spark, sf_dir):
     return e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v")), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
-@query(f"WITH {VECTORS}, s AS (SELECT query_id, item_id, round(list_dot_product(v, q), 6) AS score FROM v, q) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s QUALIFY rank <= 10")
+@query(f"""WITH {VECTORS}, s AS (SELECT query_id, item_id, round(list_dot_product(v, q), 6) AS score FROM v, q)
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s QUALIFY rank <= 10""")
 def dot_topk(spark, sf_dir):
     """Queries: every vector whose id is divisible by 50."""
     return R.vector_top(*vectors(spark, sf_dir), 10)
 
 
-@query(f"WITH {VECTORS}, s AS (SELECT query_id, item_id, round(list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))), 6) AS score FROM v, q) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s QUALIFY rank <= 10")
+@query(f"""WITH {VECTORS}, s AS (SELECT query_id, item_id, round(list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q,
+        q))), 6) AS score FROM v, q) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s
+        QUALIFY rank <= 10""")
 def cosine_topk(spark, sf_dir):
     return R.vector_top(*vectors(spark, sf_dir), 10, cosine=True)
 
 
-@query(f"""WITH {VECTORS}, s AS (SELECT query_id, item_id, round(list_dot_product(v, q), 6) AS d FROM v, q QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(v, q), 6) DESC, item_id) <= 20)
+@query(f"""WITH {VECTORS}, s AS (SELECT query_id, item_id, round(list_dot_product(v, q), 6) AS d FROM v, q
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(v, q), 6) DESC, item_id) <= 20)
     SELECT query_id, item_id, round((d - min(d) OVER w) / (max(d) OVER w - min(d) OVER w), 6) AS share FROM s WINDOW w AS (PARTITION BY query_id)""")
 def minmax_norm(spark, sf_dir):
     """Of each query's twenty best."""
     return R.vector_top(*vectors(spark, sf_dir), 20).select("query_id", "item_id", F.round(R.min_max(F.col("score"), "query_id"), 6).alias("share"))
 
 
-@query(f"""WITH {BM25}, h AS (SELECT query_id, item_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS r FROM bm25 QUALIFY r <= 10),
-    l AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY item_id) AS p FROM (SELECT b.item_id AS query_id, l.doc_id AS item_id FROM labels l JOIN benchmark b ON l.doc_id % 20 = b.item_id % 20 WHERE toxic = 1 GROUP BY ALL)),
-    f AS (SELECT query_id, item_id, round(coalesce(score + greatest(0, 0.2 - 0.01 * (r - 1)), 0) + CASE WHEN p IS NULL THEN 0 ELSE 10 + greatest(0, 0.5 - 0.01 * (p - 1)) END, 6) AS score, CASE WHEN p IS NOT NULL THEN 'selected' ELSE 'retrieval' END AS source FROM h FULL JOIN l USING (query_id, item_id))
+@query(f"""WITH {BM25}, h AS (SELECT query_id, item_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
+        9) DESC, item_id) AS r FROM bm25 QUALIFY r <= 10),
+    l AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY item_id) AS p
+        FROM (SELECT b.item_id AS query_id, l.doc_id AS item_id FROM labels l JOIN benchmark b ON l.doc_id % 20 = b.item_id % 20 WHERE toxic = 1
+        GROUP BY ALL)),
+    f AS (SELECT query_id, item_id, round(coalesce(score + greatest(0, 0.2 - 0.01 * (r - 1)), 0) + CASE WHEN p IS NULL THEN 0 ELSE 10 + greatest(0,
+        0.5 - 0.01 * (p - 1)) END, 6) AS score, CASE WHEN p IS NOT NULL THEN 'selected' ELSE 'retrieval' END AS source FROM h FULL
+        JOIN l USING (query_id, item_id))
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM f QUALIFY rank <= 8""")
 def selected_boost_rank(spark, sf_dir):
     """Toxic documents count as selected by hand, each for the items of its remainder by 20, in the order of their ids."""
@@ -118,7 +132,8 @@ WIDE = f"({marked(R.WIDE)})"
 
 
 @query(f"""SELECT conv_id, turn, CASE WHEN {WIDE} THEN 6 ELSE 5 END AS k, CASE WHEN {marked(R.WIDE_STRUCTURED)} THEN 8 ELSE 5 END AS structured,
-    CASE WHEN turn > 1 THEN CASE WHEN {WIDE} THEN 12 ELSE 8 END ELSE CASE WHEN {WIDE} THEN 10 ELSE 6 END END AS fetch, CASE WHEN {WIDE} THEN 6 ELSE 5 END AS keep FROM conversations WHERE role = 'user'""")
+    CASE WHEN turn > 1 THEN CASE WHEN {WIDE} THEN 12 ELSE 8 END ELSE CASE WHEN {WIDE} THEN 10 ELSE 6 END END AS fetch,
+        CASE WHEN {WIDE} THEN 6 ELSE 5 END AS keep FROM conversations WHERE role = 'user'""")
 def adaptive_k(spark, sf_dir):
     """Later questions count as having blocks selected by hand."""
     t = table(spark, sf_dir, "conversations").where("role = 'user'")
@@ -139,7 +154,8 @@ def evidence_containment(spark, sf_dir):
     return gold(spark, sf_dir)
 
 
-@query(f"""WITH {BM25}, {GOLD}, h AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM bm25 QUALIFY rank <= 10)
+@query(f"""WITH {BM25}, {GOLD}, h AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC,
+        item_id) AS rank FROM bm25 QUALIFY rank <= 10)
     SELECT query_id, count(h.item_id) AS hits, count(*) AS n_gold, round(count(h.item_id) / count(*), 6) AS recall, round(count(h.item_id) / 10, 6) AS precision_10,
            round(coalesce(1 / min(rank), 0), 6) AS reciprocal_rank FROM gold LEFT JOIN h USING (query_id, item_id) GROUP BY 1""")
 def retrieval_metrics(spark, sf_dir):
@@ -148,9 +164,11 @@ def retrieval_metrics(spark, sf_dir):
     return metrics(R.top(lexical(spark, sf_dir), 10), gold(spark, sf_dir), 10)
 
 
-@query(f"""WITH {BM25}, {GOLD}, h AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM bm25 QUALIFY rank <= 10),
+@query(f"""WITH {BM25}, {GOLD}, h AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC,
+        item_id) AS rank FROM bm25 QUALIFY rank <= 10),
     k AS (SELECT unnest([1, 3, 5]) AS k),
-    m AS (SELECT k, query_id, count(CASE WHEN rank <= k THEN 1 END) / count(*) AS recall, max(CASE WHEN rank <= k THEN 1 / rank ELSE 0 END) AS rr FROM gold LEFT JOIN h USING (query_id, item_id), k GROUP BY ALL)
+    m AS (SELECT k, query_id, count(CASE WHEN rank <= k THEN 1 END) / count(*) AS recall, max(CASE WHEN rank <= k THEN 1 / rank ELSE 0 END) AS rr
+        FROM gold LEFT JOIN h USING (query_id, item_id), k GROUP BY ALL)
     SELECT k, count(*) AS n_queries, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr FROM m GROUP BY ROLLUP (k)""")
 def grid_summary(spark, sf_dir):
     from docspark.operators.evaluation import grid
@@ -159,15 +177,19 @@ def grid_summary(spark, sf_dir):
 
 
 # Blocks with their sections as items.
-SECTIONS = f"""{BLOCKS}, {HEAD}, sec AS (SELECT heads.doc_id * 1000000 + pos AS item_id, content AS text, source AS name, CASE WHEN is_heading THEN 'title' ELSE 'text' END AS kind,
+SECTIONS = f"""{BLOCKS}, {HEAD}, sec AS (SELECT heads.doc_id * 1000000 + pos AS item_id, content AS text, source AS name,
+        CASE WHEN is_heading THEN 'title' ELSE 'text' END AS kind,
         coalesce(last_value(CASE WHEN is_heading THEN h END IGNORE NULLS) OVER w, '') AS heading,
-        concat_ws(' > ', last_value(CASE WHEN is_heading AND lv = 1 THEN h END IGNORE NULLS) OVER w, last_value(CASE WHEN is_heading THEN h END IGNORE NULLS) OVER w) AS path,
+        concat_ws(' > ', last_value(CASE WHEN is_heading AND lv = 1 THEN h END IGNORE NULLS) OVER w,
+        last_value(CASE WHEN is_heading THEN h END IGNORE NULLS) OVER w) AS path,
         heads.doc_id || '_' || last_value(CASE WHEN is_heading THEN pos END IGNORE NULLS) OVER w AS section
     FROM heads JOIN documents USING (doc_id) WINDOW w AS (PARTITION BY heads.doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING))"""
 SHARE = lambda x: f"len(list_intersect(terms, {TOKENS(x)})) / greatest(len(terms), 1)"
 LEVELS = f"(0.1 * {SHARE('name')} + 0.3 * {SHARE('path')} + 0.4 * {SHARE('heading')} + 0.2 * {SHARE('kind')})"
-BLEND = f"""{bm25_sql('SELECT item_id, text FROM sec')}, {COSINE}, asked AS (SELECT item_id AS query_id, greatest(len({TOKENS('text')}), 1) AS nt, list_distinct({TOKENS('text')}) AS terms FROM benchmark),
-    base AS (SELECT * FROM (SELECT query_id, item_id, vector, lexical, 0.6::DOUBLE * vector + 0.4::DOUBLE * lexical AS score FROM (SELECT query_id, item_id, coalesce(v.score, 0) AS vector, least(1.0::DOUBLE, coalesce(b.score, 0) / nt) AS lexical
+BLEND = f"""{bm25_sql('SELECT item_id, text FROM sec')}, {COSINE}, asked AS (SELECT item_id AS query_id, greatest(len({TOKENS('text')}), 1) AS nt,
+        list_distinct({TOKENS('text')}) AS terms FROM benchmark),
+    base AS (SELECT * FROM (SELECT query_id, item_id, vector, lexical, 0.6::DOUBLE * vector + 0.4::DOUBLE * lexical AS score
+        FROM (SELECT query_id, item_id, coalesce(v.score, 0) AS vector, least(1.0::DOUBLE, coalesce(b.score, 0) / nt) AS lexical
         FROM cosine v FULL JOIN bm25 b USING (query_id, item_id) JOIN asked USING (query_id))) WHERE score > 0)"""
 BEST = "SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM ({}) QUALIFY rank <= 10"
 FIRST = "SELECT * FROM (SELECT * REPLACE (round(score, 9) AS score) FROM base) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) <= {}"
@@ -193,7 +215,13 @@ def by_strategy(spark, sf_dir, name):
     return base if name is None else R.strategy(name, base, own, asked)
 
 
-@query(f"WITH {SECTIONS}, {BLEND}, f AS ({FIRST.format(20)}) SELECT query_id, item_id, round(CASE WHEN len(terms) = 0 OR len({TOKENS('concat_ws(chr(10), path, heading, kind)')}) = 0 THEN 0 ELSE least(1.0::DOUBLE, {SHARE('concat_ws(chr(10), path, heading, kind)')} + CASE WHEN trim(heading) != '' THEN 0.05 ELSE 0 END + CASE WHEN contains(kind, 'title') THEN 0.04 ELSE 0 END) END, 6) AS matched, round(least(1.0::DOUBLE, 0.5 * {SHARE('heading')} + 0.3 * {SHARE('path')} + CASE WHEN trim(heading) != '' THEN 0.1 ELSE 0 END), 6) AS weighted, round(least(1.0::DOUBLE, {LEVELS} + CASE WHEN trim(heading) != '' THEN 0.05 ELSE 0 END + CASE WHEN kind = 'title' THEN 0.03 ELSE 0 END), 6) AS levels FROM f JOIN sec USING (item_id) JOIN asked USING (query_id)")
+@query(f"""WITH {SECTIONS}, {BLEND}, f AS ({FIRST.format(20)})
+        SELECT query_id, item_id, round(CASE WHEN len(terms) = 0 OR len({TOKENS('concat_ws(chr(10), path, heading, kind)')}) = 0 THEN 0
+        ELSE least(1.0::DOUBLE, {SHARE('concat_ws(chr(10), path, heading, kind)')} + CASE WHEN trim(heading) != '' THEN 0.05 ELSE 0 END + CASE
+        WHEN contains(kind, 'title') THEN 0.04 ELSE 0 END) END, 6) AS matched, round(least(1.0::DOUBLE,
+        0.5 * {SHARE('heading')} + 0.3 * {SHARE('path')} + CASE WHEN trim(heading) != '' THEN 0.1 ELSE 0 END), 6) AS weighted,
+        round(least(1.0::DOUBLE, {LEVELS} + CASE WHEN trim(heading) != '' THEN 0.05 ELSE 0 END + CASE WHEN kind = 'title' THEN 0.03 ELSE 0 END),
+        6) AS levels FROM f JOIN sec USING (item_id) JOIN asked USING (query_id)""")
 def structure_match(spark, sf_dir):
     """Three structure scores of each query's twenty best blocks."""
     own, asked = section_items(spark, sf_dir), questions(spark, sf_dir)
@@ -236,12 +264,15 @@ def structure_optimized_topk(spark, sf_dir):
     return by_strategy(spark, sf_dir, "optimized")
 
 
-@query(f"""WITH {SECTIONS}, {BLEND}, three AS (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM ({SECOND['optimized']}) QUALIFY rank <= 3),
+@query(f"""WITH {SECTIONS}, {BLEND}, three AS (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
+        item_id) AS rank FROM ({SECOND['optimized']}) QUALIFY rank <= 3),
     fst AS (SELECT query_id, rank, section, path FROM three JOIN sec USING (item_id)),
     own AS (SELECT DISTINCT query_id, section FROM fst WHERE section IS NOT NULL),
     par AS (SELECT DISTINCT query_id, trim(array_to_string(string_split(path, ' > ')[:-2], ' > ')) AS start FROM fst WHERE contains(path, ' > ')),
-    rel AS (SELECT DISTINCT query_id, k.section FROM par JOIN (SELECT DISTINCT section, path FROM sec WHERE section IS NOT NULL AND path != '') k ON starts_with(k.path, start) AND start != ''),
-    a AS (SELECT query_id, item_id, score, 'found' AS origin, 0 AS phase FROM three UNION ALL SELECT query_id, item_id, 0.0::DOUBLE, 'section', 1 FROM own JOIN sec USING (section) UNION ALL SELECT query_id, item_id, 0.0::DOUBLE, 'related', 2 FROM rel JOIN sec USING (section)),
+    rel AS (SELECT DISTINCT query_id, k.section FROM par JOIN (SELECT DISTINCT section, path FROM sec
+        WHERE section IS NOT NULL AND path != '') k ON starts_with(k.path, start) AND start != ''),
+    a AS (SELECT query_id, item_id, score, 'found' AS origin, 0 AS phase FROM three UNION ALL SELECT query_id, item_id, 0.0::DOUBLE, 'section', 1
+        FROM own JOIN sec USING (section) UNION ALL SELECT query_id, item_id, 0.0::DOUBLE, 'related', 2 FROM rel JOIN sec USING (section)),
     once AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY query_id, item_id ORDER BY phase) = 1)
     SELECT query_id, item_id, score, origin, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, phase, item_id) AS rank FROM once QUALIFY rank <= 10""")
 def structure_expanded_topk(spark, sf_dir):
@@ -253,8 +284,10 @@ def structure_expanded_topk(spark, sf_dir):
 
 
 @query(f"""WITH {SECTIONS}, {BLEND}, s AS (SELECT section, max(concat_ws(' ', path, heading)) AS text, count(*) AS n_items FROM sec WHERE section IS NOT NULL GROUP BY 1),
-    met AS (SELECT query_id, section, any_value(n_items) AS n_items, count(*) AS common FROM (SELECT section, n_items, unnest(list_distinct({TOKENS('text')})) AS term FROM s) JOIN q USING (term) GROUP BY ALL),
-    five AS (SELECT query_id, section, n_items FROM met JOIN asked USING (query_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(common / len(terms), 9) DESC, section) <= 5),
+    met AS (SELECT query_id, section, any_value(n_items) AS n_items, count(*) AS common
+        FROM (SELECT section, n_items, unnest(list_distinct({TOKENS('text')})) AS term FROM s) JOIN q USING (term) GROUP BY ALL),
+    five AS (SELECT query_id, section, n_items FROM met JOIN asked USING (query_id)
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(common / len(terms), 9) DESC, section) <= 5),
     enough AS (SELECT query_id FROM five GROUP BY 1 HAVING sum(n_items) >= 10)
     """ + BEST.format("SELECT query_id, item_id, round(score, 6) AS score FROM base JOIN sec USING (item_id) WHERE query_id NOT IN (FROM enough) OR (query_id, section) IN (SELECT (query_id, section) FROM five)"))
 def structure_sections_topk(spark, sf_dir):
@@ -268,7 +301,8 @@ def structure_hierarchy_topk(spark, sf_dir):
 
 
 @query(f"""WITH {BM25}, {COSINE}, n AS (SELECT item_id AS query_id, greatest(len({TOKENS('text')}), 1) AS nt FROM benchmark),
-    s AS (SELECT query_id, item_id, round(0.7::DOUBLE * coalesce(v.score, 0) + 0.3::DOUBLE * least(1.0::DOUBLE, coalesce(b.score, 0) / nt), 6) AS score, round(0.6::DOUBLE * coalesce(v.score, 0) + 0.4::DOUBLE * coalesce(b.score, 0), 6) AS formula
+    s AS (SELECT query_id, item_id, round(0.7::DOUBLE * coalesce(v.score, 0) + 0.3::DOUBLE * least(1.0::DOUBLE, coalesce(b.score, 0) / nt),
+        6) AS score, round(0.6::DOUBLE * coalesce(v.score, 0) + 0.4::DOUBLE * coalesce(b.score, 0), 6) AS formula
           FROM cosine v FULL JOIN bm25 b USING (query_id, item_id) JOIN n USING (query_id))
     SELECT query_id, item_id, score, formula, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s QUALIFY rank <= 10""")
 def weighted_hybrid_topk(spark, sf_dir):
@@ -281,13 +315,15 @@ def weighted_hybrid_topk(spark, sf_dir):
 
 
 @query(f"""WITH {bm25_sql()}, a AS (SELECT item_id AS query_id, len(list_distinct({TOKENS('text')})) AS n, {normal('text')} AS asked FROM benchmark),
-    s AS (SELECT query_id, item_id, round(matched / n + CASE WHEN contains({normal('text')}, asked) THEN 0.5 ELSE 0 END, 6) AS score FROM bm25 JOIN a USING (query_id) JOIN (SELECT doc_id AS item_id, text FROM documents) USING (item_id))
+    s AS (SELECT query_id, item_id, round(matched / n + CASE WHEN contains({normal('text')}, asked) THEN 0.5 ELSE 0 END, 6) AS score FROM bm25
+        JOIN a USING (query_id) JOIN (SELECT doc_id AS item_id, text FROM documents) USING (item_id))
     """ + BEST.format("SELECT * FROM s"))
 def overlap_topk(spark, sf_dir):
     return R.overlap_top(items(spark, sf_dir), questions(spark, sf_dir))
 
 
-@query(f"""WITH {BM25}, nq AS (SELECT query_id, count(*) AS n FROM q GROUP BY 1), s AS (SELECT query_id, item_id, round(score + matched / n, 6) AS score FROM bm25 JOIN nq USING (query_id)) """ + BEST.format("SELECT * FROM s"))
+@query(f"""WITH {BM25}, nq AS (SELECT query_id, count(*) AS n FROM q
+        GROUP BY 1), s AS (SELECT query_id, item_id, round(score + matched / n, 6) AS score FROM bm25 JOIN nq USING (query_id)) """ + BEST.format("SELECT * FROM s"))
 def bm25_overlap_topk(spark, sf_dir):
     """BM25 and the share of terms found."""
     scored = R.bm25(items(spark, sf_dir), questions(spark, sf_dir))
@@ -295,7 +331,9 @@ def bm25_overlap_topk(spark, sf_dir):
     return R.top(both.withColumn("score", F.round(F.col("score") + F.col("coverage"), 6)), 10).select("query_id", "item_id", "score", "rank")
 
 
-HITS = f"""{SECTIONS}, {BLEND}, hits AS (SELECT query_id, item_id // 1000000 AS doc_id, item_id % 1000000 AS pos, score, rank FROM (SELECT query_id, item_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, item_id) AS rank FROM base)),
+HITS = f"""{SECTIONS}, {BLEND}, hits AS (SELECT query_id, item_id // 1000000 AS doc_id, item_id % 1000000 AS pos, score, rank
+        FROM (SELECT query_id, item_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC,
+        item_id) AS rank FROM base)),
     best AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM hits)"""
 
 
@@ -306,24 +344,37 @@ def hits(spark, sf_dir, k, more):
     return checkpointed(found)  # a few rows a question, that contexts look at several times
 
 
-@query(f"""WITH {HITS}, {FILL}, ranked AS (SELECT * FROM best WHERE rank <= 20 OR (top < 0.2 AND rank <= 30)), seeds AS (SELECT query_id, doc_id, pos, rank AS seed_rank FROM ranked WHERE rank <= 8), {SIDES},
-    a AS (SELECT *, 1 AS phase FROM one UNION ALL SELECT *, 2 AS phase FROM two), x AS (SELECT * FROM a ANTI JOIN seeds USING (query_id, doc_id, pos) QUALIFY row_number() OVER (PARTITION BY query_id, doc_id, pos ORDER BY phase, o) = 1),
-    room AS (SELECT query_id, 15 - count(*) AS room FROM seeds GROUP BY 1), around AS (SELECT query_id, doc_id, pos, 0 AS turn, row_number() OVER (PARTITION BY query_id ORDER BY phase, o, doc_id) AS rank, room FROM x JOIN room USING (query_id) QUALIFY rank <= room),
-    s AS (SELECT query_id, doc_id, pos, min((turn, rank)) AS o FROM (SELECT query_id, doc_id, pos, turn, rank FROM around UNION ALL SELECT query_id, doc_id, pos, 1, rank FROM ranked WHERE rank BETWEEN 9 AND 12) GROUP BY ALL)
+@query(f"""WITH {HITS}, {FILL}, ranked AS (SELECT * FROM best
+        WHERE rank <= 20 OR (top < 0.2 AND rank <= 30)), seeds AS (SELECT query_id, doc_id, pos, rank AS seed_rank FROM ranked
+        WHERE rank <= 8), {SIDES},
+    a AS (SELECT *, 1 AS phase FROM one UNION ALL SELECT *, 2 AS phase FROM two), x AS (SELECT * FROM a ANTI JOIN seeds USING (query_id, doc_id, pos)
+        QUALIFY row_number() OVER (PARTITION BY query_id, doc_id, pos ORDER BY phase, o) = 1),
+    room AS (SELECT query_id, 15 - count(*) AS room FROM seeds
+        GROUP BY 1), around AS (SELECT query_id, doc_id, pos, 0 AS turn, row_number() OVER (PARTITION BY query_id ORDER BY phase, o, doc_id) AS rank,
+        room FROM x JOIN room USING (query_id) QUALIFY rank <= room),
+    s AS (SELECT query_id, doc_id, pos, min((turn, rank)) AS o FROM (SELECT query_id, doc_id, pos, turn, rank FROM around UNION ALL
+        SELECT query_id, doc_id, pos, 1, rank FROM ranked WHERE rank BETWEEN 9 AND 12) GROUP BY ALL)
     SELECT query_id, doc_id, pos, 'current' AS part, row_number() OVER (PARTITION BY query_id ORDER BY seed_rank) AS place FROM seeds
-    UNION ALL SELECT query_id, doc_id, pos, 'support', place FROM (SELECT query_id, doc_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY o, doc_id, pos) AS place FROM s ANTI JOIN seeds USING (query_id, doc_id, pos)) JOIN room USING (query_id) WHERE place <= room""")
+    UNION ALL SELECT query_id, doc_id, pos, 'support', place
+        FROM (SELECT query_id, doc_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY o, doc_id, pos) AS place FROM s ANTI
+        JOIN seeds USING (query_id, doc_id, pos)) JOIN room USING (query_id) WHERE place <= room""")
 def lad_context(spark, sf_dir):
     """Eight seeds of each question among all lines, expanded by section."""
     found = hits(spark, sf_dir, 20, 10)
     return C.structural_context(found, S.fill_sections(S.headings(titled(spark, sf_dir).join(found.select("doc_id").distinct(), "doc_id", "left_semi"))))
 
 
-@query(f"""WITH {HITS}, w AS (SELECT item_id AS query_id, {WIDE} AS wide FROM benchmark), sized AS (SELECT *, CASE WHEN wide THEN 6 ELSE 5 END AS k, CASE WHEN wide THEN 4 ELSE 3 END AS c, CASE WHEN wide THEN 6 ELSE 4 END AS m FROM best JOIN w USING (query_id)),
+@query(f"""WITH {HITS}, w AS (SELECT item_id AS query_id, {WIDE} AS wide
+        FROM benchmark), sized AS (SELECT *, CASE WHEN wide THEN 6 ELSE 5 END AS k, CASE WHEN wide THEN 4 ELSE 3 END AS c,
+        CASE WHEN wide THEN 6 ELSE 4 END AS m FROM best JOIN w USING (query_id)),
     ranked AS (SELECT * FROM sized WHERE rank <= k OR (top < 0.2 AND rank <= least(20, k + 4))),
-    side AS (SELECT r.query_id, r.doc_id, b.pos, r.m, row_number() OVER (PARTITION BY r.query_id ORDER BY r.rank, b.pos) AS rank FROM ranked r JOIN blocks b ON b.doc_id = r.doc_id AND b.pos IN (r.pos - 1, r.pos + 1) WHERE r.rank <= 2 QUALIFY rank <= m),
-    s AS (SELECT query_id, doc_id, pos, min((turn, rank)) AS o FROM (SELECT query_id, doc_id, pos, 0 AS turn, rank FROM ranked WHERE rank > c AND rank <= c + m UNION ALL SELECT query_id, doc_id, pos, 1, rank FROM side) GROUP BY ALL)
+    side AS (SELECT r.query_id, r.doc_id, b.pos, r.m, row_number() OVER (PARTITION BY r.query_id ORDER BY r.rank, b.pos) AS rank FROM ranked r
+        JOIN blocks b ON b.doc_id = r.doc_id AND b.pos IN (r.pos - 1, r.pos + 1) WHERE r.rank <= 2 QUALIFY rank <= m),
+    s AS (SELECT query_id, doc_id, pos, min((turn, rank)) AS o FROM (SELECT query_id, doc_id, pos, 0 AS turn, rank FROM ranked
+        WHERE rank > c AND rank <= c + m UNION ALL SELECT query_id, doc_id, pos, 1, rank FROM side) GROUP BY ALL)
     SELECT query_id, doc_id, pos, 'current' AS part, rank AS place FROM ranked WHERE rank <= c
-    UNION ALL SELECT query_id, doc_id, pos, 'support', row_number() OVER (PARTITION BY query_id ORDER BY o, doc_id, pos) FROM s ANTI JOIN (SELECT * FROM ranked WHERE rank <= c) USING (query_id, doc_id, pos)""")
+    UNION ALL SELECT query_id, doc_id, pos, 'support', row_number() OVER (PARTITION BY query_id ORDER BY o, doc_id, pos) FROM s ANTI JOIN (SELECT *
+        FROM ranked WHERE rank <= c) USING (query_id, doc_id, pos)""")
 def rag_context(spark, sf_dir):
     asked = questions(spark, sf_dir)
     wide = asked.select("query_id", R.is_wide(F.col("question")).alias("wide"), R.adaptive_k(F.col("question")).alias("k"))
@@ -332,13 +383,21 @@ def rag_context(spark, sf_dir):
     return C.retrieval_context(kept, blocks(spark, sf_dir), wide.select("query_id", "wide"))
 
 
-@query(f"""WITH {BM25}, {GOLD}, h AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM bm25 QUALIFY rank <= 10),
-    f AS (SELECT query_id, count(*) AS n_gold, count(rank) AS n_hit, min(rank) AS first FROM gold LEFT JOIN h USING (query_id, item_id) GROUP BY 1), nf AS (SELECT query_id, count(*) AS n FROM h GROUP BY 1),
+@query(f"""WITH {BM25}, {GOLD}, h AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC,
+        item_id) AS rank FROM bm25 QUALIFY rank <= 10),
+    f AS (SELECT query_id, count(*) AS n_gold, count(rank) AS n_hit, min(rank) AS first FROM gold LEFT JOIN h USING (query_id, item_id)
+        GROUP BY 1), nf AS (SELECT query_id, count(*) AS n FROM h GROUP BY 1),
     it AS (SELECT doc_id AS item_id, source, {TOKENS('text')} AS tk FROM documents),
-    gt AS (SELECT query_id, list_distinct(flatten(list(tk))) AS tk, list(DISTINCT source) AS sc FROM gold JOIN it USING (item_id) GROUP BY 1), ht AS (SELECT query_id, list_distinct(flatten(list(tk))) AS tk, list(DISTINCT source) AS sc FROM h JOIN it USING (item_id) GROUP BY 1),
-    x AS (SELECT f.query_id, n_hit, first, n_hit / n_gold AS r, coalesce(n_hit / n, 0) AS p, CASE WHEN len(gt.tk) > 0 THEN coalesce(len(list_intersect(gt.tk, ht.tk)), 0) / len(gt.tk) ELSE 0 END AS tr, CASE WHEN len(gt.sc) > 0 THEN coalesce(len(list_intersect(gt.sc, ht.sc)), 0) / len(gt.sc) ELSE 0 END AS sr
+    gt AS (SELECT query_id, list_distinct(flatten(list(tk))) AS tk, list(DISTINCT source) AS sc FROM gold JOIN it USING (item_id)
+        GROUP BY 1), ht AS (SELECT query_id, list_distinct(flatten(list(tk))) AS tk, list(DISTINCT source) AS sc FROM h JOIN it USING (item_id)
+        GROUP BY 1),
+    x AS (SELECT f.query_id, n_hit, first, n_hit / n_gold AS r, coalesce(n_hit / n, 0) AS p,
+        CASE WHEN len(gt.tk) > 0 THEN coalesce(len(list_intersect(gt.tk, ht.tk)), 0) / len(gt.tk) ELSE 0 END AS tr,
+        CASE WHEN len(gt.sc) > 0 THEN coalesce(len(list_intersect(gt.sc, ht.sc)), 0) / len(gt.sc) ELSE 0 END AS sr
           FROM f LEFT JOIN nf USING (query_id) LEFT JOIN gt USING (query_id) LEFT JOIN ht USING (query_id))
-    SELECT query_id, round(r, 4) AS chunk_recall, round(tr, 4) AS token_recall, round(sr, 4) AS section_recall, round(p, 4) AS precision, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 4) AS f1, round(coalesce(1 / first, 0), 4) AS mrr, CAST(n_hit > 0 AS DOUBLE) AS hit FROM x""")
+    SELECT query_id, round(r, 4) AS chunk_recall, round(tr, 4) AS token_recall, round(sr, 4) AS section_recall, round(p, 4) AS precision,
+        round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 4) AS f1, round(coalesce(1 / first, 0), 4) AS mrr,
+        CAST(n_hit > 0 AS DOUBLE) AS hit FROM x""")
 def retrieval_quality(spark, sf_dir):
     """Sources as sections."""
     from docspark.operators.evaluation import retrieval_quality as quality
@@ -347,16 +406,19 @@ def retrieval_quality(spark, sf_dir):
     return quality(checkpointed(R.top(lexical(spark, sf_dir), 10).select("query_id", "item_id", "rank")), checkpointed(gold(spark, sf_dir)), own)
 
 
-@query(f"""WITH {BM25}, h AS (SELECT query_id, item_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, item_id) AS rank FROM bm25 QUALIFY rank <= 14)
+@query(f"""WITH {BM25}, h AS (SELECT query_id, item_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
+        6) DESC, item_id) AS rank FROM bm25 QUALIFY rank <= 14)
     SELECT query_id, item_id, rank FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM h) WHERE rank <= 10 OR top < 90""")
 def weak_retry(spark, sf_dir):
     """Four more hits where the best BM25 score is under 90."""
     return R.retried(R.top(lexical(spark, sf_dir).withColumn("score", F.round("score", 6)), 14), 10, 4, 90.0).select("query_id", "item_id", "rank")
 
 
-@query("""WITH c AS (SELECT conv_id, turn, ['c' || turn, 'c' || conv_id % 7, 'x'] AS cited, ['c1', 'c3', 'c5'] AS allowed, CASE WHEN turn % 3 = 0 THEN [' one ', '', 'two', 'three'] WHEN turn % 3 = 1 THEN ['only'] ELSE NULL END AS f FROM conversations),
+@query("""WITH c AS (SELECT conv_id, turn, ['c' || turn, 'c' || conv_id % 7, 'x'] AS cited, ['c1', 'c3', 'c5'] AS allowed,
+        CASE WHEN turn % 3 = 0 THEN [' one ', '', 'two', 'three'] WHEN turn % 3 = 1 THEN ['only'] ELSE NULL END AS f FROM conversations),
     g AS (SELECT *, list_filter(list_transform(coalesce(f, []), lambda x: trim(x)), lambda x: x != '') AS s FROM c)
-    SELECT conv_id, turn, array_to_string(list_filter(cited, lambda x: list_contains(allowed, x)), ',') AS cited, array_to_string((s || ['继续追问这部分', '继续追问这部分'])[:2], '|') AS follow FROM g""")
+    SELECT conv_id, turn, array_to_string(list_filter(cited, lambda x: list_contains(allowed, x)), ',') AS cited, array_to_string((s || ['继续追问这部分',
+        '继续追问这部分'])[:2], '|') AS follow FROM g""")
 def answer_normalize(spark, sf_dir):
     t, v = F.col("turn"), F.col("conv_id")
     name = lambda c: F.concat(F.lit("c"), c)

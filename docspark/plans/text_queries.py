@@ -33,7 +33,8 @@ def tokenize_stats(spark, sf_dir):
     )
 
 
-@query("""WITH c AS (SELECT doc_id, len(regexp_extract_all(left(coalesce(text, ''), 20000), '[一-鿿]')) AS z, len(regexp_extract_all(left(coalesce(text, ''), 20000), '[A-Za-z]')) AS e FROM documents)
+@query("""WITH c AS (SELECT doc_id, len(regexp_extract_all(left(coalesce(text, ''), 20000), '[一-鿿]')) AS z, len(regexp_extract_all(left(coalesce(text,
+        ''), 20000), '[A-Za-z]')) AS e FROM documents)
     SELECT doc_id, CASE WHEN greatest(z, e) > 0 AND least(z, e) / greatest(z, e, 1) > 0.15 THEN 'mixed' WHEN z > e THEN 'zh' ELSE 'en' END AS profile FROM c""")
 def profile_detect(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.profile(F.col("text")).alias("profile"))
@@ -47,13 +48,15 @@ def node_slug(spark, sf_dir):
 
 @query(r"""WITH s AS (SELECT doc_id, text, regexp_replace(coalesce(text, ''), '\s+', '', 'g') AS s FROM documents)
     SELECT doc_id, round(CASE WHEN s = '' THEN 0 ELSE 1 - len(regexp_extract_all(s, '[\p{L}\p{N}.,;:!?''"()\-]')) / length(s) END, 6) AS garbled,
-           round(2::DOUBLE * len(regexp_extract_all(s, '[一-鿿]')) + 0.25 * len(regexp_extract_all(s, '[A-Za-z]')) - 3 * len(regexp_extract_all(s, '�')) - len(regexp_extract_all(s, '\?')), 6) AS health FROM s""")
+           round(2::DOUBLE * len(regexp_extract_all(s, '[一-鿿]')) + 0.25 * len(regexp_extract_all(s, '[A-Za-z]')) - 3 * len(regexp_extract_all(s,
+        '�')) - len(regexp_extract_all(s, '\?')), 6) AS health FROM s""")
 def garbled_ratio(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(X.garbled_ratio(F.col("text")), 6).alias("garbled"), F.round(X.health(F.col("text")), 6).alias("health"))
 
 
 @query(f"""WITH {BLOCKS}, n AS (SELECT doc_id, content, count(*) AS n FROM (SELECT doc_id, trim(content) AS content FROM blocks) WHERE content != '' GROUP BY ALL)
-    SELECT doc_id, sum(n)::BIGINT AS n_lines, max(n) AS most, round(max(n) / sum(n), 6) AS share, (sum(n) >= 10 AND max(n) / sum(n) >= 0.8) AS truncated FROM n GROUP BY doc_id""")
+    SELECT doc_id, sum(n)::BIGINT AS n_lines, max(n) AS most, round(max(n) / sum(n), 6) AS share,
+        (sum(n) >= 10 AND max(n) / sum(n) >= 0.8) AS truncated FROM n GROUP BY doc_id""")
 def repeat_lines(spark, sf_dir):
     """Share of the most repeated line; from 0.8 on, of ten lines or more, the text counts as a loop."""
     n = blocks(spark, sf_dir).select("doc_id", F.trim("content").alias("content")).where("content != ''").groupBy("doc_id", "content").agg(F.count(F.lit(1)).alias("n"))
@@ -98,12 +101,14 @@ def labelled(spark, sf_dir):
     return blocks(spark, sf_dir).withColumn("label", F.element_at(F.array(*map(F.lit, LABELS)), (F.col("pos") % len(LABELS) + 1).cast("int")))
 
 
-@query(f"WITH {BLOCKS}, x AS (SELECT doc_id, pos, lower(trim(({LABELS!r})[pos % {len(LABELS)} + 1])) AS l FROM blocks) SELECT doc_id, pos, CASE WHEN l = '' THEN 'unknown' {KINDS} ELSE l END AS kind FROM x")
+@query(f"""WITH {BLOCKS}, x AS (SELECT doc_id, pos, lower(trim(({LABELS!r})[pos % {len(LABELS)} + 1])) AS l FROM blocks)
+        SELECT doc_id, pos, CASE WHEN l = '' THEN 'unknown' {KINDS} ELSE l END AS kind FROM x""")
 def block_types(spark, sf_dir):
     return labelled(spark, sf_dir).select("doc_id", "pos", X.block_type(F.col("label")).alias("kind"))
 
 
-@query(rf"""WITH {BLOCKS} SELECT doc_id, pos, md5('文档:' || doc_id || chr(10) || '页码:' || page || chr(10) || '类型:' || 'text ' || chr(10) || '章节路径:' || chr(10) || '标题:' || trim(left(trim(content), 20)) || chr(10) || '内容:' || trim(content)) AS digest,
+@query(rf"""WITH {BLOCKS} SELECT doc_id, pos, md5('文档:' || doc_id || chr(10) || '页码:' || page || chr(10) || '类型:' || 'text ' || chr(10) || '章节路径:'
+        || chr(10) || '标题:' || trim(left(trim(content), 20)) || chr(10) || '内容:' || trim(content)) AS digest,
     length('query: ' || trim(content)) AS n_query FROM blocks""")
 def search_texts(spark, sf_dir):
     t = F.trim("content")
@@ -111,7 +116,8 @@ def search_texts(spark, sf_dir):
     return blocks(spark, sf_dir).select("doc_id", "pos", F.md5(made.cast("binary")).alias("digest"), F.length(X.prefixed(F.col("content"), "query: ")).cast("long").alias("n_query"))
 
 
-@query(rf"""SELECT p_partkey, CASE WHEN s = '' THEN 'item' ELSE s END AS id, regexp_matches(p_name, '^[A-Za-z0-9_-][A-Za-z0-9_.-]*$') AS valid, p_partkey || '_' || regexp_replace(p_name, '[^\w.\-]', '_', 'g') AS stored
+@query(rf"""SELECT p_partkey, CASE WHEN s = '' THEN 'item' ELSE s END AS id, regexp_matches(p_name, '^[A-Za-z0-9_-][A-Za-z0-9_.-]*$') AS valid,
+        p_partkey || '_' || regexp_replace(p_name, '[^\w.\-]', '_', 'g') AS stored
     FROM (SELECT *, regexp_replace(regexp_replace(trim(p_name), '[^A-Za-z0-9_.-]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM part)""")
 def safe_ids(spark, sf_dir):
     from docspark.sources.json_store import stored_name
@@ -120,8 +126,11 @@ def safe_ids(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", X.safe_id(n).alias("id"), X.valid_id(n).alias("valid"), stored_name(n, F.col("p_partkey").cast("string")).alias("stored"))
 
 
-@query(r"""WITH s AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(text, '[。！？!?;；\n]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x != '') AS s, regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?%?|[一二三四五六七八九十百千万]+') AS n FROM benchmark),
-    f AS (SELECT item_id, len(s) AS n_sentences, len(n) AS n_numbers, list_distinct(list_filter(list_transform(CASE WHEN len(n) > 0 THEN n[:8] ELSE s[:3] END, lambda x: lower(regexp_replace(x, '\s+', '', 'g'))), lambda x: x != '')) AS f FROM s)
+@query(r"""WITH s AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(text, '[。！？!?;；\n]+'), lambda x: regexp_replace(x, '^\s+|\s+$',
+        '', 'g')), lambda x: x != '') AS s, regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?%?|[一二三四五六七八九十百千万]+') AS n FROM benchmark),
+    f AS (SELECT item_id, len(s) AS n_sentences, len(n) AS n_numbers,
+        list_distinct(list_filter(list_transform(CASE WHEN len(n) > 0 THEN n[:8] ELSE s[:3] END, lambda x: lower(regexp_replace(x, '\s+', '', 'g'))),
+        lambda x: x != '')) AS f FROM s)
     SELECT item_id, n_sentences, n_numbers, len(f) AS n_facts, md5(array_to_string(list_sort(f), '|')) AS digest FROM f""")
 def gold_facts(spark, sf_dir):
     t = F.col("text")
