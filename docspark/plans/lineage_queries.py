@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docspark.operators import lineage as L
-from docspark.operators import retrieval as R
 from docspark.operators import structure as S
 from docspark.operators.checkpoints import checkpointed
+from docspark.operators.scoring import Search
 from docspark.plans.base import BLOCKS, STRIP, bm25_sql, query, questions
 from docspark.plans.block_queries import FILL, HEAD, SIDES, marked
 
@@ -74,6 +74,6 @@ def packed_context(spark, sf_dir):
     filled, blocks = structured(spark, sf_dir)
     filled, lineage = checkpointed(filled), checkpointed(L.pack_lineage(filled))
     chunks = L.packed_chunks(lineage, blocks).select((F.col("doc_id") * 1000000 + F.col("chunk")).alias("item_id"), F.col("content").alias("text"))
-    best = R.top(R.bm25(chunks, questions(spark, sf_dir)).withColumn("score", F.round("score", 6)), 5)
+    best = Search(chunks, questions(spark, sf_dir)).top(5, 6, lambda s: s.bm25)
     hits = checkpointed(best.select("query_id", F.floor(F.col("item_id") / 1000000).cast("long").alias("doc_id"), (F.col("item_id") % 1000000).alias("chunk"), "rank"))
     return L.packed_context(hits, lineage, filled)
