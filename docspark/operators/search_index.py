@@ -11,12 +11,15 @@ log        generation, base, parts: the generations from the last `base` on coun
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.functions import text as X
 from docspark.operators.checkpoints import checkpointed
 from docspark.operators.retrieval import bm25_scores, query_terms
+from docspark.operators.scoring import best, listed, one_row, packed_postings, query_blocks
 
 #: Folders of a generation, if an index isn't built with another number. Terms that a search names in its filter, at most; beyond them only folders are chosen.
 PARTS, NAMED_TERMS = 16, 1000
@@ -60,11 +63,23 @@ def logged(spark: SparkSession, path: str, generation: int, base: int, parts: in
 
 
 def analysed(items: DataFrame, tokens=X.simple_tokens) -> DataFrame:
-    """item_id, dl, terms of `items` (item_id, text), one row an item: texts are counted where they are read. An id that comes twice counts by its longest text, ties by the text."""
-    once = items.groupBy("item_id").agg(F.max(F.struct(F.length("text"), "text"))["text"].alias("text"))
-    t = once.select("item_id", tokens(F.col("text")).alias("t")).select("item_id", F.size("t").cast("long").alias("dl"), F.explode_outer("t").alias("term"))
-    counted = t.groupBy("item_id", "dl", "term").agg(F.count("term").alias("tf"))
-    return counted.groupBy("item_id", "dl").agg(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf"))).alias("terms"))
+    """item_id, dl, terms of `items` (item_id, text), one row an item: texts are counted where they are read, and don't move. An id that comes twice counts by its longest text, ties by the text."""
+    twice = checkpointed(items.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("item_id"))
+    longest = items.join(twice, "item_id", "left_semi").groupBy("item_id").agg(F.max(F.struct(F.length("text"), "text"))["text"].alias("text"))
+    kind = items.schema["item_id"].dataType.simpleString()
+
+    def count(batches):
+        for batch in batches:
+            t = batch.column("t")
+            n, flat = t.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), t.flatten().dictionary_encode()
+            words, width = flat.dictionary, max(len(flat.dictionary), 1)
+            both, tf = np.unique(np.repeat(np.arange(len(n)), n) * width + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            terms = pa.StructArray.from_arrays([words.take(pa.array(both % width)), pa.array(tf.astype(np.int64))], ["term", "tf"])
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(n), listed(terms, np.bincount(both // width, minlength=len(n)))], ["item_id", "dl", "terms"])
+
+    schema = f"item_id {kind}, dl long, terms array<struct<term:string,tf:bigint>>"
+    of = lambda rows: rows.select("item_id", tokens(F.col("text")).alias("t")).mapInArrow(count, schema)
+    return of(items.join(twice, "item_id", "left_anti").select("item_id", "text")).unionByName(of(longest))
 
 
 def write_generation(spark: SparkSession, path: str, generation: int, base: int, parts: int, changed: DataFrame, before: DataFrame | None) -> None:
@@ -96,11 +111,18 @@ def build(items: DataFrame, path: str, tokens=X.simple_tokens, parts: int = PART
     write_generation(spark, path, 0, 0, parts, analysed(items.select("item_id", "text").where("item_id is not null"), tokens), None)
 
 
+def changed_since(spark: SparkSession, path: str, base: int) -> DataFrame:
+    """item_id, latest: items that changed after the generation `base`, and when they last did."""
+    return stored(spark, path, "forward", item_type(spark, path)).where(F.col("generation") > base).groupBy("item_id").agg(F.max("generation").alias("latest"))
+
+
 def current(spark: SparkSession, path: str) -> DataFrame:
-    """item_id, generation, dl, terms: each item as it was last changed, deleted ones too."""
+    """item_id, generation, dl, terms: each item as it was last changed, deleted ones too. Only changed items are looked up; the others are taken as they stand."""
+    base, last, _ = generations(spark, path)
     own = stored(spark, path, "forward", item_type(spark, path)).select("item_id", "generation", "dl", "terms")
-    latest = own.groupBy("item_id").agg(F.max("generation").alias("generation"))
-    return own.join(latest, ["item_id", "generation"])
+    if last == base:
+        return own
+    return own.join(changed_since(spark, path, base), "item_id", "left").where("latest is null or generation = latest").drop("latest")
 
 
 def _change(spark: SparkSession, path: str, changed: DataFrame) -> None:
@@ -140,8 +162,8 @@ def asked_rows(spark: SparkSession, path: str, table: str, terms: list[str] | No
     return rows if terms is None else rows.where(F.col("term").isin(terms))
 
 
-def search(queries: DataFrame, path: str, tokens=X.simple_tokens, repeat_terms: bool = True) -> DataFrame:
-    """query_id, item_id, score, matched of `queries` (query_id, question): retrieval.bm25 of all items as they are now."""
+def in_force(queries: DataFrame, path: str, tokens=X.simple_tokens) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(postings, df, whole, asked) of what `queries` (query_id, question) ask for."""
     spark = queries.sparkSession
     asked = checkpointed(query_terms(queries, tokens))
     named = sorted(r.term for r in asked.select("term").distinct().limit(NAMED_TERMS + 1).collect())
@@ -153,6 +175,17 @@ def search(queries: DataFrame, path: str, tokens=X.simple_tokens, repeat_terms:
     whole = counts.where("term = ''").select(F.col("df").alias("n"), F.greatest(F.col("length") / F.greatest("df", F.lit(1)), F.lit(1e-6)).alias("avgdl"))
     postings = asked_rows(spark, path, "postings", terms, parts).join(asked.select("term").distinct(), "term", "left_semi")
     if last > base:  # of items that have changed since, only the last generation counts
-        changed = stored(spark, path, "forward", item_type(spark, path)).where(F.col("generation") > base).groupBy("item_id").agg(F.max("generation").alias("latest"))
-        postings = postings.join(changed, "item_id", "left").where("latest is null or generation = latest")
-    return bm25_scores(postings.select("item_id", "term", "tf", "dl"), counts.where("term != ''").select("term", "df"), whole, asked, repeat_terms)
+        postings = postings.join(changed_since(spark, path, base), "item_id", "left").where("latest is null or generation = latest")
+    return postings.select("item_id", "term", "tf", "dl"), counts.where("term != ''").select("term", "df"), whole, asked
+
+
+def search(queries: DataFrame, path: str, tokens=X.simple_tokens, repeat_terms: bool = True) -> DataFrame:
+    """query_id, item_id, score, matched of `queries` (query_id, question): retrieval.bm25 of all items as they are now; a row for each pair. For the best items see top."""
+    return bm25_scores(*in_force(queries, path, tokens), repeat_terms)
+
+
+def top(queries: DataFrame, path: str, k: int, digits: int = 9, tokens=X.simple_tokens) -> DataFrame:
+    """query_id, item_id, score, rank: the k best of search, rounded, ties by item. Postings are dealt by item, and scored within tasks (scoring.best)."""
+    postings, df, whole, asked = in_force(queries, path, tokens)
+    found = best(packed_postings(postings), query_blocks(asked, checkpointed(df)), one_row(whole), {"": (k, digits, lambda s: s.bm25)})
+    return checkpointed(found.select("query_id", "item_id", "score", "rank"))

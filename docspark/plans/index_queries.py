@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from docspark.operators import retrieval as R
 from docspark.operators import search_index as I
 from docspark.operators.checkpoints import checkpoint_folder
 from docspark.plans.base import BM25, TOKENS, bm25_sql, items, query, questions, table
@@ -19,8 +18,7 @@ def folder(spark) -> str:
 
 
 def best(spark, sf_dir, path):
-    found = I.search(questions(spark, sf_dir), path).withColumn("score", F.round("score", 9))
-    return R.top(found, 10).select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
+    return I.top(questions(spark, sf_dir), path, 10).withColumn("score", F.round("score", 6))
 
 
 @query(f"""SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({TOKENS('text')})) AS term FROM documents) GROUP BY term UNION ALL

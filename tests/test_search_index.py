@@ -95,3 +95,26 @@ def test_repeated_and_empty_items(spark, asked, tmp_path):
     assert found(I.search(asked, none)) == found(R.bm25(frame(spark, {5: "harbour"}), asked))
     with pytest.raises(Exception):
         I.search(asked, str(tmp_path / "nowhere")).collect()
+
+
+def test_the_best_are_those_of_all_pairs(spark, asked, tmp_path):
+    """Also after changes: `top` makes no row for each pair."""
+    path, items = str(tmp_path / "index"), texts(random.Random(5), range(120))
+    I.build(frame(spark, items), path, parts=4)
+    I.upsert(frame(spark, {k: "sea " + (items[k] or "") for k in range(0, 120, 3)}), path)
+    I.delete(spark.createDataFrame([(k,) for k in range(0, 120, 7)], "item_id long"), path)
+    for _ in range(2):
+        every = R.top(I.search(asked, path).selectExpr("query_id", "item_id", "round(score, 9) as score"), 3)
+        rows = lambda df: {(r.query_id, r["rank"]): (r.item_id, round(r.score, 6)) for r in df.collect()}
+        assert rows(I.top(asked, path, 3)) == rows(every)
+        assert {r.item_id for r in I.current(spark, path).where("dl is not null").collect()} == {k for k in range(120) if k % 7}
+        I.compact(spark, path)
+
+
+def test_texts_are_counted_where_they_are_read(spark):
+    """Only ids that come twice move with their texts."""
+    rows = spark.createDataFrame([(1, "sea sea ship"), (2, None), (3, "b"), (3, "aa bb")], "item_id long, text string")
+    found = I.analysed(rows)
+    got = {r.item_id: (r.dl, {t.term: t.tf for t in r.terms}) for r in found.collect()}
+    assert got == {1: (3, {"sea": 2, "ship": 1}), 2: (0, {}), 3: (2, {"aa": 1, "bb": 1})}
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
