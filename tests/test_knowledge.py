@@ -122,3 +122,17 @@ def test_uncovered_pairs(spark):
     got = [tuple(r)[:4] for r in graph.uncovered_pairs(entities, covered, 3).orderBy("doc_id", "place").collect()]
     assert got[:3] == [(1, 0, "attention", "bert"), (1, 0, "attention", "squad"), (1, 0, "bert", "f1")]
     assert got[3:] == [(2, 0, many[0], many[59]), (2, 0, many[1], many[2]), (2, 0, many[1], many[3])]
+
+
+def test_each_text_is_searched_once_for_a_relation(spark):
+    """Against the plain pattern, with verbs that are words themselves and words that run on."""
+    import random
+    import re
+
+    rng = random.Random(4)
+    words = ["uses", "use", "needs", "requires", "based", "on", "模型", "a_b", "é1", "is", "part", "of", "x" * 50]
+    texts = {k: "".join(rng.choice(words) + rng.choice([" ", " ", "  ", ", "]) for _ in range(30)) for k in range(60)}
+    found = graph.verb_relations(spark.createDataFrame([(k, 0, t) for k, t in texts.items()], "doc_id long, pos long, content string"))
+    got = sorted((r.doc_id, r.source, r.relation, r.target) for r in found.collect())
+    assert got == sorted((k, m[1], name, m[2]) for k, t in texts.items() for name, v in graph.VERBS.items() for m in re.finditer(rf"(\w+)\s+(?:{v})\s+(\w+)", t.lower()))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == len(graph.VERBS)
