@@ -70,6 +70,22 @@ def test_name_merge_equals_all_pairs(spark):
     assert {r.name: r.merged for r in graph.merge_names(rows).where("type = 't'").collect()} == greedy(names)
 
 
+def test_names_with_a_common_end(spark, monkeypatch):
+    """Nearly all names share runs of letters: pairs are bounded within blocks, and few come to the matcher."""
+    monkeypatch.setattr(graph, "LIKE_BLOCK", 100)
+    rng = random.Random(6)
+    names = sorted({" ".join("".join(rng.choices("aeioumnrst", k=rng.randrange(2, 9))) for _ in range(rng.randrange(1, 3))).title() + " Neural Net" for _ in range(400)} | {"NN", "x" * 70, "x" * 69 + "y", "z" * 300})
+    asked = []
+    matcher = graph.name_likeness
+    expected = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if matcher(a, b) >= 0.85}
+    monkeypatch.setattr(graph, "name_likeness", lambda a, b: asked.append(1) or matcher(a, b))
+    assert {(names[i], names[j]) for i, j in graph.like_pairs(names, None, 0.85)} == expected
+    assert len(asked) < 3 * len(expected) + 1000 < len(names) ** 2 / 20
+    monkeypatch.setattr(graph, "name_likeness", matcher)
+    got = [(r.a, r.b) for r in graph.like_names(spark.createDataFrame([("t", n) for n in names], "type string, name string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+
+
 def test_node_search_equals_all_pairs(spark, monkeypatch):
     names = names_of(random.Random(4), 2000)
     asked = [*names_of(random.Random(5), 60), names[7].upper(), " " + names[9], "", "zzzz", None]
