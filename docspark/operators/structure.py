@@ -83,10 +83,10 @@ def headings(blocks: DataFrame, label: Column | None = None, profile: Column | N
     )
 
 
-def fill_sections(marked: DataFrame) -> DataFrame:
-    """doc_id, pos, section_pos: the position of the last heading at or before each block; null before the first."""
+def fill_sections(marked: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, pos, section_pos: the position of the last heading at or before each block; null before the first. more: further columns of `marked`."""
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return marked.select("doc_id", "pos", "page", "idx", "content", "is_heading", F.last(F.when(F.col("is_heading"), F.col("pos")), ignorenulls=True).over(w).alias("section_pos"))
+    return marked.select("doc_id", "pos", "page", "idx", "content", "is_heading", F.last(F.when(F.col("is_heading"), F.col("pos")), ignorenulls=True).over(w).alias("section_pos"), *more)
 
 
 def fold_levels(levels: list[int]) -> list[tuple[int, int | None]]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docspark.operators import lineage as L
 from docspark.operators import structure as S
 from docspark.operators.checkpoints import checkpointed
-from docspark.operators.scoring import Search
+from docspark.operators.scoring import Search, stored
 from docspark.plans.base import BLOCKS, STRIP, bm25_sql, query, questions
 from docspark.plans.block_queries import FILL, HEAD, SIDES, marked
 
@@ -37,11 +37,9 @@ def in_order(name: str, value: str, sep: str = ",", most: int = 1 << 30) -> str:
 
 
 def structured(spark, sf_dir):
-    """Titled lines with sections, kinds and headings."""
-    m = marked(spark, sf_dir)
-    filled = S.fill_sections(m)
-    named = m.select("doc_id", "pos", F.when(F.col("is_heading"), F.col("text")).alias("heading"))
-    return filled, filled.join(named, ["doc_id", "pos"]).withColumn("kind", F.when(F.col("is_heading"), "title").otherwise("text"))
+    """Titled lines with sections, kinds and headings. Both tables are read several times, the patterns of headings run once."""
+    whole = stored(S.fill_sections(marked(spark, sf_dir), F.when(F.col("is_heading"), F.col("text")).alias("heading")))
+    return whole.drop("heading"), whole.withColumn("kind", F.when(F.col("is_heading"), "title").otherwise("text"))
 
 
 @query(f"""WITH RECURSIVE {LEAD}
@@ -72,7 +70,7 @@ def chunk_lineage(spark, sf_dir):
 def packed_context(spark, sf_dir):
     """The five best packed chunks of each question, their source blocks and six around them."""
     filled, blocks = structured(spark, sf_dir)
-    filled, lineage = checkpointed(filled), checkpointed(L.pack_lineage(filled))
+    lineage = stored(L.pack_lineage(filled))
     chunks = L.packed_chunks(lineage, blocks).select((F.col("doc_id") * 1000000 + F.col("chunk")).alias("item_id"), F.col("content").alias("text"))
     best = Search(chunks, questions(spark, sf_dir)).top(5, 6, lambda s: s.bm25)
     hits = checkpointed(best.select("query_id", F.floor(F.col("item_id") / 1000000).cast("long").alias("doc_id"), (F.col("item_id") % 1000000).alias("chunk"), "rank"))

@@ -94,3 +94,11 @@ def test_many_chunks_keep_their_names_apart(spark):
     rows = [(1, p, 0, p, "x" * 10, False, None, "text", None) for p in range(10_050)]
     ids = L.pack_lineage(spark.createDataFrame(rows, SCHEMA), 10, 0).select("chunk_id").distinct()
     assert ids.count() == 10_050 and ids.where(F.col("chunk_id") == "rag_10_0_10049").count() == 1
+
+
+def test_headings_are_looked_for_once(spark):
+    """What chunks, lineage and context read is a table: no pattern of headings runs again for each of them."""
+    from docspark.plans.lineage_queries import structured
+
+    for df in structured(spark, "/root/testdata/sf0.001"):
+        assert "regexp" not in df._jdf.queryExecution().toString().lower()
