@@ -19,6 +19,8 @@ CLASSES = SUPERS * WITHIN
 BATCH, EPOCHS, RATE = 128, 3, 8e-3
 #: Windows scored at once; bounds the memory of a batch whatever the length of its texts.
 SCORE_WINDOWS = 256
+#: Steps in which shares of two probabilities are counted.
+SHARES = 1000
 
 T = CONTEXT + SCORED
 LAG = np.arange(CONTEXT, T)[:, None] - np.arange(T)[None, :]
@@ -59,6 +61,40 @@ def company_of(met: np.ndarray, top: np.ndarray, size: int, inputs: np.ndarray)
     return np.concatenate([np.sqrt(m / np.maximum(m.sum(1, keepdims=True), 1)) for m in (company, before, after)], 1)
 
 
+def company_keys(streams: list[np.ndarray], places: np.ndarray, wide: int) -> np.ndarray:
+    """A number for each id and neighbour of it in `streams`: (id * 3 + kind) * wide + place of the neighbour; kinds: one or two places away, just before, just after. places: of ids, one more for the rest."""
+    gap = np.full(2, -1)
+    ids = np.concatenate([x for s in streams for x in (gap, s)]).astype(np.int64)
+    out = []
+    for lag in (1, 2):
+        a, b = ids[:-lag], ids[lag:]
+        both = (a >= 0) & (b >= 0)
+        a, b = a[both], b[both]
+        out += [b * 3 * wide + places[a], a * 3 * wide + places[b]]
+        if lag == 1:
+            out += [(b * 3 + 1) * wide + places[a], (a * 3 + 2) * wide + places[b]]
+    return np.concatenate(out)
+
+
+def places_of(counts: np.ndarray) -> np.ndarray:
+    """The SINGLES most frequent ids by number, SINGLES for all others."""
+    top = np.argsort(-counts, kind="stable")[:SINGLES]
+    places = np.full(len(counts), len(top), np.int64)
+    places[top] = np.arange(len(top))
+    return places
+
+
+def company_vectors(key: np.ndarray, count: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, and of each square roots of shares, from counted company_keys."""
+    ids, at = np.unique(key // (3 * wide), return_inverse=True)
+    vectors = np.zeros((len(ids), 3 * wide), np.float32)
+    vectors[at, key % (3 * wide)] = count
+    for k in range(3):
+        part = vectors[:, k * wide : (k + 1) * wide]
+        np.sqrt(part / np.maximum(part.sum(1, keepdims=True), 1), out=part)
+    return ids, vectors
+
+
 def halved(vectors: np.ndarray, times: int) -> np.ndarray:
     """An order of the vectors in which each half, quarter and so on holds like ones: split in the middle along the main direction."""
     order = np.arange(len(vectors))
@@ -69,12 +105,20 @@ def halved(vectors: np.ndarray, times: int) -> np.ndarray:
     return order
 
 
-def classes_of(counts: np.ndarray, inputs: np.ndarray, seed: int = 3) -> np.ndarray:
-    """A class for each id: SINGLES frequent ids alone, others by k-means over the company they keep; ids in no window by hash. Like classes are in one group."""
+def classes_of(counts: np.ndarray, inputs: np.ndarray, seed: int = 3, company: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """A class for each id: SINGLES frequent ids alone, others by k-means over the company they keep; ids without any by hash. Like classes are in one group.
+
+    company: ids and vectors, from more texts than `inputs` hold.
+    """
     rng, size, groups = np.random.default_rng(seed), len(counts), CLASSES - SINGLES
     top = np.argsort(-counts, kind="stable")[:SINGLES]
-    met = np.unique(np.concatenate([top, inputs[inputs >= 0]]))
-    vectors = company_of(met, top, size, inputs)
+    if company is None:
+        met = np.unique(np.concatenate([top, inputs[inputs >= 0]]))
+        vectors = company_of(met, top, size, inputs)
+    else:
+        met = np.unique(np.concatenate([top, company[0]]))
+        vectors = np.zeros((len(met), company[1].shape[1]), np.float32)
+        vectors[np.searchsorted(met, company[0])] = company[1]
     alone = np.isin(met, top)
     rest = vectors[~alone]
     centres = np.zeros((groups, vectors.shape[1]), np.float32)
@@ -126,10 +170,10 @@ class Pairs:
 
 
 class Attention:
-    def __init__(self, counts: np.ndarray, pairs: Pairs, inputs: np.ndarray, targets: np.ndarray, seed: int = 5):
-        """counts, pairs: of the whole corpus; inputs, targets: training windows."""
+    def __init__(self, counts: np.ndarray, pairs: Pairs, inputs: np.ndarray, targets: np.ndarray, seed: int = 5, company: tuple[np.ndarray, np.ndarray] | None = None):
+        """counts, pairs, company: of the whole corpus; inputs, targets: windows that training begins with."""
         self.pairs, self.mix = pairs, np.array([0.5, 0.5])  # weight of attention after a word's end, and within a word
-        self.cls = classes_of(counts, inputs)
+        self.cls = classes_of(counts, inputs, company=company)
         smooth = counts + 0.5
         share = np.bincount(self.cls, smooth, CLASSES)
         self.inside = np.log(smooth / share[self.cls]).astype(np.float32)
@@ -144,6 +188,8 @@ class Attention:
         }
         known = np.zeros(len(counts), bool)
         known[inputs[inputs >= 0]] = True
+        if company is not None:
+            known[company[0]] = True
         self.p["e"][~known] = 0  # an id that no window holds says nothing
         self.train(inputs, targets, rng)
         self.prepare()
@@ -161,15 +207,19 @@ class Attention:
         self.follow2 = (p["pair2"].reshape(CLASSES, SUPERS, WITHIN) + p["prior2"]).reshape(CLASSES * SUPERS, WITHIN)
         self.space: dict[str, np.ndarray] = {}
 
-    def fit_mix(self, inputs: np.ndarray, targets: np.ndarray) -> None:
-        """Weights of attention against pairs, by expectation maximisation over some windows."""
-        if not len(inputs):
-            return
+    def compared(self, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """(2, SHARES): of targets after a word's end, and within a word, how many have which share of attention in the sum of both probabilities."""
         own, other, inner = self.parts(inputs, targets)
+        share = np.minimum(own / np.maximum(own + other, 1e-30) * SHARES, SHARES - 1).astype(np.int64)
+        return np.bincount(inner * SHARES + share, minlength=2 * SHARES).reshape(2, SHARES).astype(np.float64)
+
+    def fit_mix(self, compared: np.ndarray) -> None:
+        """Weights of attention against pairs, by expectation maximisation over counts of compared()."""
+        share = (np.arange(SHARES) + 0.5) / SHARES
         for _ in range(20):
-            weight = self.mix[inner]
-            part = weight * own / np.maximum(weight * own + (1 - weight) * other, 1e-30)
-            self.mix = np.clip((np.bincount(inner, part, 2) + 1) / (np.bincount(inner, minlength=2) + 2), 0.01, 0.99)
+            weight = self.mix[:, None]
+            part = weight * share / (weight * share + (1 - weight) * (1 - share))
+            self.mix = np.clip(((compared * part).sum(1) + 1) / (compared.sum(1) + 2), 0.01, 0.99)
 
     def train(self, inputs: np.ndarray, targets: np.ndarray, rng, epochs: int = EPOCHS, rate: float = RATE) -> None:
         """Adam on the cross-entropy of classes; of embeddings only those in the batch move."""
@@ -203,7 +253,7 @@ class Attention:
         q, k, v = own @ p["q"], x @ p["k"], x @ p["v"]
         s = q @ k.transpose(0, 2, 1) / root + p["lag"][np.maximum(LAG, 0)] + AHEAD + np.where(there, np.float32(0), np.float32(-1e9))[:, None, :]
         a = np.exp(s - s.max(2, keepdims=True))
-        a /= a.sum(2, keepdims=True)
+        a /= (a @ ONES)[..., None]
         h = (own + a @ v).reshape(-1, WIDTH)
         to = targets.reshape(-1)
         use = np.flatnonzero(to >= 0)
@@ -212,9 +262,9 @@ class Attention:
         group, within = cls // WITHIN, cls % WITHIN
 
         def softmax(logits, right):
-            g = np.exp(logits - logits.max(1, keepdims=True))
-            g /= g.sum(1, keepdims=True)
-            g[np.arange(len(g)), right] -= 1
+            g = np.exp(np.minimum(logits, np.float32(80)))
+            g /= (g @ ONES[: g.shape[1]])[:, None]
+            g.reshape(-1)[np.arange(len(g)) * g.shape[1] + right] -= 1
             return g / np.float32(max(1, len(use)))
 
         g1 = softmax(z @ p["c1"] + p["prior1"] + p["pair1"][last], group)
@@ -233,17 +283,19 @@ class Attention:
         dz[use] = dzu * (z > 0)
         dh = (dz @ p["w"].T).reshape(own.shape)
         da = dh @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(2, keepdims=True))
+        ds = a * (da - ((da * a) @ ONES)[..., None])
         dq, dk, dv = ds @ k / root, ds.transpose(0, 2, 1) @ q / root, a.transpose(0, 2, 1) @ dh
         dx = dk @ p["k"].T + dv @ p["v"].T
         dx[:, CONTEXT:] += dh + dq @ p["q"].T
         dx *= there[..., None]
 
         def summed(keys, values):
-            rows, at = np.unique(keys, return_inverse=True)
-            total = np.zeros((len(rows), values.shape[1]), values.dtype)
-            np.add.at(total, at.reshape(-1), values)
-            return rows, total
+            if not len(keys):
+                return keys, values
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            return keys[first], np.add.reduceat(values[order], first, axis=0)
 
         seen = inputs.reshape(-1)
         flat = lambda m: m.reshape(-1, m.shape[-1])

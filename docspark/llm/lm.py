@@ -2,8 +2,8 @@
 
 Word counts cover all training rows. Words of at least HOT_SHARE of all tokens, at most 1 / HOT_SHARE of them by arithmetic, are broadcast with
 their counts; counts of other words are joined to their occurrences after the model has scored them, so that all words count alike. Subword counts
-come from the counted words. The attention model begins with a bounded sample of windows, fitted on the driver, and is then trained on all windows of one training text
-in TRAIN_SHARE, wherever they are: tasks train copies, whose parameters are averaged. What it learns from grows with the corpus.
+come from the counted words. Everything the model keeps comes from all training rows: classes of ids from the company they keep there, parameters from training on all windows of
+all texts, where tasks train copies that are averaged, and the weights of the mixture from all targets. Training only begins with a bounded sample of windows, on the driver.
 
 A text's probability is that of its words, each the mean of two: the product over its pieces by the attention model (mixed with counts of pairs of
 pieces), and the word's add-one share in the training rows.
@@ -33,8 +33,8 @@ HOT_SHARE = 2e-6
 PAIR_SHARE = 1e-6
 #: Texts, and windows of each, that the attention model begins with on the driver, about.
 SAMPLE_TEXTS, SAMPLE_WINDOWS = 2000, 10
-#: One training text in so many trains the model further; texts of one task, and tasks at most; rate of that training; windows trained on at a time.
-TRAIN_SHARE, TASK_TEXTS, TASKS, TRAIN_RATE, TASK_WINDOWS = 128, 256, 1024, 2e-3, 20_000
+#: Texts of a training task, unless it is one partition, and such tasks at most; rate of that training; windows trained on at a time.
+TASK_TEXTS, TASKS, TRAIN_RATE, TASK_WINDOWS = 1024, 1024, 2e-3, 20_000
 #: Parameters travel in pieces of so many numbers.
 PIECE = 1 << 14
 #: Distinct words a task holds, once it has folded them, before it passes them on.
@@ -123,19 +123,38 @@ def sample_windows(df: DataFrame, path: str) -> tuple[np.ndarray, np.ndarray]:
     return got[:, : attention.T], got[:, attention.T :]
 
 
-def sample_texts(df: DataFrame) -> DataFrame:
-    """One of TRAIN_SHARE rows, by a hash of id and length."""
-    return df.where(F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.lit("train")), F.lit(TRAIN_SHARE)) == 0)
+def few_tasks(texts: DataFrame, n: int) -> DataFrame:
+    """The `n` texts in at most one task for TASK_TEXTS of them, TASKS at most: each task gives a table of its own. Texts stay where they are read."""
+    return texts.coalesce(max(1, min(TASKS, -(-n // TASK_TEXTS))))
 
 
-def trained(model: attention.Attention, texts: DataFrame, path: str) -> None:
+def company(texts: DataFrame, path: str, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors (attention.company_vectors) of all pieces of `texts` (text). What tasks pass on, and the driver gets, is bounded by the vocabulary."""
+    places = attention.places_of(counts)
+    wide = int(places.max()) + 1
+
+    def count(batches):
+        known, held = memo(path), np.zeros(3 * wide * len(places), np.int32)
+        for batch in in_slices(batches, 100):
+            streams = [np.concatenate([[BEGIN_ID], np.frombuffer(i, "<u4").astype(np.int64), [END_ID]]) for i in encode_words(known, [t.lower() for t in as_bytes(batch.column(0))])]
+            np.add.at(held, attention.company_keys(streams, places, wide), np.int32(1))  # of the same kind: many times faster
+        key = np.flatnonzero(held)
+        for at in range(0, len(key), FLUSH):
+            own = key[at : at + FLUSH]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(held[own].astype(np.int64))], ["key", "c"])
+
+    found = map_batches(few_tasks(texts.select("text"), texts.count()), count, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c")).toArrow()
+    return attention.company_vectors(found["key"].to_numpy(), found["c"].to_numpy(), wide)
+
+
+def trained(model: attention.Attention, texts: DataFrame, path: str) -> np.ndarray:
     """Trains `model` on all windows of `texts` (text): each task a copy on its texts, then the mean of the copies, weighted by their windows.
 
-    Only parameters travel, in pieces; the driver gets one set of them.
+    Only parameters travel, in pieces; the driver gets one set of them. Returns attention.compared() of all windows, each by a copy that hasn't been trained on it yet.
     """
     spark, n = texts.sparkSession, texts.count()
     if not n:
-        return
+        return np.zeros((2, attention.SHARES))
     names = list(model.p)
     sizes = np.cumsum([0] + [model.p[k].size for k in names])
     shared = spark.sparkContext.broadcast(model)
@@ -145,15 +164,17 @@ def trained(model: attention.Attention, texts: DataFrame, path: str) -> None:
 
         from pyspark import TaskContext
 
-        own, known, windows = None, memo(path), 0
+        own, known, windows, compared = None, memo(path), 0, np.zeros((2, attention.SHARES))
         rng = np.random.default_rng(TaskContext.get().partitionId() if TaskContext.get() else 0)
         held: list[np.ndarray] = []
 
         def learn():
-            nonlocal own, windows
+            nonlocal own, windows, compared
             own = own or copy.deepcopy(shared.value)
             both = np.concatenate(held)
             held.clear()
+            own.prepare()
+            compared = compared + own.compared(both[:, : attention.T], both[:, attention.T :])
             own.train(both[:, : attention.T], both[:, attention.T :], rng, 1, TRAIN_RATE)
             windows += len(both)
 
@@ -166,22 +187,26 @@ def trained(model: attention.Attention, texts: DataFrame, path: str) -> None:
             learn()
         if own:
             flat = np.concatenate([own.p[k].reshape(-1) for k in names]).astype(np.float32)
-            pieces = [flat[k : k + PIECE].tobytes() for k in range(0, len(flat), PIECE)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([windows] * len(pieces), pa.int64()), pa.array(pieces, pa.binary())], ["piece", "windows", "values"])
+            pieces = [compared.tobytes(), *(flat[k : k + PIECE].tobytes() for k in range(0, len(flat), PIECE))]
+            yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(pieces) - 1), pa.int32()), pa.array([windows] * len(pieces), pa.int64()), pa.array(pieces, pa.binary())], ["piece", "windows", "values"])
 
     def mean(table: pa.Table) -> pa.Table:
+        if table.column("piece")[0].as_py() < 0:  # counts add up
+            total = sum(np.frombuffer(v, np.float64) for v in table.column("values").to_pylist())
+            return pa.table({"piece": table.column("piece")[:1], "values": pa.array([total.tobytes()], pa.binary())})
         total, weight = 0.0, 0
         for n, values in zip(table.column("windows").to_pylist(), table.column("values").to_pylist()):
             total, weight = total + n * np.frombuffer(values, np.float32).astype(np.float64), weight + n
         return pa.table({"piece": table.column("piece")[:1], "values": pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())})
 
-    tasks = max(1, min(TASKS, -(-n // TASK_TEXTS)))
-    copies = map_batches(texts.select("text").repartition(tasks, F.xxhash64("text")), train, "piece int, windows bigint, values binary")
+    copies = map_batches(few_tasks(texts.select("text"), n), train, "piece int, windows bigint, values binary")
     got = copies.groupBy("piece").applyInArrow(mean, "piece int, values binary").toArrow()  # TASKS pieces at most meet in a group
-    flat = np.frombuffer(b"".join(v for _, v in sorted(zip(got["piece"].to_pylist(), got["values"].to_pylist()))), np.float32)
+    pieces = [v for _, v in sorted(zip(got["piece"].to_pylist(), got["values"].to_pylist()))]
+    flat = np.frombuffer(b"".join(pieces[1:]), np.float32)
     for k, a, b in zip(names, sizes, sizes[1:]):
         model.p[k] = flat[a:b].reshape(model.p[k].shape).copy()
     model.prepare()
+    return np.frombuffer(pieces[0], np.float64).reshape(2, attention.SHARES)
 
 
 class Lexicon:
@@ -305,9 +330,8 @@ def score_texts(df: DataFrame, path: str | None = None, id_col: str = "doc_id",
     order = np.argsort(key)
     pairs = attention.Pairs(key[order], kept["c"].to_numpy()[order].astype(float), ids, ends)
     begun = sample_windows(train, path)
-    model = attention.Attention(ids, pairs, *begun)
-    trained(model, sample_texts(train), path)
-    model.fit_mix(*(w[:: max(1, len(w) // 3000)] for w in begun))
+    model = attention.Attention(ids, pairs, *begun, company=company(train, path, ids))
+    model.fit_mix(trained(model, train, path))
     log = lambda c: math.log10((c + 1) / floor)
     made = spark.sparkContext.broadcast((model, hot["word"].to_pylist(), np.log10((hot["c"].to_numpy() + 1) / floor)))
     shared, end_value, end_known = Shared(made, uuid.uuid4().int >> 66), log(whole.texts), int(whole.texts > 0)

@@ -959,3 +959,33 @@ def test_scores_of_license_query(spark):
     assert got[1] == (2, 1, 4, "cc-by,mit", "cc-by,mit", 0.5)
     assert got[2] == got[3] == (0, None, None, "", "", 0.0)
     assert got[4] == (0, None, None, "", "bsd-2-clause", 1.0) and got[5] == (2, 0, 2, "apache", "apache", 0.5)
+
+
+def test_all_training_texts_are_learnt_from(spark, monkeypatch):
+    """Classes, parameters and the mixture's weights come from every training row, not from some."""
+    seen = Counter()
+    real_company, real_trained, real_mix = lm.company, lm.trained, attention.Attention.fit_mix
+    monkeypatch.setattr(lm, "company", lambda df, *a: (seen.update(company=df.count()), real_company(df, *a))[1])
+    monkeypatch.setattr(lm, "trained", lambda m, df, p: (seen.update(trained=df.count()), real_trained(m, df, p))[1])
+    monkeypatch.setattr(attention.Attention, "fit_mix", lambda self, counts: (seen.update(targets=int(counts.sum())), real_mix(self, counts))[1])
+    texts = [(k, text_of(k, 30)) for k in range(300)]
+    lm.score_texts(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).count()
+    train = [t for k, t in texts if zlib.crc32(str(k).encode()) % 7 != 2]
+    sizes = [len(i) // 4 for i in encode_words(memo(word_vocabulary()), [t.lower().encode() for t in train])]
+    assert seen == {"company": len(train), "trained": len(train), "targets": sum(sizes) + len(train)}
+
+
+def test_company_against_counting():
+    rng = np.random.default_rng(4)
+    counts = np.r_[np.arange(200, 0, -1.0), np.zeros(3)]
+    streams, places = [rng.integers(0, 200, n) for n in (1, 2, 3, 50)], attention.places_of(counts)
+    wide = attention.SINGLES + 1
+    expected = Counter()
+    for s in streams:
+        for i, x in enumerate(s):
+            for j in range(max(0, i - 2), min(len(s), i + 3)):
+                if i != j:
+                    kinds = [0] + [1] * (j == i - 1) + [2] * (j == i + 1)
+                    expected.update((int(x), k, min(int(s[j]), attention.SINGLES)) for k in kinds)
+    got = Counter(((int(k) // wide) // 3, (int(k) // wide) % 3, int(k) % wide) for k in attention.company_keys(streams, places, wide))
+    assert got == expected
