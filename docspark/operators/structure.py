@@ -20,6 +20,9 @@ ENUMERATION = r"^\s*[(（]\s*(?:[0-9]{1,3}|[A-Za-z]|[一-鿿]{1,3})\s*[)）]\s*\
 TRAILING = r"^\s*(?:[0-9]{1,3}|[A-Za-z]|[一-鿿]{1,3})[)）]\s*\S.{0,120}$"
 SCENE = r"(?i)^\s*(?:场景|案例|示例|步骤|阶段|任务|scenario|case|example|step|stage|task)\s*[一-鿿0-9a-z]*[:：.\-\s]\s*\S.{0,120}$"
 
+#: What a line begins with that one of these, or MARKDOWN, may match, if no tag stands before it.
+BEGINS = r"^\s*(?:[#0-9(（第]|(?:[A-Za-z]|[一-鿿]{1,3})[)）]|(?i:chapter|section|part|appendix|附录|abstract|introduction|background|method|experiment|result|discussion|conclusion|references|acknowledgement|场景|案例|示例|步骤|阶段|任务|scenario|case|example|step|stage|task))"
+
 
 # What speaks for a heading or against it, and how much of it is enough.
 KIND_POINTS = {"numbered_body": -0.2, "attached": 0.56, "decimal": 0.78, "chapter": 0.78, "common": 0.62}
@@ -32,14 +35,25 @@ def settled(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("r")).select("r.*")
 
 
-def headings(blocks: DataFrame, label: Column | None = None, profile: Column | None = None, centered: Column | None = None) -> DataFrame:
-    """`blocks` (doc_id, pos, page, idx, content) with is_heading, level, text, confidence, role and pattern of each.
+def may_be_heading(content: Column) -> Column:
+    """Whether a line may be a heading to headings() that has neither a label nor a place of its own; most others are told by how they begin."""
+    return F.contains(content, F.lit("<")) | content.rlike(BEGINS)
+
+
+def marked_lines(blocks: DataFrame, *more: str) -> DataFrame:
+    """doc_id, pos, content, is_heading, level, text (of headings, else empty) and `more` of `blocks`, as headings() says without a label: patterns are only matched where may_be_heading."""
+    some = F.when(may_be_heading(F.col("content")), F.col("content")).otherwise("")
+    return headings(blocks.withColumn("whole", F.col("content")).withColumn("content", some), more=("whole", *more)).select("doc_id", "pos", F.col("whole").alias("content"), "is_heading", "level", "text", *more)
+
+
+def headings(blocks: DataFrame, label: Column | None = None, profile: Column | None = None, centered: Column | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """`blocks` (doc_id, pos, page, idx, content, and `more`) with is_heading, level, text, confidence, role and pattern of each.
 
     label: the block's kind, by default text; profile: en, zh or mixed, by default en. Level -1 means attached to the heading before. Each step is
     a projection of its own, so that no pattern is matched twice.
     """
     label, profile = F.lit("text") if label is None else label, F.lit("en") if profile is None else profile
-    keep = ["doc_id", "pos", "page", "idx", "content"]
+    keep = ["doc_id", "pos", "page", "idx", "content", *more]
     centre = F.lit(False) if centered is None else F.coalesce(centered, F.lit(False))
     rows = blocks.select(*keep, F.lower(F.trim(label)).isin("title", "doc_title", "paragraph_title").alias("titled"), profile.alias("profile"), centre.alias("centred"), X.without_tags(F.col("content")).alias("clean"))
     rows = rows.withColumn("marks", F.regexp_extract("clean", MARKDOWN, 1))

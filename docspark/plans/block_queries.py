@@ -94,9 +94,9 @@ def region_to_block(spark, sf_dir):
     return K.region_boxes(moved, 1240, 1754).select("doc_id", "page", "idx", "x1_px", "y2_px", "x1_norm", "y2_norm")
 
 
-def titled(spark, sf_dir):
+def titled(spark, sf_dir, *more):
     """Blocks, of which every seventh is numbered as a heading and every eleventh marked as one."""
-    b = blocks(spark, sf_dir)
+    b = blocks(spark, sf_dir, *more)
     head = F.concat(F.lit("1"), F.when(F.col("pos") % 14 == 7, "").otherwise(".2"), F.lit(" "), F.col("content"))
     mark = F.concat(F.repeat(F.lit("#"), (F.col("pos") % 3 + 1).cast("int")), F.lit(" "), F.col("content"))
     return b.withColumn("content", F.when(F.col("pos") % 11 == 3, mark).when(F.col("pos") % 7 == 0, head).otherwise(F.col("content")))
