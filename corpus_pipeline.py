@@ -1,7 +1,7 @@
 """The corpus pipeline: four operators of docspark.llm, each stage written as Parquet and read again as the next one's documents.
 
 Every stage takes nulls in any column, empty and very long texts, ties, repeated rows, empty tables and extra columns of any name: see its docstring. The
-second stage finds near duplicates by MinHash bands, not by the ball hashing of op3: SimHashes of texts 0.8 alike differ in too many bits for a ball.
+second stage takes candidates from op3's ball hashing of SimHashes, and from MinHash bands as well: SimHashes of texts 0.8 alike differ in too many bits for a ball.
 """
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
 
-STAGES = [("quality classifier", classify), ("near duplicates by MinHash bands", deduplicate), ("source mixing", mix), ("lexical packing", pack)]
+STAGES = [("quality classifier", classify), ("near duplicates by SimHash balls and MinHash bands", deduplicate), ("source mixing", mix), ("lexical packing", pack)]
 
 #: A fitted classifier, hashed draws and greedy packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -1,6 +1,6 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates share a band of MinHash values. Work on them is linear wherever copies abound: in each band's group all are compared with the member that
+Candidates are in one ball of SimHashes, by op3's ball hashing, or share a band of MinHash values. Work on them is linear wherever copies abound: in each band's group all are compared with the member that
 agrees with most others, which near copies of one text nearly always are; only what that leaves in different components is compared across, by
 signatures first. Every link is verified on whole texts, of which only those of candidates move. Rows that are in no group of copies are never shuffled:
 a bounded table of bits tells most of them apart.
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 from docspark.llm.common import as_bytes, checkpointed, in_slices, map_batches, release_memory
-from docspark.llm.simhash import components
+from docspark.llm.simhash import ball_links, components, simhash
 
 #: Words of a shingle; texts with a Jaccard similarity of ALIKE or more, as a fraction, are near copies.
 SHINGLE_WORDS, ALIKE = 5, (4, 5)
@@ -91,21 +91,31 @@ def band_values(values: np.ndarray) -> np.ndarray:
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """id, row, node (a digest of the set of shingles), size (their number), bands of `rows` (id, row, text)."""
+    """id, row, node (a digest of the set of shingles), size (their number), bands, fp (the SimHash, as a signed long) of `rows` (id, row, text)."""
     import xxhash
 
     kind = rows.schema["id"].dataType.simpleString()
 
     def compute(batches):
         for batch in in_slices(batches, 200):
-            sets = [shingle_hashes(t) for t in as_bytes(batch.column(2))]
+            texts = as_bytes(batch.column(2))
+            sets, fps = [shingle_hashes(t) for t in texts], np.array([simhash(t) for t in texts], np.uint64).view(np.int64)
             nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             bands = pa.FixedSizeListArray.from_arrays(pa.array(band_values(minhashes(sets)).view(np.int64).reshape(-1)), BANDS).cast(pa.list_(pa.int64()))
-            columns = [batch.column(0), batch.column(1), pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), bands]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "row", "node", "size", "bands"])
+            columns = [batch.column(0), batch.column(1), pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), bands, pa.array(fps)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "row", "node", "size", "bands", "fp"])
         forget()
 
-    return map_batches(rows.select("id", "row", "text"), compute, f"id {kind}, row bigint, node bigint, size int, bands array<bigint>")
+    return map_batches(rows.select("id", "row", "text"), compute, f"id {kind}, row bigint, node bigint, size int, bands array<bigint>, fp bigint")
+
+
+def ball_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of `nodes` (node, fp) that connect all whose SimHashes differ in two bits at most: those of one SimHash with the smallest of them, and these by ball hashing."""
+    first = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")))
+    same = nodes.join(first.where("n > 1"), "fp").where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    of = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node"))
+    near = ball_links(first.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    return checkpointed(same.unionByName(near))
 
 
 def bit_place(key: str) -> Column:
@@ -194,10 +204,10 @@ def sharing_rare(rows: DataFrame) -> DataFrame:
     return met.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
 
 
-def similar_links(distinct: DataFrame, rows: DataFrame) -> DataFrame:
+def similar_links(distinct: DataFrame, rows: DataFrame, balls: DataFrame | None = None) -> DataFrame:
     """Distinct links (a, b) that connect the nodes of `distinct` (node, row, size, bands) whose texts are ALIKE or more; every link is verified.
 
-    `rows` (row, text) holds the texts. In each group that shares a band value, all members are compared with the one that shares most values with
+    `rows` (row, text) holds the texts. balls: further candidates (a, b), which are verified with the first. In each group that shares a band value, all members are compared with the one that shares most values with
     others. What lies in different components after that is compared across: each pair once, in the first group that both are in, if signatures
     estimate LEAST_ESTIMATE or more. Nothing is capped: texts of groups with very many such pairs, see GROUP_PAIRS, meet on their rarest shingles.
     """
@@ -206,11 +216,15 @@ def similar_links(distinct: DataFrame, rows: DataFrame) -> DataFrame:
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = checkpointed(bands.join(shared, "key"))
     company = members.groupBy("node").agg(F.sum("n").alias("company"))
-    texts = candidate_texts(distinct.join(company.select("node"), "node", "left_semi").select("node", "row"), rows)
+    wanted = company.select("node")
+    if balls is not None:
+        wanted = wanted.unionByName(balls.select(F.col("a").alias("node"))).unionByName(balls.select(F.col("b").alias("node")))
+    texts = candidate_texts(distinct.join(wanted, "node", "left_semi").select("node", "row"), rows)
     members = checkpointed(members.join(company, "node").drop("n"))
     centre = members.groupBy("key").agg(F.max(F.struct("company", "node", "size")).alias("centre"))
     star = members.join(centre, "key").where((F.col("node") != F.col("centre.node")) & fits(F.col("size"), F.col("centre.size")))
-    links = verified(star.select(F.col("node").alias("a"), F.col("centre.node").alias("b")), texts)
+    pairs = star.select(F.col("node").alias("a"), F.col("centre.node").alias("b"))
+    links = verified(pairs if balls is None else pairs.unionByName(balls), texts)
     placed = members.join(components(links), "node", "left").select("key", "band", "node", "size", F.coalesce("root", "node").alias("root"))
     wide = distinct.select("node", "bands").join(texts.select("node", "signature"), "node")
     parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
@@ -257,8 +271,8 @@ def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str
     rows = df.select(df[id_col].alias("id"), row_hash(df).alias("row"), df[text_col].cast("string").alias("text"), F.struct(*[df[c] for c in df.columns]).alias("own"))
     marked = checkpointed(signatures(rows))
     place = F.struct(F.col("id").isNotNull().alias("has"), "id", "row")
-    nodes = checkpointed(marked.groupBy("node").agg(F.min(place).alias("first"), F.max("size").alias("size"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")))
-    links = similar_links(nodes.select("node", F.col("first.row").alias("row"), "size", "bands"), rows)
+    nodes = checkpointed(marked.groupBy("node").agg(F.min(place).alias("first"), F.max("size").alias("size"), F.first("bands").alias("bands"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")))
+    links = similar_links(nodes.select("node", F.col("first.row").alias("row"), "size", "bands"), rows, ball_pairs(nodes.select("node", "fp")))
     whole = nodes.select("node", "first", "n").join(components(links), "node", "left").where("root is not null or n > 1")
     whole = whole.select("node", "first", F.coalesce("root", "node").alias("root"))
     kept = whole.groupBy("root").agg(F.min("first").alias("kept"))

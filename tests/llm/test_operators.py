@@ -989,3 +989,16 @@ def test_company_against_counting():
                     expected.update((int(x), k, min(int(s[j]), attention.SINGLES)) for k in kinds)
     got = Counter(((int(k) // wide) // 3, (int(k) // wide) % 3, int(k) % wide) for k in attention.company_keys(streams, places, wide))
     assert got == expected
+
+
+def test_near_copies_in_one_ball_are_linked_without_a_band(spark, monkeypatch):
+    """The pipeline's second stage takes candidates from op3's ball hashing: copies that share no band are found by their SimHashes, and verified."""
+    texts = [text_of(5000 + k, 600) for k in range(6)]
+    near = lambda t, k: " ".join(w if n != k else "other" for n, w in enumerate(t.split()))
+    bits = lambda a, b: bin(simhash.simhash(a.encode()) ^ simhash.simhash(b.encode())).count("1")
+    copies = [next(c for c in (near(t, k) for k in range(600)) if 0 < bits(t, c) <= 2) for t in texts[:3]]
+    copies += [next(c for c in (near(t, k) for k in range(600)) if bits(t, c) == 0) for t in texts[3:5]]
+    real = near_copies.signatures
+    monkeypatch.setattr(near_copies, "signatures", lambda rows: real(rows).withColumn("bands", F.transform("bands", lambda b, k: F.xxhash64("node", k))))
+    rows = spark.createDataFrame(list(enumerate(texts + copies)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.without_near_duplicates(rows).collect()) == list(range(6))
