@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docspark.operators import retrieval as R
+from docspark.operators import scoring as S
 from docspark.operators import search_index as I
 
 WORDS = "sea ship wind harbour stone river night lamp road garden winter song letter 海洋 港口 x1 42".split()
@@ -118,3 +119,19 @@ def test_texts_are_counted_where_they_are_read(spark):
     got = {r.item_id: (r.dl, {t.term: t.tf for t in r.terms}) for r in found.collect()}
     assert got == {1: (3, {"sea": 2, "ship": 1}), 2: (0, {}), 3: (2, {"aa": 1, "bb": 1})}
     assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_item_stays_in_one_task_after_a_join(spark):
+    """A join by item that Spark turns into a broadcast join while it runs deals items anew."""
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for key, value in held.items():
+        spark.conf.set(key, value)
+    try:
+        postings = spark.range(0, 4000, 1, 8).select((F.col("id") % 100).alias("item_id"), F.concat(F.lit("t"), F.floor(F.col("id") / 100)).alias("term"), F.lit(1).cast("long").alias("tf"), F.lit(40).cast("long").alias("dl"))
+        latest = spark.range(0, 100, 1, 4).groupBy(F.col("id").alias("item_id")).agg(F.max("id").alias("latest"))
+        packs = S.packed_postings(postings.join(latest, "item_id", "left").where("latest is null or latest >= 0"))
+        ids = [i for r in packs.select("ids").collect() for i in r.ids]
+    finally:
+        for key in held:
+            spark.conf.unset(key)
+    assert sorted(ids) == list(range(100))
